@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trovelight.fixed_values import ASSET_TYPES, UNIT_KINDS
 from trovelight.functions.vectors import NearestSoFar, matrix
@@ -244,8 +245,8 @@ def signatures(rows: DataFrame, dims: int, bands: int, bits: int, seed: int = 42
     need(rows, "embedding")
     planes = np.random.default_rng(seed).standard_normal((dims, bands * bits))
     weights = 1 << np.arange(bits)
-    kept = [field for field in rows.schema.fields]
-    schema = rows.schema.add("signature", "array<int>")
+    kept = rows.schema.fields
+    schema = T.StructType([*kept, T.StructField("signature", T.ArrayType(T.IntegerType()))])
 
     def sign(batches):
         for batch in batches:

@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-ASSETS = T.StructType.fromDDL(
+# Schemas are DDL text, so that tasks can load this module without a session.
+
+ASSETS = (
     "asset_id BIGINT, collection STRING, filename STRING, asset_type STRING, mime STRING, "
     "size_bytes INT, sha256 STRING, status STRING, error STRING, started_at TIMESTAMP, "
     "attempts INT, title STRING, description STRING, tags ARRAY<STRING>, visible_text STRING, "
@@ -11,23 +13,23 @@ ASSETS = T.StructType.fromDDL(
 )
 
 # Other names of an asset's bytes, one row each: a file copied under millions of names stays a table.
-ALIASES = T.StructType.fromDDL(
+ALIASES = (
     "collection STRING, sha256 STRING, asset_id BIGINT, alias STRING, first_arrival BIGINT"
 )
 
-UNITS = T.StructType.fromDDL(
+UNITS = (
     "unit_id BIGINT, asset_id BIGINT, collection STRING, asset_type STRING, kind STRING, "
     "unit_index INT, start_char INT, end_char INT, body STRING"
 )
 
-VECTORS = T.StructType.fromDDL("unit_id BIGINT, embedding ARRAY<FLOAT>, embedding_model STRING")
+VECTORS = "unit_id BIGINT, embedding ARRAY<FLOAT>, embedding_model STRING"
 
-POSTINGS = T.StructType.fromDDL(
+POSTINGS = (
     "collection STRING, term STRING, unit_id BIGINT, asset_id BIGINT, kind STRING, "
     "asset_type STRING, tf INT, positions ARRAY<INT>"
 )
 
-METADATA = T.StructType.fromDDL(
+METADATA = (
     "title STRING, description STRING, tags ARRAY<STRING>, visible_text STRING, image_type STRING"
 )
 
@@ -40,8 +42,9 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def need_table(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """`df` itself; raises ValueError when a column of `schema` is missing or of another type."""
+def need_table(df: DataFrame, ddl: str) -> DataFrame:
+    """`df` itself; raises ValueError when a column of the schema is missing or of another type."""
+    schema = T.StructType.fromDDL(ddl)
     need(df, *schema.fieldNames())
     found = {field.name: field.dataType for field in df.schema.fields}
     wrong = [

@@ -1,5 +1,8 @@
 """The session settings the operators rely on."""
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # What every session needs, on a laptop or a cluster. Shuffle partitions start high and adaptive
@@ -16,7 +19,12 @@ CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Put the settings above on a session that somebody else built."""
+    """Put the settings above on a session that somebody else built.
+
+    Functions of this package travel to the tasks with their code, so the package need not be
+    installed there.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["trovelight"])
     for name, value in CONF.items():
         spark.conf.set(name, value)
     return spark
@@ -30,9 +38,10 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for name, value in CONF.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
