@@ -4,7 +4,6 @@ A query is a function from `Views` to a DataFrame. Its SQL, where there is one,
 alone. Arrays are compared as joined strings and times as text.
 """
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import sql
 from checks.sql import query as q
-from checks.views import DIMS, Views
+from checks.views import DIMS, Views, shared_folder
 from trovelight import fixed_values as fixed
 from trovelight.functions import text as tx
 from trovelight.functions.vectors import cosine_similarity
@@ -48,12 +47,6 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
-def shared_folder(v: Views, name: str) -> str:
-    """A new folder where the cluster keeps shared files."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/trovelight"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def joined(column, by=",") -> F.Column:
     return F.array_join(column, by)
 
@@ -236,7 +229,7 @@ def _(v):
   UNION ALL SELECT DISTINCT sha256(text), NULL FROM benchmark) GROUP BY sha256""",
 )
 def _(v):
-    folder = shared_folder(v, "blobs")
+    folder = shared_folder(v.spark, "blobs")
     hashed = intake.content_hash(v.files())
     blobs.put_blobs(hashed, folder)
     # The second time there is nothing left to store.
@@ -964,7 +957,7 @@ def _(v):
     q("SELECT collection, count(*) AS asset_count FROM assets GROUP BY collection", "assets"),
 )
 def _(v):
-    return catalog.list_collections(v.assets())
+    return catalog.list_collections(v.index().assets)
 
 
 @register(
@@ -977,7 +970,7 @@ UNION ALL SELECT 'unit', unit_id FROM units WHERE collection <> 'en' UNION ALL S
     ),
 )
 def _(v):
-    kept, kept_units, deleted = catalog.delete_collection(v.assets(), v.units(), "en")
+    kept, kept_units, deleted = catalog.delete_collection(v.index().assets, v.index().units, "en")
     return (
         kept.select(F.lit("asset").alias("what"), F.col("asset_id").alias("id"))
         .unionByName(kept_units.select(F.lit("unit").alias("what"), F.col("unit_id").alias("id")))
@@ -1093,7 +1086,7 @@ def _(v):
     q("SELECT query_id, unit_id FROM keyword_matches", "keyword_matches"),
 )
 def _(v):
-    return keyword.match_units(v.queries(), v.postings(), stem=False).select("query_id", "unit_id")
+    return keyword.match_units(v.queries(), v.index().postings, stem=False).select("query_id", "unit_id")
 
 
 @register(
@@ -1101,7 +1094,7 @@ def _(v):
     q("SELECT query_id, unit_id, all_words FROM keyword_matches", "keyword_matches"),
 )
 def _(v):
-    return keyword.match_units(v.queries(), v.postings(), stem=False).select(
+    return keyword.match_units(v.queries(), v.index().postings, stem=False).select(
         "query_id", "unit_id", "all_words"
     )
 
@@ -1144,7 +1137,7 @@ WHERE ({asks(1)} OR {asks(2)}) AND {follows(1)}""",
     ),
 )
 def _(v):
-    return keyword.match_units(typed_queries(v, '"{a} {b}"'), v.postings(), stem=False).select(
+    return keyword.match_units(typed_queries(v, '"{a} {b}"'), v.index().postings, stem=False).select(
         "query_id", "unit_id"
     )
 
@@ -1160,7 +1153,7 @@ WHERE {asks(3)} AND {holds_all(3)} AND NOT ({asks(4)} AND {holds_all(4)}) AND NO
 )
 def _(v):
     return keyword.match_units(
-        typed_queries(v, "{c} -{d} -{z}"), v.postings(), stem=False
+        typed_queries(v, "{c} -{d} -{z}"), v.index().postings, stem=False
     ).select("query_id", "unit_id")
 
 
@@ -1175,7 +1168,7 @@ WHERE {asks(3)} AND NOT {holds_all(3)}""",
 )
 def _(v):
     return keyword.match_units(
-        typed_queries(v, "-{c}"), v.postings(), v.units(), stem=False
+        typed_queries(v, "-{c}"), v.index().postings, v.index().units, stem=False
     ).select("query_id", "unit_id")
 
 
@@ -1190,7 +1183,7 @@ WHERE ((({asks(3)} OR {asks(4)}) AND {holds_all(3)} AND {holds_all(4)}) OR ({ask
 )
 def _(v):
     return keyword.match_units(
-        typed_queries(v, "{c} {d} or {z}"), v.postings(), stem=False
+        typed_queries(v, "{c} {d} or {z}"), v.index().postings, stem=False
     ).select("query_id", "unit_id")
 
 
@@ -1199,7 +1192,7 @@ def _(v):
     q("SELECT query_id, unit_id, keyword_score FROM keyword_matches", "keyword_matches"),
 )
 def _(v):
-    return keyword.match_units(v.queries(), v.postings(), stem=False).select(
+    return keyword.match_units(v.queries(), v.index().postings, stem=False).select(
         "query_id", "unit_id", "keyword_score"
     )
 
@@ -1212,7 +1205,7 @@ def _(v):
     ),
 )
 def _(v):
-    return keyword.keyword_search(v.queries(), v.postings(), stem=False)
+    return keyword.keyword_search(v.queries(), v.index().postings, stem=False)
 
 
 @register("f10_keyword_search_stemmed")
@@ -1243,13 +1236,13 @@ VECTOR_HITS = q(
 
 @register("g2_vector_search", VECTOR_HITS)
 def _(v):
-    return nearest.vector_search(v.query_vectors(), v.vectors(), rank_digits=6)
+    return nearest.vector_search(v.query_vectors(), v.index().vectors, rank_digits=6)
 
 
 @register("g2_vector_search_shuffled", VECTOR_HITS)
 def _(v):
     return nearest.vector_search(
-        v.query_vectors(), v.vectors(), rank_digits=6, max_broadcast_vectors=0
+        v.query_vectors(), v.index().vectors, rank_digits=6, max_broadcast_vectors=0
     )
 
 
@@ -1285,18 +1278,18 @@ WHERE embedding_model = 'hashed-64'""",
     ),
 )
 def _(v):
-    return nearest.same_space(v.vectors(), v.query_vectors()).select("unit_id", "embedding_model")
+    return nearest.same_space(v.index().vectors, v.query_vectors()).select("unit_id", "embedding_model")
 
 
 @register("g4_vector_search_hashed", VECTOR_HITS)
 def _(v):
     # Hashed vectors are dense at 64 places, so the block product is their search as well.
-    return nearest.vector_search(v.query_vectors(), v.vectors(), rank_digits=6)
+    return nearest.vector_search(v.query_vectors(), v.index().vectors, rank_digits=6)
 
 
 @register("g5_vector_search_approx")
 def _(v):
-    return nearest.vector_search_approx(v.query_vectors(), v.vectors(), DIMS, rank_digits=6)
+    return nearest.vector_search_approx(v.query_vectors(), v.index().vectors, DIMS, rank_digits=6)
 
 
 # --- H: fusion and results ---------------------------------------------------------------------
@@ -1304,8 +1297,8 @@ def _(v):
 
 def hits(v: Views) -> tuple[DataFrame, DataFrame]:
     return (
-        keyword.keyword_search(v.queries(), v.postings(), stem=False),
-        nearest.vector_search(v.query_vectors(), v.vectors(), rank_digits=6),
+        keyword.keyword_search(v.queries(), v.index().postings, stem=False),
+        nearest.vector_search(v.query_vectors(), v.index().vectors, rank_digits=6),
     )
 
 
@@ -1416,7 +1409,7 @@ WHERE position > (page - 1) * 20 AND position <= page * 20""",
 )
 def _(v):
     page = fusion.cap_and_page(matches(v).drop("n_matches"))
-    return results.fetch_results(page, v.units(), v.assets()).select(
+    return results.fetch_results(page, v.index().units, v.index().assets).select(
         "query_id",
         "position",
         "asset_id",
@@ -1437,10 +1430,10 @@ def search(v: Views, sentences: bool = True, relevance=results.word_share) -> Da
     return hybrid.hybrid_search(
         v.queries(),
         v.query_vectors().drop("collection"),
-        v.postings(),
-        v.units(),
-        v.vectors(),
-        v.assets(),
+        v.index().postings,
+        v.index().units,
+        v.index().vectors,
+        v.index().assets,
         embed_sentences if sentences else None,
         relevance,
         stem=False,
@@ -1470,8 +1463,10 @@ SELECT q, snippet_text, {sql.WORD_SHARE} AS relevance, query_id % 2 = 0 AS cache
     ),
 )
 def _(v):
-    shown = matches(v).where("page = 1 AND position <= 20")
-    found = results.fetch_results(shown, v.units(), v.assets())
+    shown = matches(v).where("page = 1 AND position <= 20").withColumn(
+        "q", keyword.normalise_query(F.col("q"))
+    )
+    found = results.fetch_results(shown, v.index().units, v.index().assets)
 
     def score(pairs):
         return pairs.withColumn("relevance", results.word_share(F.col("q"), F.col("text")))
@@ -1762,7 +1757,7 @@ def _(v):
     assets = v.assets_state().withColumn("started_at", F.col("created_at")).withColumn(
         "finished_at", finished
     )
-    return evaluate.ingest_metrics(assets, v.units())
+    return evaluate.ingest_metrics(assets, v.index().units)
 
 
 @register(
@@ -1776,5 +1771,5 @@ def _(v):
 def _(v):
     # Hits of ready assets only: what a search over committed units alone can find of these hits.
     ready = v.assets_state().where("status = 'ready'").select("asset_id", "status")
-    found = keyword.keyword_search(v.queries(), v.postings(), stem=False)
+    found = keyword.keyword_search(v.queries(), v.index().postings, stem=False)
     return found.join(ready, "asset_id").select("query_id", "unit_id", "status")

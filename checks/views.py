@@ -1,9 +1,12 @@
 """Views over the given tables that stand for uploads, assets, units, vectors and queries."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.operators import enrich, intake, metadata, passages, units
+from trovelight.plans.index import Index, build_index
 from trovelight.session import configure
 from trovelight.sources.files import files_of_documents
 
@@ -11,6 +14,16 @@ DIMS = 64
 IMAGE_BASE = 10_000_000
 
 
+# Where the index of a folder of tables was written, per application.
+_written: dict[tuple[str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster keeps shared files."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/trovelight"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 class Views:
     """The views of one folder of tables; every one is built when it is asked for."""
 
@@ -18,6 +31,23 @@ class Views:
         self.spark = configure(spark)
         self.folder = folder
 
+    def index(self) -> Index:
+        """The index of all assets, written once per application and read by every search."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _written:
+            folder = shared_folder(self.spark, "index")
+            build_index(
+                self.assets(),
+                self.chunks(),
+                folder,
+                lambda rows: units.embed_hashed_words(rows, dims=DIMS),
+                self.image_vectors(),
+                stem=False,
+                shards=4,
+            )
+            _written[key] = folder
+        return Index.read(self.spark, _written[key])
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -141,17 +171,17 @@ class Views:
         columns = ["unit_id", "asset_id", "collection", "asset_type", "kind"]
         every = self.units()
         texts = units.embed_hashed_words(every, dims=DIMS, keep=tuple(columns))
-        given = self.table("embeddings").select(
-            (F.col("vec_id") + IMAGE_BASE).alias("asset_id"), "embedding"
-        )
-        images = (
-            every.where(F.col("kind") == "image")
-            .select(*columns)
-            .join(given, "asset_id")
-            .withColumn("embedding_model", F.lit("given-64"))
-        )
+        images = every.where(F.col("kind") == "image").select(*columns)
+        images = images.join(self.image_vectors(), "asset_id")
         return texts.where(F.col("embedding").isNotNull()).unionByName(images)
 
+    def image_vectors(self) -> DataFrame:
+        return self.table("embeddings").select(
+            (F.col("vec_id") + IMAGE_BASE).alias("asset_id"),
+            "embedding",
+            F.lit("given-64").alias("embedding_model"),
+        )
+
     # --- queries ---
 
     def queries(self) -> DataFrame:

@@ -128,13 +128,29 @@ def _distinct_terms(parsed: DataFrame) -> DataFrame:
     return parsed.select("query_id", "collection", F.explode(terms).alias("term"))
 
 
+def shard_column(shards: int) -> str:
+    """The column that splits the postings of a collection; its name tells into how many parts."""
+    return f"shard_of_{shards}"
+
+
+def term_shard(term: Column, shards: int) -> Column:
+    """The part of a collection's postings that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+
+
 def _joined(postings: DataFrame, terms: DataFrame, small: bool, salts: int) -> DataFrame:
     """Postings with every query that asks for their term.
 
-    The terms go to every machine when they fit. Otherwise both sides are shuffled by collection and
-    term, a term's postings spread over `salts` parts, since one term may be in most of the units.
+    The terms go to every machine when they fit; partitions of other collections and shards are not
+    read. Otherwise both sides are shuffled by collection and term, a term's postings spread over
+    `salts` parts, since one term may be in most of the units.
     """
     keys = ["collection", "term"]
+    for name in postings.columns:
+        if name.startswith("shard_of_"):
+            shards = int(name.removeprefix("shard_of_"))
+            terms = terms.withColumn(name, term_shard(F.col("term"), shards))
+            keys.append(name)
     if small:
         return postings.join(F.broadcast(terms), keys)
     spread = postings.withColumn("_salt", F.pmod(F.xxhash64("unit_id"), F.lit(salts)))
