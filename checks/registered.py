@@ -471,7 +471,7 @@ def _(v):
 
 @register("b10_build_postings_stemmed")
 def _(v):
-    return v.postings(stem=True).withColumn("positions", joined("positions"))
+    return v.postings(stemmed=True).withColumn("positions", joined("positions"))
 
 
 @register("b11_stem_vocabulary")
@@ -723,13 +723,13 @@ def _(v):
 @register(
     "c7_sparse_vectors",
     q(
-        """SELECT unit_id, bucket::INT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY unit_id)), 9) AS weight FROM unit_counts""",
+        """SELECT unit_id, bucket::INT AS bucket, round((n / sqrt((sum(n * n) OVER (PARTITION BY unit_id))::DOUBLE))::FLOAT::DOUBLE, 6) AS weight FROM unit_counts""",
         "unit_counts",
     ),
 )
 def _(v):
     return units.sparse_vectors(v.units(), "unit_id", dims=DIMS).withColumn(
-        "weight", F.round("weight", 9)
+        "weight", F.round(F.col("weight").cast("double"), 6)
     )
 
 
@@ -1210,7 +1210,7 @@ def _(v):
 
 @register("f10_keyword_search_stemmed")
 def _(v):
-    return keyword.keyword_search(v.queries(), v.postings(stem=True))
+    return keyword.keyword_search(v.queries(), v.postings(stemmed=True))
 
 
 # --- G: vector path ----------------------------------------------------------------------------

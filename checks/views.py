@@ -163,8 +163,8 @@ class Views:
     def units(self) -> DataFrame:
         return units.build_units(self.assets(), self.chunks())
 
-    def postings(self, stem: bool = False) -> DataFrame:
-        return units.build_postings(self.units(), stem)
+    def postings(self, stemmed: bool = False) -> DataFrame:
+        return units.build_postings(self.units(), stemmed)
 
     def vectors(self) -> DataFrame:
         """All units with their vectors: texts hashed, images from the given ones."""

@@ -1,24 +1,27 @@
-"""The Porter (1980) stemmer as column expressions over an array of words.
+"""The Porter (1980) stemmer, as a function of one word and as a column function.
 
-Every step is one `transform` over the array, so a word is rewritten in the JVM and no step is
-computed twice. The published rules are kept as tables; conditions on a stem are regular expressions
-over its consonants and vowels.
+The published rules are kept as tables, and the conditions on a stem as regular expressions over its
+consonants and vowels. A word is stemmed once per task while it is remembered.
 """
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A consonant is any letter but a vowel, and "y" after a vowel or at the start; so "y" is a vowel only
-# after a consonant. C and V are runs of them, written for the inside of a word.
+# after a consonant. C and V are runs of them.
 C = "[^aeiou][^aeiouy]*"
 V = "[aeiouy][aeiou]*"
 MEASURE_ABOVE_0 = f"^({C})?{V}{C}"
 MEASURE_IS_1 = f"^({C})?{V}{C}({V})?$"
 MEASURE_ABOVE_1 = f"^({C})?{V}{C}{V}{C}"
 HAS_VOWEL = f"^({C})?[aeiouy]"
-DOUBLE_CONSONANT = r"([^aeiou])\1$"
-# consonant - vowel - consonant, the last not w, x or y.
-SHORT_END = f"^{C}[aeiouy][^aeiouwxy]$"
+DOUBLE_CONSONANT = r"([^aeiouylsz])\1$"
+# Consonant, vowel, consonant, the last not w, x or y.
+SHORT_END = "[^aeiou][aeiouy][^aeiouwxy]$"
 
 # The published suffix tables; where two suffixes fit, the longer one counts.
 STEP_2 = {
@@ -36,119 +39,93 @@ STEP_4 = [
 ]
 
 
-def _cut(word: Column, characters) -> Column:
-    """The word without its last characters."""
-    return F.substring(word, F.lit(1), F.length(word) - characters)
-
-
-def _suffix(word: Column, suffixes) -> Column:
-    """The longest of the suffixes the word ends with, or an empty string."""
-    longest_first = sorted(suffixes, key=len, reverse=True)
-    return F.regexp_extract(word, f"({'|'.join(longest_first)})$", 1)
-
-
-def _step_1a(word: Column) -> Column:
-    return (
-        F.when(word.rlike("(sses|ies)$"), _cut(word, 2))
-        .when(word.rlike("[^s]s$"), _cut(word, 1))
-        .otherwise(word)
-    )
-
-
-def _step_1b(word: Column) -> Column:
-    """Past tenses and gerunds. A stem to be mended is marked with a final "+"."""
-    return (
-        F.when(
-            word.rlike("eed$"),
-            F.when(_cut(word, 3).rlike(MEASURE_ABOVE_0), _cut(word, 1)).otherwise(word),
-        )
-        .when(
-            word.endswith("ed") & _cut(word, 2).rlike(HAS_VOWEL),
-            F.concat(_cut(word, 2), F.lit("+")),
-        )
-        .when(
-            word.endswith("ing") & _cut(word, 3).rlike(HAS_VOWEL),
-            F.concat(_cut(word, 3), F.lit("+")),
-        )
-        .otherwise(word)
-    )
-
-
-def _mend_1b(word: Column) -> Column:
-    stem = _cut(word, 1)
-    return (
-        F.when(~word.endswith("+"), word)
-        .when(stem.rlike("(at|bl|iz)$"), F.concat(stem, F.lit("e")))
-        .when(stem.rlike(DOUBLE_CONSONANT) & ~stem.rlike("[lsz]$"), _cut(stem, 1))
-        .when(
-            stem.rlike(MEASURE_IS_1) & stem.rlike("[^aeiou][aeiouy][^aeiouwxy]$"),
-            F.concat(stem, F.lit("e")),
-        )
-        .otherwise(stem)
-    )
-
-
-def _step_1c(word: Column) -> Column:
-    return F.when(
-        word.endswith("y") & _cut(word, 1).rlike(HAS_VOWEL), F.concat(_cut(word, 1), F.lit("i"))
-    ).otherwise(word)
-
-
-def _by_table(word: Column, table: dict) -> Column:
-    suffix = _suffix(word, table)
-    stem = _cut(word, F.length(suffix))
-    replacement = F.create_map(*[F.lit(item) for pair in table.items() for item in pair])
-    return F.when(
-        (suffix != "") & stem.rlike(MEASURE_ABOVE_0), F.concat(stem, replacement[suffix])
-    ).otherwise(word)
-
-
-def _step_4(word: Column) -> Column:
-    suffix = _suffix(word, STEP_4)
-    stem = _cut(word, F.length(suffix))
-    return F.when(
-        (suffix != "")
-        & stem.rlike(MEASURE_ABOVE_1)
-        & ((suffix != "ion") | stem.rlike("[st]$")),
-        stem,
-    ).otherwise(word)
-
-
-def _step_5a(word: Column) -> Column:
-    stem = _cut(word, 1)
-    return F.when(
-        word.endswith("e")
-        & (
-            stem.rlike(MEASURE_ABOVE_1)
-            | (stem.rlike(MEASURE_IS_1) & ~stem.rlike("[^aeiou][aeiouy][^aeiouwxy]$"))
-        ),
-        stem,
-    ).otherwise(word)
-
-
-def _step_5b(word: Column) -> Column:
-    return F.when(word.endswith("ll") & word.rlike(MEASURE_ABOVE_1), _cut(word, 1)).otherwise(word)
-
-
-def _protected(step):
-    """Words of one or two characters, and words with other than ASCII letters, stay as they are."""
-    return lambda word: F.when(word.rlike(r"^[a-z]{3,}\+?$"), step(word)).otherwise(word)
-
-
-def stems(words: Column) -> Column:
-    """The stems of an array of lower-case words, in their places."""
-    steps = [
-        _step_1a,
-        _step_1b,
-        _mend_1b,
-        _step_1c,
-        lambda word: _by_table(word, STEP_2),
-        lambda word: _by_table(word, STEP_3),
-        _step_4,
-        _step_5a,
-        _step_5b,
-    ]
-    stemmed = words
-    for step in steps:
-        stemmed = F.transform(stemmed, _protected(step))
-    return stemmed
+def _ends(suffixes) -> re.Pattern:
+    return re.compile(f"({'|'.join(sorted(suffixes, key=len, reverse=True))})$")
+
+
+ENDS_2, ENDS_3, ENDS_4 = _ends(STEP_2), _ends(STEP_3), _ends(STEP_4)
+
+
+def _plural(word: str) -> str:
+    if re.search("(sses|ies)$", word):
+        return word[:-2]
+    return word[:-1] if re.search("[^s]s$", word) else word
+
+
+def _past(word: str) -> str:
+    if word.endswith("eed"):
+        return word[:-1] if re.search(MEASURE_ABOVE_0, word[:-3]) else word
+    for suffix in ("ed", "ing"):
+        stem = word.removesuffix(suffix)
+        if stem != word and re.search(HAS_VOWEL, stem):
+            if re.search("(at|bl|iz)$", stem):
+                return stem + "e"
+            if re.search(DOUBLE_CONSONANT, stem):
+                return stem[:-1]
+            short = re.search(MEASURE_IS_1, stem) and re.search(SHORT_END, stem)
+            return stem + "e" if short else stem
+    return word
+
+
+def _by_table(word: str, ends: re.Pattern, table: dict[str, str]) -> str:
+    found = ends.search(word)
+    if found and re.search(MEASURE_ABOVE_0, word[: found.start()]):
+        return word[: found.start()] + table[found[0]]
+    return word
+
+
+def _long_suffix(word: str) -> str:
+    found = ENDS_4.search(word)
+    stem = word[: found.start()] if found else ""
+    fits = re.search(MEASURE_ABOVE_1, stem) and (found[0] != "ion" or stem[-1] in "st")
+    return stem if fits else word
+
+
+def _final(word: str) -> str:
+    stem = word[:-1]
+    if word.endswith("e") and (
+        re.search(MEASURE_ABOVE_1, stem)
+        or (re.search(MEASURE_IS_1, stem) and not re.search(SHORT_END, stem))
+    ):
+        word = stem
+    if word.endswith("ll") and re.search(MEASURE_ABOVE_1, word):
+        word = word[:-1]
+    return word
+
+
+def stem(word: str) -> str:
+    """The stem of a lower-case word; words of one or two letters, or of others than a to z, stay."""
+    if not re.fullmatch("[a-z]{3,}", word):
+        return word
+    word = _past(_plural(word))
+    if word.endswith("y") and re.search(HAS_VOWEL, word[:-1]):
+        word = word[:-1] + "i"
+    word = _by_table(word, ENDS_2, STEP_2)
+    word = _by_table(word, ENDS_3, STEP_3)
+    return _final(_long_suffix(word))
+
+
+class Stemmer(dict):
+    """The stems of the words one task has seen; forgotten when they are too many to hold."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = stem(word)
+        return self[word]
+
+
+@F.pandas_udf(T.StringType())
+def stem_words(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The stem of every word."""
+    stems = Stemmer()
+    for some in words:
+        yield some.map(lambda word: stems[word], na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_lists(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The stems of the words of every array, in their places."""
+    stems = Stemmer()
+    for some in lists:
+        yield some.map(lambda words: [stems[word] for word in words], na_action="ignore")

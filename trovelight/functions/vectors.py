@@ -1,11 +1,11 @@
 """Vectors as columns, and the block product the vector searches share."""
 
+import hashlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def cosine_similarity(first: Column, second: Column) -> Column:
@@ -21,50 +21,43 @@ def cosine_similarity(first: Column, second: Column) -> Column:
     return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(first, second) / lengths)
 
 
-def word_buckets(words: Column, dims: int) -> Column:
-    """For every word its place in a vector: the SHA-256 of the word, as one number, modulo `dims`."""
-    # The number is read seven hexadecimal digits at a time, so every step fits a BIGINT; a power of
-    # two up to 2**28 needs the last seven digits only.
-    if dims & (dims - 1) == 0 and dims <= 16**7:
-        return F.transform(
-            words,
-            lambda w: (
-                F.conv(F.right(F.sha2(w, 256), F.lit(7)), 16, 10).cast("bigint") % dims
-            ).cast("int"),
-        )
-    starts = F.sequence(F.lit(0), F.lit(63), F.lit(4))
-
-    def remainder(word):
-        return F.aggregate(
-            F.transform(starts, lambda at: F.substring(F.sha2(word, 256), at + 1, F.lit(4))),
-            F.lit(0).cast("bigint"),
-            lambda so_far, digits: (so_far * 65536 + F.conv(digits, 16, 10).cast("bigint")) % dims,
-        )
-
-    return F.transform(words, lambda w: remainder(w).cast("int"))
-
+def coded_words(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The words of a batch of rows as numbers, nulls left out.
 
-def counted_vector(dims: int):
-    """A function from an array of buckets to the unit vector that counts them; null for no buckets.
-
-    One Arrow batch is counted at once; no rows are shuffled.
+    Returns:
+        For every word the row it stands in, its place there from 1, and its number in the list of
+        distinct words, which comes last.
     """
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vector(buckets: pd.Series) -> pd.Series:
-        sizes = buckets.map(lambda found: 0 if found is None else len(found)).to_numpy()
-        places = np.concatenate([found for found in buckets if found is not None and len(found)] or [[]])
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        counts = np.bincount(
-            rows * dims + places.astype(np.int64), minlength=len(sizes) * dims
-        ).reshape(len(sizes), dims)
-        # Counts are whole numbers, so lengths are exact whatever the order of the words.
-        lengths = np.sqrt((counts * counts).sum(axis=1).astype(np.float64))
-        with np.errstate(invalid="ignore"):
-            unit = (counts / lengths[:, None]).astype(np.float32)
-        return pd.Series([row if size else None for row, size in zip(unit, sizes)])
-
-    return vector
+    offsets = lists.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    encoded = lists.flatten().dictionary_encode()
+    codes = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.arange(len(codes)) - np.repeat(offsets[:-1] - offsets[0], sizes) + 1
+    held = codes >= 0
+    return rows[held], places[held], codes[held], encoded.dictionary.to_pylist()
+
+
+def word_bucket(word: str, dims: int) -> int:
+    """The place of a word in a vector: its SHA-256, as one number, modulo `dims`."""
+    return int.from_bytes(hashlib.sha256(word.encode()).digest(), "big") % dims
+
+
+def counted_vectors(lists: pa.ListArray, dims: int) -> pa.ListArray:
+    """For every row the unit vector that counts its words by bucket; null for a row without words."""
+    rows, _, codes, distinct = coded_words(lists)
+    buckets = np.array([word_bucket(word, dims) for word in distinct], dtype=np.int64)
+    n = len(lists)
+    places = rows * dims + (buckets[codes] if len(codes) else codes)
+    counts = np.bincount(places, minlength=n * dims).reshape(n, dims)
+    # Counts are whole numbers, so lengths are exact whatever the order of the words.
+    lengths = np.sqrt((counts * counts).sum(axis=1).astype(np.float64))
+    filled = lengths > 0
+    unit = (counts[filled] / lengths[filled, None]).astype(np.float32)
+    offsets = np.concatenate([[0], np.cumsum(filled * dims)]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(unit.ravel()), mask=pa.array(~filled)
+    )
 
 
 def matrix(vectors: pa.ListArray) -> np.ndarray:

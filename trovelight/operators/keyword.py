@@ -5,7 +5,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trovelight.functions import text as tx
-from trovelight.functions.stem import stems
+from trovelight.functions.stem import stem_lists
+from trovelight.plans.lineage import cut_lineage
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS
 
@@ -52,26 +53,27 @@ def parse_queries(queries: DataFrame, stem: bool = True) -> DataFrame:
         F.lower("q"), F.lit(rf'-?"[^"]*"?|[^"{tx.SPACE[1:-1]}]+'), F.lit(0)
     )
 
-    def terms_of(all_pieces):
+    def terms_of(query):
+        syntax, all_pieces = query["syntax"], query["pieces"]
+
         def literal(piece, place):
             parts_before = F.slice(all_pieces, F.lit(1), place)
             separators = F.size(F.filter(parts_before, lambda one: one == "or"))
-            quoted = F.col("syntax") & piece.contains('"')
 
             def placed(found):
                 return F.filter(
                     F.transform(
-                        F.arrays_zip(found.alias("word"), (stems(found) if stem else found).alias("term")),
-                        lambda pair, position: F.when(
-                            ~tx.is_stop_word(pair["word"]),
+                        found,
+                        lambda word, position: F.when(
+                            ~tx.is_stop_word(word),
                             F.struct(
-                                F.when(F.col("syntax"), separators).otherwise(0).alias("alternative"),
+                                F.when(syntax, separators).otherwise(0).alias("alternative"),
                                 place.alias("literal"),
-                                (F.col("syntax") & piece.startswith("-")).alias("negated"),
-                                F.when(quoted, F.lit("phrase"))
+                                (syntax & piece.startswith("-")).alias("negated"),
+                                F.when(syntax & piece.contains('"'), F.lit("phrase"))
                                 .otherwise(F.lit("words"))
                                 .alias("kind"),
-                                pair["term"].alias("term"),
+                                word.alias("term"),
                                 position.alias("position"),
                             ),
                         ),
@@ -79,29 +81,33 @@ def parse_queries(queries: DataFrame, stem: bool = True) -> DataFrame:
                     lambda term: term.isNotNull(),
                 )
 
-            separates = F.col("syntax") & (piece == "or")
-            return F.when(separates, F.array().cast(f"array<{TERM}>")).otherwise(
+            return F.when(syntax & (piece == "or"), F.array().cast(f"array<{TERM}>")).otherwise(
                 tx.let(tx.words(piece), placed)
             )
 
         return F.flatten(F.transform(all_pieces, literal))
 
+    # Inside a lambda an expression is computed for every element, so what all need is bound first.
+    query = F.struct(uses_search_syntax(F.col("q")).alias("syntax"), pieces.alias("pieces"))
     asked = F.filter("terms", lambda term: ~term["negated"])
     literals = F.transform("terms", lambda term: term["literal"])
-    return (
-        queries.select(
-            "query_id", "collection", "q", uses_search_syntax(F.col("q")).alias("syntax")
-        )
-        .select(
-            "query_id", "collection", "syntax", tx.let(pieces, terms_of).alias("terms")
-        )
-        .withColumns(
-            {
-                "n_terms": F.size(F.array_distinct(F.transform(asked, lambda term: term["term"]))),
-                "structured": F.col("syntax")
-                | (F.size(F.array_distinct(literals)) < F.size("terms")),
-            }
-        )
+    parsed = queries.select(
+        "query_id",
+        "collection",
+        uses_search_syntax(F.col("q")).alias("syntax"),
+        tx.let(query, terms_of).alias("terms"),
+    )
+    if stem:
+        stems = parsed.withColumn("_stems", stem_lists(F.transform("terms", lambda t: t["term"])))
+        parsed = stems.withColumn(
+            "terms",
+            F.zip_with("terms", "_stems", lambda term, to: term.withField("term", to)),
+        ).drop("_stems")
+    return parsed.withColumns(
+        {
+            "n_terms": F.size(F.array_distinct(F.transform(asked, lambda term: term["term"]))),
+            "structured": F.col("syntax") | (F.size(F.array_distinct(literals)) < F.size("terms")),
+        }
     )
 
 
@@ -309,7 +315,8 @@ def match_units(
         salts: Parts a term's postings are spread over when they are shuffled.
     """
     need(postings, "collection", "term", *UNIT_COLUMNS, "tf", "positions")
-    parsed = parse_queries(queries, stem)
+    # Read by every step below, and small: a row per query.
+    parsed = cut_lineage(parse_queries(queries, stem))
     # The size check, on the queries alone: how many words they have, and which forms are needed.
     n_words, any_structured, any_plain = parsed.agg(
         F.coalesce(F.sum(F.size("terms")), F.lit(0)),

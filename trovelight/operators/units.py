@@ -1,12 +1,15 @@
 """Search units: building them, their ids, their postings and their hashed vectors."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trovelight.fixed_values import UNIT_KINDS
 from trovelight.functions import text as tx
-from trovelight.functions.stem import stems
-from trovelight.functions.vectors import counted_vector, word_buckets
+from trovelight.functions.stem import Stemmer, stem_words
+from trovelight.functions.vectors import coded_words, counted_vectors
 from trovelight.operators.metadata import filename_body, metadata_body
 from trovelight.schemas import need
 
@@ -96,77 +99,74 @@ def assign_unit_ids(units: DataFrame) -> DataFrame:
     return units.select(F.when(in_range, unit_id).otherwise(refused).alias("unit_id"), "*")
 
 
-def _term_runs(body: Column, stem: bool) -> Column:
-    """The terms of one text as an array of (term, positions), positions counted from 1.
-
-    The words are sorted with their positions, which puts equal terms side by side, and cut where
-    the term changes: one pass, inside the row.
-    """
-
-    def runs(placed):
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(placed)),
-            lambda at: (at == 1)
-            | (F.element_at(placed, at)["term"] != F.element_at(placed, F.greatest(at - 1, F.lit(1)))["term"]),
-        )
-        return tx.let(
-            starts,
-            lambda bound: F.transform(
-                bound,
-                lambda at, number: F.struct(
-                    F.element_at(placed, at)["term"].alias("term"),
-                    F.transform(
-                        F.slice(
-                            placed,
-                            at,
-                            F.coalesce(F.get(bound, number + 1), F.size(placed) + 1) - at,
-                        ),
-                        lambda word: word["position"],
-                    ).alias("positions"),
-                ),
-            ),
-        )
-
-    def sorted_words(found):
-        terms = stems(found) if stem else found
-        placed = F.zip_with(
-            found,
-            F.transform(terms, lambda term, at: F.struct(term.alias("term"), (at + 1).alias("position"))),
-            lambda word, made: F.when(~tx.is_stop_word(word), made),
-        )
-        return F.array_sort(F.array_compact(placed))
-
-    placed = tx.let(tx.words(body), sorted_words)
-    return tx.let(placed, lambda p: F.when(F.size(p) > 0, runs(p)))
+# Postings of one Arrow batch handed back.
+POSTINGS_OUT = 50_000
+
+CARRIED = ["collection", "unit_id", "asset_id", "kind", "asset_type"]
+
+
+def _postings_of(batch: pa.RecordBatch, stems: Stemmer | None) -> pa.RecordBatch:
+    """The postings of a batch of units: its words sorted by unit and term, cut where either changes."""
+    rows, places, codes, words = coded_words(batch.column("words"))
+    if stems is not None:
+        encoded = pa.array([stems[word] for word in words], pa.string()).dictionary_encode()
+        codes = encoded.indices.to_numpy(zero_copy_only=False)[codes]
+        words = encoded.dictionary.to_pylist()
+    keys = rows.astype(np.int64) * max(1, len(words)) + codes
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    ends = np.append(first, len(keys)).astype(np.int32)
+    unit = pa.array(rows[order[first]])
+    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(places[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays(
+        [
+            *[batch.column(name).take(unit) for name in CARRIED],
+            pa.array(words, pa.string()).take(pa.array(codes[order[first]])),
+            pa.array(np.diff(ends).astype(np.int32)),
+            positions,
+        ],
+        names=[*CARRIED, "term", "tf", "positions"],
+    )
 
 
-def build_postings(units: DataFrame, stem: bool = True) -> DataFrame:
+def build_postings(units: DataFrame, stemmed: bool = True) -> DataFrame:
     """One row per unit and term, with the count and the positions of the term.
 
-    Words are lower-cased, stop words left out (their places still count), and the rest stemmed. All
-    of it happens inside a unit's row, so building postings moves nothing between machines.
+    Words are lower-cased, stop words left out (their places still count), and the rest stemmed. A
+    batch of units is turned into postings where it is read; nothing moves between machines.
     """
-    need(units, "collection", "unit_id", "asset_id", "kind", "asset_type", "body")
-    runs = _term_runs(F.col("body"), stem)
-    return units.select(
-        "collection", "unit_id", "asset_id", "kind", "asset_type", F.explode(runs).alias("_run")
-    ).select(
-        "collection",
-        F.col("_run.term").alias("term"),
-        "unit_id",
-        "asset_id",
-        "kind",
-        "asset_type",
-        F.size("_run.positions").alias("tf"),
-        F.col("_run.positions").alias("positions"),
+    need(units, *CARRIED, "body")
+    words = F.transform(
+        tx.words(F.col("body")), lambda word: F.when(~tx.is_stop_word(word), word)
+    )
+    types = {field.name: field.dataType for field in units.schema.fields}
+    schema = T.StructType(
+        [T.StructField(name, types[name]) for name in CARRIED]
+        + [
+            T.StructField("term", T.StringType()),
+            T.StructField("tf", T.IntegerType()),
+            T.StructField("positions", T.ArrayType(T.IntegerType())),
+        ]
+    )
+
+    def post(batches):
+        stems = Stemmer() if stemmed else None
+        for batch in batches:
+            made = _postings_of(batch, stems)
+            for start in range(0, made.num_rows, POSTINGS_OUT):
+                yield made.slice(start, POSTINGS_OUT)
+
+    with_words = units.where(F.col("body").isNotNull()).select(*CARRIED, words.alias("words"))
+    return with_words.mapInArrow(post, schema).select(
+        "collection", "term", "unit_id", "asset_id", "kind", "asset_type", "tf", "positions"
     )
 
 
 def stem_vocabulary(postings: DataFrame) -> DataFrame:
     """(term, stem): one row per distinct term."""
     need(postings, "term")
-    vocabulary = postings.select("term").distinct()
-    return vocabulary.withColumn("stem", stems(F.array("term"))[0])
+    return postings.select("term").distinct().withColumn("stem", stem_words("term"))
 
 
 def embed_hashed_words(
@@ -174,8 +174,8 @@ def embed_hashed_words(
 ) -> DataFrame:
     """`embedding` and `embedding_model`: a hashed bag of words of length 1.
 
-    Text without words gets no vector and no model. Words are hashed in the JVM and counted a batch
-    at a time; no row moves.
+    Text without words gets no vector and no model. Words are counted a batch of rows at a time; no
+    row moves.
 
     Args:
         rows: Any rows with a text column.
@@ -184,8 +184,22 @@ def embed_hashed_words(
         keep: The columns to keep; all of them when left out.
     """
     need(rows, text)
-    vector = counted_vector(dims)(word_buckets(tx.hashed_words(F.col(text)), dims))
-    return rows.select(*(keep or rows.columns), vector.alias("embedding")).withColumn(
+    kept = list(keep or rows.columns)
+    schema = T.StructType(
+        [rows.schema[name] for name in kept]
+        + [T.StructField("embedding", T.ArrayType(T.FloatType()))]
+    )
+
+    def embed(batches):
+        for batch in batches:
+            vectors = counted_vectors(batch.column("_words"), dims)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(name) for name in kept], vectors], names=[*kept, "embedding"]
+            )
+
+    words = F.coalesce(tx.hashed_words(F.col(text)), F.array().cast("array<string>"))
+    embedded = rows.select(*kept, words.alias("_words")).mapInArrow(embed, schema)
+    return embedded.withColumn(
         "embedding_model",
         F.when(F.col("embedding").isNotNull(), F.lit(HASHED_MODEL.format(dims=dims))),
     )
@@ -194,21 +208,8 @@ def embed_hashed_words(
 def sparse_vectors(rows: DataFrame, key: str, text: str = "body", dims: int = 1024) -> DataFrame:
     """The hashed bag of words as rows (key, bucket, weight), places that hold nothing left out."""
     need(rows, key, text)
-    counted = tx.let(
-        F.array_sort(word_buckets(tx.hashed_words(F.col(text)), dims)),
-        lambda found: F.transform(
-            F.array_distinct(found),
-            lambda bucket: F.struct(
-                bucket.alias("bucket"),
-                F.size(F.filter(found, lambda other: other == bucket)).alias("n"),
-            ),
-        ),
-    )
-    length = F.sqrt(
-        F.aggregate("_counted", F.lit(0.0), lambda so_far, place: so_far + place["n"] * place["n"])
-    )
     return (
-        rows.select(key, counted.alias("_counted"))
-        .select(key, length.alias("_length"), F.explode("_counted").alias("_place"))
-        .select(key, F.col("_place.bucket").alias("bucket"), (F.col("_place.n") / F.col("_length")).alias("weight"))
+        embed_hashed_words(rows, text, dims, keep=(key,))
+        .select(key, F.posexplode("embedding").alias("bucket", "weight"))
+        .where(F.col("weight") > 0)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trovelight.operators import fusion, results
 from trovelight.operators.keyword import keyword_search, normalise_query
 from trovelight.operators.nearest import vector_search
+from trovelight.plans.lineage import cut_lineage
 from trovelight.plans.sizing import row_count_up_to
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS, Settings
@@ -79,7 +80,8 @@ def hybrid_search(
         settings.units_per_cell,
         settings.queries_per_cell,
     )
-    matches = rank_assets(asked, keyword_hits, vector_hits, settings)
+    # At most `max_assets` narrow rows a query: the bodies are read in a step of their own.
+    matches = cut_lineage(rank_assets(asked, keyword_hits, vector_hits, settings))
 
     # A page that starts among the candidates needs all of them: any may be sorted onto it.
     page_end = F.col("page") * settings.page_size
@@ -106,7 +108,8 @@ def hybrid_search(
             {name: F.lit(None).cast("int") for name in ("sentence_start", "sentence_end")}
         )
     else:
-        found = results.closest_sentence(found, query_vectors, embed_sentences)
+        # A page of rows a query, read twice: for its sentences and to put them back.
+        found = results.closest_sentence(cut_lineage(found), query_vectors, embed_sentences)
     return found.select(
         "query_id",
         "q",
