@@ -31,7 +31,9 @@ from trovelight.operators import (
     units,
 )
 from trovelight.plans import hybrid
+from trovelight.settings import Settings
 from trovelight.sources import blobs, files
+from trovelight.streaming import ingest
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,15 +233,15 @@ def _(v):
 def _(v):
     folder = shared_folder(v.spark, "blobs")
     hashed = intake.content_hash(v.files())
-    blobs.put_blobs(hashed, folder)
+    blobs.put_blobs(hashed, folder, digits=1)
     # The second time there is nothing left to store.
-    blobs.put_blobs(hashed, folder)
+    blobs.put_blobs(hashed, folder, digits=1)
     keys = (
         hashed.select("sha256")
         .unionByName(v.table("benchmark").select(F.sha2("text", 256).alias("sha256")))
         .distinct()
     )
-    return blobs.get_blobs(keys, folder).select(
+    return blobs.get_blobs(keys, folder, digits=1).select(
         "sha256", "missing", F.octet_length("content").alias("size")
     )
 
@@ -917,6 +919,74 @@ def _(v):
     return life(lifecycle.retry_collection(v.assets_state(), "en"), "retried")
 
 
+@register(
+    "d7_ingest_stream",
+    q(
+        """SELECT a.asset_id, a.filename, a.status, a.title, count(u.unit_id) AS n_units, count(u.unit_id) AS n_vectors FROM (
+  SELECT t.asset_id, t.filename, CASE WHEN contains(t.filename, 'src7') THEN 'pending' ELSE 'ready' END AS status,
+    CASE WHEN NOT contains(t.filename, 'src7') THEN t.filename END AS title FROM assets_text t) a
+LEFT JOIN (SELECT * FROM units WHERE asset_type = 'text') u ON u.asset_id = a.asset_id AND a.status = 'ready' GROUP BY ALL""",
+        "assets_text",
+        "units",
+    ),
+)
+def _(v):
+    """The documents as a stream: what batch operators make of them, made by `foreachBatch`."""
+    root = shared_folder(v.spark, "ingest")
+    documents = v.table("documents")
+    arriving = (
+        v.spark.readStream.schema(documents.schema)
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(v.folder)
+    )
+    uploads = files.files_of_documents(arriving).drop("upload_id")
+
+    def describe(work):
+        # Documents of one source have no description, so every batch fails on them.
+        known = work.withColumn(
+            "filename",
+            F.when(F.col("filename").startswith("src7-"), F.concat(F.lit("invalid-"), "filename"))
+            .otherwise(F.col("filename")),
+        )
+        unknown = v.descriptions().where(F.lit(False))
+        return enrich.describe_lookup(known, unknown)
+
+    models = ingest.Models(describe, lambda rows: units.embed_hashed_words(rows, dims=DIMS))
+    run = ingest.Ingest(root, models, Settings(blob_digits=1))
+    stream = run.start(uploads, shared_folder(v.spark, "progress"))
+    stream.awaitTermination()
+    counts = (
+        run.units(v.spark)
+        .groupBy("asset_id")
+        .agg(F.count("unit_id").alias("n_units"), F.count("embedding").alias("n_vectors"))
+    )
+    # Ids are given out by batch, so assets are told by the document they came from.
+    return run.assets(v.spark).join(counts, "asset_id", "left").select(
+        F.unix_millis("created_at").alias("asset_id"),
+        "filename",
+        "status",
+        "title",
+        F.coalesce("n_units", F.lit(0)).alias("n_units"),
+        F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"),
+    )
+
+
+@register("a2_read_files_stream")
+def _(v):
+    arriving = files.read_files_stream(v.spark, v.folder, "*.parquet", files_per_batch=5)
+    hashed = arriving.select("filename", "size_bytes", F.sha2("content", 256).alias("sha256"))
+    folder = shared_folder(v.spark, "read")
+    stream = (
+        hashed.writeStream.format("parquet")
+        .option("path", folder)
+        .option("checkpointLocation", shared_folder(v.spark, "progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    return v.spark.read.schema(hashed.schema).parquet(folder)
+
+
 # --- E: catalogue ------------------------------------------------------------------------------
 
 

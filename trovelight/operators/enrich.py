@@ -84,7 +84,7 @@ def describe_lookup(
     )
     known = descriptions.select("filename", F.struct(*METADATA).alias("_known"))
     few = row_count_up_to(descriptions.select("filename"), max_broadcast_rows) is not None
-    kept = [name for name in assets.columns if name not in METADATA]
+    kept = [name for name in assets.columns if name not in (*METADATA, "vision_model")]
     described = (
         lookup(assets.where(~fails).select(*kept), known, ["filename"], "left", few)
         .withColumn("_metadata", F.coalesce("_known", general))

@@ -12,6 +12,8 @@ class Settings:
     summary_token_budget: int = 200_000
     lease_minutes: int = 10
     max_attempts: int = 3
+    # Digits of a content's hash that name its part of the blob store; never changed once it is used.
+    blob_digits: int = 2
 
     # Search.
     units_per_path: int = 100
