@@ -17,7 +17,11 @@ def _shape(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Every file below a folder: (path, filename, size_bytes, modified_at, content)."""
+    """Every file below a folder: (path, filename, size_bytes, modified_at, content).
+
+    Empty files are not listed by Spark's file sources, so they are left out here rather than refused
+    later.
+    """
     return _shape(
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
