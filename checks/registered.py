@@ -7,6 +7,7 @@ alone. Arrays are compared as joined strings and times as text.
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks import sql
@@ -31,6 +32,7 @@ from trovelight.operators import (
     units,
 )
 from trovelight.plans import hybrid
+from trovelight.plans.sizing import spread
 from trovelight.settings import Settings
 from trovelight.sources import blobs, files
 from trovelight.streaming import ingest
@@ -450,16 +452,10 @@ def _(v):
 def _(v):
     # The order of ids is the order units are built in.
     order = F.struct(units.kind_number(F.col("kind")), "unit_index")
-    place = F.row_number().over(F_window("asset_id", order))
+    place = F.row_number().over(W.partitionBy("asset_id").orderBy(order))
     return v.units().select("unit_id", "asset_id", "kind", place.alias("place"))
 
 
-def F_window(partition, order):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(partition).orderBy(order)
-
-
 @register(
     "b10_build_postings",
     q(
@@ -492,7 +488,7 @@ sql.view(
     q('SELECT doc_id, start_at AS "start", end_at AS "end", sentence AS text FROM doc_sentences', "doc_sentences"),
 )
 def _(v):
-    return passages.split_sentences(v.table("documents"), "doc_id")
+    return passages.split_sentences(v.documents(), "doc_id")
 
 
 @register(
@@ -993,20 +989,13 @@ def _(v):
 @register(
     "e1_list_assets",
     q(
-        f"""SELECT asset_id, filename, status, {sql_time("created_at")} AS created_at, (row_number() OVER (ORDER BY created_at DESC, asset_id))::INT AS place
-FROM assets_state WHERE collection = 'en'""",
+        f"""SELECT asset_id, filename, status, {sql_time("created_at")} AS created_at FROM assets_state WHERE collection = 'en'""",
         "assets_state",
     ),
 )
 def _(v):
-    listed = catalog.list_assets(v.assets_state(), "en")
-    # Places from the sorted rows: whole partitions before this one, then the place within it.
-    numbered = listed.select("asset_id", "filename", "status", "created_at").withColumn(
-        "_at", F.monotonically_increasing_id()
-    )
-    place = F.row_number().over(F_window(F.lit(0), F.col("_at")))
-    return numbered.select(
-        "asset_id", "filename", "status", as_text("created_at").alias("created_at"), place.alias("place")
+    return catalog.list_assets(v.assets_state(), "en").select(
+        "asset_id", "filename", "status", as_text("created_at").alias("created_at")
     )
 
 
@@ -1351,15 +1340,26 @@ def _(v):
     return nearest.same_space(v.index().vectors, v.query_vectors()).select("unit_id", "embedding_model")
 
 
-@register("g4_vector_search_hashed", VECTOR_HITS)
+@register("g4_vector_search_sparse", VECTOR_HITS)
 def _(v):
-    # Hashed vectors are dense at 64 places, so the block product is their search as well.
-    return nearest.vector_search(v.query_vectors(), v.index().vectors, rank_digits=6)
+    model = F.lit(f"hashed-{DIMS}").alias("embedding_model")
+    every = v.index().units
+    asked = v.queries()
+    return nearest.vector_search_sparse(
+        asked.select("query_id", "collection", model),
+        units.sparse_vectors(asked, "query_id", "q", DIMS),
+        every.select("unit_id", "asset_id", "collection", "kind", "asset_type", model),
+        units.sparse_vectors(every, "unit_id", dims=DIMS),
+        DIMS,
+        rank_digits=6,
+    )
 
 
 @register("g5_vector_search_approx")
 def _(v):
-    return nearest.vector_search_approx(v.query_vectors(), v.index().vectors, DIMS, rank_digits=6)
+    return nearest.vector_search_approx(
+        v.query_vectors(), v.index().vectors, DIMS, bands=4, bits=4, rank_digits=6
+    )
 
 
 # --- H: fusion and results ---------------------------------------------------------------------
@@ -1604,7 +1604,7 @@ def hybrid_search(v):
 
 def asked_texts(v: Views) -> DataFrame:
     """Every turn of a conversation with the turn before it as the query."""
-    turns = v.table("conversations")
+    turns = spread(v.table("conversations"))
     before = turns.select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q")
     )
@@ -1745,7 +1745,7 @@ def expectations(v: Views) -> DataFrame:
         F.col("item_id").alias("query_id"), "text", F.slice(F.split("text", " "), 2, run).alias("w")
     )
     anchors = items.select("query_id", F.xxhash64(F.array_join("w", " ")).alias("gram"))
-    docs = v.table("documents")
+    docs = v.documents()
     met = runs(docs, "doc_id").join(anchors, "gram").select("query_id", "doc_id").distinct()
     holding = (
         met.join(items.select("query_id", F.col("text").alias("item")), "query_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trovelight.operators import enrich, intake, metadata, passages, units
 from trovelight.plans.index import Index, build_index
+from trovelight.plans.sizing import spread
 from trovelight.session import configure
 from trovelight.sources.files import files_of_documents
 
@@ -51,10 +52,14 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """The texts, over all cores: the table is one file with one row group."""
+        return spread(self.table("documents"))
+
     # --- files and assets ---
 
     def files(self) -> DataFrame:
-        return files_of_documents(self.table("documents"))
+        return files_of_documents(self.documents())
 
     def uploads(self) -> DataFrame:
         checked = intake.sniff(intake.check_size(self.files()))
@@ -105,7 +110,7 @@ class Views:
             F.lit("photo"), F.lit("screenshot"), F.lit("document"), F.lit("diagram"),
             F.lit(None).cast("string"),
         )
-        return self.table("pages").select(
+        return spread(self.table("pages")).select(
             (F.col("page_id") + IMAGE_BASE).alias("asset_id"),
             F.lit("web").alias("collection"),
             F.concat(F.lit("IMG_"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("filename"),

@@ -77,7 +77,7 @@ def test_first_upload_wins_and_others_become_aliases(spark):
         (2, "a", "first.txt"),
         (6, "b", "first.txt"),
     }
-    aliases = intake.collect_aliases(uploads, assets, salts=3).orderBy("first_arrival").collect()
+    aliases = intake.collect_aliases(uploads, assets, rows_per_part=2).orderBy("first_arrival").collect()
     assert [(r.asset_id, r.alias, r.first_arrival) for r in aliases] == [
         (2, "second.txt", 2),
         (2, "late.txt", 5),

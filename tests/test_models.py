@@ -109,7 +109,7 @@ def test_only_unknown_requests_reach_the_model(spark):
         "id int, request string, text string",
     )
     cache = spark.createDataFrame([("a", "OLD")], "request string, answer string")
-    answered, new = enrich.infer_incremental(inputs, cache, model, ["answer"], salts=3)
+    answered, new = enrich.infer_incremental(inputs, cache, model, ["answer"], rows_per_part=1)
     assert asked == [["b", "fails"]]
     assert {r.id: r.answer for r in answered.collect()} == {1: "OLD", 2: "Y", 3: "Y", 4: None}
     assert [tuple(r) for r in new.collect()] == [("b", "Y")]

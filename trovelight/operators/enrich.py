@@ -63,7 +63,7 @@ def describe_lookup(
     Args:
         assets: (asset_id, filename, asset_type, …).
         descriptions: (filename, title, description, tags, visible_text, image_type), one per name.
-        max_broadcast_rows: A larger table is joined by shuffling, names spread over salts.
+        max_broadcast_rows: A larger table is joined by shuffling.
 
     Returns:
         The described assets, those of unknown names in general words; and the failures, files with
@@ -217,7 +217,7 @@ def infer_incremental(
     cache: DataFrame,
     model: Callable[[DataFrame], DataFrame],
     answer: list[str],
-    salts: int = DEFAULTS.salts,
+    rows_per_part: int = DEFAULTS.rows_per_part,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers for all inputs, asking the model only for requests the cache does not hold.
 
@@ -228,7 +228,7 @@ def infer_incremental(
         cache: (request, *answer): answers kept from before.
         model: From rows with `request` to (request, *answer); a request it fails on is left out.
         answer: The columns of an answer.
-        salts: Parts the inputs of one request are spread over when answers are handed out.
+        rows_per_part: Inputs of one request that a single task hands an answer to.
 
     Returns:
         The inputs with their answer, null where the model failed; and the answers to keep.
@@ -236,15 +236,16 @@ def infer_incremental(
     need(inputs, "request")
     need(cache, "request", *answer)
     others = [name for name in inputs.columns if name != "request"]
+    # Equal requests are folded where they are read, so a request that most inputs make is one row.
     distinct = (
-        inputs.join(cache.select("request"), "request", "left_anti")
-        .groupBy("request")
+        inputs.groupBy("request")
         .agg(F.first(F.struct(*others)).alias("_input"))
         .select("request", "_input.*")
     )
-    new = model(distinct).select("request", *answer)
+    unknown = distinct.join(cache.select("request"), "request", "left_anti")
+    new = model(unknown).select("request", *answer)
     known = cache.select("request", *answer).unionByName(new)
-    return lookup(inputs, known, ["request"], "left", salts=salts).select(
+    return lookup(inputs, known, ["request"], "left", rows_per_part=rows_per_part).select(
         *inputs.columns, *answer
     ), new
 
@@ -342,7 +343,8 @@ def embed_batches(
         .groupBy(owner)
         .agg(F.min("error").alias("_failed"))
     )
-    return lookup(embedded, failed, [owner], "left").select(
+    # The rows of one owner are the units of one file, which its size bounds.
+    return embedded.join(failed, owner, "left").select(
         key,
         owner,
         F.when(F.col("_failed").isNull(), F.col("embedding")).alias("embedding"),

@@ -135,7 +135,9 @@ def dedup_assets(uploads: DataFrame) -> DataFrame:
     )
 
 
-def collect_aliases(uploads: DataFrame, assets: DataFrame, salts: int = DEFAULTS.salts) -> DataFrame:
+def collect_aliases(
+    uploads: DataFrame, assets: DataFrame, rows_per_part: int = DEFAULTS.rows_per_part
+) -> DataFrame:
     """The other names an asset's content was uploaded under, a row each: schema `ALIASES`.
 
     `first_arrival` gives their order. Names stay rows, never an array: nothing bounds how many
@@ -148,14 +150,17 @@ def collect_aliases(uploads: DataFrame, assets: DataFrame, salts: int = DEFAULTS
     )
     owners = assets.select("collection", "sha256", "asset_id", F.col("filename").alias("_own"))
     return (
-        lookup(names, owners, ["collection", "sha256"], salts=salts)
+        lookup(names, owners, ["collection", "sha256"], rows_per_part=rows_per_part)
         .where(F.col("alias") != F.col("_own"))
         .select("collection", "sha256", "asset_id", "alias", "first_arrival")
     )
 
 
 def dedup_incremental(
-    uploads: DataFrame, assets: DataFrame, aliases: DataFrame, salts: int = DEFAULTS.salts
+    uploads: DataFrame,
+    assets: DataFrame,
+    aliases: DataFrame,
+    rows_per_part: int = DEFAULTS.rows_per_part,
 ) -> tuple[DataFrame, DataFrame]:
     """New uploads against stored assets.
 
@@ -171,7 +176,7 @@ def dedup_incremental(
     owners = assets.select("asset_id", *content, "filename").unionByName(
         inserts.select("asset_id", *content, "filename")
     )
-    names = collect_aliases(uploads, owners, salts)
+    names = collect_aliases(uploads, owners, rows_per_part)
     return inserts, names.join(aliases.select(*content, "alias"), [*content, "alias"], "left_anti").select(
         *names.columns
     )

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trovelight.functions import text as tx
+from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.stem import stem_lists
 from trovelight.plans.lineage import cut_lineage
 from trovelight.schemas import need
@@ -14,6 +15,9 @@ from trovelight.settings import DEFAULTS
 # the same query always gives the same order.
 SCORE_DIGITS = 9
 
+# Collections named in a filter on the postings; queries of more are not filtered by literals.
+MOST_PARTS = 1000
+
 UNIT_COLUMNS = ["unit_id", "asset_id", "kind", "asset_type"]
 
 
@@ -144,19 +148,22 @@ def term_shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
+def _shards(postings: DataFrame) -> dict[str, int]:
+    """The shard column of the postings with its number of parts, if they have one."""
+    names = [name for name in postings.columns if name.startswith("shard_of_")]
+    return {name: int(name.removeprefix("shard_of_")) for name in names}
+
+
 def _joined(postings: DataFrame, terms: DataFrame, small: bool, salts: int) -> DataFrame:
     """Postings with every query that asks for their term.
 
-    The terms go to every machine when they fit; partitions of other collections and shards are not
-    read. Otherwise both sides are shuffled by collection and term, a term's postings spread over
+    The terms go to every machine when they fit. Otherwise both sides are shuffled by collection and term, a term's postings spread over
     `salts` parts, since one term may be in most of the units.
     """
     keys = ["collection", "term"]
-    for name in postings.columns:
-        if name.startswith("shard_of_"):
-            shards = int(name.removeprefix("shard_of_"))
-            terms = terms.withColumn(name, term_shard(F.col("term"), shards))
-            keys.append(name)
+    for name, shards in _shards(postings).items():
+        terms = terms.withColumn(name, term_shard(F.col("term"), shards))
+        keys.append(name)
     if small:
         return postings.join(F.broadcast(terms), keys)
     spread = postings.withColumn("_salt", F.pmod(F.xxhash64("unit_id"), F.lit(salts)))
@@ -166,10 +173,25 @@ def _joined(postings: DataFrame, terms: DataFrame, small: bool, salts: int) -> D
     return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
+def _weight_of(tf: int) -> float:
+    total = 0.0
+    for j in range(1, tf + 1):
+        total += 1.0 / (j * j)
+    return total
+
+
 def term_weight(tf: Column) -> Column:
-    """The sum of 1 / j² for j = 1 … tf: more occurrences weigh more, each one less than the last."""
-    return F.aggregate(
-        F.sequence(F.lit(1), tf), F.lit(0.0), lambda so_far, j: so_far + F.lit(1.0) / (j * j)
+    """The sum of 1 / j² for j = 1 … tf: more occurrences weigh more, each one less than the last.
+
+    Most terms occur a few times in a passage, and for those the sum is written out.
+    """
+    weight = F.when(tf == 1, F.lit(1.0))
+    for few in range(2, 9):
+        weight = weight.when(tf == few, F.lit(_weight_of(few)))
+    return weight.otherwise(
+        F.aggregate(
+            F.sequence(F.lit(1), tf), F.lit(0.0), lambda so_far, j: so_far + F.lit(1.0) / (j * j)
+        )
     )
 
 
@@ -181,12 +203,20 @@ def _plain_matches(postings, parsed, small, salts) -> DataFrame:
     """Units with any word of queries whose tokens are single words: one sum per unit and query."""
     sums = (
         _joined(postings.drop("positions"), _distinct_terms(parsed), small, salts)
-        .groupBy("query_id", *UNIT_COLUMNS)
-        .agg(F.count("*").alias("_held"), F.sum(term_weight(F.col("tf"))).alias("_weight"))
+        .groupBy("query_id", "unit_id")
+        .agg(
+            F.max("asset_id").alias("asset_id"),
+            F.max(unit_code(F.col("kind"), F.col("asset_type"))).alias("_code"),
+            F.count("*").alias("_held"),
+            F.sum(term_weight(F.col("tf"))).alias("_weight"),
+        )
     )
     return _with_query(sums, parsed.select("query_id", "n_terms"), small).select(
         "query_id",
-        *UNIT_COLUMNS,
+        "unit_id",
+        "asset_id",
+        kind_of(F.col("_code")).alias("kind"),
+        asset_type_of(F.col("_code")).alias("asset_type"),
         (F.col("_held") == F.col("n_terms")).alias("all_words"),
         F.round(F.col("_weight") / F.col("n_terms"), SCORE_DIGITS).alias("keyword_score"),
     )
@@ -317,13 +347,28 @@ def match_units(
     need(postings, "collection", "term", *UNIT_COLUMNS, "tf", "positions")
     # Read by every step below, and small: a row per query.
     parsed = cut_lineage(parse_queries(queries, stem))
-    # The size check, on the queries alone: how many words they have, and which forms are needed.
-    n_words, any_structured, any_plain = parsed.agg(
-        F.coalesce(F.sum(F.size("terms")), F.lit(0)),
-        F.coalesce(F.bool_or("structured"), F.lit(False)),
-        F.coalesce(F.bool_or(~F.col("structured")), F.lit(True)),
+    # The size check, on the queries alone: how many words they have, which forms are needed, and
+    # which parts of the postings hold their words.
+    shards = _shards(postings)
+    words = parsed.select(
+        "collection",
+        "structured",
+        F.explode_outer(F.transform("terms", lambda term: term["term"])).alias("term"),
+    )
+    asked = words.agg(
+        F.count("term").alias("n_words"),
+        F.bool_or("structured").alias("structured"),
+        F.bool_or(~F.col("structured")).alias("plain"),
+        F.slice(F.collect_set("collection"), 1, MOST_PARTS + 1).alias("collections"),
+        *[F.collect_set(term_shard(F.col("term"), n)).alias(name) for name, n in shards.items()],
     ).first()
-    small = n_words <= max_broadcast_rows
+    small = asked.n_words <= max_broadcast_rows
+    # As literals these reach the scan, and folders of other collections and shards are not listed.
+    if len(asked.collections) <= MOST_PARTS:
+        postings = postings.where(F.col("collection").isin(asked.collections))
+    for name in shards:
+        postings = postings.where(F.col(name).isin(asked[name]))
+    any_plain, any_structured = asked.plain or not asked.structured, asked.structured
 
     found = []
     if any_plain:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trovelight.fixed_values import ASSET_TYPES, UNIT_KINDS
+from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.vectors import NearestSoFar, matrix
 from trovelight.plans.sizing import lookup, row_count_up_to
 from trovelight.schemas import need
@@ -25,28 +25,23 @@ def same_space(units: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _coded(units: DataFrame) -> DataFrame:
-    """Units with a vector; kind and asset type as one number, so that a unit is a row of numbers."""
-    kinds = F.array(*[F.lit(kind) for kind in UNIT_KINDS])
-    types = F.array(*[F.lit(kind) for kind in ASSET_TYPES])
-    code = F.array_position(kinds, F.col("kind")) * 10 + F.array_position(types, F.col("asset_type"))
+    """Units with a vector, their kind and type as one number."""
     return units.where(F.col("embedding").isNotNull()).select(
         *SPACE,
         F.col("unit_id").cast("bigint").alias("unit_id"),
         F.col("asset_id").cast("bigint").alias("asset_id"),
-        code.alias("_code"),
+        unit_code(F.col("kind"), F.col("asset_type")).alias("_code"),
         "embedding",
     )
 
 
 def _decoded(found: DataFrame) -> DataFrame:
-    kinds = F.array(*[F.lit(kind) for kind in UNIT_KINDS])
-    types = F.array(*[F.lit(kind) for kind in ASSET_TYPES])
     return found.select(
         "query_id",
         "unit_id",
         "asset_id",
-        F.element_at(kinds, F.floor(F.col("_code") / 10).cast("int")).alias("kind"),
-        F.element_at(types, (F.col("_code") % 10).cast("int")).alias("asset_type"),
+        kind_of(F.col("_code")).alias("kind"),
+        asset_type_of(F.col("_code")).alias("asset_type"),
         "similarity",
     )
 
@@ -234,6 +229,57 @@ def vector_search(
     return _ranked(_decoded(found), k)
 
 
+def dense_vectors(places: DataFrame, key: str, dims: int) -> DataFrame:
+    """(key, embedding) from rows (key, bucket, weight) that leave out places that hold nothing.
+
+    A vector's places are at most `dims` rows, gathered in one.
+    """
+    need(places, key, "bucket", "weight")
+    held = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+    return (
+        places.groupBy(key)
+        .agg(held.alias("_held"))
+        .select(
+            key,
+            F.transform(
+                every, lambda place: F.coalesce(F.col("_held")[place], F.lit(0.0)).cast("float")
+            ).alias("embedding"),
+        )
+    )
+
+
+def vector_search_sparse(
+    queries: DataFrame,
+    query_places: DataFrame,
+    units: DataFrame,
+    unit_places: DataFrame,
+    dims: int,
+    **options,
+) -> DataFrame:
+    """`vector_search` over vectors given by the places that hold something.
+
+    Joining both sides by place would make a row of every query and unit that share a common word,
+    and lose the units that share none. Vectors are put together instead, a shuffle of their places by
+    unit, and compared as blocks, so that the tail of units without similarity stays.
+
+    Args:
+        queries: (query_id, collection, embedding_model).
+        query_places: (query_id, bucket, weight).
+        units: (unit_id, asset_id, collection, kind, asset_type, embedding_model).
+        unit_places: (unit_id, bucket, weight).
+        dims: The length of the vectors.
+        **options: As for `vector_search`.
+    """
+    need(queries, "query_id", *SPACE)
+    need(units, "unit_id", *SPACE)
+    return vector_search(
+        queries.join(dense_vectors(query_places, "query_id", dims), "query_id"),
+        units.join(dense_vectors(unit_places, "unit_id", dims), "unit_id"),
+        **options,
+    )
+
+
 # --- approximate -------------------------------------------------------------------------------
 
 

@@ -12,15 +12,29 @@ def row_count_up_to(df: DataFrame, bound: int) -> int | None:
     return found if found <= bound else None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores.
+
+    For small inputs in few files whose rows are heavy to work on; with as many splits as cores, as
+    any large table has, nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup(
     rows: DataFrame,
     unique: DataFrame,
     keys: list[str],
     how: str = "inner",
     fits_broadcast: bool = False,
-    salts: int = DEFAULTS.salts,
+    rows_per_part: int = DEFAULTS.rows_per_part,
 ) -> DataFrame:
-    """Join many rows with a side that holds few or one per key.
+    """Join many rows with a side that holds one row per key, whatever a key's share of the rows.
+
+    Where `unique` cannot be broadcast both sides are shuffled by key, and a key with more than
+    `rows_per_part` rows is cut into parts of about that size: its rows are spread over them, and its
+    one row is repeated for each. Other keys are joined as they are.
 
     Args:
         rows: The long side; one key may hold a large share of it.
@@ -28,15 +42,25 @@ def lookup(
         keys: The columns both sides share.
         how: "inner", "left", "left_semi" or "left_anti".
         fits_broadcast: True when the caller has checked the size of `unique`.
-        salts: Otherwise, the parts every key of `rows` is spread over; `unique` is repeated as often.
+        rows_per_part: The size of a part.
     """
     if fits_broadcast:
         return rows.join(F.broadcast(unique), keys, how)
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*_spread_by(rows, keys)), F.lit(salts)))
-    repeated = unique.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    # Counted where the rows are read. Each of these keys has more than `rows_per_part` rows, so there
+    # are at most as many as all rows divided by that.
+    hot = (
+        rows.groupBy(*keys)
+        .agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
+        .where(F.col("_parts") > 1)
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    spread_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*_spread_by(rows, keys)), parts).cast("int")
+    )
+    repeated = unique.join(F.broadcast(hot), keys, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return spread_rows.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"], how).drop("_part")
 
 
 def _spread_by(rows: DataFrame, keys: list[str]) -> list[str]:

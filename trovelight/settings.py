@@ -26,7 +26,9 @@ class Settings:
     max_broadcast_rows: int = 200_000
     # Query vectors that may be sent whole to every task (200 MB at 1,024 dimensions).
     max_broadcast_vectors: int = 25_000
-    # Parts a hot join key is cut into where a join cannot broadcast.
+    # Rows of one key that a single task joins where a join cannot broadcast.
+    rows_per_part: int = 1_000_000
+    # Parts a term's postings are spread over where query terms cannot be broadcast.
     salts: int = 16
     # Units and queries in one cell of the shuffled vector search.
     units_per_cell: int = 50_000
