@@ -19,6 +19,11 @@ IMAGE_BASE = 10_000_000
 _written: dict[tuple[str, str], str] = {}
 
 
+def forget_index() -> None:
+    """Have the next search write its index anew."""
+    _written.clear()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder where the cluster keeps shared files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/trovelight"

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.vectors import NearestSoFar, matrix
+from trovelight.plans.lineage import cut_lineage
 from trovelight.plans.sizing import lookup, row_count_up_to
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS
@@ -57,6 +58,15 @@ def _list_column(batch, name):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _places_by_space(rows) -> dict[tuple, list[int]]:
+    """The places of the rows of every collection and model."""
+    places = {}
+    keys = zip(*[rows.column(name).to_pylist() for name in SPACE])
+    for place, key in enumerate(keys):
+        places.setdefault(key, []).append(place)
+    return places
+
+
 def _found_batch(query_ids, query_type, nearest: NearestSoFar):
     for query, scores, units in nearest.rows():
         n = len(scores)
@@ -78,16 +88,11 @@ def _with_queries_everywhere(units, queries, k, digits) -> DataFrame:
     A task hands on at most `k` units a query, whatever it has read.
     """
     spark = units.sparkSession
-    rows = queries.select("query_id", *SPACE, "embedding").toArrow()
+    rows = queries.select("query_id", *SPACE, "embedding").toArrow().combine_chunks()
     query_type = rows.schema.field("query_id").type
     spaces = {}
-    for key in set(zip(rows.column("collection").to_pylist(), rows.column("embedding_model").to_pylist())):
-        here = rows.filter(
-            pa.compute.and_(
-                pa.compute.equal(rows.column("collection"), key[0]),
-                pa.compute.equal(rows.column("embedding_model"), key[1]),
-            )
-        )
+    for key, places in _places_by_space(rows).items():
+        here = rows.take(pa.array(places))
         spaces[key] = (here.column("query_id").to_pylist(), matrix(_list_column(here, "embedding")))
     shared = spark.sparkContext.broadcast((query_type, spaces))
 
@@ -97,14 +102,10 @@ def _with_queries_everywhere(units, queries, k, digits) -> DataFrame:
             key: NearestSoFar(vectors, k, digits) for key, (_, vectors) in by_space.items()
         }
         for batch in batches:
-            places = {}
-            keys = zip(batch.column("collection").to_pylist(), batch.column("embedding_model").to_pylist())
-            for place, key in enumerate(keys):
+            for key, places in _places_by_space(batch).items():
                 if key in nearest:
-                    places.setdefault(key, []).append(place)
-            for key, rows_here in places.items():
-                part = batch.take(pa.array(rows_here))
-                nearest[key].add(_unit_rows(part), matrix(_list_column(part, "embedding")))
+                    part = batch.take(pa.array(places))
+                    nearest[key].add(_unit_rows(part), matrix(_list_column(part, "embedding")))
         for key, found in nearest.items():
             yield from _found_batch(by_space[key][0], id_type, found)
 
@@ -343,12 +344,11 @@ def vector_search_approx(
         units_per_cell,
         queries_per_cell,
     )
-    near = _ranked(_decoded(found).dropDuplicates(["query_id", "unit_id"]), k)
+    # At most `k` rows a query, read three times below.
+    near = cut_lineage(_ranked(_decoded(found).dropDuplicates(["query_id", "unit_id"]), k))
     enough = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = asked.join(enough, "query_id", "left_anti")
-    rest = _with_cells(
-        _coded(units), short, SPACE, k, rank_digits, units_per_cell, queries_per_cell
-    )
-    return near.join(enough.select("query_id"), "query_id", "left_semi").unionByName(
-        _ranked(_decoded(rest), k)
-    )
+    if row_count_up_to(short, 0) == 0:
+        return near
+    exact = vector_search(short, units, k, rank_digits)
+    return near.join(enough.select("query_id"), "query_id", "left_semi").unionByName(exact)
