@@ -8,6 +8,7 @@ from trovelight.functions import text as tx
 from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.stem import stem_lists
 from trovelight.plans.lineage import cut_lineage
+from trovelight.plans.sizing import lookup
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS
 
@@ -133,9 +134,9 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
 
 
 def _distinct_terms(parsed: DataFrame) -> DataFrame:
-    """(query_id, collection, term), every word of a query once."""
+    """(query_id, collection, n_terms, term), every word of a query once."""
     terms = F.array_distinct(F.transform("terms", lambda term: term["term"]))
-    return parsed.select("query_id", "collection", F.explode(terms).alias("term"))
+    return parsed.select("query_id", "collection", "n_terms", F.explode(terms).alias("term"))
 
 
 def shard_column(shards: int) -> str:
@@ -195,10 +196,6 @@ def term_weight(tf: Column) -> Column:
     )
 
 
-def _with_query(matches: DataFrame, parsed: DataFrame, small: bool) -> DataFrame:
-    return matches.join(F.broadcast(parsed) if small else parsed, "query_id")
-
-
 def _plain_matches(postings, parsed, small, salts) -> DataFrame:
     """Units with any word of queries whose tokens are single words: one sum per unit and query."""
     sums = (
@@ -207,11 +204,12 @@ def _plain_matches(postings, parsed, small, salts) -> DataFrame:
         .agg(
             F.max("asset_id").alias("asset_id"),
             F.max(unit_code(F.col("kind"), F.col("asset_type"))).alias("_code"),
+            F.max("n_terms").alias("n_terms"),
             F.count("*").alias("_held"),
             F.sum(term_weight(F.col("tf"))).alias("_weight"),
         )
     )
-    return _with_query(sums, parsed.select("query_id", "n_terms"), small).select(
+    return sums.select(
         "query_id",
         "unit_id",
         "asset_id",
@@ -293,9 +291,9 @@ def _structured_matches(postings, parsed, small, salts, units) -> DataFrame:
             F.col("syntax")
             & F.exists("alternatives", lambda one: F.forall(one, lambda literal: literal["negated"]))
         ).select("query_id", "collection")
+        every = units.select("collection", *UNIT_COLUMNS)
         rest = (
-            units.select("collection", *UNIT_COLUMNS)
-            .join(F.broadcast(excluding) if small else excluding, "collection")
+            lookup(every, excluding, ["collection"], fits_broadcast=small)
             .select("query_id", *UNIT_COLUMNS)
             .join(held.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")
             .withColumn("_places", F.create_map().cast("map<string,array<int>>"))
@@ -316,7 +314,7 @@ def _structured_matches(postings, parsed, small, salts, units) -> DataFrame:
         lambda so_far, found: so_far + term_weight(F.size(found)),
     )
     return (
-        _with_query(held, asked.drop("collection"), small)
+        lookup(held, asked.drop("collection"), ["query_id"], fits_broadcast=small)
         .where(F.when(F.col("syntax"), any_alternative).otherwise(any_literal))
         .select(
             "query_id",
