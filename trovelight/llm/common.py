@@ -71,27 +71,33 @@ def attach(
     size: str,
     spread_by: list[str],
     how: str = "left",
+    wide: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
     """Join many rows with a written table of one row per key, whatever a key's share of the rows.
 
-    A table of up to `broadcast_rows` rows and BROADCAST_BYTES is broadcast. Beyond that both sides are
-    shuffled by key; a key of more than `rows_per_part` rows is cut into parts, its rows are spread over
-    them by `spread_by`, and its one row is repeated for each part.
+    Both sides are shuffled by key. A key of more than `rows_per_part` rows is cut into parts, its rows are
+    spread over them by `spread_by`, and its one row is repeated for each part. Where `rows` is `wide`,
+    as whole texts are, and the groups are up to `broadcast_rows` rows and BROADCAST_BYTES, those are
+    broadcast instead, so that the texts stay in place.
 
     Args:
         rows: The long side.
         groups: One row per key, written; column `size` has how many rows of `rows` have the key. Keys
             are never null.
     """
-    wide = F.lit(0)
-    for field in groups.schema.fields:
-        kind = field.dataType.typeName()
-        wide = wide + (F.coalesce(F.octet_length(field.name), F.lit(0)) if kind in ("string", "binary") else F.lit(16))
-    count, total = groups.agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
-    if count <= broadcast_rows and total <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(groups), keys, how)
+    if wide:
+        row = F.lit(0)
+        for field in groups.schema.fields:
+            variable = field.dataType.typeName() in ("string", "binary")
+            row = row + (F.coalesce(F.octet_length(field.name), F.lit(0)) if variable else F.lit(16))
+        count, total = groups.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+        if count <= broadcast_rows and total <= BROADCAST_BYTES:
+            return rows.join(F.broadcast(groups), keys, how)
+    largest = groups.agg(F.max(size)).first()[0] or 0
+    if largest <= rows_per_part:
+        return rows.join(groups, keys, how)
     key = F.xxhash64(*keys)
     # Few: each stands for more than `rows_per_part` rows. A cold key with the same hash is cut as well,
     # on both sides alike.

@@ -39,7 +39,9 @@ def equal_texts(
     empty result. Carried columns may have any names.
 
     Each round counts groups with partial aggregation, so that copies shrink before they are shuffled,
-    writes the groups of two or more, and joins them back (see `attach` for hot groups).
+    writes the groups of two or more, and joins them back (see `attach` for hot groups). In the first
+    round whole texts stay in place while the groups fit a broadcast; later rounds shuffle what is left of
+    the texts that are still in a group.
 
     Args:
         carry: Columns to carry along, by default all.
@@ -60,7 +62,7 @@ def equal_texts(
     )
     # Written once: alone or not, and what is left of the texts that are not.
     first = written(
-        attach(rows.withColumn("digit", digit), groups, ["digit"], "size", ["id"],
+        attach(rows.withColumn("digit", digit), groups, ["digit"], "size", ["id"], wide=True,
                broadcast_rows=broadcast_rows, rows_per_part=rows_per_part)
         .select("row", "id", F.monotonically_increasing_id().alias("rid"), "gid",
                 F.when(F.col("gid").isNotNull(), F.col("rest").substr(F.lit(first_digit + 1), F.octet_length("rest"))).alias("rest")),
@@ -86,8 +88,7 @@ def equal_texts(
             "radix-groups",
         )
         joined = written(
-            attach(keyed, groups, ["gid", "digit", "ended"], "size", ["rid"],
-                   broadcast_rows=broadcast_rows, rows_per_part=rows_per_part)
+            attach(keyed, groups, ["gid", "digit", "ended"], "size", ["rid"], rows_per_part=rows_per_part)
             .select("row", "id", "rid", F.col("next_gid").alias("gid"), "ended", "size", "keep",
                     F.when(F.col("size").isNotNull() & ~F.col("ended"),
                            F.col("rest").substr(F.lit(width + 1), F.octet_length("rest"))).alias("rest")),
