@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import exact, packing
+from trovelight.llm import exact, packing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    rated = quality.rated(documents).select("doc_id", *quality.measures(F.col("text")), "rejected_by")
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        ((F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)).alias("base_failed"),
+        F.col("rejected_by").isNull().alias("kept"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select(
         "doc_id", "text", F.sha2(exact.normalised(F.col("text")), 256).alias("text_sha256")
@@ -29,10 +39,43 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_rules": op2_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
 SQL = {
+    "op2_quality_rules": r"""
+        with texts as (select doc_id, coalesce(text, '') as body from documents),
+        split as (
+            select doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') as words,
+                list_filter(string_split(body, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) as lines
+            from texts
+        ),
+        windows as (
+            select doc_id, unnest(range(1, len(words) - 1)) as place,
+                unnest(list_transform(range(1, len(words) - 1), lambda i: [words[i], words[i + 1], words[i + 2]])) as three
+            from split
+        ),
+        twice as (select doc_id, three from windows group by doc_id, three having count(*) > 1),
+        covered as (
+            select doc_id, count(distinct place + step) as n from windows join twice using (doc_id, three), range(3) as steps(step)
+            group by doc_id
+        ),
+        measured as (
+            select doc_id, len(words) as n_words,
+                coalesce(list_sum(list_transform(words, lambda word: length(word))), 0)::bigint as word_chars,
+                length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+                len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
+                len(lines) as n_lines, length(regexp_replace(body, '[^!]', '', 'g')) as n_exclamations,
+                length(regexp_replace(body, '\P{Lu}', '', 'g')) as n_capitals, length(regexp_replace(body, '\P{L}', '', 'g')) as n_letters
+            from split left join covered using (doc_id)
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+            not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 10 * n_exclamations > 3 * n_words
+                or 10 * n_capitals > 3 * n_letters or 10 * n_dup_lines > 4 * n_lines) as kept
+        from measured
+    """,
     "op5_exact_dedup": r"""
         with normal as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents
