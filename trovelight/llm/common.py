@@ -9,6 +9,7 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side of a join is broadcast up to this many rows and bytes of keys and values.
 BROADCAST_ROWS = 200_000
@@ -59,6 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_of(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Columns of `df`, by default all, as one struct `row`, so that no name can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]).alias("row")
+
+
+def row_field(df: DataFrame, columns: list[str] | None = None) -> T.StructField:
+    """The field of `row_of`."""
+    return T.StructField("row", T.StructType([df.schema[c] for c in (df.columns if columns is None else columns)]))
+
+
 def let(value: Column, body) -> Column:
     """`body` of `value`, which is computed once however often `body` names it, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovelight.llm.common import BROADCAST_ROWS, ROWS_PER_PART, attach, prepared, written
+from trovelight.llm.common import BROADCAST_ROWS, ROWS_PER_PART, attach, prepared, row_of, written
 
 # Runs of white space other than one space.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++"
@@ -48,9 +48,8 @@ def equal_texts(
         first_digit: Bytes of the first digit; each next one has `growth` times as many.
     """
     prepared(docs.sparkSession)
-    carry = docs.columns if carry is None else carry
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
+        row_of(docs, carry),
         F.col(f"`{doc_id}`").alias("id"),
         normalised(F.col(f"`{text}`")).cast("binary").alias("rest"),
     )

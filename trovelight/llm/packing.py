@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trovelight.llm.common import BROADCAST_ROWS, prepared, written
+from trovelight.llm.common import BROADCAST_ROWS, prepared, row_field, row_of, written
 from trovelight.llm.tokens import encoder_of_json
 
 CAPACITY = 2048
@@ -25,12 +25,12 @@ BINS_PER_TASK = 100_000
 BATCH_IDS = 1 << 20
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str], text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str] | None = None, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The token ids of each row of `docs` followed by id 0, cut into pieces of at most `capacity` ids.
 
     A document that fits is one piece. A longer one is cut so that all pieces but the first are full.
     A null text counts as empty, and an empty one is the single id 0. The result has the carried
-    columns, piece (from 0), start (the document's ids before it), length, and ids: little-endian unsigned
+    columns (by default all) as struct `row`, piece (from 0), start (the document's ids before it), length, and ids: little-endian unsigned
     32-bit numbers, as training loaders map them.
 
     Args:
@@ -38,8 +38,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str], text: str =
     """
     prepared(docs.sparkSession)
     schema = T.StructType(
-        [docs.schema[c] for c in carry]
-        + [
+        [
+            row_field(docs, carry),
             T.StructField("piece", T.IntegerType()),
             T.StructField("start", T.LongType()),
             T.StructField("length", T.LongType()),
@@ -53,13 +53,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str], text: str =
             rows, pieces, starts, lengths, ids, held = [], [], [], [], [], 0
 
             def out():
-                kept = [batch.column(i).take(pa.array(rows, pa.int32())) for i in range(len(carry))]
+                kept = batch.column(0).take(pa.array(rows, pa.int32()))
                 return pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
+                    [kept, pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
                     names=schema.names,
                 )
 
-            for row, value in enumerate(batch.column(len(carry))):
+            for row, value in enumerate(batch.column(1)):
                 tokens = np.array([*encode(value.as_py() or ""), 0], "<u4")
                 start, end = 0, len(tokens) % capacity or capacity
                 piece = 0
@@ -78,7 +78,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str], text: str =
             if rows:
                 yield out()
 
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text")).mapInArrow(cut, schema)
+    return docs.select(row_of(docs, carry), F.col(f"`{text}`").alias("text")).mapInArrow(cut, schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -117,7 +117,7 @@ def pack(
     bins_per_task: int = BINS_PER_TASK,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """`items` with sequence_id, offset and fill of the bin each is packed into.
+    """Every row of `items` as struct `row` with sequence_id, offset and fill of the bin it is packed into.
 
     Every partition packs its own items and holds only their lengths and other columns, which should be
     narrow. Bins with less than `slack` room are emitted; the others are packed as items of ceil(bins /
@@ -127,9 +127,8 @@ def pack(
     """
     spark = prepared(items.sparkSession)
     schema = T.StructType(
-        [*items.schema.fields, *[T.StructField(name, T.LongType()) for name in ("bin", "place", "fill")]]
+        [row_field(items), *[T.StructField(name, T.LongType()) for name in ("bin", "place", "fill")]]
     )
-    at = items.columns.index(length)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
@@ -137,17 +136,18 @@ def pack(
         if not held:
             return
         table = pa.Table.from_batches(held)
-        lengths = table.column(at).to_pylist()
+        lengths = table.column(1).to_pylist()
         if min(lengths) < 1 or max(lengths) > capacity:
             raise ValueError(f"items have lengths {min(lengths)} to {max(lengths)}; bins hold 1 to {capacity}")
         bins, places, fills = best_fit(lengths, capacity)
         chosen = np.array(bins, np.int64)
         columns = [chosen + first, np.array(places, np.int64), np.array(fills, np.int64)[chosen]]
+        table = table.select([0])
         for name, values in zip(("bin", "place", "fill"), columns, strict=True):
             table = table.append_column(name, pa.array(values))
         yield from table.combine_chunks().to_batches()
 
-    placed = written(items.mapInArrow(local, schema), "packed")
+    placed = written(items.select(row_of(items), F.col(f"`{length}`").cast("long").alias("length")).mapInArrow(local, schema), "packed")
 
     # Underfull bins by now: which bin, where in it, and how full that is. The member at shift 0 stands for the bin.
     merged = T.StructType([T.StructField(name, T.LongType()) for name in ("bin", "into", "shift", "fill")])
@@ -187,7 +187,7 @@ def pack(
     small = moved.count() <= broadcast_rows
     moved = moved.select("bin", "into", "shift", F.col("fill").alias("_fill"))
     return placed.join(F.broadcast(moved) if small else moved, "bin", "left").select(
-        *[F.col(f"`{c}`") for c in items.columns],
+        "row",
         F.coalesce("into", "bin").alias("sequence_id"),
         (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"),
         F.coalesce("_fill", "fill").alias("fill"),
@@ -195,8 +195,8 @@ def pack(
 
 
 def sequences(pieces: DataFrame, packed: DataFrame, keys: list[str]) -> DataFrame:
-    """The packed sequences themselves: sequence_id and ids, for pieces with unique `keys` and their places."""
-    joined = pieces.join(packed.select(*keys, "sequence_id", "offset"), keys)
+    """The packed sequences themselves, sequence_id and ids: `pieces` with unique `keys` and ids, `packed` with keys and places."""
+    joined = pieces.select(*keys, "ids").join(packed.select(*keys, "sequence_id", "offset"), keys)
     return joined.groupBy("sequence_id").agg(
         F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts")
     ).select("sequence_id", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
@@ -205,4 +205,5 @@ def sequences(pieces: DataFrame, packed: DataFrame, keys: list[str]) -> DataFram
 def packed_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, fill."""
     pieces = token_pieces(docs, tokenizer, [doc_id], text, capacity)
-    return pack(pieces.select(F.col(f"`{doc_id}`"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=capacity)
+    narrow = pieces.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(narrow, capacity=capacity).select("row.*", "sequence_id", "offset", "fill")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import exact, packing, quality
+from trovelight.llm import bpe, chat, exact, language, licenses, near, packing, pii, quality, warc
+from trovelight.llm.common import new_path, written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,47 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    warc.registered(spark)
+    path = new_path(spark, "warc")
+    warc.as_records(table(spark, folder, "pages")).write.format("warc").mode("append").save(path)
+    back = spark.read.format("warc").load(path).where(F.col("record_type").isin("response", "revisit"))
+    return back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    back = written(chat.examples(conversations.unionByName(own)), "chat")
+    trained = chat.trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end"))
+    each = back.groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("whole"),
+        F.array_sort(F.collect_list(F.when(F.col("loss_start").isNotNull(), F.struct("example", trained.alias("text"))))).alias("trained"),
+        F.sum(F.length("formatted")).alias("formatted_chars"),
+    )
+    turns = each.select("conv_id", chat.turns_of(F.col("whole")).alias("turns"), F.array_join("trained.text", "").alias("loss"), "formatted_chars")
+    body = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return turns.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(body, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select(
         "doc_id", "text", F.sha2(exact.normalised(F.col("text")), 256).alias("text_sha256")
@@ -37,10 +79,74 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = pii.train(documents)
+    spans = pii.found_spans(documents, model).select("doc_id", "base", "added")
+    kinds = F.array(*[F.lit(kind) for kind in pii.KINDS])
+    in_order = F.array_sort(
+        F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(kinds, s["kind"]).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    )
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return spans.select(
+        "doc_id",
+        *[count(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(named(F.col("base")), 256).alias("base_sha256"),
+        named(in_order).alias("spans"),
+    )
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held = language.held_out(F.col("doc_id"))
+    model = language.learned(documents.where(F.col("doc_id").isNotNull() & ~held).select("text", "lang"))
+    found = language.predicted(documents.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scanned(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(spans)), ",")
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        labels(F.col("base.label")).alias("base_labels"),
+        labels(F.concat("base.label", "found.label")).alias("labels"),
+        "score",
+    )
+
+
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return near.near_classes(documents).select("row.doc_id", "class_id", "class_size", "kept")
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = bpe.encoded(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
+    "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 SQL = {
@@ -76,6 +182,42 @@ SQL = {
                 or 10 * n_capitals > 3 * n_letters or 10 * n_dup_lines > 4 * n_lines) as kept
         from measured
     """,
+    "op3_warc": r"""
+        with payloads as (
+            select page_id, coalesce(html, '') as body, upper(sha1(coalesce(html, ''))) as hexed from pages
+        ),
+        letters as (
+            select page_id, body,
+                list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    1 + ((('0x' || substr(hexed, 5 * (i // 4) + 1, 5))::int >> (15 - 5 * (i % 4))) & 31), 1)), lambda a, b: a || b) as digest,
+                max(page_id) over (partition by body) as kept
+            from payloads
+        )
+        select page_id, strlen(body) as payload_bytes, digest as payload_digest,
+            case when page_id = kept then 'response' else 'revisit' end as record_type,
+            case when page_id <> kept then kept end as refers_to
+        from letters
+    """,
+    "op4_chat_formatting": r"""
+        with rows as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+            union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ),
+        sized as (
+            select *, 14 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')) as chars,
+                row_number() over turns as place, count(*) over (partition by conv_id) as n
+            from rows window turns as (partition by conv_id order by turn nulls last, role, text)
+        ),
+        prefixes as (
+            select *, sum(chars) over (partition by conv_id order by place) as prefix from sized
+        )
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+            (sum(prefix) filter (role = 'assistant' or place = n))::bigint as formatted_chars
+        from prefixes group by conv_id
+    """,
     "op5_exact_dedup": r"""
         with normal as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents
