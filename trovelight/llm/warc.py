@@ -126,7 +126,8 @@ class Writer(DataSourceArrowWriter):
                     data = gzip.compress(data, 6, mtime=0) if self.zipped else data
                     if out is None:
                         name, size = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.zipped, 0
-                        out = system.open_output_stream(f"{folder}/{name}")
+                        # Compression is done by record, not detected from the name.
+                        out = system.open_output_stream(f"{folder}/{name}", compression=None)
                     out.write(data)
                     size += len(data)
                     if size >= self.file_bytes:
@@ -191,7 +192,7 @@ class Reader(DataSourceReader):
                 together, total = [], 0
             together.append(name)
             total += size
-        return [*parts, Files(tuple(together))] if together else parts
+        return [*parts, Files(tuple(together))]
 
     def _wanted(self, row: dict) -> bool:
         for column, how, values in self.filters:
