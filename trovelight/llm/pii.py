@@ -49,7 +49,7 @@ _BEFORE, _AFTER = 24, 12
 # Documents that candidates are drawn from to train on, and how exact a kind's threshold has to be.
 SAMPLE_DOCS = 20_000
 PRECISION = 0.98
-TREES, DEPTH = 10, 4
+TREES, DEPTH, STEP = 16, 5, 0.3
 
 
 def _running(values: Column, start: Column) -> Column:
@@ -175,20 +175,27 @@ def features(c: Column) -> list[Column]:
 
 
 def variants(c: Column) -> Column:
-    """A candidate and near misses of it: without the words before it, without plus and parentheses, with other
-    digits, without separators, twice, with its digits apart, and behind the name of a secret."""
-    m, before = c["m"], c["before"]
-    changed = [
-        (m, before),
-        (m, F.lit("")),
-        (F.regexp_replace(m, r"^\+|[()]", ""), before),
-        (F.translate(m, "0123456789", "1357902468"), before),
-        (F.regexp_replace(m, r"[\x20.()-]", ""), before),
-        (F.concat(m, F.lit(" "), m), before),
-        (F.regexp_replace(m, "([0-9])(?=[0-9])", "$1 "), before),
-        (m, F.lit('api_key="')),
+    """A candidate and near misses of it: every form with every context.
+
+    Forms are without plus and parentheses, with other digits, without separators, twice, half, with its
+    digits apart, and with letters for some digits. Contexts are its own, none, and the name of a secret.
+    """
+    m = c["m"]
+    forms = [
+        m,
+        F.regexp_replace(m, r"^\+|[()]", ""),
+        F.translate(m, "0123456789", "1357902468"),
+        F.regexp_replace(m, r"[\x20.()-]", ""),
+        F.concat(m, F.lit(" "), m),
+        F.concat(m, m),
+        m.substr(F.lit(1), F.greatest(F.length(m) / 2, F.lit(12)).cast("int")),
+        F.regexp_replace(m, "([0-9])(?=[0-9])", "$1 "),
+        F.translate(m, "0123456789", "ab2cd4ef78"),
     ]
-    return F.array(*[F.struct(c["kind"].alias("kind"), a.alias("m"), b.alias("before"), c["after"].alias("after")) for a, b in changed])
+    contexts = [c["before"], F.lit(""), F.lit('api_key="')]
+    return F.array(
+        *[F.struct(c["kind"].alias("kind"), form.alias("m"), before.alias("before"), c["after"].alias("after")) for form in forms for before in contexts]
+    )
 
 
 def label(c: Column) -> Column:
@@ -287,7 +294,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, p
     size = len(features(F.col("c")))
     columns = [F.col("f")[i].alias(f"f{i}") for i in range(size)]
     vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(size)], outputCol="features")
-    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label", featuresCol="features")
+    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, labelCol="label", featuresCol="features")
     fitted = booster.fit(vectors.transform(taught.where("not held").select("label", *columns)).select("label", "features"))
     trees, weights = _trees(fitted.toDebugString)
     model = Model(trees, weights, {})
