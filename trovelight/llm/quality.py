@@ -29,22 +29,26 @@ def repeated_words(found: Column) -> Column:
     """How many words stand in a window of three words that occurs twice or more; all occurrences count.
 
     Windows are compared by 64-bit hashes. Where none repeats, which one hash set tells, nothing is
-    sorted; else the hashes are sorted with their places, so the work is n log n in a text's words.
+    sorted. Where few do, windows are looked up among those; else they are sorted with their places. The
+    work is n log n in a text's words at most.
     """
 
-    def windows(h: Column) -> Column:
+    def windows(w: Column) -> Column:
         return F.transform(
-            F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))),
-            lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)),
+            F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
+            lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
         )
 
+    def twice(g: Column) -> Column:
+        return let(F.sort_array(g), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+
+    def places_of(g: Column, some: Column) -> Column:
+        return F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(some, x), i)), lambda i: i.isNotNull())
+
     def places(s: Column) -> Column:
         same = lambda p, k: F.coalesce(F.get(s, k)["w"] == p["w"], F.lit(False))
-        return F.sort_array(
-            F.filter(
-                F.transform(s, lambda p, k: F.when(same(p, k - 1) | same(p, k + 1), p["i"])), lambda i: i.isNotNull()
-            )
-        )
+        marked = F.transform(s, lambda p, k: F.when(same(p, k - 1) | same(p, k + 1), p["i"]))
+        return F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
 
     def covered(p: Column) -> Column:
         own = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
@@ -52,15 +56,14 @@ def repeated_words(found: Column) -> Column:
 
     def count(g: Column) -> Column:
         numbered = F.transform(g, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(
-            let(F.sort_array(numbered), lambda s: let(places(s), covered))
-        )
+        found = let(twice(g), lambda some: F.when(F.size(some) <= 32, places_of(g, some)).otherwise(let(F.sort_array(numbered), places)))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(found, covered))
 
-    return let(F.transform(found, lambda w: F.xxhash64(w)), lambda h: let(windows(h), count)).cast("long")
+    return let(windows(found), count).cast("long")
 
 
 def symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    return F.regexp_count(text, F.lit("[#*$%&|<>]"))
 
 
 def lines(text: Column) -> Column:
@@ -72,24 +75,29 @@ def repeated_lines(found: Column) -> Column:
     return F.size(found) - F.size(F.array_distinct(found))
 
 
-def measures(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of whole texts; a null text has no words."""
-    whole = F.coalesce(text, F.lit(""))
-    return [
-        F.size(words(text)).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(whole, SPACE, "")).cast("long").alias("word_chars"),
-        symbols(whole).cast("long").alias("n_symbols"),
-        let(lines(whole), repeated_lines).cast("long").alias("n_dup_lines"),
-        repeated_words(words(text)).alias("n_repeat_words"),
-    ]
+@dataclass(frozen=True)
+class Facts:
+    """What rules judge: a text (never null), its words, and the count of repeated ones where it is known."""
+
+    text: Column
+    words: Column
+    known_repeated: Column | None = None
+
+    @property
+    def n_words(self) -> Column:
+        return F.size(self.words)
+
+    @property
+    def repeated(self) -> Column:
+        return repeated_words(self.words) if self.known_repeated is None else self.known_repeated
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A name, and from a text (never null) whether the rule rejects it."""
+    """A name, and from the facts of a text whether the rule rejects it."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Facts], Column]
 
 
 def _share(part: Column, tenths: int, whole: Column) -> Column:
@@ -97,12 +105,12 @@ def _share(part: Column, tenths: int, whole: Column) -> Column:
 
 
 RULES = (
-    Rule("few_words", lambda t: F.size(words(t)) < 50),
-    Rule("repeated_words", lambda t: let(words(t), lambda w: _share(repeated_words(w), 5, F.size(w)))),
-    Rule("symbols", lambda t: _share(symbols(t), 1, F.size(words(t)))),
-    Rule("exclamations", lambda t: _share(F.length(t) - F.length(F.translate(t, "!", "")), 3, F.size(words(t)))),
-    Rule("capitals", lambda t: _share(F.regexp_count(t, F.lit(r"\p{Lu}")), 3, F.length(F.regexp_replace(t, r"\P{L}+", "")))),
-    Rule("repeated_lines", lambda t: let(lines(t), lambda found: _share(repeated_lines(found), 4, F.size(found)))),
+    Rule("few_words", lambda f: f.n_words < 50),
+    Rule("repeated_words", lambda f: _share(f.repeated, 5, f.n_words)),
+    Rule("symbols", lambda f: _share(symbols(f.text), 1, f.n_words)),
+    Rule("exclamations", lambda f: _share(F.regexp_count(f.text, F.lit("!")), 3, f.n_words)),
+    Rule("capitals", lambda f: _share(F.regexp_count(f.text, F.lit(r"\p{Lu}")), 3, F.length(F.regexp_replace(f.text, r"\P{L}+", "")))),
+    Rule("repeated_lines", lambda f: let(lines(f.text), lambda found: _share(repeated_lines(found), 4, F.size(found)))),
 )
 
 
@@ -110,7 +118,7 @@ def ordered(docs: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: in
     """`rules` by rejections per cost, each among the documents that those before it let through.
 
     Both are estimated on about `sample_rows` rows drawn from the whole table: a rule's cost is its time
-    over the sample beyond that of reading it. The order decides what is computed, never what is
+    over the sample beyond that of listing the words, which all share. The order decides what is computed, never what is
     rejected.
     """
     total = docs.count()
@@ -127,10 +135,13 @@ def ordered(docs: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: in
             took.append(time.perf_counter() - started)
         return min(took)
 
-    idle = seconds(F.octet_length("t"))
-    cost = {rule.name: max(seconds(rule.rejects(F.col("t"))) - idle, 1e-4) for rule in rules}
+    def alone(rule: Rule) -> Column:
+        return let(words(F.col("t")), lambda w: rule.rejects(Facts(F.col("t"), w)))
+
+    idle = seconds(let(words(F.col("t")), F.size))
+    cost = {rule.name: max(seconds(alone(rule)) - idle, 1e-4) for rule in rules}
     # At most one row per combination of rules that reject together.
-    fired = [F.coalesce(rule.rejects(F.col("t")), F.lit(False)).alias(rule.name) for rule in rules]
+    fired = [F.coalesce(alone(rule), F.lit(False)).alias(rule.name) for rule in rules]
     groups = sample.select(*fired).groupBy(*[rule.name for rule in rules]).count().collect()
     left, order = list(rules), []
     while left:
@@ -141,24 +152,50 @@ def ordered(docs: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: in
     return order
 
 
-def verdict(text: Column, order: list[Rule]) -> Column:
-    """The name of the first rule that rejects a text, or null; null texts are judged as empty."""
-    whole = F.coalesce(text, F.lit(""))
+def cascade(facts: Facts, order: list[Rule]) -> Column:
+    """The name of the first rule that rejects a text, or null; later rules are not computed."""
     first, *others = order
-    found = F.when(first.rejects(whole), F.lit(first.name))
+    found = F.when(first.rejects(facts), F.lit(first.name))
     for rule in others:
-        found = found.when(rule.rejects(whole), F.lit(rule.name))
+        found = found.when(rule.rejects(facts), F.lit(rule.name))
     return found
 
 
+def verdict(text: Column, order: list[Rule]) -> Column:
+    """The name of the rule that rejects a text, or null; null texts are judged as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return let(words(whole), lambda w: cascade(Facts(whole, w), order))
+
+
+def measured(text: Column, order: list[Rule]) -> Column:
+    """The verdict as struct field rejected_by, with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+
+    The measures are of whole texts, also of rejected ones; a null text has no words.
+    """
+    whole = F.coalesce(text, F.lit(""))
+
+    def fields(w: Column, repeated: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            (F.length(whole) - F.regexp_count(whole, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+            symbols(whole).cast("long").alias("n_symbols"),
+            let(lines(whole), repeated_lines).cast("long").alias("n_dup_lines"),
+            repeated.alias("n_repeat_words"),
+            cascade(Facts(whole, w, repeated), order).alias("rejected_by"),
+        )
+
+    return let(words(whole), lambda w: let(repeated_words(w), lambda repeated: fields(w, repeated)))
+
+
 def rated(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` with column rejected_by: null for documents that pass every rule.
+    """`docs` with struct column quality: the measures of every text, and rejected_by, which is null for
+    documents that pass every rule.
 
     Nothing is shuffled. Empty and null texts have too few words. Other columns, whatever their names,
-    stay as they are; a column named rejected_by is replaced.
+    stay as they are; a column named quality is replaced.
     """
     prepared(docs.sparkSession)
-    return docs.withColumn("rejected_by", verdict(F.col(f"`{text}`"), ordered(docs, text, rules, sample_rows)))
+    return docs.withColumn("quality", measured(F.col(f"`{text}`"), ordered(docs, text, rules, sample_rows)))
 
 
 def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

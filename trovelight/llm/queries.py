@@ -22,7 +22,7 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    rated = quality.rated(documents).select("doc_id", *quality.measures(F.col("text")), "rejected_by")
+    rated = quality.rated(documents).select("doc_id", "quality.*")
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)).alias("base_failed"),
