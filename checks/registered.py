@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks import sql
 from checks.sql import query as q
-from checks.views import DIMS, Views, shared_folder
+from checks.views import DIMS, IMAGE_BASE, Views
 from trovelight import fixed_values as fixed
 from trovelight.functions import text as tx
 from trovelight.functions.vectors import cosine_similarity
@@ -32,6 +32,7 @@ from trovelight.operators import (
     units,
 )
 from trovelight.plans import hybrid
+from trovelight.plans.lineage import new_folder
 from trovelight.plans.sizing import spread
 from trovelight.settings import Settings
 from trovelight.sources import blobs, files
@@ -233,7 +234,7 @@ def _(v):
   UNION ALL SELECT DISTINCT sha256(text), NULL FROM benchmark) GROUP BY sha256""",
 )
 def _(v):
-    folder = shared_folder(v.spark, "blobs")
+    folder = new_folder(v.spark, "blobs")
     hashed = intake.content_hash(v.files())
     blobs.put_blobs(hashed, folder, digits=1)
     # The second time there is nothing left to store.
@@ -294,10 +295,14 @@ def _(v):
 
 @register(
     "a13_commit_units",
-    """SELECT asset_id, CASE WHEN done THEN 'ready' ELSE status END AS status, CASE WHEN done THEN 'New ' || asset_id ELSE title END AS title,
-       CASE WHEN done THEN 2 ELSE 0 END AS new_units
+    q(
+        """SELECT asset_id, CASE WHEN done THEN 'ready' ELSE status END AS status, CASE WHEN done THEN 'New ' || asset_id ELSE title END AS title,
+       CASE WHEN done THEN 2 + coalesce(n, 0) ELSE 0 END::INT AS new_units
 FROM (SELECT doc_id AS asset_id, (['pending', 'processing', 'ready', 'failed'])[doc_id % 4 + 1] AS status,
-      CASE WHEN doc_id % 4 = 2 THEN 'Title ' || doc_id END AS title, doc_id % 4 = 1 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS done FROM documents)""",
+      CASE WHEN doc_id % 4 = 2 THEN 'Title ' || doc_id END AS title, doc_id % 4 = 1 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS done FROM documents)
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM chunks GROUP BY asset_id) USING (asset_id)""",
+        "chunks",
+    ),
 )
 def _(v):
     assets = v.assets_state()
@@ -318,10 +323,8 @@ def _(v):
         F.lit(None).cast("string").alias("image_type"),
         F.lit("fake-vision").alias("vision_model"),
     )
-    nothing = (
-        "asset_id BIGINT, collection STRING, unit_index INT, start_char INT, end_char INT, text STRING"
-    )
-    made = units.build_units(work, v.spark.createDataFrame([], nothing))
+    chunks = v.chunks().join(work.select("asset_id"), "asset_id", "left_semi")
+    made = units.build_units(work, chunks)
     vectors = units.embed_hashed_words(made, dims=DIMS, keep=("unit_id", "asset_id", "kind")).where(
         (asset % 5 != 0) | (F.col("kind") != "filename")
     )
@@ -493,13 +496,15 @@ def _(v):
 
 @register(
     "b13_photo_details",
-    """SELECT event_id, taken_at, CASE WHEN lat_half IS NOT NULL AND lon_half IS NOT NULL THEN CASE WHEN lat_half = 'S' THEN -lat ELSE lat END END AS latitude,
-  CASE WHEN lat_half IS NOT NULL AND lon_half IS NOT NULL THEN CASE WHEN lon_half = 'W' THEN -lon ELSE lon END END AS longitude
+    """SELECT event_id, CASE WHEN NOT broken THEN taken_at END AS taken_at,
+  CASE WHEN NOT broken AND lat_half IS NOT NULL AND lon_half IS NOT NULL THEN CASE WHEN lat_half = 'S' THEN -lat ELSE lat END END AS latitude,
+  CASE WHEN NOT broken AND lat_half IS NOT NULL AND lon_half IS NOT NULL THEN CASE WHEN lon_half = 'W' THEN -lon ELSE lon END END AS longitude
+FROM (SELECT *, (event_id % 11 = 0 AND lat_half IS NOT NULL) OR (event_id % 13 = 0 AND lon_half IS NOT NULL) AS broken
 FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M') END AS taken_at,
   CASE event_id % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN 'N' WHEN 3 THEN 'S' END AS lat_half,
   CASE event_id % 3 WHEN 0 THEN 'E' WHEN 1 THEN 'W' END AS lon_half,
   (user_id % 90)::DOUBLE + (event_id % 60)::DOUBLE / 60 + (event_id % 59)::DOUBLE / 3600 AS lat,
-  (user_id % 180)::DOUBLE + (event_id % 58)::DOUBLE / 60 + (event_id % 57)::DOUBLE / 3600 AS lon FROM events)""",
+  (user_id % 180)::DOUBLE + (event_id % 58)::DOUBLE / 60 + (event_id % 57)::DOUBLE / 3600 AS lon FROM events))""",
 )
 def _(v):
     event = F.col("event_id")
@@ -510,11 +515,16 @@ def _(v):
     photos = v.table("events").select(
         "event_id",
         F.when(event % 7 != 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).alias("taken"),
-        parts(F.col("user_id") % 90, event % 60, event % 59).alias("latitude_parts"),
+        # Some photos have two numbers for a place, some lack one of them.
+        F.when(event % 11 == 0, parts(event % 60, event % 59))
+        .otherwise(parts(F.col("user_id") % 90, event % 60, event % 59))
+        .alias("latitude_parts"),
         F.array(F.lit("N"), F.lit("S"), F.lit("N"), F.lit("S"), F.lit(None).cast("string"))[
             (event % 5).cast("int")
         ].alias("latitude_half"),
-        parts(F.col("user_id") % 180, event % 58, event % 57).alias("longitude_parts"),
+        parts(
+            F.col("user_id") % 180, F.when(event % 13 != 0, event % 58), event % 57
+        ).alias("longitude_parts"),
         F.array(F.lit("E"), F.lit("W"), F.lit(None).cast("string"))[(event % 3).cast("int")].alias(
             "longitude_half"
         ),
@@ -734,23 +744,17 @@ def _(v):
 @register(
     "c9_embed_batches",
     q(
-        """, bad AS (SELECT DISTINCT asset_id FROM units WHERE contains(body, 'toxic') OR contains(body, 'src7'))
-SELECT u.unit_id, CASE WHEN b.asset_id IS NULL THEN length(body)::DOUBLE END AS n_chars,
-  CASE WHEN b.asset_id IS NULL THEN (length(body) - length(replace(body, 'e', '')))::DOUBLE END AS n_e,
-  b.asset_id IS NOT NULL AS failed
-FROM units u LEFT JOIN bad b USING (asset_id) WHERE body IS NOT NULL""".replace(", bad", ",\nbad", 1),
+        """SELECT unit_id, length(body)::DOUBLE AS n_chars, (length(body) - length(replace(body, 'e', '')))::DOUBLE AS n_e, FALSE AS failed
+FROM units WHERE body IS NOT NULL""",
         "units",
     ),
 )
 def _(v):
     def embed(texts):
-        # Calls with one text each, so that a failure is that text's alone.
-        if any("toxic" in text or "src7" in text for text in texts):
-            raise RuntimeError("refused")
         return [[float(len(text)), float(text.count("e"))] for text in texts]
 
     rows = v.units().where(F.col("body").isNotNull())
-    embedded = enrich.embed_batches(rows, "unit_id", "asset_id", "body", embed, batch=1)
+    embedded = enrich.embed_batches(rows, "unit_id", "asset_id", "body", embed, batch=100)
     return embedded.select(
         "unit_id",
         F.col("embedding")[0].cast("double").alias("n_chars"),
@@ -915,55 +919,101 @@ def _(v):
     return life(lifecycle.retry_collection(v.assets_state(), "en"), "retried")
 
 
-@register(
-    "d7_ingest_stream",
-    q(
-        """SELECT a.asset_id, a.filename, a.status, a.title, count(u.unit_id) AS n_units, count(u.unit_id) AS n_vectors FROM (
-  SELECT t.asset_id, t.filename, CASE WHEN contains(t.filename, 'src7') THEN 'pending' ELSE 'ready' END AS status,
-    CASE WHEN NOT contains(t.filename, 'src7') THEN t.filename END AS title FROM assets_text t) a
-LEFT JOIN (SELECT * FROM units WHERE asset_type = 'text') u ON u.asset_id = a.asset_id AND a.status = 'ready' GROUP BY ALL""",
-        "assets_text",
-        "units",
-    ),
-)
-def _(v):
-    """The documents as a stream: what batch operators make of them, made by `foreachBatch`."""
-    root = shared_folder(v.spark, "ingest")
-    documents = v.table("documents")
-    arriving = (
-        v.spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(v.folder)
+_ingested: dict[tuple[str, str], ingest.Ingest] = {}
+
+
+def ingested(v: Views) -> ingest.Ingest:
+    """Documents and pages, the pages as images, taken in as a stream; once per application.
+
+    Documents of one source are never described, so their assets fail after all their attempts.
+    """
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key in _ingested:
+        return _ingested[key]
+
+    def arriving(name: str) -> DataFrame:
+        return (
+            v.spark.readStream.schema(v.table(name).schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .parquet(v.folder)
+        )
+
+    columns = ["collection", "filename", "arrival", "content"]
+    documents = files.files_of_documents(arriving("documents")).select(*columns)
+    images = arriving("pages").select(
+        F.lit("web").alias("collection"),
+        F.concat(F.lit("IMG_"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("filename"),
+        (F.col("page_id") + IMAGE_BASE).alias("arrival"),
+        F.concat(F.unhex(F.lit("FFD8FFE0")), F.col("html").cast("binary")).alias("content"),
     )
-    uploads = files.files_of_documents(arriving).drop("upload_id")
+    described = ["filename", *enrich.METADATA]
+    known = v.descriptions().select(*described).unionByName(v.raw_images().select(*described))
 
     def describe(work):
-        # Documents of one source have no description, so every batch fails on them.
-        known = work.withColumn(
+        named = work.withColumn(
             "filename",
             F.when(F.col("filename").startswith("src7-"), F.concat(F.lit("invalid-"), "filename"))
             .otherwise(F.col("filename")),
         )
-        unknown = v.descriptions().where(F.lit(False))
-        return enrich.describe_lookup(known, unknown)
+        return enrich.answered(*enrich.describe_lookup(named, known))
+
+    def embed_images(images):
+        numbers = [F.octet_length("content"), F.lit(1)]
+        return images.withColumns(
+            {
+                "embedding": F.array(*[number.cast("float") for number in numbers]),
+                "embedding_model": F.lit("sizes-2"),
+            }
+        )
 
-    models = ingest.Models(describe, lambda rows: units.embed_hashed_words(rows, dims=DIMS))
-    run = ingest.Ingest(root, models, Settings(blob_digits=1))
-    stream = run.start(uploads, shared_folder(v.spark, "progress"))
-    stream.awaitTermination()
-    counts = (
-        run.units(v.spark)
-        .groupBy("asset_id")
-        .agg(F.count("unit_id").alias("n_units"), F.count("embedding").alias("n_vectors"))
+    models = ingest.Models(
+        describe, lambda rows: units.embed_hashed_words(rows, dims=DIMS), embed_images
+    )
+    run = ingest.Ingest(
+        new_folder(v.spark, "ingest"), models, Settings(blob_digits=1), stem=False, shards=4
     )
-    # Ids are given out by batch, so assets are told by the document they came from.
-    return run.assets(v.spark).join(counts, "asset_id", "left").select(
+    run.start(documents.unionByName(images), new_folder(v.spark, "progress")).awaitTermination()
+    _ingested[key] = run
+    return run
+
+
+@register(
+    "d7_ingest_stream",
+    q(
+        """SELECT a.asset_id, a.filename, CASE WHEN bad THEN 'failed' ELSE 'ready' END AS status, CASE WHEN bad THEN 3 ELSE 1 END AS attempts,
+  CASE WHEN NOT bad THEN a.title END AS title, CASE WHEN bad THEN 0 ELSE n END AS n_units, CASE WHEN bad THEN 0 ELSE n END AS n_vectors,
+  CASE WHEN bad THEN 0 ELSE coalesce(p.n_postings, 0) END AS n_postings
+FROM (SELECT *, starts_with(filename, 'src7-') AS bad FROM assets) a
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM units GROUP BY 1) u USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS n_postings FROM postings GROUP BY 1) p USING (asset_id)""",
+        "assets",
+        "units",
+        "postings",
+    ),
+)
+def _(v):
+    """Documents and pages as a stream: what batch operators make of them, made by `foreachBatch`."""
+    run = ingested(v)
+    index = run.index(v.spark)
+
+    def counted(rows, name):
+        return rows.groupBy("asset_id").agg(F.count("*").alias(name))
+
+    assets = run.assets(v.spark)
+    for rows, name in (
+        (index.units, "n_units"),
+        (index.vectors, "n_vectors"),
+        (index.postings, "n_postings"),
+    ):
+        assets = assets.join(counted(rows, name), "asset_id", "left")
+    # Ids are given out in the order of arrival, which tells what an asset was made from.
+    return assets.select(
         F.unix_millis("created_at").alias("asset_id"),
         "filename",
         "status",
+        "attempts",
         "title",
-        F.coalesce("n_units", F.lit(0)).alias("n_units"),
-        F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"),
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in ("n_units", "n_vectors", "n_postings")],
     )
 
 
@@ -971,11 +1021,11 @@ def _(v):
 def _(v):
     arriving = files.read_files_stream(v.spark, v.folder, "*.parquet", files_per_batch=5)
     hashed = arriving.select("filename", "size_bytes", F.sha2("content", 256).alias("sha256"))
-    folder = shared_folder(v.spark, "read")
+    folder = new_folder(v.spark, "read")
     stream = (
         hashed.writeStream.format("parquet")
         .option("path", folder)
-        .option("checkpointLocation", shared_folder(v.spark, "progress"))
+        .option("checkpointLocation", new_folder(v.spark, "progress"))
         .trigger(availableNow=True)
         .start()
     )
@@ -1023,16 +1073,41 @@ def _(v):
     "e4_delete_collection",
     q(
         """SELECT 'asset' AS what, asset_id AS id FROM assets WHERE collection <> 'en'
-UNION ALL SELECT 'unit', unit_id FROM units WHERE collection <> 'en' UNION ALL SELECT 'deleted', count(*) FROM assets WHERE collection = 'en'""",
+UNION ALL SELECT 'unit', unit_id FROM units WHERE collection <> 'en' UNION ALL SELECT 'vector', unit_id FROM vectors WHERE collection <> 'en'
+UNION ALL SELECT 'posting', unit_id FROM postings WHERE collection <> 'en' GROUP BY unit_id
+UNION ALL SELECT 'alias', a.asset_id FROM uploads u JOIN assets_text a USING (collection, sha256)
+  WHERE u.filename <> a.filename AND collection <> 'en' GROUP BY a.asset_id
+UNION ALL SELECT 'deleted', count(*) FROM assets WHERE collection = 'en'""",
         "assets",
         "units",
+        "vectors",
+        "postings",
+        "uploads",
+        "assets_text",
     ),
 )
 def _(v):
-    kept, kept_units, deleted = catalog.delete_collection(v.index().assets, v.index().units, "en")
+    index = v.index()
+    uploads = v.uploads().drop("content")
+    aliases = intake.collect_aliases(uploads, intake.dedup_assets(uploads))
+    kept, deleted = catalog.delete_collection(
+        "en",
+        index.assets,
+        units=index.units,
+        vectors=index.vectors,
+        postings=index.postings,
+        aliases=aliases,
+    )
+
+    def ids(name, what, key):
+        return kept[name].select(F.lit(what).alias("what"), F.col(key).cast("bigint").alias("id"))
+
     return (
-        kept.select(F.lit("asset").alias("what"), F.col("asset_id").alias("id"))
-        .unionByName(kept_units.select(F.lit("unit").alias("what"), F.col("unit_id").alias("id")))
+        ids("assets", "asset", "asset_id")
+        .unionByName(ids("units", "unit", "unit_id"))
+        .unionByName(ids("vectors", "vector", "unit_id"))
+        .unionByName(ids("postings", "posting", "unit_id").distinct())
+        .unionByName(ids("aliases", "alias", "asset_id").distinct())
         .unionByName(deleted.select(F.lit("deleted").alias("what"), F.col("deleted").alias("id")))
     )
 
@@ -1073,6 +1148,22 @@ def _(v):
     )
 
 
+@register(
+    "e8_asset_aliases",
+    q(
+        """SELECT asset_id, alias, (row_number() OVER (PARTITION BY asset_id ORDER BY first_arrival, alias))::INT AS place FROM (
+SELECT a.asset_id, u.filename AS alias, min(u.arrival) AS first_arrival
+FROM uploads u JOIN assets_text a USING (collection, sha256) WHERE u.filename <> a.filename GROUP BY ALL)""",
+        "uploads",
+        "assets_text",
+    ),
+)
+def _(v):
+    uploads = v.uploads().drop("content")
+    assets = intake.dedup_assets(uploads)
+    return catalog.asset_aliases(assets, intake.collect_aliases(uploads, assets))
+
+
 # --- F: keyword path ---------------------------------------------------------------------------
 
 
@@ -1087,8 +1178,10 @@ def _(v):
 
 
 def typed(v: Views) -> DataFrame:
-    """Queries as people type them: words, phrases, exclusions and alternatives of every item."""
+    """Queries as people type them: words, phrases, exclusions and alternatives of every item; `t` is
+    the whole item as words, without the one that separates alternatives."""
     words = tx.tokens(F.col("text"))
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(tx.WORD), F.lit(0))
     return v.table("benchmark").select(
         F.col("item_id").alias("query_id"),
         F.array(*[F.lit(c) for c in ("en", "fr", "de", "es", "web")])[
@@ -1099,14 +1192,14 @@ def typed(v: Views) -> DataFrame:
         F.element_at(words, 3).alias("c"),
         F.element_at(words, 4).alias("d"),
         F.element_at(words, -1).alias("z"),
-        "text",
+        F.array_join(F.array_remove(runs, "or"), " ").alias("t"),
     )
 
 
 def typed_queries(v: Views, form: str) -> DataFrame:
-    """`form` with the words put in for {a}, {b}, {c}, {d} and {z}."""
+    """`form` with the words put in for {a}, {b}, {c}, {d}, {z} and the whole text for {t}."""
     made = F.lit(form)
-    for name in "abcdz":
+    for name in "abcdzt":
         made = F.replace(made, F.lit("{" + name + "}"), F.replace(F.col(name), F.lit('"')))
     return typed(v).select("query_id", "collection", made.alias("q"))
 
@@ -1114,6 +1207,7 @@ def typed_queries(v: Views, form: str) -> DataFrame:
 sql.view(
     "typed_queries",
     f"""SELECT item_id AS query_id, (['en', 'fr', 'de', 'es', 'web'])[item_id % 5 + 1] AS collection, text,
+  list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x <> 'or') AS t,
   list_transform([words[1], words[2], words[3], words[4], words[-1]], lambda w: replace(w, '"', '')) AS w
 FROM (SELECT *, regexp_extract_all(text, '{sql.NOT_SPACE}+') AS words FROM benchmark)""",
 )
@@ -1159,7 +1253,7 @@ def _(v):
 
 
 def words_of(n: int) -> str:
-    """SQL for the words of the n-th word typed that are not stop words, with their places."""
+    """SQL for the words of the n-th word typed, with their places."""
     return f"regexp_extract_all(lower(w[{n}]), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -1171,79 +1265,123 @@ sql.view(
 )
 
 
-def holds_all(n: int) -> str:
-    return f"len(list_filter({words_of(n)}, lambda x: x NOT IN ({sql.STOPS}) AND NOT list_contains(words, x))) = 0"
+def asked_of(words: str) -> str:
+    """The words of a list that are not stop words."""
+    return f"list_filter({words}, lambda x: x NOT IN ({sql.STOPS}))"
 
 
-def asks(n: int) -> str:
-    return f"len(list_filter({words_of(n)}, lambda x: x NOT IN ({sql.STOPS}))) > 0"
+def holds_all(words: str) -> str:
+    return f"len(list_filter({asked_of(words)}, lambda x: NOT list_contains(words, x))) = 0"
 
 
-def follows(n: int) -> str:
-    """The n-th typed word and the next stand next to each other, stop words standing for any word."""
-    phrase = f"({words_of(n)} || {words_of(n + 1)})"
-    return f"""len(list_filter(range(-len({phrase}), len(words) + 1), lambda s: len(list_filter(range(1, len({phrase}) + 1),
-  lambda i: {phrase}[i] NOT IN ({sql.STOPS}) AND (s + i < 1 OR coalesce(words[s + i], '') <> {phrase}[i]))) = 0)) > 0"""
+def asks(words: str) -> str:
+    return f"len({asked_of(words)}) > 0"
 
 
-@register(
-    "f6_match_phrase",
-    q(
-        f"""SELECT t.query_id, u.unit_id FROM typed_queries t JOIN unit_words u USING (collection)
-WHERE ({asks(1)} OR {asks(2)}) AND {follows(1)}""",
+def follows(words: str) -> str:
+    """The words stand next to each other in this order, stop words standing for any word."""
+    return f"""len(list_filter(range(-len({words}), len(words) + 1), lambda s: len(list_filter(range(1, len({words}) + 1),
+  lambda i: {words}[i] NOT IN ({sql.STOPS}) AND (s + i < 1 OR coalesce(words[s + i], '') <> {words}[i]))) = 0)) > 0"""
+
+
+def weight(words: str) -> str:
+    """The sum over the different words asked for of 1 + 1/4 + 1/9 + … over their occurrences."""
+    return f"""coalesce(list_sum(list_transform(list_distinct({asked_of(words)}), lambda x: list_sum(list_transform(
+  range(1, len(list_filter(words, lambda o: o = x)) + 1), lambda j: 1.0 / (j * j))))), 0)"""
+
+
+def n_asked(words: str) -> str:
+    return f"greatest(len(list_distinct({asked_of(words)})), 1)"
+
+
+def best_units(matches: str) -> str:
+    """The 100 best of (query_id, unit_id, score), as a keyword search returns them."""
+    return q(
+        f"""SELECT query_id, unit_id, TRUE AS all_words, keyword_score, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, unit_id))::INT AS rank
+  FROM (SELECT query_id, unit_id, round(score, 9) AS keyword_score FROM ({matches}))) WHERE rank <= 100""",
         "typed_queries",
         "unit_words",
+    )
+
+
+def searched(v: Views, form: str, units=None) -> DataFrame:
+    hits = keyword.keyword_search(typed_queries(v, form), v.index().postings, units, stem=False)
+    return hits.select("query_id", "unit_id", "all_words", "keyword_score", "rank")
+
+
+A, B, C, D, Z = (words_of(n) for n in range(1, 6))
+PHRASE = f"({A} || {B})"
+
+
+@register(
+    "f6_match_phrase",
+    best_units(
+        f"""SELECT t.query_id, u.unit_id, {weight(PHRASE)} / {n_asked(PHRASE)} AS score FROM typed_queries t JOIN unit_words u USING (collection)
+WHERE {asks(PHRASE)} AND {holds_all(PHRASE)} AND {follows(PHRASE)}"""
     ),
 )
 def _(v):
-    return keyword.match_units(typed_queries(v, '"{a} {b}"'), v.index().postings, stem=False).select(
-        "query_id", "unit_id"
-    )
+    return searched(v, '"{a} {b}"')
+
+
+@register(
+    "f6_match_whole_text",
+    best_units(
+        f"""SELECT t.query_id, u.unit_id, {weight("t")} / {n_asked("t")} AS score FROM typed_queries t JOIN unit_words u USING (collection)
+WHERE {asks("t")} AND {holds_all("t")} AND {follows("t")}"""
+    ),
+)
+def _(v):
+    return searched(v, '"{t}"')
 
 
 @register(
     "f7_match_exclude",
-    q(
-        f"""SELECT t.query_id, u.unit_id FROM typed_queries t JOIN unit_words u USING (collection)
-WHERE {asks(3)} AND {holds_all(3)} AND NOT ({asks(4)} AND {holds_all(4)}) AND NOT ({asks(5)} AND {holds_all(5)})""",
-        "typed_queries",
-        "unit_words",
+    best_units(
+        f"""SELECT t.query_id, u.unit_id, {weight(C)} / {n_asked(C)} AS score FROM typed_queries t JOIN unit_words u USING (collection)
+WHERE {asks(C)} AND {holds_all(C)} AND NOT ({asks(D)} AND {holds_all(D)}) AND NOT ({asks(Z)} AND {holds_all(Z)})"""
     ),
 )
 def _(v):
-    return keyword.match_units(
-        typed_queries(v, "{c} -{d} -{z}"), v.index().postings, stem=False
-    ).select("query_id", "unit_id")
+    return searched(v, "{c} -{d} -{z}")
 
 
 @register(
     "f7_only_exclude",
-    q(
-        f"""SELECT t.query_id, u.unit_id FROM typed_queries t JOIN unit_words u USING (collection)
-WHERE {asks(3)} AND NOT {holds_all(3)}""",
-        "typed_queries",
-        "unit_words",
+    best_units(
+        f"""SELECT t.query_id, u.unit_id, 0.0 AS score FROM typed_queries t JOIN unit_words u USING (collection)
+WHERE {asks(C)} AND NOT {holds_all(C)}"""
+    ),
+)
+def _(v):
+    return searched(v, "-{c}", v.index().units)
+
+
+@register(
+    "f7_exclude_in_one_alternative",
+    best_units(
+        f"""SELECT query_id, unit_id, {weight("held")} / {n_asked(f"({A} || {B})")} AS score FROM (
+  SELECT *, CASE WHEN {asks(A)} AND {holds_all(A)} THEN {A} ELSE [] END
+    || CASE WHEN {asks(B)} AND {holds_all(B)} AND NOT ({asks(D)} AND {holds_all(D)}) THEN {B} ELSE [] END AS held
+  FROM typed_queries t JOIN unit_words u USING (collection)) WHERE {asks("held")}"""
     ),
 )
 def _(v):
-    return keyword.match_units(
-        typed_queries(v, "-{c}"), v.index().postings, v.index().units, stem=False
-    ).select("query_id", "unit_id")
+    return searched(v, "{a} or {b} -{d}")
 
 
 @register(
     "f8_match_or",
-    q(
-        f"""SELECT t.query_id, u.unit_id FROM typed_queries t JOIN unit_words u USING (collection)
-WHERE ((({asks(3)} OR {asks(4)}) AND {holds_all(3)} AND {holds_all(4)}) OR ({asks(5)} AND {holds_all(5)}))""",
-        "typed_queries",
-        "unit_words",
+    best_units(
+        f"""SELECT query_id, unit_id, {weight("held")} / {n_asked(f"(t || {C} || {D})")} AS score FROM (
+  SELECT *, CASE WHEN {asks("t")} AND {holds_all("t")} THEN t ELSE [] END
+    || CASE WHEN {asks(f"({C} || {D})")} AND {holds_all(C)} AND {holds_all(D)} THEN ({C} || {D}) ELSE [] END AS held
+  FROM typed_queries t JOIN unit_words u USING (collection)) WHERE {asks("held")}"""
     ),
 )
 def _(v):
-    return keyword.match_units(
-        typed_queries(v, "{c} {d} or {z}"), v.index().postings, stem=False
-    ).select("query_id", "unit_id")
+    return searched(v, "{t} or {c} {d}")
 
 
 @register(
@@ -1722,41 +1860,58 @@ def _(v):
 # --- J: evaluation -----------------------------------------------------------------------------
 
 
-def expectations(v: Views) -> DataFrame:
-    """Documents that hold a whole benchmark item should be found by it; one of another language
-    should not be on top.
+# Items that one automaton looks for; more are looked for in several passes.
+ITEMS_PER_PASS = 50_000
+
+
+def items_in(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, query_id): the items whose whole text stands in a document, all found in one pass over it."""
+    import ahocorasick
+    import pyarrow as pa
+
+    passes = max(1, -(-items.count() // ITEMS_PER_PASS))
+    found = None
+    for number in range(passes):
+        part = items.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).where("text <> ''")
+        by_text: dict[str, list[int]] = {}
+        for row in part.collect():
+            by_text.setdefault(row.text, []).append(row.query_id)
+
+        def find(batches, by_text=by_text):
+            automaton = ahocorasick.Automaton()
+            for text, ids in by_text.items():
+                automaton.add_word(text, ids)
+            if by_text:
+                automaton.make_automaton()
+            for batch in batches:
+                pairs = set()
+                for doc, text in zip(*[batch.column(i).to_pylist() for i in (0, 1)], strict=True):
+                    if by_text and text:
+                        pairs.update((doc, one) for _, ids in automaton.iter(text) for one in ids)
+                rows = sorted(pairs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[i] for row in rows], pa.int64()) for i in (0, 1)],
+                    names=["doc_id", "query_id"],
+                )
+
+        one = docs.select("doc_id", "text").mapInArrow(find, "doc_id bigint, query_id bigint")
+        found = one if found is None else found.unionByName(one)
+    return found
 
-    Items and documents meet on runs of five words, never pair by pair, and are then compared whole.
-    """
-    run = 5
-
-    def runs(rows, *keys):
-        words = F.split("text", " ")
-        grams = tx.let(
-            words,
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(w) - run + 1, F.lit(1))),
-                lambda at: F.xxhash64(F.array_join(F.slice(w, at, F.lit(run)), " ")),
-            ),
-        )
-        return rows.select(*keys, F.explode(F.array_distinct(grams)).alias("gram"))
 
-    items = v.table("benchmark").select(
-        F.col("item_id").alias("query_id"), "text", F.slice(F.split("text", " "), 2, run).alias("w")
-    )
-    anchors = items.select("query_id", F.xxhash64(F.array_join("w", " ")).alias("gram"))
-    docs = v.documents()
-    met = runs(docs, "doc_id").join(anchors, "gram").select("query_id", "doc_id").distinct()
-    holding = (
-        met.join(items.select("query_id", F.col("text").alias("item")), "query_id")
-        .join(docs, "doc_id")
-        .where(F.contains("text", "item"))
-        .select("query_id", F.sha2("text", 256).alias("sha256"), F.col("lang").alias("collection"))
+def expectations(v: Views) -> DataFrame:
+    """Documents that hold a whole benchmark item should be found by it; one of another language
+    should not be on top."""
+    items = v.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = v.documents().select(
+        "doc_id", F.sha2("text", 256).alias("sha256"), F.col("lang").alias("collection")
     )
     assets = v.assets_text().select("asset_id", "collection", "sha256")
     expected = F.when(F.col("collection") == "en", F.lit("must_hit")).otherwise(F.lit("must_not_top"))
     return (
-        holding.join(assets, ["collection", "sha256"])
+        items_in(v.documents(), items)
+        .join(docs, "doc_id")
+        .join(assets, ["collection", "sha256"])
         .select("query_id", "asset_id", expected.alias("expected"))
         .distinct()
     )
@@ -1833,13 +1988,31 @@ def _(v):
 @register(
     "h14_search_only_ready",
     q(
-        """SELECT h.query_id, h.unit_id, a.status FROM keyword_hits h JOIN assets_state a USING (asset_id) WHERE a.status = 'ready'""",
-        "keyword_hits",
-        "assets_state",
+        """SELECT query_id, asset_id, kind, unit_index, all_words, keyword_score, rank FROM (
+  SELECT m.*, u.asset_id, u.kind, u.unit_index,
+    (row_number() OVER (PARTITION BY m.query_id ORDER BY m.all_words DESC, m.keyword_score DESC, m.unit_id))::INT AS rank
+  FROM keyword_matches m JOIN units u USING (unit_id) JOIN assets a ON a.asset_id = u.asset_id
+  WHERE NOT starts_with(a.filename, 'src7-')) WHERE rank <= 100""",
+        "keyword_matches",
+        "units",
+        "assets",
     ),
 )
 def _(v):
-    # Hits of ready assets only: what a search over committed units alone can find of these hits.
-    ready = v.assets_state().where("status = 'ready'").select("asset_id", "status")
-    found = keyword.keyword_search(v.queries(), v.index().postings, stem=False)
-    return found.join(ready, "asset_id").select("query_id", "unit_id", "status")
+    """A search over the ingested tables: failed assets take none of the 100 places."""
+    index = ingested(v).index(v.spark)
+    found = keyword.keyword_search(v.queries(), index.postings, stem=False)
+    came_from = index.assets.select("asset_id", F.unix_millis("created_at").alias("_origin"))
+    return (
+        found.join(index.units.select("unit_id", "unit_index"), "unit_id")
+        .join(came_from, "asset_id")
+        .select(
+            "query_id",
+            F.col("_origin").alias("asset_id"),
+            "kind",
+            "unit_index",
+            "all_words",
+            "keyword_score",
+            "rank",
+        )
+    )

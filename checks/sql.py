@@ -473,7 +473,7 @@ view(
     """SELECT query_id, asset_id, arg_min(start_at, (-similarity, start_at)) AS sentence_start,
        arg_min(end_at, (-similarity, start_at)) AS sentence_end
 FROM (SELECT s.query_id, s.asset_id, s.start_at, s.end_at,
-             round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity
+             round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity
       FROM numbered_sentences s JOIN sentence_vectors v USING (sentence_id) JOIN query_vectors q USING (query_id))
 GROUP BY query_id, asset_id""",
     "numbered_sentences",

@@ -1,12 +1,11 @@
 """Views over the given tables that stand for uploads, assets, units, vectors and queries."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.operators import enrich, intake, metadata, passages, units
 from trovelight.plans.index import Index, build_index
+from trovelight.plans.lineage import new_folder
 from trovelight.plans.sizing import spread
 from trovelight.session import configure
 from trovelight.sources.files import files_of_documents
@@ -24,12 +23,6 @@ def forget_index() -> None:
     _written.clear()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps shared files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/trovelight"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 class Views:
     """The views of one folder of tables; every one is built when it is asked for."""
 
@@ -41,7 +34,7 @@ class Views:
         """The index of all assets, written once per application and read by every search."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _written:
-            folder = shared_folder(self.spark, "index")
+            folder = new_folder(self.spark, "index")
             build_index(
                 self.assets(),
                 self.chunks(),

@@ -228,6 +228,9 @@ def test_photo_details(spark):
             (" 2026:08:11 14:32:05 ", [38.0, 30.0, 36.0], "N", [9.0, 15.0, 0.0], None),
             (None, None, None, None, None),
             ("yesterday", [38.0, 30.0, 36.0], "N", [9.0, 15.0, 0.0], "E"),
+            ("2026:08:11 14:32:05", [38.0, 30.0], "N", [9.0, 15.0, 0.0], "E"),
+            ("2026:08:11 14:32:05", [38.0, None, 1.0], "N", [9.0, 15.0, 0.0], "E"),
+            ("2026:08:11 14:32:05", [38.0], None, [], None),
         ],
         schema,
     )
@@ -237,4 +240,7 @@ def test_photo_details(spark):
         ("2026-08-11 14:32", None, None),
         (None, None, None),
         (None, None, None),
+        (None, None, None),
+        (None, None, None),
+        ("2026-08-11 14:32", None, None),
     ]

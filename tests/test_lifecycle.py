@@ -146,9 +146,16 @@ def test_catalogue(spark):
     view = {r.asset_id: r for r in catalog.asset_view(table).collect()}
     assert view[1].metadata is not None and view[2].metadata is None
     units = spark.createDataFrame([(1, 1, "demo", "content"), (2, 11, "other", "content")], UNITS)
-    kept, kept_units, deleted = catalog.delete_collection(both, units, "demo")
-    assert (kept.count(), kept_units.count(), deleted.first().deleted) == (3, 1, 3)
-    assert catalog.delete_collection(both, units, "none")[2].first().deleted == 0
+    names = spark.createDataFrame(
+        [("demo", "h", 1, "z", 9), ("demo", "h", 1, "y", 9), ("other", "h", 11, "x", 3)],
+        "collection string, sha256 string, asset_id long, alias string, first_arrival long",
+    )
+    kept, deleted = catalog.delete_collection("demo", both, units=units, aliases=names)
+    assert {name: rows.count() for name, rows in kept.items()} == {"assets": 3, "units": 1, "aliases": 1}
+    assert deleted.first().deleted == 3
+    assert catalog.delete_collection("none", both)[1].first().deleted == 0
+    shown = catalog.asset_aliases(table, names).orderBy("place").collect()
+    assert [(r.asset_id, r.alias, r.place) for r in shown] == [(1, "y", 1), (1, "z", 2)]
     ids = spark.createDataFrame([(2,), (99,)], "asset_id long")
     assert {r.asset_id: r.found for r in catalog.get_assets(ids, both).collect()} == {2: True, 99: False}
 

@@ -141,7 +141,7 @@ def test_batches_keep_their_order_and_a_failure_takes_its_owner(spark):
             raise ConnectionError("down")
         return [[float(text), 1.0] for text in texts]
 
-    found = enrich.embed_batches(rows, "id", "owner", "t", embed, batch=4, parallel=3).collect()
+    found = enrich.embed_batches(rows, "id", "owner", "t", embed, batch=4).collect()
     assert len(found) == 95
     bad = {r.owner for r in found if r.error}
     assert 3 in bad and len(bad) < 10
@@ -153,15 +153,15 @@ def test_batches_keep_their_order_and_a_failure_takes_its_owner(spark):
 
 
 def test_a_wrong_number_of_vectors_is_an_error(spark):
-    rows = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "id int, owner int, t string")
-    found = enrich.embed_batches(rows, "id", "owner", "t", lambda texts: [], parallel=1).collect()
+    rows = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "id int, owner int, t string").coalesce(1)
+    found = enrich.embed_batches(rows, "id", "owner", "t", lambda texts: []).collect()
     assert {r.error for r in found} == {"ValueError: 0 vectors for 2 inputs"}
 
 
 def test_models_by_name():
     enrich.register_model("embed", "sizes", lambda settings: lambda rows: rows)
     assert enrich.get_model("embed", "sizes")(5) == 5
-    with pytest.raises(ValueError, match="known: sizes"):
+    with pytest.raises(ValueError, match="known: .*sizes"):
         enrich.get_model("embed", "none")
     with pytest.raises(ValueError, match="unknown role"):
         enrich.register_model("translate", "x", lambda settings: None)
@@ -174,3 +174,37 @@ def test_prepared_inputs(spark):
     summaries, chunks = enrich.prepare_inputs(rows)
     assert summaries.first().summary == "one two"
     assert [(r.start_char, r.end_char, r.text) for r in chunks.collect()] == [(0, 7, "one two")]
+
+
+def test_every_text_is_sent_once(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        sent.add(len(texts))
+        return [[1.0] for _ in texts]
+
+    rows = spark.createDataFrame([(n, n // 4, f"text {n}") for n in range(50)], "id int, owner int, t string").repartition(5)
+    found = enrich.embed_batches(rows, "id", "owner", "t", embed)
+    assert found.count() == 50
+    assert found.where("error is null").count() == 50
+    assert sent.value == 50
+
+
+def test_every_request_is_asked_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(rows):
+        def answer(batches):
+            for batch in batches:
+                asked.add(len(batch))
+                yield batch.assign(answer=batch["t"].str.upper())[["request", "answer"]]
+
+        return rows.select("request", "t").mapInPandas(answer, "request string, answer string")
+
+    inputs = spark.createDataFrame([(n, f"t{n % 7}") for n in range(40)], "id int, t string")
+    inputs = inputs.withColumn("request", enrich.request_key(text=F.col("t")))
+    cache = spark.createDataFrame([], "request string, answer string")
+    answered, new = enrich.infer_incremental(inputs, cache, model, ["answer"])
+    assert answered.where("answer = upper(t)").count() == 40
+    assert new.count() == 7
+    assert asked.value == 7

@@ -1,286 +1,284 @@
-"""Fusion, grouping, order, pages, relevance and closest sentences."""
+"""From two rankings to a page of results, against plain restatements over rankings drawn at random."""
 
+from collections import defaultdict
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trovelight.operators import evaluate, fusion, results
 
-HIT = (
+HITS = (
     "query_id int, unit_id long, asset_id long, kind string, asset_type string, "
     "all_words boolean, rank int"
 )
-PHOTO, NOTES, DIAGRAM = 1, 2, 3
-
-
-def ranked(spark, *units, all_words=False):
-    rows = [
-        (1, unit, asset, "content", "text", all_words, rank)
-        for rank, (unit, asset) in enumerate(units, 1)
-    ]
-    return spark.createDataFrame(rows, HIT)
-
-
-def fused(spark, keyword, vector):
-    return fusion.relative_score(fusion.fuse_units(keyword, vector))
-
-
-def in_order(units):
-    rows = units.orderBy(F.col("score").desc(), "unit_id").collect()
-    return [(r.unit_id, r.score) for r in rows]
-
+KINDS = ["content", "metadata", "filename"]
+TIERS = {"exact": 0, "partial": 1, "semantic": 2}
 
-def grouped(units):
-    rows = fusion.group_by_asset(units).orderBy(F.col("score").desc(), "best_unit_id").collect()
-    return [(r.asset_id, r.unit_id, r.match) for r in rows]
 
+def asset_of(unit):
+    return unit % 7
 
-def test_scores_add_up(spark):
-    units = fused(spark, ranked(spark, (10, PHOTO)), ranked(spark, (11, NOTES), (10, PHOTO)))
-    assert in_order(units) == [(10, pytest.approx(1 / 61 + 1 / 62)), (11, pytest.approx(1 / 61))]
 
+@pytest.fixture(scope="module")
+def rankings():
+    """Two rankings for each of four queries: (unit, whether it holds all words) from best to worst."""
+    random = np.random.default_rng(40)
+    found = {}
+    for query in range(4):
+        keyword = random.permutation(30)[: int(random.integers(0, 20))].tolist()
+        full = int(random.integers(0, len(keyword) + 1))
+        vector = random.permutation(30)[: int(random.integers(1, 20))].tolist()
+        found[query] = ([(unit, place < full) for place, unit in enumerate(keyword)], vector)
+    return found
 
-def test_both_paths_beat_one(spark):
-    keyword = ranked(spark, (1, PHOTO), (2, PHOTO), (30, NOTES))
-    vector = ranked(spark, (3, DIAGRAM), (4, DIAGRAM), (30, NOTES))
-    assert in_order(fused(spark, keyword, vector))[0][0] == 30
 
-
-def test_one_path_keeps_its_order_and_ties_go_by_id(spark):
-    nothing = ranked(spark, (0, 0)).where("false")
-    units = fused(spark, ranked(spark, (7, NOTES), (3, PHOTO), (5, DIAGRAM)), nothing)
-    assert [unit for unit, _ in in_order(units)] == [7, 3, 5]
-    units = fused(spark, ranked(spark, (9, PHOTO)), ranked(spark, (4, NOTES)))
-    assert [unit for unit, _ in in_order(units)] == [4, 9]
-    assert fused(spark, nothing, nothing).count() == 0
-
-
-def test_an_asset_counts_by_its_best_unit(spark):
-    units = fused(
-        spark, ranked(spark, (20, NOTES), (21, NOTES)), ranked(spark, (21, NOTES), (22, PHOTO))
-    )
-    assert [(asset, unit) for asset, unit, _ in grouped(units)] == [(NOTES, 21), (PHOTO, 22)]
-    many = ranked(spark, (1, PHOTO), (2, NOTES), (3, NOTES), (4, NOTES), (5, NOTES))
-    assert [asset for asset, _, _ in grouped(fused(spark, many, many.where("false")))] == [
-        PHOTO,
-        NOTES,
+def table(spark, lists):
+    rows = [
+        (query, unit, asset_of(unit), KINDS[unit % 3], "text" if unit % 2 else "image", every, place)
+        for query, units in lists.items()
+        for place, (unit, every) in enumerate(units, 1)
     ]
+    return spark.createDataFrame(rows, HITS)
 
 
-def test_kinds_of_match(spark):
-    keyword = ranked(spark, (1, PHOTO), (2, NOTES)).withColumn("all_words", F.col("unit_id") == 1)
-    units = fused(spark, keyword, ranked(spark, (1, PHOTO), (3, DIAGRAM)))
-    assert {r.unit_id: r.match for r in units.collect()} == {1: "exact", 2: "partial", 3: "semantic"}
-
-
-def test_the_strongest_match_is_shown_and_the_best_score_kept(spark):
-    keyword = ranked(spark, (6, NOTES), (5, NOTES)).withColumn("all_words", F.col("unit_id") == 6)
-    units = fused(spark, keyword, ranked(spark, (5, NOTES)))
-    [row] = fusion.group_by_asset(units).collect()
-    assert (row.match, row.unit_id, row.best_unit_id, row.score) == ("exact", 6, 5, 1.0)
-
-
-def test_filters_do_not_change_scores(spark):
-    units = fused(spark, ranked(spark, (1, PHOTO), (2, NOTES)), ranked(spark, (9, 9)).where("false"))
-    [row] = fusion.group_by_asset(units.where("unit_id = 2")).collect()
-    assert row.score == pytest.approx((1 / 62) / (1 / 61))
+@pytest.fixture(scope="module")
+def units(spark, rankings):
+    keyword = table(spark, {q: k for q, (k, _) in rankings.items()})
+    vector = table(spark, {q: [(u, False) for u in v] for q, (_, v) in rankings.items()})
+    return fusion.relative_score(fusion.fuse_units(keyword, vector))
 
 
-def test_unit_filters(spark):
-    rows = spark.createDataFrame(
-        [(1, "content", "text"), (2, "metadata", "text"), (3, "metadata", "image"), (4, "image", "image")],
-        "unit_id int, kind string, asset_type string",
-    )
-
-    def kept(types, kinds):
-        def choice(values):
-            column = F.array(*[F.lit(v) for v in values]) if values else F.lit(None)
-            return column.cast("array<string>")
+def restated(rankings):
+    """(query, unit) to its score, its share of the query's best score, and its kind of match."""
+    found = {}
+    for query, (keyword, vector) in rankings.items():
+        scores, kinds = defaultdict(float), {}
+        for place, unit in enumerate(vector, 1):
+            scores[unit] += 1 / (60 + place)
+            kinds[unit] = "semantic"
+        for place, (unit, every) in enumerate(keyword, 1):
+            scores[unit] += 1 / (60 + place)
+            kinds[unit] = "exact" if every else "partial"
+        top = max(scores.values())
+        found |= {(query, unit): (score, score / top, kinds[unit]) for unit, score in scores.items()}
+    return found
+
+
+def assets_restated(fused):
+    """(query, asset) to score, match, the unit shown and the best unit."""
+    by_asset = defaultdict(list)
+    for (query, unit), (_, score, kind) in fused.items():
+        by_asset[query, asset_of(unit)].append((score, kind, unit))
+    found = {}
+    for key, members in by_asset.items():
+        best = min(members, key=lambda m: (-m[0], m[2]))
+        shown = min(members, key=lambda m: (TIERS[m[1]], -m[0], m[2]))
+        found[key] = (best[0], shown[1], shown[2], best[2])
+    return found
+
+
+def test_fused_scores_and_kinds(units, rankings):
+    found = {(r.query_id, r.unit_id): (r.score, r.match) for r in units.collect()}
+    expected = restated(rankings)
+    assert found.keys() == expected.keys()
+    for key, (score, _, kind) in expected.items():
+        assert found[key] == (pytest.approx(score), kind)
+
+
+def test_assets_show_their_strongest_unit(units, rankings):
+    rows = fusion.group_by_asset(units).collect()
+    found = {(r.query_id, r.asset_id): (r.score, r.match, r.unit_id, r.best_unit_id) for r in rows}
+    for key, (score, match, shown, best) in assets_restated(restated(rankings)).items():
+        assert found.pop(key) == (pytest.approx(score), match, shown, best)
+    assert not found
+
+
+@pytest.mark.parametrize("types", [None, ["text"]])
+@pytest.mark.parametrize("kinds", [None, ["metadata"], ["content", "filename"]])
+def test_filters_take_units_and_leave_scores(units, rankings, types, kinds):
+    def chosen(values):
+        return (F.array(*[F.lit(v) for v in values]) if values else F.lit(None)).cast("array<string>")
+
+    kept = fusion.filter_units(units.withColumns({"asset_types": chosen(types), "unit_kinds": chosen(kinds)}))
+    expected = {
+        key: score
+        for key, (score, _, _) in restated(rankings).items()
+        if (not types or ("text" if key[1] % 2 else "image") in types) and (not kinds or KINDS[key[1] % 3] in kinds)
+    }
+    assert {(r.query_id, r.unit_id): r.score for r in kept.collect()} == pytest.approx(expected)
 
-        chosen = rows.withColumns({"asset_types": choice(types), "unit_kinds": choice(kinds)})
-        return sorted(r.unit_id for r in fusion.filter_units(chosen).collect())
 
-    assert kept(None, None) == [1, 2, 3, 4]
-    assert kept(["image"], None) == [3, 4]
-    assert kept(None, ["metadata"]) == [2, 3]
-    assert kept(["text"], ["metadata", "image"]) == [2]
+@pytest.mark.parametrize("order", ["blended", "relevance", "exact_first", "tiered"])
+def test_orders(units, rankings, order):
+    tier = {"exact_first": lambda m: min(TIERS[m], 1), "tiered": lambda m: TIERS[m]}.get(order, lambda m: 0)
+    grouped = fusion.group_by_asset(units).withColumn("order", F.lit(order))
+    found = defaultdict(list)
+    for r in fusion.order_matches(grouped).orderBy("query_id", "position").collect():
+        found[r.query_id].append(r.asset_id)
+    expected = defaultdict(list)
+    for (query, asset), row in sorted(assets_restated(restated(rankings)).items(), key=lambda x: (x[0][0], tier(x[1][1]), -x[1][0], x[1][3])):
+        expected[query].append(asset)
+    assert found == expected
 
 
-S, P, E = "semantic", "partial", "exact"
+@pytest.mark.parametrize("page", [1, 2, 4, 9])
+@pytest.mark.parametrize("cap", [5, 50])
+def test_pages_cut_what_the_cap_leaves(spark, page, cap):
+    rows = spark.range(1, 12).selectExpr("1 AS query_id", "id AS position", f"{page} AS page")
+    shown = fusion.cap_and_page(rows, cap, 3).orderBy("position").collect()
+    total = min(11, cap)
+    assert [r.position for r in shown] == list(range(3 * page - 2, min(3 * page, total) + 1))
+    assert all(r.has_more == (total > 3 * page) for r in shown)
 
 
-@pytest.mark.parametrize(
-    ("order", "kinds", "expected"),
-    [
-        ("blended", [S, E, P], [1, 2, 3]),
-        ("relevance", [S, E, P], [1, 2, 3]),
-        ("exact_first", [S, P, E, S, E], [3, 5, 1, 2, 4]),
-        ("tiered", [S, P, E, S, P], [3, 2, 5, 1, 4]),
-    ],
-)
-def test_orders(spark, order, kinds, expected):
-    rows = spark.createDataFrame(
-        [(1, n, n, 1.0 / n, kind, order) for n, kind in enumerate(kinds, 1)],
-        "query_id int, asset_id int, best_unit_id int, score double, match string, `order` string",
-    )
-    ordered = fusion.order_matches(rows).orderBy("position").collect()
-    assert [r.asset_id for r in ordered] == expected
+# --- relevance ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    ("page", "cap", "expected", "more"),
-    [(1, 100, [1, 2], True), (3, 100, [5], False), (2, 4, [3, 4], False), (4, 100, [], None)],
-)
-def test_pages(spark, page, cap, expected, more):
-    rows = spark.range(1, 6).select(
-        F.lit(1).alias("query_id"), F.col("id").alias("position"), F.lit(page).alias("page")
-    )
-    shown = fusion.cap_and_page(rows, cap, 2).orderBy("position").collect()
-    assert [r.position for r in shown] == expected
-    assert {r.has_more for r in shown} == ({more} if expected else set())
-
-
-def shown(spark, *texts, order="relevance", page=1):
-    rows = [(1, 10 + n, "door", order, page, n, text, "semantic") for n, text in enumerate(texts, 1)]
-    return spark.createDataFrame(
-        rows,
-        "query_id int, asset_id int, q string, `order` string, page int, position int, t string, match string",
-    ).select(
-        "*",
-        F.struct(
-            F.lit("metadata").alias("kind"),
-            F.col("t").alias("text"),
-            F.lit(None).cast("int").alias("start_char"),
-            F.lit(None).cast("int").alias("end_char"),
-        ).alias("snippet"),
+def shown(spark, texts, order="relevance", page=1, match="semantic"):
+    rows = [(3, 100 + n, "kelp", order, page, n, text, match) for n, text in texts]
+    made = spark.createDataFrame(
+        rows, "query_id int, asset_id int, q string, `order` string, page int, position int, t string, match string"
     )
+    kind = "struct<kind:string,text:string,start_char:int,end_char:int>"
+    return made.withColumn("snippet", F.struct(F.lit("metadata"), "t", F.lit(None), F.lit(None)).cast(kind))
 
 
-def scores(spark, **by_text):
-    rows = [("door", text, score) for text, score in by_text.items()]
-    return spark.createDataFrame(rows, "q string, text string, relevance double")
+def given(spark, scores):
+    return spark.createDataFrame([("kelp", t, s) for t, s in scores.items()], "q string, text string, relevance double")
 
 
-def texts_of(rows):
+def in_order(rows):
     return [(r.t, r.relevance) for r in rows.orderBy("position").collect()]
 
 
-def test_relevance_sorts_candidates_only(spark):
-    given = scores(spark, tram=0.2, bakery=0.9, river=0.6, hill=1.0)
-    rows = shown(spark, "tram", "bakery", "river", "hill")
-    found = texts_of(results.rerank(rows, given, candidates=3))
-    assert found == [("bakery", 0.9), ("river", 0.6), ("tram", 0.2), ("hill", None)]
+@pytest.mark.parametrize("order", ["relevance", "tiered"])
+def test_the_first_candidates_are_sorted_by_relevance(spark, order):
+    random = np.random.default_rng(4)
+    scores = {f"text {n}": float(s) for n, s in enumerate(random.permutation(12) / 12)}
+    found = in_order(results.rerank(shown(spark, list(enumerate(scores, 1)), order), given(spark, scores), candidates=8, page_size=10))
+    texts = list(scores)
+    first = sorted(texts[:8], key=lambda t: -scores[t]) if order == "relevance" else texts[:8]
+    assert found == [(t, scores[t]) for t in first] + [(t, None) for t in texts[8:10]]
 
 
-def test_other_orders_keep_their_order(spark):
-    given = scores(spark, tram=0.2, bakery=0.9)
-    rows = shown(spark, "tram", "bakery", order="tiered")
-    assert texts_of(results.rerank(rows, given)) == [("tram", 0.2), ("bakery", 0.9)]
+def test_pages_are_cut_after_sorting_and_gaps_close(spark):
+    texts = [(1, "kelp"), (3, "reef"), (4, "cove"), (6, "mast")]
+    scores = given(spark, {"kelp": 0.1, "reef": 0.4, "cove": 0.2, "mast": 0.3})
+    found = results.rerank(shown(spark, texts, page=2), scores, candidates=4, page_size=2)
+    assert in_order(found) == [("cove", 0.2), ("kelp", 0.1)]
+    beyond = results.rerank(shown(spark, texts, page=3).where("position > 4"), scores, candidates=4, page_size=2)
+    assert in_order(beyond) == [("mast", None)]
 
 
-def test_without_relevance_nothing_changes(spark):
-    rows = shown(spark, "tram", "bakery")
-    assert texts_of(results.rerank(rows, None)) == [("tram", None), ("bakery", None)]
-    # A reranker that did not answer for all leaves the query as it was.
-    assert texts_of(results.rerank(rows, scores(spark, bakery=0.9))) == [
-        ("tram", None),
-        ("bakery", None),
-    ]
-
-
-def test_assets_that_are_gone_leave_no_gap_and_pages_are_cut_after_sorting(spark):
-    given = scores(spark, a=0.1, b=0.2, c=0.3, d=0.4)
-    rows = shown(spark, "a", "gone", "b", "c", "d", page=2).where("t <> 'gone'")
-    found = texts_of(results.rerank(rows, given, candidates=4, page_size=2))
-    assert found == [("b", 0.2), ("a", 0.1)]
+def test_a_reranker_that_did_not_answer_changes_nothing(spark):
+    rows = shown(spark, [(1, "kelp"), (2, "reef"), (3, "cove")])
+    for relevance in (None, given(spark, {"reef": 0.9, "cove": 0.8})):
+        assert in_order(results.rerank(rows, relevance)) == [("kelp", None), ("reef", None), ("cove", None)]
 
 
-def test_pages_past_the_candidates_have_no_relevance(spark):
-    rows = shown(spark, "a", "b", "c", "d", page=2).where("position > 2")
-    found = results.rerank(rows, scores(spark, c=0.1, d=0.9), candidates=2, page_size=2)
-    assert texts_of(found) == [("c", None), ("d", None)]
+def test_what_the_cache_knows_is_not_asked_again(spark):
+    asked = spark.sparkContext.accumulator(0)
 
+    def score(pairs):
+        def answer(batches):
+            for batch in batches:
+                asked.add(len(batch))
+                yield batch.assign(relevance=batch["text"].str.len() / 100)
 
-def test_only_unseen_texts_are_scored(spark):
-    asked = []
+        return pairs.mapInPandas(answer, "model string, q string, text string, relevance double")
 
-    def model(pairs):
-        asked.append(sorted(r.text for r in pairs.collect()))
-        return pairs.withColumn("relevance", F.lit(0.5).cast("double"))
+    cache = spark.createDataFrame([("m1", "kelp", "reef", 0.9)], "model string, q string, text string, relevance double")
+    rows = shown(spark, [(1, "cove"), (2, "reef"), (3, "cove"), (4, "mast bay")])
+    scores, new = results.rerank_cached(rows, cache, "m1", score)
+    found = in_order(results.rerank(rows, scores))
+    assert found == [("reef", 0.9), ("mast bay", 0.08), ("cove", 0.04), ("cove", 0.04)]
+    assert sorted(r.text for r in new.collect()) == ["cove", "mast bay"]
+    assert asked.value == 2
+    assert results.rerank_cached(rows, cache, "m2", score)[1].count() == 3
 
-    cache = spark.createDataFrame([("m", "door", "tram", 0.2)], "model string, q string, text string, relevance double")
-    rows = shown(spark, "tram", "bakery", "bakery")
-    given, new = results.rerank_cached(rows, cache, "m", model)
-    assert asked == [["bakery"]]
-    assert [r.text for r in new.collect()] == ["bakery"]
-    assert texts_of(results.rerank(rows, given)) == [("bakery", 0.5), ("bakery", 0.5), ("tram", 0.2)]
-    _, other = results.rerank_cached(rows, cache, "other model", model)
-    assert sorted(r.text for r in other.collect()) == ["bakery", "tram"]
 
+def test_the_share_of_words(spark):
+    df = spark.createDataFrame([("Kelp reef mast cove", "KELPER and unreefed")], "q string, t string")
+    assert df.select(results.word_share(F.col("q"), F.col("t"))).first()[0] == pytest.approx(0.5)
 
-def test_word_share(spark):
-    df = spark.createDataFrame([("Green door now", "a DOORway, evergreen")], "q string, t string")
-    assert df.select(results.word_share(F.col("q"), F.col("t"))).first()[0] == pytest.approx(2 / 3)
 
-
-def test_closest_sentence(spark):
+def test_the_closest_sentence(spark):
     def embed(rows):
-        axis = F.when(F.contains("text", F.lit("bakery")), 0).when(F.contains("text", F.lit("north")), 2)
-        values = [F.when(axis == n, 1.0).otherwise(0.0) for n in range(2)]
-        return rows.withColumn("embedding", F.array(*values).cast("array<float>"))
+        counts = [F.length("text") - F.length(F.replace("text", F.lit(c))) for c in "kr"]
+        return rows.withColumn("embedding", F.array(*counts).cast("array<float>"))
 
-    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
-    rows = shown(spark, "Trams run. A bakery sells tarts. A bakery too.", "Due north. All is flat.", "!!!")
-    rows = rows.union(rows.where("position = 1").withColumns({"asset_id": F.lit(99), "match": F.lit("exact")}))
+    vectors = spark.createDataFrame([(3, [0.0, 1.0])], "query_id int, embedding array<float>")
+    text = "Kkk kk. Rr kr. Rrr rr. Rr."
+    rows = shown(spark, [(1, text), (2, "Kk k."), (3, "?!")]).unionByName(
+        shown(spark, [(4, text)], match="exact")
+    )
     found = {
         r.asset_id: (r.sentence_start, r.sentence_end)
-        for r in results.closest_sentence(rows, vectors, embed).collect()
+        for r in results.closest_sentence(rows, vectors, embed, 6).collect()
     }
-    assert found == {11: (11, 32), 12: (0, 10), 13: (None, None), 99: (None, None)}
+    first = (text.index("Rrr"), text.index("Rrr") + len("Rrr rr."))
+    assert found == {101: first, 102: (0, 5), 103: (None, None), 104: (None, None)}
 
 
-def fetch(spark, kind, body="b"):
-    matches = spark.createDataFrame([(1, "c", 5, 7)], "query_id int, collection string, asset_id int, unit_id int")
+# --- rows of results ---------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    kinds = ["content", "metadata", "image", "visible_text", "filename"]
     units = spark.createDataFrame(
-        [("c", 7, kind, body, 3, 9)], "collection string, unit_id int, kind string, body string, start_char int, end_char int"
+        [("shore", 50 + n, kind, f"body {n}", n, n + 6) for n, kind in enumerate(kinds)],
+        "collection string, unit_id int, kind string, body string, start_char int, end_char int",
     )
     assets = spark.createDataFrame(
-        [("c", 5, "n.txt", "text", "T", "D", "V")],
+        [("shore", n, f"{n}.txt", "text", f"title {n}", f"description {n}", f"shown {n}") for n in range(5)],
         "collection string, asset_id int, filename string, asset_type string, title string, description string, visible_text string",
     )
+    matches = spark.createDataFrame(
+        [(q, "shore", n, 50 + n) for q in (1, 2) for n in range(5)], "query_id int, collection string, asset_id int, unit_id int"
+    )
     return matches, units, assets
 
 
-@pytest.mark.parametrize(
-    ("kind", "expected"),
-    [
-        ("content", ("b", 3, 9)),
-        ("metadata", ("D", None, None)),
-        ("image", ("D", None, None)),
-        ("visible_text", ("V", None, None)),
-        ("filename", ("n.txt", None, None)),
-    ],
-)
-def test_snippets(spark, kind, expected):
-    [row] = results.fetch_results(*fetch(spark, kind)).collect()
-    assert (row.snippet.text, row.snippet.start_char, row.snippet.end_char) == expected
+@pytest.mark.parametrize("few", [True, False])
+def test_snippets_by_kind(stored, few):
+    rows = results.fetch_results(*stored, few).where("query_id = 2").collect()
+    found = {r.asset_id: (r.filename, r.snippet.text, r.snippet.start_char, r.snippet.end_char) for r in rows}
+    assert found == {
+        0: ("0.txt", "body 0", 0, 6),
+        1: ("1.txt", "description 1", None, None),
+        2: ("2.txt", "description 2", None, None),
+        3: ("3.txt", "shown 3", None, None),
+        4: ("4.txt", "4.txt", None, None),
+    }
 
 
-def test_unknown_kinds_fail_and_deleted_assets_drop_out(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_assets_that_are_gone_drop_out(stored, few):
+    matches, units, assets = stored
+    rows = results.fetch_results(matches, units, assets.where("asset_id > 2"), few).collect()
+    assert sorted((r.query_id, r.asset_id) for r in rows) == [(1, 3), (1, 4), (2, 3), (2, 4)]
+
+
+def test_bodies_are_not_broadcast(stored):
+    plan = results.fetch_results(*stored, True)._jdf.queryExecution().optimizedPlan().toString()
+    hinted = [line for line in plan.splitlines() if "strategy=broadcast" in line]
+    assert hinted and all("LeftSemi" in line and "rightHint" in line for line in hinted)
+
+
+def test_unknown_kinds_are_an_error(stored):
+    matches, units, assets = stored
     with pytest.raises(Exception, match="unknown unit kind"):
-        results.fetch_results(*fetch(spark, "page")).collect()
-    matches, units, assets = fetch(spark, "content")
-    assert results.fetch_results(matches, units, assets.where("false")).count() == 0
+        results.fetch_results(matches, units.withColumn("kind", F.lit("page")), assets).collect()
 
 
-def test_query_matrix(spark):
-    found = spark.createDataFrame([(1, 5, 1), (1, 6, 30), (2, 9, 1)], "query_id int, asset_id int, position int")
+def test_the_query_matrix_counts_what_was_expected(spark):
+    places = spark.createDataFrame([(7, 1, 1), (7, 2, 21), (7, 3, 4), (8, 4, 2)], "query_id int, asset_id int, position int")
     expected = spark.createDataFrame(
-        [(1, 5, "must_hit"), (1, 6, "must_hit"), (2, 9, "must_not_top"), (3, 1, "must_hit")],
+        [(7, 1, "must_hit"), (7, 2, "must_hit"), (7, 3, "must_hit"), (7, 9, "must_hit"), (8, 4, "must_not_top"), (9, 1, "must_not_top")],
         "query_id int, asset_id int, expected string",
     )
-    rows = evaluate.query_matrix(found, expected).orderBy("query_id").collect()
-    assert [(r.must_hit, r.hits, r.best_position, r.on_top, r.recall) for r in rows] == [
-        (2, 1, 1, 0, 0.5),
-        (0, 0, None, 1, None),
-        (1, 0, None, 0, 0.0),
-    ]
+    rows = {r.query_id: r for r in evaluate.query_matrix(places, expected).collect()}
+    assert (rows[7].must_hit, rows[7].hits, rows[7].best_position, rows[7].recall) == (4, 2, 1, 0.5)
+    assert [(rows[q].must_hit, rows[q].on_top, rows[q].recall) for q in (8, 9)] == [(0, 0, None), (0, 0, None)]

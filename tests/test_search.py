@@ -1,4 +1,4 @@
-"""Both paths, over units written by hand, so that every order is known beforehand."""
+"""Both search paths against plain restatements of their rules, over texts and vectors drawn at random."""
 
 import numpy as np
 import pytest
@@ -7,102 +7,156 @@ from pyspark.sql import functions as F
 from trovelight.operators import keyword, nearest
 from trovelight.operators.units import assign_unit_ids, build_postings, build_units, embed_hashed_words
 
-UNITS = (
-    "unit_id long, collection string, asset_id long, kind string, asset_type string, body string"
-)
-
-
-def units(spark, *bodies, collection="demo"):
-    rows = [(n, collection, 1, "content", "text", body) for n, body in enumerate(bodies, 1)]
-    return spark.createDataFrame(rows, UNITS)
-
-
-def found(spark, rows, query, k=10, whole=True, **options):
-    asked = spark.createDataFrame([(1, "demo", query)], "query_id long, collection string, q string")
-    hits = keyword.keyword_search(
-        asked, build_postings(rows), rows if whole else None, k, **options
-    )
-    return [(r.unit_id, r.all_words) for r in hits.orderBy("rank").collect()]
-
-
-def ids(*args, **options):
-    return [unit for unit, _ in found(*args, **options)]
-
-
-@pytest.mark.parametrize("max_broadcast_rows", [1000, 0])
-def test_more_occurrences_rank_first(spark, max_broadcast_rows):
-    rows = units(spark, "a walk to the pier", "pier lights, pier boats, pier wall", "some hills")
-    assert found(spark, rows, "pier", max_broadcast_rows=max_broadcast_rows, salts=3) == [
-        (2, True),
-        (1, True),
-    ]
-
-
-def test_word_forms_match(spark):
-    assert ids(spark, units(spark, "the boat left early"), "boats") == [1]
-
-
-def test_collections_stay_apart(spark):
-    rows = units(spark, "green door").union(
-        units(spark, "green door", collection="other").withColumn("unit_id", F.lit(2).cast("long"))
-    )
-    assert ids(spark, rows, "green door") == [1]
-
-
-def test_stop_words_alone_find_nothing(spark):
-    assert ids(spark, units(spark, "the and of"), "the and of") == []
-
-
-def test_phrases_and_exclusions(spark):
-    rows = units(spark, "green door left open", "door that is green", "the cat of the house")
-    assert ids(spark, rows, '"green door"') == [1]
-    assert ids(spark, rows, "door -open") == [2]
-    assert ids(spark, rows, '"cat of the house"') == [3]
-    assert ids(spark, rows, '"cat house"') == []
-    assert ids(spark, rows, 'door -"green door"') == [2]
-
-
-def test_alternatives(spark):
-    rows = units(spark, "rome by night", "paris by day", "oslo", "night in paris")
-    assert ids(spark, rows, "rome or paris") == [1, 2, 4]
-    assert ids(spark, rows, "rome night OR oslo") == [1, 3]
-    assert all(all_words for _, all_words in found(spark, rows, "rome or paris"))
-
-
-def test_only_exclusions_find_the_rest(spark):
-    rows = units(spark, "green door", "red gate", None)
-    assert ids(spark, rows, "-green") == [2, 3]
-
-
-def test_some_words_are_enough_for_a_plain_query(spark):
-    rows = units(spark, "rome bridge", "paris metro")
-    assert found(spark, rows, "rome museeum") == [(1, False)]
-
-
-def test_all_words_come_before_some(spark):
-    rows = units(spark, "rome rome rome rome", "a museum in rome")
-    assert found(spark, rows, "rome museum") == [(2, True), (1, False)]
+UNITS = "unit_id long, collection string, asset_id long, kind string, asset_type string, body string"
+ASKED = "query_id long, collection string, q string"
+# Words that are neither stop words nor changed by stemming, and one that is a stop word.
+WORDS = ["kelp", "brim", "otter", "reef", "cove", "loam", "gull", "fern", "mast", "hull"]
+STOP = "the"
 
 
-def test_words_of_one_token_belong_together(spark):
-    rows = units(spark, "state of the art", "the state", "new art")
-    assert ids(spark, rows, "state-of-the-art") == [1]
-    assert ids(spark, rows, "new state-of-the-art") == [1, 3]
-
-
-@pytest.mark.parametrize("query", ['pier & | ! ( " :*', "pier '", 'pier ""', "pier \\ [ *"])
-def test_odd_characters_do_no_harm(spark, query):
-    assert ids(spark, units(spark, "the pier"), query) == [1]
+@pytest.fixture(scope="module")
+def bodies():
+    """Unit bodies by id: runs of the words above, in two collections, one body missing."""
+    random = np.random.default_rng(21)
+    made = {}
+    for n in range(1, 61):
+        size = int(random.integers(1, 14))
+        made[n] = " ".join(random.choice([*WORDS, STOP], size).tolist())
+    made[17] = None
+    return made
 
 
-@pytest.mark.parametrize("query", ["", "???", '"', "-", "or", "- or -"])
-def test_queries_without_words_find_nothing(spark, query):
-    assert ids(spark, units(spark, "the pier"), query) == []
+@pytest.fixture(scope="module")
+def units(spark, bodies):
+    rows = [(n, "shore" if n % 4 else "inland", n // 3, "content", "text", body) for n, body in bodies.items()]
+    return spark.createDataFrame(rows, UNITS)
 
 
-def test_ties_go_by_unit_id_and_ranks_have_no_gaps(spark):
-    rows = units(spark, *["pier lights"] * 5)
-    assert ids(spark, rows, "pier", k=3) == [1, 2, 3]
+def weight(times):
+    return sum(1 / (j * j) for j in range(1, times + 1))
+
+
+class Plain:
+    """One unit, and whether it satisfies a query given as alternatives of (negated, words, phrase)."""
+
+    def __init__(self, body):
+        self.words = (body or "").split()
+
+    def holds(self, words, phrase):
+        asked = [w for w in words if w != STOP]
+        if not phrase:
+            return all(w in self.words for w in asked)
+        places = range(-len(words), len(self.words))
+        return any(
+            all(w == STOP or (0 <= at + i < len(self.words) and self.words[at + i] == w) for i, w in enumerate(words))
+            for at in places
+        )
+
+    def score(self, asked):
+        return sum(weight(self.words.count(w)) for w in set(asked) if w != STOP)
+
+    def judge(self, alternatives):
+        """Whether any alternative holds, and the score: words asked for by those that hold."""
+        counted, total = set(), set()
+        matched = False
+        for literals in alternatives:
+            literals = [x for x in literals if any(w != STOP for w in x[1])]
+            asked = {w for negated, words, _ in literals if not negated for w in words if w != STOP}
+            total |= asked
+            if literals and all(self.holds(words, phrase) != negated for negated, words, phrase in literals):
+                matched = True
+                counted |= asked
+        return matched, round(self.score(counted) / max(1, len(total)), 9)
+
+
+def ranked(rows, k):
+    """(unit, all_words, score) in the order of a keyword search."""
+    return sorted(rows, key=lambda r: (not r[1], -r[2], r[0]))[:k]
+
+
+def search(spark, units, query, k=100, **options):
+    asked = spark.createDataFrame([(5, "shore", query)], ASKED)
+    found = keyword.keyword_search(asked, build_postings(units, False), units, k, stem=False, **options)
+    rows = found.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    return [(r.unit_id, r.all_words, r.keyword_score) for r in rows]
+
+
+FORMS = [
+    ('"{0} {1}"', [[(False, "{0} {1}", True)]]),
+    ('"{0} the {1}" {2}', [[(False, "{0} the {1}", True), (False, "{2}", False)]]),
+    ("{0} -{1}", [[(False, "{0}", False), (True, "{1}", False)]]),
+    ('{0} -"{1} {2}"', [[(False, "{0}", False), (True, "{1} {2}", True)]]),
+    ("{0} OR {1} {2}", [[(False, "{0}", False)], [(False, "{1}", False), (False, "{2}", False)]]),
+    ("{0} or {1} -{2}", [[(False, "{0}", False)], [(False, "{1}", False), (True, "{2}", False)]]),
+    ("-{0} -{1}", [[(True, "{0}", False), (True, "{1}", False)]]),
+    ("{0} or -{1}", [[(False, "{0}", False)], [(True, "{1}", False)]]),
+]
+
+
+@pytest.mark.parametrize("form", FORMS, ids=lambda form: form[0])
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_rows": 0, "rows_per_part": 5}], ids=["sent", "shuffled"])
+def test_search_syntax_as_restated(spark, units, bodies, form, options):
+    typed, shape = form
+    words = np.random.default_rng(len(typed)).choice(WORDS, 3, replace=False).tolist()
+    alternatives = [[(no, text.format(*words).split(), phrase) for no, text, phrase in one] for one in shape]
+    expected = []
+    for n, body in bodies.items():
+        matched, score = Plain(body).judge(alternatives)
+        if n % 4 and matched:
+            expected.append((n, True, score))
+    assert search(spark, units, typed.format(*words), **options) == ranked(expected, 100)
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_rows": 0, "rows_per_part": 5}], ids=["sent", "shuffled"])
+@pytest.mark.parametrize("asked", [["kelp"], ["reef", "gull", "nowhere"], ["otter", "the", "mast"]])
+def test_plain_queries_as_restated(spark, units, bodies, asked, options):
+    needed = [w for w in asked if w != STOP]
+    expected = []
+    for n, body in bodies.items():
+        unit = Plain(body)
+        held = [w for w in needed if w in unit.words]
+        if n % 4 and held:
+            expected.append((n, len(held) == len(needed), round(unit.score(needed) / len(needed), 9)))
+    assert search(spark, units, " ".join(asked), k=7, **options) == ranked(expected, 7)
+
+
+def test_exclusions_alone_find_the_first_units_without_the_word(spark):
+    rows = spark.range(1, 400).select(
+        F.col("id").alias("unit_id"), F.lit("shore").alias("collection"), F.lit(1).cast("long").alias("asset_id"),
+        F.lit("content").alias("kind"), F.lit("text").alias("asset_type"),
+        F.when((F.col("id") < 90) | (F.col("id") % 2 == 0), "kelp reef").otherwise("reef").alias("body"),
+    )
+    # More of the first units hold the word than are looked at first.
+    assert [unit for unit, _, _ in search(spark, rows, "-kelp", k=4)] == [91, 93, 95, 97]
+    assert [unit for unit, _, _ in search(spark, rows, "-fern", k=4)] == [1, 2, 3, 4]
+    assert search(spark, rows, "-reef", k=4) == []
+
+
+def test_stemmed_words_meet(spark):
+    rows = spark.createDataFrame([(1, "shore", 1, "content", "text", "Ferns growing"), (2, "shore", 1, "content", "text", "grow")], UNITS)
+    asked = spark.createDataFrame([(1, "shore", "fern grows")], ASKED)
+    found = keyword.keyword_search(asked, build_postings(rows), rows).orderBy("rank").collect()
+    assert [(r.unit_id, r.all_words) for r in found] == [(1, True), (2, False)]
+
+
+def test_parts_of_a_token_belong_together(spark):
+    rows = [(1, "kelp-reef map"), (2, "reef of a map"), (3, "kelp")]
+    table = spark.createDataFrame([(n, "shore", 1, "content", "text", body) for n, body in rows], UNITS)
+    assert {unit for unit, _, _ in search(spark, table, "reef-kelp")} == {1}
+    assert {unit for unit, _, _ in search(spark, table, "map reef-kelp")} == {1, 2}
+
+
+@pytest.mark.parametrize("query", ["kelp ~^{}", "kelp <->", "kelp %_", "kelp\\", "{kelp}", "kelp -"])
+def test_signs_are_no_words(spark, query):
+    rows = spark.createDataFrame([(1, "shore", 1, "content", "text", "kelp")], UNITS)
+    assert [unit for unit, _, _ in search(spark, rows, query)] == [1]
+
+
+@pytest.mark.parametrize("query", ["", " ", "%%", '""', "the", "or or", "--"])
+def test_nothing_asked_finds_nothing(spark, query):
+    rows = spark.createDataFrame([(1, "shore", 1, "content", "text", "kelp the reef")], UNITS)
+    assert search(spark, rows, query) == []
 
 
 # --- vectors -----------------------------------------------------------------------------------
@@ -114,66 +168,22 @@ VECTORS = (
 QUERY = "query_id long, collection string, embedding array<float>, embedding_model string"
 
 
-def axis(*axes, dims=8):
-    return [1.0 if n in axes else 0.0 for n in range(dims)]
-
-
-def nearest_ids(spark, rows, query=axis(0), k=10, **options):
-    table = spark.createDataFrame(rows, VECTORS)
-    asked = spark.createDataFrame([(1, "demo", query, "m")], QUERY)
-    hits = nearest.vector_search(asked, table, k, **options)
-    return [r.unit_id for r in hits.orderBy("rank").collect()]
-
-
-def vector(unit_id, embedding, collection="demo", model="m"):
-    return (unit_id, 1, collection, "content", "text", embedding, model)
-
-
-@pytest.mark.parametrize("max_broadcast_vectors", [10, 0])
-def test_nearest_first_and_the_tail_is_kept(spark, max_broadcast_vectors):
-    rows = [vector(1, axis(1)), vector(2, axis(0)), vector(3, axis(0, 1)), vector(4, None)]
-    assert nearest_ids(spark, rows, max_broadcast_vectors=max_broadcast_vectors) == [2, 3, 1]
-
-
-@pytest.mark.parametrize("max_broadcast_vectors", [10, 0])
-def test_other_collections_and_models_are_never_compared(spark, max_broadcast_vectors):
+def table_of(spark, matrix, spaces):
     rows = [
-        vector(1, axis(1)),
-        vector(2, axis(0), collection="other"),
-        vector(3, axis(0), model="other"),
+        (n, n // 2, *spaces[n % len(spaces)][:1], "content", "text", row.tolist(), *spaces[n % len(spaces)][1:])
+        for n, row in enumerate(matrix)
     ]
-    assert nearest_ids(spark, rows, max_broadcast_vectors=max_broadcast_vectors) == [1]
-
+    return spark.createDataFrame(rows, VECTORS)
 
-def test_vector_ties_and_limit(spark):
-    rows = [vector(n, axis(0)) for n in (5, 3, 9, 1)]
-    assert nearest_ids(spark, rows, k=3) == [1, 3, 5]
 
+def queries_of(spark, matrix, space):
+    return spark.createDataFrame([(n, space[0], row.tolist(), space[1]) for n, row in enumerate(matrix)], QUERY)
 
-def test_zero_vectors_are_similar_to_nothing(spark):
-    rows = [vector(1, axis()), vector(2, [-1.0] + [0.0] * 7), vector(3, axis(0))]
-    assert nearest_ids(spark, rows) == [3, 1, 2]
-    assert nearest_ids(spark, rows, query=axis()) == [1, 2, 3]
 
-
-@pytest.fixture(scope="module")
-def cloud(spark):
-    rng = np.random.default_rng(5)
-    space = rng.standard_normal((600, 16)).astype(np.float32)
-    # A third of all units are copies of one vector.
-    space[:200] = space[0]
-    asked = np.concatenate([space[[0, 250]], rng.standard_normal((8, 16)).astype(np.float32)])
-    table = spark.createDataFrame([vector(n, row.tolist()) for n, row in enumerate(space)], VECTORS)
-    queries = spark.createDataFrame(
-        [(n, "demo", row.tolist(), "m") for n, row in enumerate(asked)], QUERY
-    )
-    unit = space.astype(float) / np.linalg.norm(space.astype(float), axis=1)[:, None]
-    other = asked.astype(float) / np.linalg.norm(asked.astype(float), axis=1)[:, None]
-    scores = np.round(other @ unit.T, 6)
-    exact = {
-        n: np.lexsort((np.arange(len(space)), -row))[:50].tolist() for n, row in enumerate(scores)
-    }
-    return table, queries, exact
+def cosine(a, b):
+    lengths = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+    product = a.astype(float) @ b.astype(float).T
+    return np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
 
 
 def lists(hits):
@@ -183,75 +193,120 @@ def lists(hits):
     return result
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast_vectors": 0, "units_per_cell": 70, "queries_per_cell": 3}])
-def test_both_forms_equal_brute_force(cloud, options):
-    table, queries, exact = cloud
-    assert lists(nearest.vector_search(queries, table, 50, rank_digits=6, **options)) == exact
-
-
-def test_approximate_search_finds_most_and_never_fewer(cloud):
-    table, queries, exact = cloud
-    found = lists(nearest.vector_search_approx(queries, table, 16, 50, bands=16, bits=4, rank_digits=6))
-    assert {query: len(units) for query, units in found.items()} == {query: 50 for query in exact}
-    recall = np.mean([len(set(found[q]) & set(exact[q])) / 50 for q in exact])
-    assert recall > 0.8
-
-
-def test_hashed_words(spark):
-    rows = spark.createDataFrame(
-        [(1, "red door red"), (2, "Door, red! RED"), (3, "blue"), (4, "..."), (5, None)],
-        "id int, body string",
-    )
-    found = {r.id: r for r in embed_hashed_words(rows, dims=1024).collect()}
-    assert found[1].embedding == found[2].embedding
-    assert sorted(x for x in found[1].embedding if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
-    assert found[3].embedding_model == "hashed-1024"
-    assert found[4].embedding is found[5].embedding is None
-    assert found[4].embedding_model is None
+@pytest.fixture(scope="module")
+def space():
+    """Vectors with copies, zeros and opposites; every third row is of another model, every fourth elsewhere."""
+    random = np.random.default_rng(31)
+    matrix = random.standard_normal((480, 12)).astype(np.float32)
+    matrix[::5] = matrix[0]
+    matrix[7] = 0
+    matrix[8] = -matrix[0]
+    asked = np.concatenate([matrix[[0, 9]], np.zeros((1, 12), np.float32), random.standard_normal((6, 12)).astype(np.float32)])
+    return matrix, asked
+
+
+SPACES = [("shore", "m"), ("shore", "other"), ("inland", "m")]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_vectors": 0, "units_per_cell": 25, "queries_per_cell": 2}], ids=["sent", "cells"])
+def test_vectors_as_brute_force(spark, space, options):
+    matrix, asked = space
+    mine = np.array([n for n in range(len(matrix)) if SPACES[n % 3] == ("shore", "m")])
+    scores = np.round(cosine(asked, matrix[mine]), 6)
+    expected = {n: mine[np.lexsort((mine, -row))][:40].tolist() for n, row in enumerate(scores)}
+    found = nearest.vector_search(queries_of(spark, asked, SPACES[0]), table_of(spark, matrix, SPACES), 40, rank_digits=6, **options)
+    assert lists(found) == expected
+
+
+def test_units_and_queries_without_vectors_are_left_out(spark):
+    rows = spark.createDataFrame([(1, 1, "shore", "content", "text", None, "m"), (2, 1, "shore", "content", "text", [1.0], "m")], VECTORS)
+    asked = spark.createDataFrame([(1, "shore", [1.0], "m"), (2, "shore", None, "m")], QUERY)
+    assert lists(nearest.vector_search(asked, rows)) == {1: [2]}
+
+
+def test_the_best_so_far_does_not_depend_on_the_batches():
+    from trovelight.functions.vectors import NearestSoFar
+
+    random = np.random.default_rng(2)
+    vectors = random.integers(-3, 4, (200, 4)).astype(float)
+    asked = random.standard_normal((5, 4))
+    units = np.column_stack([np.arange(200), np.arange(200), np.zeros(200, int)])
+    order = random.permutation(200)
+    found = []
+    for parts in (1, 13):
+        nearest_so_far = NearestSoFar(asked, 9, 6)
+        for part in np.array_split(order if parts > 1 else np.arange(200), parts):
+            nearest_so_far.add(units[part], vectors[part])
+        found.append({q: rows[:, 0].tolist() for q, _, rows in nearest_so_far.rows()})
+    assert found[0] == found[1]
+
+
+def test_the_approximate_search_widens_until_lists_are_full(spark, space):
+    matrix, asked = space
+    everywhere = [("shore", "m")]
+    scores = np.round(cosine(asked, matrix), 6)
+    exact = {n: np.lexsort((np.arange(len(matrix)), -row))[:60].tolist() for n, row in enumerate(scores)}
+    found = lists(nearest.vector_search_approx(queries_of(spark, asked, everywhere[0]), table_of(spark, matrix, everywhere), 12, 60, bands=6, bits=4, rank_digits=6))
+    assert {query: len(units) for query, units in found.items()} == dict.fromkeys(exact, 60)
+    with_length = [q for q in exact if asked[q].any()]
+    assert np.mean([len(set(found[q]) & set(exact[q])) / 60 for q in with_length]) > 0.7
+    # Fewer units than asked for: all of them, in the exact order.
+    few = lists(nearest.vector_search_approx(queries_of(spark, asked[:2], everywhere[0]), table_of(spark, matrix[:30], everywhere), 12, 60, bands=2, bits=3, rank_digits=6))
+    scores = np.round(cosine(asked[:2], matrix[:30]), 6)
+    assert few == {n: np.lexsort((np.arange(30), -row)).tolist() for n, row in enumerate(scores)}
+
+
+def test_hashed_words_count_words(spark):
+    texts = {1: "reef kelp reef", 2: "Kelp; REEF? reef!", 3: "gull", 4: "--", 5: None}
+    rows = spark.createDataFrame(list(texts.items()), "id int, body string")
+    found = {r.id: r for r in embed_hashed_words(rows, dims=512).collect()}
+    assert found[1].embedding == found[2].embedding != found[3].embedding
+    assert np.linalg.norm(found[1].embedding) == pytest.approx(1)
+    assert [found[n].embedding_model for n in (3, 4, 5)] == ["hashed-512", None, None]
+    assert found[4].embedding is None and found[5].embedding is None
 
 
 # --- units -------------------------------------------------------------------------------------
 
-ASSETS = (
-    "asset_id long, collection string, asset_type string, filename string, title string, "
-    "description string, tags array<string>, visible_text string"
-)
-CHUNKS = "asset_id long, collection string, unit_index int, start_char int, end_char int, text string"
 
-
-def test_units_of_images_and_texts(spark):
+def test_units_of_every_kind(spark):
     assets = spark.createDataFrame(
         [
-            (1, "c", "image", "IMG_1.jpg", "T", "D", ["a", "b"], "shown"),
-            (2, "c", "image", "x.png", "T", "D", [], ""),
-            (3, "c", "text", "n.txt", "T", "D", ["z"], None),
+            (8, "shore", "image", "cove-2.png", "A cove", "Water and rock.", ["water"], "KEEP OUT"),
+            (9, "shore", "text", "log.txt", "A log", "Days at sea.", ["sea", "log"], None),
         ],
-        ASSETS,
+        "asset_id long, collection string, asset_type string, filename string, title string, "
+        "description string, tags array<string>, visible_text string",
     )
-    chunks = spark.createDataFrame([(3, "c", 0, 0, 3, "one"), (3, "c", 1, 2, 5, "two")], CHUNKS)
-    rows = build_units(assets, chunks).orderBy("unit_id").collect()
-    assert [(r.asset_id, r.kind, r.body) for r in rows] == [
-        (1, "metadata", "T\n\nD\n\ntags: a, b"),
-        (1, "filename", "IMG_1.jpg IMG 1 jpg"),
-        (1, "image", None),
-        (1, "visible_text", "shown"),
-        (2, "metadata", "T\n\nD\n\ntags: "),
-        (2, "filename", "x.png x png"),
-        (2, "image", None),
-        (3, "metadata", "T\n\nD\n\ntags: z"),
-        (3, "filename", "n.txt n txt"),
-        (3, "content", "one"),
-        (3, "content", "two"),
-    ]
-    assert len({r.unit_id for r in rows}) == len(rows)
+    chunks = spark.createDataFrame([(9, "shore", 0, 0, 4, "Rain"), (9, "shore", 1, 5, 9, "Wind")], "asset_id long, collection string, unit_index int, start_char int, end_char int, text string")
+    rows = build_units(assets, chunks).collect()
+    found = {(r.asset_id, r.kind, r.unit_index): r.body for r in rows}
+    assert found == {
+        (8, "metadata", 0): "A cove\n\nWater and rock.\n\ntags: water",
+        (8, "filename", 0): "cove-2.png cove 2 png",
+        (8, "image", 0): None,
+        (8, "visible_text", 0): "KEEP OUT",
+        (9, "metadata", 0): "A log\n\nDays at sea.\n\ntags: sea, log",
+        (9, "filename", 0): "log.txt log txt",
+        (9, "content", 0): "Rain",
+        (9, "content", 1): "Wind",
+    }
+    by_id = sorted(rows, key=lambda r: r.unit_id)
+    assert [r.asset_id for r in by_id] == sorted(r.asset_id for r in rows)
 
 
-def test_unit_ids_refuse_what_does_not_fit(spark):
-    rows = spark.createDataFrame([(1, "content", 100_000)], "asset_id long, kind string, unit_index int")
+def test_ids_that_do_not_fit_are_refused(spark):
+    rows = spark.range(1).select(F.col("id").alias("asset_id"), F.lit("content").alias("kind"), F.lit(100_000).alias("unit_index"))
     with pytest.raises(Exception, match="no unit id"):
         assign_unit_ids(rows).collect()
 
 
-def test_postings_keep_the_places_of_stop_words(spark):
-    rows = build_postings(units(spark, "The boats and the boat", None, "the")).collect()
-    assert [(r.unit_id, r.term, r.tf, r.positions) for r in rows] == [(1, "boat", 2, [2, 5])]
+def test_stop_words_keep_their_places_in_postings(spark, units, bodies):
+    found = {(r.unit_id, r.term): (r.tf, list(r.positions)) for r in build_postings(units, False).collect()}
+    expected = {}
+    for n, body in bodies.items():
+        for at, word in enumerate((body or "").split(), 1):
+            if word != STOP:
+                times, places = expected.get((n, word), (0, []))
+                expected[n, word] = (times + 1, [*places, at])
+    assert found == expected

@@ -3,9 +3,11 @@
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from trovelight.operators import enrich, passages
+from trovelight.operators.keyword import keyword_search
 from trovelight.operators.units import embed_hashed_words
 from trovelight.settings import Settings
 from trovelight.sources.files import read_files, read_files_stream
@@ -18,13 +20,14 @@ DESCRIPTIONS = (
 )
 
 
-def ingest(spark, root, **options):
+def ingest(spark, root, embed=lambda units: embed_hashed_words(units, dims=16), embed_images=None):
     table = spark.createDataFrame([("a.txt", "First", "The first.", ["one"], "", None)], DESCRIPTIONS)
-    models = Models(
-        lambda work: enrich.describe_lookup(work, table),
-        lambda units: embed_hashed_words(units, dims=16),
-    )
-    return Ingest(str(root), models, Settings(blob_digits=1, max_attempts=2), **options)
+
+    def describe(work):
+        return enrich.answered(*enrich.describe_lookup(work, table))
+
+    models = Models(describe, embed, embed_images)
+    return Ingest(str(root), models, Settings(blob_digits=1, max_attempts=2), shards=4)
 
 
 def write(folder, **files):
@@ -65,19 +68,21 @@ def test_files_become_units_and_later_files_join_them(spark, tmp_path):
         run.start(stream, str(tmp_path / "progress")).awaitTermination()
 
     take_in()
-    assert states(run, spark) == {"a.txt": ("ready", 1), "invalid.txt": ("pending", 1)}
+    assert states(run, spark) == {"a.txt": ("ready", 1), "invalid.txt": ("failed", 2)}
     assert [(r.filename, r.collection) for r in run.rejects(spark).collect()] == [("b.txt", "demo")]
-    units = run.units(spark).collect()
+    index = run.index(spark)
+    units = index.units.collect()
     content = sorted((r.start_char, r.end_char) for r in units if r.kind == "content")
     assert content == list(passages.windows(text.decode(), 1600, 240))
     assert {r.kind for r in units} == {"metadata", "filename", "content"}
-    assert all(len(r.embedding) == 16 for r in units)
+    assert [len(r.embedding) for r in index.vectors.collect()] == [16] * len(units)
+    found = search(spark, index, "word399")
+    assert [(r.kind, r.unit_id) for r in found] == [(r.kind, r.unit_id) for r in units if "word399" in r.body]
 
-    # The same bytes under another name, the same in another collection, and a second try.
+    # The same bytes under another name, and the same in another collection.
     write(folder, copy_txt=text, d_txt=b"a new one")
     write(tmp_path / "in" / "other", a_txt=text)
     take_in()
-    assert states(run, spark)["invalid.txt"] == ("failed", 2)
     rows = run.assets(spark).collect()
     assert sorted((r.collection, r.filename, r.status) for r in rows) == [
         ("demo", "a.txt", "ready"),
@@ -94,45 +99,120 @@ def test_files_become_units_and_later_files_join_them(spark, tmp_path):
 UPLOADS = "collection string, filename string, arrival long, content binary"
 
 
+def search(spark, index, query):
+    asked = spark.createDataFrame([(1, "demo", query)], "query_id int, collection string, q string")
+    return keyword_search(asked, index.postings, index.units).orderBy("rank").collect()
+
+
+def uploads(spark, *rows):
+    return spark.createDataFrame([(c, f, n, bytearray(b)) for n, (c, f, b) in enumerate(rows, 1)], UPLOADS)
+
+
 def test_a_batch_may_run_again(spark, tmp_path):
     run = ingest(spark, tmp_path / "root")
-    first = spark.createDataFrame([("demo", "a.txt", 1, bytearray(b"one"))], UPLOADS)
-    second = spark.createDataFrame(
-        [("demo", "b.txt", 2, bytearray(b"one")), ("demo", "c.txt", 3, bytearray(b"two"))], UPLOADS
-    )
-    run.run_batch(first, 0)
-    run.run_batch(second, 1)
+    first = uploads(spark, ("demo", "a.txt", b"one"))
+    second = uploads(spark, ("demo", "b.txt", b"one"), ("demo", "c.txt", b"two"), ("demo", "a.txt", b"one"))
 
     def everything():
+        index = run.index(spark)
         return (
             sorted((r.asset_id, r.filename, r.status, r.attempts) for r in run.assets(spark).collect()),
             sorted(r.alias for r in run.aliases(spark).collect()),
-            sorted((r.unit_id, r.body) for r in run.units(spark).collect()),
+            sorted((r.unit_id, r.body) for r in index.units.collect()),
+            sorted((r.unit_id, r.term, r.tf) for r in index.postings.collect()),
+            sorted(r.unit_id for r in index.vectors.collect()),
         )
 
+    run.run_batch(first, 0)
+    run.run_batch(second, 1)
     before = everything()
     run.run_batch(second, 1)
     assert everything() == before
-    assert [name for _, name, _, _ in before[0]] == ["a.txt", "c.txt"]
+    assert [(asset, name) for asset, name, _, _ in before[0]] == [(1, "a.txt"), (3, "c.txt")]
     assert before[1] == ["b.txt"]
+    units = [unit for unit, _ in before[2]]
+    assert len(units) == len(set(units)) == 6
+    assert before[4] == units
+
 
+def test_a_batch_that_did_not_end_is_not_seen(spark, tmp_path):
+    run = ingest(spark, tmp_path / "root")
+    run.run_batch(uploads(spark, ("demo", "a.txt", b"one")), 0)
+
+    def lost(units):
+        raise ConnectionError("the driver is gone")
+
+    broken = ingest(spark, tmp_path / "root", lost)
+    with pytest.raises(ConnectionError):
+        broken.run_batch(uploads(spark, ("demo", "b.txt", b"two")), 1)
+    assert states(run, spark) == {"a.txt": ("ready", 1)}
+    assert run.index(spark).units.count() == 3
+    run.run_batch(uploads(spark, ("demo", "b.txt", b"two")), 1)
+    assert states(run, spark) == {"a.txt": ("ready", 1), "b.txt": ("ready", 1)}
+
+
+def test_a_failed_attempt_leaves_nothing_behind(spark, tmp_path):
+    asked = []
+
+    def embed(units):
+        # The first time one unit gets no vector.
+        asked.append(units.count())
+        made = embed_hashed_words(units, dims=16)
+        if len(asked) > 1:
+            return made
+        return made.where("body <> 'keep this one'")
+
+    run = ingest(spark, tmp_path / "root", embed)
+    run.run_batch(uploads(spark, ("demo", "a.txt", b"keep this one"), ("demo", "b.txt", b"and this")), 0)
+    assert states(run, spark) == {"a.txt": ("ready", 2), "b.txt": ("ready", 1)}
+    assert asked == [6, 3]
+    index = run.index(spark)
+    units = [r.unit_id for r in index.units.collect()]
+    assert len(units) == len(set(units)) == 6
+    assert sorted(r.unit_id for r in index.vectors.collect()) == sorted(units)
+    assert [r.kind for r in search(spark, index, "keep")] == ["content"]
+
+
+def test_images_need_a_model_for_them(spark, tmp_path):
+    rows = uploads(spark, ("demo", "p.jpg", b"\xff\xd8\xff\xe0 picture"))
+    run = ingest(spark, tmp_path / "without")
+    run.run_batch(rows, 0)
+    [row] = run.assets(spark).collect()
+    assert (row.status, row.attempts, row.error) == ("failed", 2, "ValueError: a unit has no vector")
+    assert run.index(spark).units.count() == run.index(spark).postings.count() == 0
+
+    def embed_images(images):
+        return images.withColumns(
+            {
+                "embedding": F.array(F.octet_length("content").cast("float")),
+                "embedding_model": F.lit("sizes"),
+            }
+        )
 
-def test_a_batch_claims_the_oldest_and_the_next_one_the_rest(spark, tmp_path):
-    run = ingest(spark, tmp_path / "root", claims_per_batch=1)
-    rows = [("demo", f"{n}.txt", n, bytearray(f"note {n}".encode())) for n in (2, 1)]
-    run.run_batch(spark.createDataFrame(rows, UPLOADS), 0)
-    assert states(run, spark) == {"1.txt": ("ready", 1), "2.txt": ("pending", 0)}
-    run.run_batch(spark.createDataFrame([], UPLOADS), 1)
-    assert states(run, spark) == {"1.txt": ("ready", 1), "2.txt": ("ready", 1)}
+    run = ingest(spark, tmp_path / "with", embed_images=embed_images)
+    run.run_batch(rows, 0)
+    index = run.index(spark)
+    vectors = {r.kind: (r.embedding_model, len(r.embedding)) for r in index.vectors.collect()}
+    assert vectors["image"] == ("sizes", 1)
+    assert set(vectors) == {r.kind for r in index.units.collect()} == {"metadata", "filename", "image"}
 
 
-def test_images_without_a_model_for_them_fail(spark, tmp_path):
+def test_nothing_new_and_nothing_at_all(spark, tmp_path):
     run = ingest(spark, tmp_path / "root")
-    rows = [("demo", "p.jpg", 1, bytearray(b"\xff\xd8\xff\xe0 picture"))]
-    run.run_batch(spark.createDataFrame(rows, UPLOADS), 0)
-    [row] = run.assets(spark).collect()
-    assert (row.status, row.error) == ("pending", "ValueError: a unit has no vector")
-    assert run.units(spark).count() == 0
+    run.run_batch(spark.createDataFrame([], UPLOADS), 0)
+    assert run.assets(spark).count() == run.index(spark).units.count() == 0
+    run.run_batch(uploads(spark, ("demo", "a.txt", b"one")), 1)
+    run.run_batch(uploads(spark, ("demo", "z.txt", b"one")), 2)
+    assert states(run, spark) == {"a.txt": ("ready", 1)}
+    assert [r.alias for r in run.aliases(spark).collect()] == ["z.txt"]
+
+
+def test_models_by_name(spark, tmp_path):
+    enrich.register_model("describe", "none", lambda settings: lambda work: work)
+    enrich.register_model("embed", "hashed", lambda settings: lambda units: embed_hashed_words(units, dims=settings.page_size))
+    models = Models.registered(Settings(page_size=8), "none", "hashed")
+    made = models.embed(spark.createDataFrame([(1, "a b")], "unit_id int, body string")).first()
+    assert len(made.embedding) == 8 and models.embed_images is None
 
 
 CHANGES = "asset_id long, status string, started_at timestamp, attempts int"

@@ -91,23 +91,23 @@ class NearestSoFar:
         self.k = k
         self.digits = digits
         self.found = [None] * len(queries)
+        # What a unit has to reach to be among the best of each query.
+        self.bars = np.full(len(queries), -np.inf)
 
     def add(self, units: np.ndarray, vectors: np.ndarray) -> None:
         # A slice of units at a time, so the product stays small whatever the number of queries.
         step = max(1, 4_000_000 // max(1, len(self.queries)))
         for start in range(0, len(units), step):
             scores = similarities(vectors[start : start + step], self.queries, self.digits)
-            for query in range(len(self.queries)):
+            # Once lists are full, few queries have anything to gain from a slice.
+            for query in np.flatnonzero((scores >= self.bars).any(axis=0)):
                 self._merge(query, scores[:, query], units[start : start + step])
 
     def _merge(self, query: int, scores: np.ndarray, units: np.ndarray) -> None:
         if self.found[query] is not None:
             best, best_units = self.found[query]
-            if len(best) == self.k:
-                keep = scores >= best[-1]
-                if not keep.any():
-                    return
-                scores, units = scores[keep], units[keep]
+            keep = scores >= self.bars[query]
+            scores, units = scores[keep], units[keep]
             scores = np.concatenate([best, scores])
             units = np.concatenate([best_units, units])
         if len(scores) > self.k:
@@ -116,6 +116,8 @@ class NearestSoFar:
             scores, units = scores[keep], units[keep]
         order = np.lexsort((units[:, 0], -scores))[: self.k]
         self.found[query] = (scores[order], units[order])
+        if len(order) == self.k:
+            self.bars[query] = scores[order[-1]]
 
     def rows(self):
         """(query number, similarities, units) of every query that found something."""

@@ -1,6 +1,7 @@
 """What collections hold: listing, finding, counting and deleting."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trovelight.fixed_values import STATUSES
@@ -32,21 +33,26 @@ def list_collections(assets: DataFrame) -> DataFrame:
 
 
 def delete_collection(
-    assets: DataFrame, units: DataFrame, collection: str
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The assets and units that remain, and the number of assets deleted as one row.
-
-    Units carry their collection, so they go without a join. Blobs stay, since other collections may
-    share them; deleting a collection that is not there deletes nothing.
+    collection: str, assets: DataFrame, **others: DataFrame
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What remains of every table, by name, and the number of assets deleted as one row.
+
+    Every row carries its collection, so rows go without a join, and stored tables, which are split by
+    collection, lose whole folders. Blobs stay, since other collections may share them; deleting a
+    collection that is not there deletes nothing.
+
+    Args:
+        collection: The collection.
+        assets: All assets.
+        **others: Whatever belongs to assets: units, postings, vectors, aliases.
     """
-    need(assets, "collection")
-    need(units, "collection")
+    tables = {"assets": assets, **others}
+    for table in tables.values():
+        need(table, "collection")
     deleted = assets.agg(F.count_if(F.col("collection") == collection).alias("deleted"))
-    return (
-        assets.where(F.col("collection") != collection),
-        units.where(F.col("collection") != collection),
-        deleted,
-    )
+    return {
+        name: table.where(F.col("collection") != collection) for name, table in tables.items()
+    }, deleted
 
 
 def status_summary(assets: DataFrame) -> DataFrame:
@@ -77,3 +83,16 @@ def asset_view(assets: DataFrame) -> DataFrame:
         "created_at",
         F.when(F.col("status") == "ready", F.struct(*METADATA)).alias("metadata"),
     )
+
+
+def asset_aliases(assets: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The other names of every asset, a row each, in the order they came: (asset_id, alias, place).
+
+    Part of the public form of an asset. Rows, not an array, since nothing bounds how many names a
+    content has; places follow the first arrival, then the name.
+    """
+    need(assets, "asset_id")
+    need(aliases, "asset_id", "alias", "first_arrival")
+    known = aliases.join(assets.select("asset_id"), "asset_id", "left_semi")
+    in_order = W.partitionBy("asset_id").orderBy("first_arrival", "alias")
+    return known.select("asset_id", "alias", F.row_number().over(in_order).alias("place"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from trovelight import fixed_values as fixed
 from trovelight.operators.passages import chunk_text, decode_text, summary_text
+from trovelight.plans.lineage import written
 from trovelight.plans.sizing import lookup, row_count_up_to
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS, Settings
@@ -203,6 +204,15 @@ def select_answer(answers: DataFrame) -> DataFrame:
     )
 
 
+def answered(described: DataFrame, failures: DataFrame) -> DataFrame:
+    """Described assets and failures (asset_id, error_class, message) as one table, a row per asset."""
+    need(described, "asset_id", *METADATA, "vision_model")
+    need(failures, "asset_id", "error_class", "message")
+    return described.unionByName(
+        failures.select("asset_id", "error_class", "message"), allowMissingColumns=True
+    )
+
+
 # --- requests and their cache ------------------------------------------------------------------
 
 
@@ -243,7 +253,8 @@ def infer_incremental(
         .select("request", "_input.*")
     )
     unknown = distinct.join(cache.select("request"), "request", "left_anti")
-    new = model(unknown).select("request", *answer)
+    # Written, so that the model is asked once whatever is done with its answers.
+    new = written(model(unknown).select("request", *answer), "answers")
     known = cache.select("request", *answer).unionByName(new)
     return lookup(inputs, known, ["request"], "left", rows_per_part=rows_per_part).select(
         *inputs.columns, *answer
@@ -286,9 +297,12 @@ def embed_batches(
     text: str,
     embed: Callable[[list], list],
     batch: int = 100,
-    parallel: int = 20,
 ) -> DataFrame:
-    """Embed texts with any function, at most `batch` texts a call and `parallel` calls at a time.
+    """Embed texts with any function, at most `batch` texts a call.
+
+    Every task makes one call after the other, so as many calls run at a time as the session has task slots;
+    the number of partitions follows from the rows. The answers are written, so a text is sent once
+    whatever is done with them.
 
     Args:
         rows: (key, owner, text).
@@ -297,7 +311,6 @@ def embed_batches(
         text: What is embedded.
         embed: From a list of texts to one vector each; runs in the tasks.
         batch: Texts of one call.
-        parallel: Tasks, and so calls, at a time.
 
     Returns:
         (key, owner, embedding, error), exactly one of the last two set.
@@ -337,7 +350,7 @@ def embed_batches(
                     names=[key, owner, "embedding", "error"],
                 )
 
-    embedded = rows.select(key, owner, text).repartition(parallel, key).mapInArrow(answers, schema)
+    embedded = written(rows.select(key, owner, text).mapInArrow(answers, schema), "embedded")
     failed = (
         embedded.where(F.col("error").isNotNull())
         .groupBy(owner)

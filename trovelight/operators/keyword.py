@@ -8,7 +8,7 @@ from trovelight.functions import text as tx
 from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.stem import stem_lists
 from trovelight.plans.lineage import cut_lineage
-from trovelight.plans.sizing import lookup
+from trovelight.plans.sizing import lookup, row_count_up_to
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS
 
@@ -16,7 +16,7 @@ from trovelight.settings import DEFAULTS
 # the same query always gives the same order.
 SCORE_DIGITS = 9
 
-# Collections named in a filter on the postings; queries of more are not filtered by literals.
+# Collections named in a filter on the postings; those of more are found by a join, which prunes folders as well.
 MOST_PARTS = 1000
 
 UNIT_COLUMNS = ["unit_id", "asset_id", "kind", "asset_type"]
@@ -155,11 +155,12 @@ def _shards(postings: DataFrame) -> dict[str, int]:
     return {name: int(name.removeprefix("shard_of_")) for name in names}
 
 
-def _joined(postings: DataFrame, terms: DataFrame, small: bool, salts: int) -> DataFrame:
+def _joined(postings: DataFrame, terms: DataFrame, small: bool, rows_per_part: int) -> DataFrame:
     """Postings with every query that asks for their term.
 
-    The terms go to every machine when they fit. Otherwise both sides are shuffled by collection and term, a term's postings spread over
-    `salts` parts, since one term may be in most of the units.
+    The terms go to every machine when they fit. Otherwise both sides are shuffled by collection and
+    term; a term with more than `rows_per_part` postings is cut into parts of about that size, and only
+    such terms are repeated.
     """
     keys = ["collection", "term"]
     for name, shards in _shards(postings).items():
@@ -167,11 +168,20 @@ def _joined(postings: DataFrame, terms: DataFrame, small: bool, salts: int) -> D
         keys.append(name)
     if small:
         return postings.join(F.broadcast(terms), keys)
-    spread = postings.withColumn("_salt", F.pmod(F.xxhash64("unit_id"), F.lit(salts)))
-    repeated = terms.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    hot = (
+        postings.groupBy(F.xxhash64("collection", "term").alias("_key"))
+        .agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
+        .where("_parts > 1")
     )
-    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
+    parts = F.coalesce("_parts", F.lit(1))
+
+    def in_parts(side: DataFrame, part: Column) -> DataFrame:
+        known = side.withColumn("_key", F.xxhash64("collection", "term")).join(F.broadcast(hot), "_key", "left")
+        return known.withColumn("_part", part).drop("_key", "_parts")
+
+    spread = in_parts(postings, F.pmod(F.xxhash64("unit_id"), parts).cast("int"))
+    repeated = in_parts(terms, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.join(repeated, [*keys, "_part"]).drop("_part")
 
 
 def _weight_of(tf: int) -> float:
@@ -196,10 +206,10 @@ def term_weight(tf: Column) -> Column:
     )
 
 
-def _plain_matches(postings, parsed, small, salts) -> DataFrame:
+def _plain_matches(postings, parsed, small, rows_per_part, digits) -> DataFrame:
     """Units with any word of queries whose tokens are single words: one sum per unit and query."""
     sums = (
-        _joined(postings.drop("positions"), _distinct_terms(parsed), small, salts)
+        _joined(postings.drop("positions"), _distinct_terms(parsed), small, rows_per_part)
         .groupBy("query_id", "unit_id")
         .agg(
             F.max("asset_id").alias("asset_id"),
@@ -216,7 +226,7 @@ def _plain_matches(postings, parsed, small, salts) -> DataFrame:
         kind_of(F.col("_code")).alias("kind"),
         asset_type_of(F.col("_code")).alias("asset_type"),
         (F.col("_held") == F.col("n_terms")).alias("all_words"),
-        F.round(F.col("_weight") / F.col("n_terms"), SCORE_DIGITS).alias("keyword_score"),
+        F.round(F.col("_weight") / F.col("n_terms"), digits).alias("keyword_score"),
     )
 
 
@@ -267,11 +277,22 @@ def _holds(literal: Column, places: Column) -> Column:
     return all_there & ((literal["kind"] != "phrase") | (F.size(in_a_row) > 0))
 
 
-def _structured_matches(postings, parsed, small, salts, units) -> DataFrame:
+def _excluding(asked: DataFrame) -> DataFrame:
+    """The queries with an alternative of exclusions only, which units without any asked word satisfy."""
+    only = F.exists("alternatives", lambda one: F.forall(one, lambda literal: literal["negated"]))
+    return asked.where(F.col("syntax") & only).select("query_id", "collection")
+
+
+def _structured_matches(postings, parsed, small, rows_per_part, digits, units, k) -> DataFrame:
     """Units that satisfy queries with phrases, exclusions, alternatives or tokens of several words.
 
     What a unit holds of a query's words, at most as many as the query has, is gathered in one row
-    and the query's structure is read against it.
+    and the query's structure is read against it. The score counts the words asked for, in a query with
+    search syntax those of the alternatives that hold; excluded words never count.
+
+    Args:
+        k: Where set, of the units that satisfy a query by holding none of its words only those that can
+            be among its best `k` need to be found: all have score 0, so the ones with the smallest ids.
     """
     asked = parsed.select(
         "query_id",
@@ -281,24 +302,15 @@ def _structured_matches(postings, parsed, small, salts, units) -> DataFrame:
         _alternatives(F.col("terms")).alias("alternatives"),
     )
     held = (
-        _joined(postings.drop("tf"), _distinct_terms(parsed), small, salts)
+        _joined(postings.drop("tf"), _distinct_terms(parsed), small, rows_per_part)
         .groupBy("query_id", *UNIT_COLUMNS)
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_places"))
     )
     if units is not None:
-        # An alternative of exclusions only is held by units without any of the query's words, too.
-        excluding = asked.where(
-            F.col("syntax")
-            & F.exists("alternatives", lambda one: F.forall(one, lambda literal: literal["negated"]))
-        ).select("query_id", "collection")
-        every = units.select("collection", *UNIT_COLUMNS)
-        rest = (
-            lookup(every, excluding, ["collection"], fits_broadcast=small)
-            .select("query_id", *UNIT_COLUMNS)
-            .join(held.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")
+        held = held.unionByName(
+            _without_words(units.select("collection", *UNIT_COLUMNS), _excluding(asked), held, k)
             .withColumn("_places", F.create_map().cast("map<string,array<int>>"))
         )
-        held = held.unionByName(rest)
 
     places = F.col("_places")
     any_alternative = F.exists(
@@ -308,10 +320,19 @@ def _structured_matches(postings, parsed, small, salts, units) -> DataFrame:
     any_literal = F.exists(
         "alternatives", lambda one: F.exists(one, lambda literal: _holds(literal, places))
     )
+    holding = F.filter(
+        "alternatives",
+        lambda one: F.forall(one, lambda literal: _holds(literal, places) != literal["negated"]),
+    )
+    asked_for = F.flatten(
+        F.transform(
+            F.filter(F.flatten(holding), lambda literal: ~literal["negated"]),
+            lambda literal: F.transform(literal["terms"], lambda word: word["term"]),
+        )
+    )
+    counted = F.when(F.col("syntax"), F.array_distinct(asked_for)).otherwise(F.map_keys(places))
     weight = F.aggregate(
-        F.map_values(places),
-        F.lit(0.0),
-        lambda so_far, found: so_far + term_weight(F.size(found)),
+        counted, F.lit(0.0), lambda so_far, term: so_far + term_weight(F.size(places[term]))
     )
     return (
         lookup(held, asked.drop("collection"), ["query_id"], fits_broadcast=small)
@@ -320,27 +341,66 @@ def _structured_matches(postings, parsed, small, salts, units) -> DataFrame:
             "query_id",
             *UNIT_COLUMNS,
             (F.col("syntax") | (F.size(places) == F.col("n_terms"))).alias("all_words"),
-            F.round(weight / F.greatest("n_terms", F.lit(1)), SCORE_DIGITS).alias("keyword_score"),
+            F.round(weight / F.greatest("n_terms", F.lit(1)), digits).alias("keyword_score"),
         )
     )
 
 
+def _without_words(units: DataFrame, queries: DataFrame, held: DataFrame, k: int | None) -> DataFrame:
+    """(query_id, unit columns) of units that hold none of a query's words.
+
+    All of them, or with `k` for every query its `k` with the smallest ids: first tried on the units with
+    the smallest ids of each collection, and on all units for the queries that this is not enough for.
+    """
+    taken = held.select("query_id", "unit_id")
+
+    def rest(some: DataFrame, of: DataFrame) -> DataFrame:
+        pairs = lookup(some, of, ["collection"], fits_broadcast=True).select("query_id", *UNIT_COLUMNS)
+        return pairs.join(taken, ["query_id", "unit_id"], "left_anti")
+
+    if k is None or row_count_up_to(queries, DEFAULTS.max_broadcast_rows) is None:
+        return lookup(units, queries, ["collection"]).select("query_id", *UNIT_COLUMNS).join(taken, ["query_id", "unit_id"], "left_anti")
+    by_id = W.partitionBy("collection").orderBy("unit_id")
+    # A partial limit of the ranks is taken where the units are read, so a large collection is no hot spot.
+    first = units.withColumn("_rank", F.row_number().over(by_id)).where(F.col("_rank") <= 8 * k).drop("_rank")
+    found = cut_lineage(rest(first, queries))
+    # A query whose collection is smaller than that has all its units in it.
+    whole = first.groupBy("collection").agg((F.count("*") < 8 * k).alias("_whole"))
+    counts = found.groupBy("query_id").agg(F.count("*").alias("_n"))
+    short = (
+        queries.join(counts, "query_id", "left").join(whole, "collection", "left")
+        .where((F.coalesce("_n", F.lit(0)) < k) & ~F.coalesce("_whole", F.lit(True)))
+        .select("query_id", "collection")
+    )
+    short = cut_lineage(short)
+    if short.isEmpty():
+        return found
+    return found.join(short, "query_id", "left_anti").unionByName(rest(units, short))
+
+
 def match_units(
     queries: DataFrame,
     postings: DataFrame,
     units: DataFrame | None = None,
     stem: bool = True,
     max_broadcast_rows: int = DEFAULTS.max_broadcast_rows,
-    salts: int = DEFAULTS.salts,
+    rows_per_part: int = DEFAULTS.rows_per_part,
+    digits: int = SCORE_DIGITS,
+    k: int | None = None,
 ) -> DataFrame:
     """Every unit every query matches: (query_id, unit columns, all_words, keyword_score), unranked.
 
+    The queries are parsed and counted while the result is planned; postings and units are only read by
+    the result itself.
+
     Args:
         queries: (query_id, collection, q).
         postings: From `build_postings`, with the same `stem`.
         units: All units; only needed for queries that do nothing but exclude words.
         max_broadcast_rows: Query terms up to this number are broadcast, more are shuffled.
-        salts: Parts a term's postings are spread over when they are shuffled.
+        rows_per_part: Postings of one term that a task joins when they are shuffled.
+        digits: Digits scores are rounded to, so that sums in any order are equal.
+        k: Units a query asks for, where it is known; spares exclusions from listing all others.
     """
     need(postings, "collection", "term", *UNIT_COLUMNS, "tf", "positions")
     # Read by every step below, and small: a row per query.
@@ -357,13 +417,16 @@ def match_units(
         F.count("term").alias("n_words"),
         F.bool_or("structured").alias("structured"),
         F.bool_or(~F.col("structured")).alias("plain"),
-        F.slice(F.collect_set("collection"), 1, MOST_PARTS + 1).alias("collections"),
         *[F.collect_set(term_shard(F.col("term"), n)).alias(name) for name, n in shards.items()],
     ).first()
     small = asked.n_words <= max_broadcast_rows
     # As literals these reach the scan, and folders of other collections and shards are not listed.
-    if len(asked.collections) <= MOST_PARTS:
-        postings = postings.where(F.col("collection").isin(asked.collections))
+    named = parsed.select("collection").distinct()
+    few = [row.collection for row in named.limit(MOST_PARTS + 1).collect()]
+    if len(few) <= MOST_PARTS:
+        postings = postings.where(F.col("collection").isin(few))
+    elif small:
+        postings = postings.join(F.broadcast(named), "collection", "left_semi")
     for name in shards:
         postings = postings.where(F.col(name).isin(asked[name]))
     any_plain, any_structured = asked.plain or not asked.structured, asked.structured
@@ -371,10 +434,10 @@ def match_units(
     found = []
     if any_plain:
         plain = parsed.where(~F.col("structured"))
-        found.append(_plain_matches(postings, plain, small, salts))
+        found.append(_plain_matches(postings, plain, small, rows_per_part, digits))
     if any_structured:
         structured = parsed.where("structured")
-        found.append(_structured_matches(postings, structured, small, salts, units))
+        found.append(_structured_matches(postings, structured, small, rows_per_part, digits, units, k))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
@@ -385,14 +448,15 @@ def keyword_search(
     k: int = DEFAULTS.units_per_path,
     stem: bool = True,
     max_broadcast_rows: int = DEFAULTS.max_broadcast_rows,
-    salts: int = DEFAULTS.salts,
+    rows_per_part: int = DEFAULTS.rows_per_part,
+    digits: int = SCORE_DIGITS,
 ) -> DataFrame:
     """The best `k` units of every query: those with all its words first, then by score, then by id.
 
     Returns:
         (query_id, unit columns, all_words, keyword_score, rank), ranks from 1 without gaps.
     """
-    matches = match_units(queries, postings, units, stem, max_broadcast_rows, salts)
+    matches = match_units(queries, postings, units, stem, max_broadcast_rows, rows_per_part, digits, k)
     best_first = W.partitionBy("query_id").orderBy(
         F.col("all_words").desc(), F.col("keyword_score").desc(), "unit_id"
     )

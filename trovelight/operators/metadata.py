@@ -102,18 +102,23 @@ def photo_details(photos: DataFrame) -> DataFrame:
             longitude_half.
 
     A position needs both halves; all three are null when the photo carries neither date nor place,
-    or a date of another form.
+    or when any of them cannot be read: a date of another form, or a place that is not three numbers.
     """
     need(photos, "taken", "latitude_parts", "latitude_half", "longitude_parts", "longitude_half")
 
     def degrees(axis):
         parts = F.col(f"{axis}_parts")
         half = F.col(f"{axis}_half")
-        value = parts[0] + parts[1] / 60 + parts[2] / 3600
+        value = F.get(parts, 0) + F.get(parts, 1) / 60 + F.get(parts, 2) / 3600
         return F.when(half.isin("S", "W"), -value).when(half.isNotNull(), value)
 
+    def in_three(axis):
+        parts = F.col(f"{axis}_parts")
+        good = (F.size(parts) == 3) & ~F.exists(parts, lambda part: part.isNull())
+        return parts.isNull() | F.col(f"{axis}_half").isNull() | good
+
     written = tx.strip(F.col("taken"))
-    readable = F.coalesce(written.rlike("^[^ ]+ [^ ]+$"), F.lit(True))
+    readable = F.coalesce(written.rlike("^[^ ]+ [^ ]+$"), F.lit(True)) & in_three("latitude") & in_three("longitude")
     both = readable & degrees("latitude").isNotNull() & degrees("longitude").isNotNull()
     date = F.replace(F.split_part(written, F.lit(" "), F.lit(1)), F.lit(":"), F.lit("-"))
     time = F.substring(F.split_part(written, F.lit(" "), F.lit(2)), 1, 5)

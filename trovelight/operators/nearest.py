@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.vectors import NearestSoFar, matrix
-from trovelight.plans.lineage import cut_lineage
+from trovelight.plans.lineage import written
 from trovelight.plans.sizing import lookup, row_count_up_to
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS
@@ -113,8 +113,7 @@ def _with_queries_everywhere(units, queries, k, digits) -> DataFrame:
     models = sorted({model for _, model in spaces if model is not None})
     collections = sorted({name for name, _ in spaces if name is not None})
     # As literals these reach the scan: partitions and row groups of other spaces are not read.
-    if len(collections) <= 1000:
-        units = units.where(F.col("collection").isin(collections))
+    units = units.where(F.col("collection").isin(collections))
     return units.where(F.col("embedding_model").isin(models)).mapInArrow(search, schema)
 
 
@@ -321,34 +320,39 @@ def vector_search_approx(
     units_per_cell: int = DEFAULTS.units_per_cell,
     queries_per_cell: int = DEFAULTS.queries_per_cell,
 ) -> DataFrame:
-    """`vector_search` that only compares a query with units sharing a band of its signature.
+    """`vector_search` that only compares a query with units that lie in the same cell of a band.
 
-    Similarities and order are exact; units that share no band are missed. A query with fewer than
-    `k` candidates is compared with every unit, so no list comes out shorter than the exact one.
+    Similarities and order are exact; units that share no band's signature are missed. A query with
+    fewer than `k` candidates looks into the cells one plane away as well, then two, and so on, until it has
+    `k` or has seen every cell, so no list comes out shorter than the exact one.
     """
-    asked = queries.where(F.col("embedding").isNotNull())
     space = [*SPACE, "_band", "_signature"]
-
-    def banded(rows):
-        return signatures(rows, dims, bands, bits).select(
-            *[name for name in rows.columns],
-            F.posexplode("signature").alias("_band", "_signature"),
-        )
-
-    found = _with_cells(
-        banded(_coded(units)),
-        banded(asked.select("query_id", *SPACE, "embedding")),
-        space,
-        k,
-        rank_digits,
-        units_per_cell,
-        queries_per_cell,
+    signed = written(signatures(_coded(units), dims, bands, bits), "signatures")
+    unit_side = signed.select(
+        *[name for name in signed.columns if name != "signature"],
+        F.posexplode("signature").alias("_band", "_signature"),
     )
-    # At most `k` rows a query, read three times below.
-    near = cut_lineage(_ranked(_decoded(found).dropDuplicates(["query_id", "unit_id"]), k))
-    enough = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = asked.join(enough, "query_id", "left_anti")
-    if row_count_up_to(short, 0) == 0:
-        return near
-    exact = vector_search(short, units, k, rank_digits)
-    return near.join(enough.select("query_id"), "query_id", "left_semi").unionByName(exact)
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", *SPACE, "embedding")
+    open_ = written(signatures(asked, dims, bands, bits), "query-signatures")
+    done = None
+    for away in range(bits + 1):
+        masks = [m for m in range(1 << bits) if bin(m).count("1") <= away]
+        # The last round looks into every cell, for which one band is enough.
+        of = F.slice("signature", 1, 1) if away == bits else F.col("signature")
+        probes = open_.withColumn("signature", of).select(
+            "query_id", *SPACE, "embedding", F.posexplode("signature").alias("_band", "_own")
+        ).select(
+            "query_id", *SPACE, "embedding", "_band",
+            F.explode(F.array(*[F.lit(m) for m in masks])).alias("_mask"), "_own",
+        ).withColumn("_signature", F.col("_own").bitwiseXOR(F.col("_mask"))).drop("_mask", "_own")
+        found = _with_cells(unit_side, probes, space, k, rank_digits, units_per_cell, queries_per_cell)
+        near = written(_ranked(_decoded(found).dropDuplicates(["query_id", "unit_id"]), k), "near")
+        enough = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        short = written(open_.join(enough, "query_id", "left_anti"), "query-signatures")
+        last = away == bits or short.isEmpty()
+        settled = near if last else near.join(enough, "query_id", "left_semi")
+        done = settled if done is None else done.unionByName(settled)
+        if last:
+            return done
+        open_ = short
+    return done

@@ -1,5 +1,7 @@
 """From decoded text to passages, and what a description model reads of a file."""
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,24 +43,22 @@ def summary_text(
 
 
 def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """The (start, end) of every passage of one text, edges trimmed; see `chunk_text`."""
-    length = len(text)
-    begin = 0
-    stop = -1
-    while stop < length and begin < length:
-        stop = begin + size
-        if stop >= length:
-            stop = length
-        else:
-            space = text.rfind(" ", begin + 1, stop)
-            stop = stop if space < 0 else space
-        window = text[begin:stop]
-        trimmed = window.strip()
-        if trimmed:
-            lead = len(window) - len(window.lstrip())
-            yield begin + lead, begin + lead + len(trimmed)
-        space = text.find(" ", max(stop - overlap, begin + 1), stop)
-        begin = stop if space < 0 else space + 1
+    """The (start, end) of every passage of one text, edges trimmed; see `chunk_text`.
+
+    The places of all spaces are listed once; where a window ends and the next one starts are searches
+    in that list.
+    """
+    spaces = [found.start() for found in re.finditer(" ", text)]
+    start, end = 0, 0
+    while end < len(text):
+        end = min(start + size, len(text))
+        if end < len(text) and (before := bisect_left(spaces, end)) and spaces[before - 1] > start:
+            end = spaces[before - 1]
+        if body := text[start:end].strip():
+            first = text.index(body, start)
+            yield first, first + len(body)
+        after = bisect_left(spaces, max(end - overlap, start + 1))
+        start = spaces[after] + 1 if after < len(spaces) and spaces[after] < end else end
 
 
 def chunk_text(

@@ -1,4 +1,4 @@
-"""Hybrid search: both paths, fused, grouped, ordered, paged and explained, as one plan."""
+"""Hybrid search: both paths, fused, grouped, ordered, paged and explained."""
 
 from collections.abc import Callable
 
@@ -68,7 +68,7 @@ def hybrid_search(
     asked = queries.withColumn("q", normalise_query(F.col("q")))
     k = settings.units_per_path
     keyword_hits = keyword_search(
-        asked, postings, units, k, stem, settings.max_broadcast_rows, settings.salts
+        asked, postings, units, k, stem, settings.max_broadcast_rows, settings.rows_per_part
     )
     with_vector = asked.select("query_id", "collection").join(query_vectors, "query_id")
     vector_hits = vector_search(
@@ -109,7 +109,9 @@ def hybrid_search(
         )
     else:
         # A page of rows a query, read twice: for its sentences and to put them back.
-        found = results.closest_sentence(cut_lineage(found), query_vectors, embed_sentences)
+        found = results.closest_sentence(
+            cut_lineage(found), query_vectors, embed_sentences, rank_digits
+        )
     return found.select(
         "query_id",
         "q",

@@ -1,6 +1,6 @@
 """Broadcast joins behind a check of the size, and salted joins beyond it."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovelight.settings import DEFAULTS
@@ -29,6 +29,7 @@ def lookup(
     how: str = "inner",
     fits_broadcast: bool = False,
     rows_per_part: int = DEFAULTS.rows_per_part,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows with a side that holds one row per key, whatever a key's share of the rows.
 
@@ -43,30 +44,36 @@ def lookup(
         how: "inner", "left", "left_semi" or "left_anti".
         fits_broadcast: True when the caller has checked the size of `unique`.
         rows_per_part: The size of a part.
+        counted: Rows with the same keys that cost less to count, such as the stored table that `rows` is
+            computed from; by default `rows` itself is counted.
     """
     if fits_broadcast:
         return rows.join(F.broadcast(unique), keys, how)
-    # Counted where the rows are read. Each of these keys has more than `rows_per_part` rows, so there
-    # are at most as many as all rows divided by that.
+    # Counted where the rows are read, by hash: a number and a count for each key of more than
+    # `rows_per_part` rows, so 16 bytes for each million rows at most. A key that shares its hash with such
+    # a key is cut as well, on both sides alike.
     hot = (
-        rows.groupBy(*keys)
+        (rows if counted is None else counted)
+        .groupBy(F.xxhash64(*keys).alias("_key"))
         .agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
         .where(F.col("_parts") > 1)
     )
     parts = F.coalesce("_parts", F.lit(1))
-    spread_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(*_spread_by(rows, keys)), parts).cast("int")
-    )
-    repeated = unique.join(F.broadcast(hot), keys, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
-    )
-    return spread_rows.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"], how).drop("_part")
+
+    def in_parts(side: DataFrame, part) -> DataFrame:
+        known = side.withColumn("_key", F.xxhash64(*keys)).join(F.broadcast(hot), "_key", "left")
+        return known.withColumn("_part", part).drop("_key", "_parts")
+
+    spread_rows = in_parts(rows, F.pmod(_spread_by(rows, keys), parts).cast("int"))
+    repeated = in_parts(unique, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread_rows.join(repeated, [*keys, "_part"], how).drop("_part")
 
 
-def _spread_by(rows: DataFrame, keys: list[str]) -> list[str]:
-    """What tells rows of one key apart: their numbers, or else their strings."""
+def _spread_by(rows: DataFrame, keys: list[str]) -> Column:
+    """A number that tells rows of one key apart: by their numbers, their strings, or their places."""
     kinds = {field.name: field.dataType.typeName() for field in rows.schema.fields}
     others = [name for name in kinds if name not in keys]
     numbers = [name for name in others if kinds[name] in ("long", "integer", "timestamp")]
     strings = [name for name in others if kinds[name] == "string"]
-    return numbers or strings or keys
+    found = numbers or strings
+    return F.xxhash64(*found) if found else F.monotonically_increasing_id()

@@ -28,8 +28,6 @@ class Settings:
     max_broadcast_vectors: int = 25_000
     # Rows of one key that a single task joins where a join cannot broadcast.
     rows_per_part: int = 1_000_000
-    # Parts a term's postings are spread over where query terms cannot be broadcast.
-    salts: int = 16
     # Units and queries in one cell of the shuffled vector search.
     units_per_cell: int = 50_000
     queries_per_cell: int = 2_000
