@@ -470,12 +470,25 @@ def _(v):
     return v.postings().withColumn("positions", joined("positions"))
 
 
-@register("b10_build_postings_stemmed")
+@register(
+    "b10_build_postings_stemmed",
+    q(
+        "SELECT collection, term, unit_id, asset_id, kind, asset_type, tf, array_to_string(positions, ',') AS positions FROM postings_stemmed",
+        "postings_stemmed",
+    ),
+)
 def _(v):
     return v.postings(stemmed=True).withColumn("positions", joined("positions"))
 
 
-@register("b11_stem_vocabulary")
+@register(
+    "b11_stem_vocabulary",
+    q(
+        "SELECT term, coalesce(stem, term) AS stem FROM (SELECT DISTINCT term FROM postings) LEFT JOIN stems ON word = term",
+        "postings",
+        "stems",
+    ),
+)
 def _(v):
     return units.stem_vocabulary(v.postings())
 
@@ -1405,7 +1418,13 @@ def _(v):
     return keyword.keyword_search(v.queries(), v.index().postings, stem=False)
 
 
-@register("f10_keyword_search_stemmed")
+@register(
+    "f10_keyword_search_stemmed",
+    q(
+        "SELECT query_id, unit_id, asset_id, kind, asset_type, all_words, keyword_score, rank FROM keyword_hits_stemmed",
+        "keyword_hits_stemmed",
+    ),
+)
 def _(v):
     return keyword.keyword_search(v.queries(), v.postings(stemmed=True))
 

@@ -1,5 +1,7 @@
 """The views of `views.py` in SQL, and a way to put together a query from them."""
 
+import re
+
 from trovelight.fixed_values import STOP_WORDS
 from trovelight.functions.text import NOT_SPACE, SENTENCE_RULES, SPACE
 
@@ -323,6 +325,93 @@ view(
        ORDER BY all_words DESC, keyword_score DESC, unit_id))::INT AS rank FROM keyword_matches) WHERE rank <= 100""",
     "keyword_matches",
 )
+# --- stems -------------------------------------------------------------------------------------
+
+# Porter's published steps, over the distinct words, with conditions on a word's letters written as a
+# string of c and v. "y" is a vowel after a consonant, which is told from left to right.
+
+
+def letters(word: str) -> str:
+    made = f"regexp_replace(translate({word}, 'aeioubcdfghjklmnpqrstvwxz', 'vvvvvcccccccccccccccccccc'), '^y', 'c')"
+    for _ in range(4):
+        made = f"regexp_replace(regexp_replace({made}, 'cy', 'cv', 'g'), 'vy', 'vc', 'g')"
+    return made
+
+
+def measure(word: str) -> str:
+    return f"len(regexp_extract_all({letters(word)}, 'v+c+'))"
+
+
+def short_end(word: str) -> str:
+    return f"(regexp_matches({letters(word)}, 'cvc$') AND right({word}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def suffix_step(before: str, pairs: str, least: int, more: str = "TRUE") -> str:
+    """The word with its suffix (the longest that fits) replaced where the rest has a measure over `least`."""
+    table = dict(pair.split(":") for pair in pairs.split())
+    ends = "|".join(sorted(table, key=len, reverse=True))
+    cases = " ".join(f"WHEN '{end}' THEN '{to}'" for end, to in table.items())
+    return f"""SELECT word, CASE WHEN suffix <> '' AND {measure("rest")} > {least} AND {more}
+  THEN rest || CASE suffix {cases} END ELSE w END AS w
+FROM (SELECT *, left(w, length(w) - length(suffix)) AS rest FROM (SELECT *, regexp_extract(w, '({ends})$') AS suffix FROM ({before})))"""
+
+
+PLURALS = """SELECT word, CASE WHEN regexp_matches(word, '(sses|ies)$') THEN left(word, length(word) - 2)
+  WHEN regexp_matches(word, '[^s]s$') THEN left(word, length(word) - 1) ELSE word END AS w
+FROM (SELECT DISTINCT term AS word FROM (SELECT term FROM postings UNION ALL SELECT term FROM query_terms))
+WHERE regexp_full_match(word, '[a-z]{3,}')"""
+DOUBLES = "|".join(letter * 2 for letter in "bcdfghjkmnpqrtvwx")
+PAST = f"""SELECT word, CASE
+  WHEN ending = 'eed' THEN CASE WHEN {measure("rest")} > 0 THEN left(w, length(w) - 1) ELSE w END
+  WHEN ending = '' OR NOT contains({letters("rest")}, 'v') THEN w
+  WHEN regexp_matches(rest, '(at|bl|iz)$') THEN rest || 'e'
+  WHEN regexp_matches(rest, '({DOUBLES})$') THEN left(rest, length(rest) - 1)
+  WHEN {measure("rest")} = 1 AND {short_end("rest")} THEN rest || 'e' ELSE rest END AS w
+FROM (SELECT *, left(w, length(w) - length(ending)) AS rest FROM (SELECT *, regexp_extract(w, '(eed|ed|ing)$') AS ending FROM ({PLURALS})))"""
+FINAL_I = f"""SELECT word, CASE WHEN right(w, 1) = 'y' AND contains({letters("left(w, length(w) - 1)")}, 'v')
+  THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM ({PAST})"""
+LONG_TO_SHORT = suffix_step(
+    FINAL_I,
+    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate "
+    "ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble",
+    0,
+)
+SHORTER = suffix_step(LONG_TO_SHORT, "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:", 0)
+WITHOUT = suffix_step(
+    SHORTER,
+    "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:",
+    1,
+    "(suffix <> 'ion' OR right(rest, 1) IN ('s', 't'))",
+)
+WITHOUT_E = f"""SELECT word, CASE WHEN right(w, 1) = 'e' AND ({measure("rest")} > 1 OR ({measure("rest")} = 1 AND NOT {short_end("rest")}))
+  THEN rest ELSE w END AS w FROM (SELECT *, left(w, length(w) - 1) AS rest FROM ({WITHOUT}))"""
+view(
+    "stems",
+    f"""SELECT word, CASE WHEN right(w, 2) = 'll' AND {measure("w")} > 1 THEN left(w, length(w) - 1) ELSE w END AS stem FROM ({WITHOUT_E})""",
+    "postings",
+    "query_terms",
+)
+view(
+    "postings_stemmed",
+    """SELECT collection, coalesce(stem, term) AS term, unit_id, asset_id, kind, asset_type, sum(tf)::INT AS tf,
+       list_sort(flatten(list(positions))) AS positions
+FROM postings LEFT JOIN stems ON word = term GROUP BY ALL""",
+    "postings",
+    "stems",
+)
+view(
+    "query_terms_stemmed",
+    """SELECT query_id, collection, literal, coalesce(stem, term) AS term, position FROM query_terms LEFT JOIN stems ON word = term""",
+    "query_terms",
+    "stems",
+)
+# The keyword path over stems is the one above over other tables.
+for name in ("n_terms", "whole_literals", "matched", "keyword_matches", "keyword_hits"):
+    read, text = VIEWS[name]
+    for table in ("query_terms", "postings", "n_terms", "whole_literals", "matched", "keyword_matches"):
+        text = re.sub(rf"\b{table}\b", f"{table}_stemmed", text)
+    view(f"{name}_stemmed", text, *[f"{other}_stemmed" for other in read])
+
 view(
     "similarity_pairs",
     """SELECT q.query_id, v.unit_id, v.asset_id, v.kind, v.asset_type,

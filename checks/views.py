@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trovelight.operators import enrich, intake, metadata, passages, units
 from trovelight.plans.index import Index, build_index
-from trovelight.plans.lineage import new_folder
+from trovelight.plans.lineage import new_folder, written
 from trovelight.plans.sizing import spread
 from trovelight.session import configure
 from trovelight.sources.files import files_of_documents
@@ -29,12 +29,15 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
         self.folder = folder
+        self._uploads: DataFrame | None = None
 
     def index(self) -> Index:
         """The index of all assets, written once per application and read by every search."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _written:
             folder = new_folder(self.spark, "index")
+            # Checked and hashed once, for the assets as well as for their passages.
+            self._uploads = written(self.uploads().drop("content"), "uploads")
             build_index(
                 self.assets(),
                 self.chunks(),
@@ -66,7 +69,8 @@ class Views:
 
     def assets_text(self) -> DataFrame:
         """Text assets as they are stored, not described yet."""
-        return intake.dedup_assets(self.uploads().drop("content"))
+        uploads = self.uploads().drop("content") if self._uploads is None else self._uploads
+        return intake.dedup_assets(uploads)
 
     def texts(self) -> DataFrame:
         """(asset_id, collection, text) of text assets."""

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from checks.views import Views
 from tests.conftest import DATA
 from trovelight.operators import keyword, nearest
+from trovelight.operators.results import Scorer
+from trovelight.plans.hybrid import hybrid_search
 from trovelight.plans.sizing import lookup, row_count_up_to
+from trovelight.sources.blobs import get_blobs, put_blobs
 
 
 def plan(df):
@@ -51,7 +54,7 @@ def test_keyword_search_prunes_and_limits_before_it_shuffles(views):
 def test_both_keyword_joins_give_the_same(views):
     small = keyword.keyword_search(views.queries(), views.index().postings, stem=False)
     large = keyword.keyword_search(
-        views.queries(), views.index().postings, stem=False, max_broadcast_rows=0, salts=3
+        views.queries(), views.index().postings, stem=False, max_broadcast_rows=0, rows_per_part=200
     )
     assert sorted(small.collect()) == sorted(large.collect())
 
@@ -64,6 +67,76 @@ def test_vector_search_reads_only_its_spaces(views):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def assets_by_query(rows):
+    found = {}
+    for r in rows.orderBy("query_id", "position").collect():
+        found.setdefault(r.query_id, []).append((r.asset_id, r.relevance, r.sentence_start))
+    return found
+
+
+def test_models_that_fail_leave_the_results(views, tmp_path):
+    def broken(rows):
+        def fail(batches):
+            raise ConnectionError("no model")
+            yield from batches
+
+        return rows.withColumn("relevance", F.lit(0.5)).mapInPandas(fail, "model string, q string, text string, relevance double")
+
+    def no_sentences(rows):
+        return broken(rows.select(F.lit("m").alias("model"), F.lit("q").alias("q"), "text"))
+
+    def search(embed, relevance):
+        index = views.index()
+        return assets_by_query(
+            hybrid_search(
+                views.queries().withColumn("order", F.lit("relevance")), views.query_vectors().drop("collection"),
+                index.postings, index.units, index.vectors, index.assets, embed, relevance, stem=False, rank_digits=6,
+            )
+        )
+
+    plain = search(None, None)
+    assert search(no_sentences, Scorer("m", broken, str(tmp_path / "cache"))) == plain
+    assert {relevance for rows in plain.values() for _, relevance, _ in rows} == {None}
+
+
+def test_a_second_search_asks_the_model_nothing(spark, views, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def score(pairs):
+        def answer(batches):
+            for batch in batches:
+                asked.add(len(batch))
+                yield batch.assign(relevance=batch["text"].str.len() % 10 / 10)
+
+        return pairs.mapInPandas(answer, "model string, q string, text string, relevance double")
+
+    index = views.index()
+    scorer = Scorer("lengths", score, str(tmp_path / "cache"))
+    found = []
+    for _ in range(2):
+        hits = hybrid_search(
+            views.queries(), views.query_vectors().drop("collection"), index.postings, index.units, index.vectors,
+            index.assets, None, scorer, stem=False, rank_digits=6,
+        )
+        found.append((assets_by_query(hits), asked.value))
+    assert found[0] == found[1]
+    assert found[0][1] > 0
+
+
+def test_bodies_and_contents_are_not_moved_to_look_things_up(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    rows = spark.range(600).select(F.sha2((F.col("id") % 200).cast("string"), 256).alias("sha256"), F.repeat(F.lit("x"), F.lit(50)).cast("binary").alias("content"))
+    put_blobs(rows, path, digits=1)
+    put_blobs(rows, path, digits=1)
+    assert spark.read.parquet(path).count() == 200
+    keys = spark.range(300).select(F.when(F.col("id") < 100, F.sha2(F.lit("7"), 256)).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("sha256"))
+    found = get_blobs(keys, path, digits=1)
+    assert (found.count(), found.where("missing").count()) == (300, 100)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    # The store meets the hashes asked for where it is read.
+    assert "Join LeftSemi" in text and "rightHint=(strategy=broadcast)" in text
+
+
 def test_no_query_pairs_everything(views):
     from checks.registered import QUERIES
 

@@ -20,8 +20,9 @@ MEASURE_IS_1 = f"^({C})?{V}{C}({V})?$"
 MEASURE_ABOVE_1 = f"^({C})?{V}{C}{V}{C}"
 HAS_VOWEL = f"^({C})?[aeiouy]"
 DOUBLE_CONSONANT = r"([^aeiouylsz])\1$"
-# Consonant, vowel, consonant, the last not w, x or y.
-SHORT_END = "[^aeiou][aeiouy][^aeiouwxy]$"
+# Consonant, vowel, consonant, the last not w, x or y; asked only of stems of measure 1, where nothing but
+# consonants can come before.
+SHORT_END = f"^{C}[aeiouy][^aeiouwxy]$"
 
 # The published suffix tables; where two suffixes fit, the longer one counts.
 STEP_2 = {

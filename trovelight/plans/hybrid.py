@@ -1,5 +1,6 @@
 """Hybrid search: both paths, fused, grouped, ordered, paged and explained."""
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -8,11 +9,13 @@ from pyspark.sql import functions as F
 from trovelight.operators import fusion, results
 from trovelight.operators.keyword import keyword_search, normalise_query
 from trovelight.operators.nearest import vector_search
-from trovelight.plans.lineage import cut_lineage
+from trovelight.plans.lineage import cut_lineage, written
 from trovelight.plans.sizing import row_count_up_to
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS, Settings
 
+logger = logging.getLogger(__name__)
+
 
 def rank_assets(
     queries: DataFrame, keyword_hits: DataFrame, vector_hits: DataFrame, settings: Settings = DEFAULTS
@@ -40,7 +43,7 @@ def hybrid_search(
     vectors: DataFrame,
     assets: DataFrame,
     embed_sentences: Callable[[DataFrame], DataFrame] | None = None,
-    relevance: Callable[[Column, Column], Column] | None = results.word_share,
+    relevance: Callable[[Column, Column], Column] | results.Scorer | None = results.word_share,
     settings: Settings = DEFAULTS,
     stem: bool = True,
     rank_digits: int | None = None,
@@ -54,8 +57,10 @@ def hybrid_search(
         units: (unit_id, asset_id, collection, asset_type, kind, start_char, end_char, body).
         vectors: Units with embedding and embedding_model.
         assets: Described assets.
-        embed_sentences: The queries' model on rows with `text`; None marks no sentences.
-        relevance: The reranker; None for none.
+        embed_sentences: The queries' model on rows with `text`; None marks no sentences, and neither does
+            a model that fails.
+        relevance: The reranker, as a function of columns or as a model that is asked once for every
+            query and text; None for none. Where a model fails, results keep their order.
         settings: Sizes.
         stem: Whether words are stemmed.
         rank_digits: Digits similarities are rounded to before ranking.
@@ -100,18 +105,26 @@ def hybrid_search(
         is not None
     )
     found = results.fetch_results(shown, units, assets, few)
+    if isinstance(relevance, results.Scorer):
+        found = written(found, "candidates")
+        relevance = relevance.scores(found, settings.rerank_candidates)
     found = results.rerank(
         found, relevance, settings.rerank_candidates, settings.page_size
     )
+    if embed_sentences is not None:
+        # A page of rows a query, read twice: for its sentences and to put them back.
+        page = written(found, "page")
+        try:
+            found = written(
+                results.closest_sentence(page, query_vectors, embed_sentences, rank_digits), "explained"
+            )
+        except Exception as error:
+            logger.warning("no sentences are marked: %s", error)
+            found, embed_sentences = page, None
     if embed_sentences is None:
         found = found.withColumns(
             {name: F.lit(None).cast("int") for name in ("sentence_start", "sentence_end")}
         )
-    else:
-        # A page of rows a query, read twice: for its sentences and to put them back.
-        found = results.closest_sentence(
-            cut_lineage(found), query_vectors, embed_sentences, rank_digits
-        )
     return found.select(
         "query_id",
         "q",
