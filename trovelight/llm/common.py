@@ -57,7 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table from `written` that nothing reads any more, through the file system Spark writes with."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_of(df: DataFrame, columns: list[str] | None = None) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovelight.llm.common import BROADCAST_ROWS, ROWS_PER_PART, attach, prepared, row_of, written
+from trovelight.llm.common import BROADCAST_ROWS, ROWS_PER_PART, attach, discard, prepared, row_of, written
 
 # Runs of white space other than one space.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++"
@@ -38,7 +38,7 @@ def equal_texts(
     share that id one. Null texts count as empty; empty texts equal each other. An empty table gives an
     empty result. Carried columns may have any names.
 
-    Each round counts groups with partial aggregation, so that copies shrink before they are shuffled,
+    `docs` is read three times and has to give the same rows each time, as a stored table does. Each round counts groups with partial aggregation, so that copies shrink before they are shuffled,
     writes the groups of two or more, and joins them back (see `attach` for hot groups). In the first
     round whole texts stay in place while the groups fit a broadcast; later rounds shuffle what is left of
     the texts that are still in a group.
@@ -59,12 +59,18 @@ def equal_texts(
         .withColumn("gid", F.monotonically_increasing_id()),
         "radix-groups",
     )
-    # Written once: alone or not, and what is left of the texts that are not.
-    first = written(
-        attach(rows.withColumn("digit", digit), groups, ["digit"], "size", ["id"], wide=True,
-               broadcast_rows=broadcast_rows, rows_per_part=rows_per_part)
-        .select("row", "id", F.monotonically_increasing_id().alias("rid"), "gid",
-                F.when(F.col("gid").isNotNull(), F.col("rest").substr(F.lit(first_digit + 1), F.octet_length("rest"))).alias("rest")),
+
+    def with_groups(how: str) -> DataFrame:
+        return attach(rows.withColumn("digit", digit), groups, ["digit"], "size", ["id"], how, wide=True,
+                      broadcast_rows=broadcast_rows, rows_per_part=rows_per_part)
+
+    # Rows that share their first digit are written with what is left of their texts; all others, most
+    # of a corpus, are read where they are.
+    live = written(
+        with_groups("inner").select(
+            "row", "id", F.monotonically_increasing_id().alias("rid"), "gid",
+            F.col("rest").substr(F.lit(first_digit + 1), F.octet_length("rest")).alias("rest"),
+        ),
         "radix-first",
     )
     alone = [
@@ -73,9 +79,8 @@ def equal_texts(
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
     ]
-    result = first.where("gid is null").select(*alone)
-    live = first.where("gid is not null")
-    width = first_digit
+    result = with_groups("left_anti").select(*alone)
+    width, first = first_digit, live
     while not live.isEmpty():
         width *= growth
         keyed = live.withColumn("digit", F.substring("rest", 1, width)).withColumn("ended", F.octet_length("rest") <= width)
@@ -99,6 +104,10 @@ def equal_texts(
             )
         )
         live = joined.where("size is not null and not ended").select("row", "id", "rid", "gid", "rest")
+        if first is not None:
+            # Only this round has read it; later rounds are part of the result.
+            discard(first)
+            first = None
     return result
 
 
