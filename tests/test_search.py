@@ -256,6 +256,17 @@ def test_the_approximate_search_widens_until_lists_are_full(spark, space):
     assert few == {n: np.lexsort((np.arange(30), -row)).tolist() for n, row in enumerate(scores)}
 
 
+def test_the_registered_approximate_search_finds_nine_tenths(spark):
+    from checks.registered import QUERIES
+    from checks.views import Views
+
+    views = Views(spark, "/root/testdata/sf0.01")
+    exact = lists(nearest.vector_search(views.query_vectors(), views.index().vectors, rank_digits=6))
+    found = lists(QUERIES["g5_vector_search_approx"](views))
+    assert {query: len(units) for query, units in found.items()} == {query: len(units) for query, units in exact.items()}
+    assert np.mean([len(set(found[query]) & set(units)) / len(units) for query, units in exact.items()]) >= 0.9
+
+
 def test_hashed_words_count_words(spark):
     texts = {1: "reef kelp reef", 2: "Kelp; REEF? reef!", 3: "gull", 4: "--", 5: None}
     rows = spark.createDataFrame(list(texts.items()), "id int, body string")

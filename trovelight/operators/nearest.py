@@ -309,6 +309,33 @@ def signatures(rows: DataFrame, dims: int, bands: int, bits: int, seed: int = 42
     return rows.where(F.col("embedding").isNotNull()).mapInArrow(sign, schema)
 
 
+def _least_away(
+    asked: DataFrame, signed: DataFrame, units: DataFrame, bits: int, recall: float, sample: int, **options
+) -> DataFrame:
+    """(collection, embedding_model, _least): how many planes away a space's queries have to look for `recall`.
+
+    About `sample` queries of every space are searched exactly; what they should find tells, through its
+    signatures, what each distance would have found. Two standard errors are left as a margin.
+    """
+    sizes = asked.groupBy(*SPACE).agg(F.ceil(F.count("*") / sample).alias("_every"))
+    chosen = asked.join(sizes, SPACE).where(F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("_every")) == 0)
+    chosen = written(chosen.drop("_every"), "query-sample")
+    exact = vector_search(chosen, units, **options).select("query_id", "unit_id")
+    theirs = signed.select(*SPACE, "unit_id", F.col("signature").alias("_theirs"))
+    pairs = exact.join(chosen.select("query_id", *SPACE, "signature"), "query_id").join(theirs, [*SPACE, "unit_id"])
+    apart = F.array_min(F.zip_with("signature", "_theirs", lambda a, b: F.bit_count(a.bitwiseXOR(b))))
+    shares = pairs.groupBy(*SPACE, "query_id").agg(
+        *[F.avg((apart <= away).cast("double")).alias(f"_{away}") for away in range(bits)]
+    )
+
+    def surely(share):
+        error = F.coalesce(F.stddev(share) / F.sqrt(F.count("*")), F.lit(0.0))
+        return F.avg(share) - 2 * error >= recall
+
+    least = F.coalesce(*[F.when(surely(f"_{away}"), F.lit(away)) for away in range(bits)], F.lit(bits))
+    return shares.groupBy(*SPACE).agg(least.alias("_least"))
+
+
 def vector_search_approx(
     queries: DataFrame,
     units: DataFrame,
@@ -319,12 +346,15 @@ def vector_search_approx(
     rank_digits: int | None = None,
     units_per_cell: int = DEFAULTS.units_per_cell,
     queries_per_cell: int = DEFAULTS.queries_per_cell,
+    recall: float = 0.9,
+    sample: int = 64,
 ) -> DataFrame:
     """`vector_search` that only compares a query with units that lie in the same cell of a band.
 
-    Similarities and order are exact; units that share no band's signature are missed. A query with
-    fewer than `k` candidates looks into the cells one plane away as well, then two, and so on, until it has
-    `k` or has seen every cell, so no list comes out shorter than the exact one.
+    Similarities and order are exact; units that share no cell looked into are missed. The queries of a
+    space look into cells so many planes away as about `sample` of them, searched exactly, need for a mean
+    recall of `recall`. A query with fewer than `k` candidates looks into the cells one plane further, then
+    two, and so on, until it has `k` or has seen every cell, so no list comes out shorter than the exact one.
     """
     space = [*SPACE, "_band", "_signature"]
     signed = written(signatures(_coded(units), dims, bands, bits), "signatures")
@@ -333,13 +363,22 @@ def vector_search_approx(
         F.posexplode("signature").alias("_band", "_signature"),
     )
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", *SPACE, "embedding")
-    open_ = written(signatures(asked, dims, bands, bits), "query-signatures")
+    asked = written(signatures(asked, dims, bands, bits), "query-signatures")
+    least = written(
+        _least_away(asked, signed, units, bits, recall, sample, k=k, rank_digits=rank_digits), "least-away"
+    )
+    # Spaces without a sampled query or a unit look everywhere.
+    open_ = asked.join(least, SPACE, "left").withColumn("_least", F.coalesce("_least", F.lit(bits)))
+    open_ = written(open_, "query-signatures")
     done = None
     for away in range(bits + 1):
+        ready = open_.where(F.col("_least") <= away)
+        if away < bits and ready.isEmpty():
+            continue
         masks = [m for m in range(1 << bits) if bin(m).count("1") <= away]
         # The last round looks into every cell, for which one band is enough.
         of = F.slice("signature", 1, 1) if away == bits else F.col("signature")
-        probes = open_.withColumn("signature", of).select(
+        probes = ready.withColumn("signature", of).select(
             "query_id", *SPACE, "embedding", F.posexplode("signature").alias("_band", "_own")
         ).select(
             "query_id", *SPACE, "embedding", "_band",
