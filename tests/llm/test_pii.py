@@ -110,6 +110,22 @@ def test_without_candidates_there_is_no_model(spark):
     assert (spans(row.base), row.added) == ([("email", 0, 5)], [])
 
 
+def test_kinds_are_found_however_many_documents_lack_them(spark):
+    few = [f"{'password' if n % 2 else 'commit'} = {n:06x}9d04ab1c77e2f" for n in range(40)] + [f"mail a{n}@b{n}.org or a{n}@b{n}" for n in range(40)]
+    docs = spark.createDataFrame([(t,) for t in few], "text string")
+    many = docs.unionByName(spark.range(3000).select(F.concat(F.lit("plain words "), F.col("id").cast("string")).alias("text")))
+    many = many.unionByName(spark.range(2000).select(F.concat(F.lit("version 1.2."), F.col("id").cast("string"), F.lit(" of it")).alias("text")))
+    small, large = pii.train(docs), pii.train(many, sample_docs=200)
+    assert {"email", "secret"} <= set(small.least)
+    assert {"email", "secret"} <= set(large.least)
+
+
+def test_thresholds_cover_documents_outside_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"password = {n:06x}9d04ab1c77e2f, a{n}@b.org, 10.0.0.{n % 250}",) for n in range(300)], "text string")
+    monkeypatch.setattr(pii, "_drawn", lambda found, sample_docs: found.where(~F.exists("own", pii._held)))
+    assert {"email", "secret"} <= set(pii.train(docs).least)
+
+
 def test_trees_score_as_spark_does():
     trees, weights = pii._trees(
         "Model\n  Tree 0 (weight 1.0):\n    If (feature 3 <= 0.5)\n     Predict: -1.0\n    Else (feature 3 > 0.5)\n     If (feature 1 <= 2.5)\n      Predict: 0.5\n     Else (feature 1 > 2.5)\n      Predict: 1.0\n  Tree 1 (weight 0.1):\n    Predict: 0.25\n"

@@ -46,7 +46,7 @@ _NAMES = {
 }
 _BEFORE, _AFTER = 24, 12
 
-# Documents that candidates are drawn from to train on, and how exact a kind's threshold has to be.
+# Documents with candidates that the trees are taught on, and how exact a kind's threshold has to be.
 SAMPLE_DOCS = 20_000
 PRECISION = 0.98
 TREES, DEPTH, STEP = 16, 5, 0.3
@@ -264,43 +264,66 @@ def _trees(described: str) -> tuple[tuple, tuple[float, ...]]:
     return tuple(trees), tuple(weights)
 
 
+def _held(c: Column) -> Column:
+    """Whether a candidate is kept from the trees, for the thresholds."""
+    return F.pmod(F.xxhash64(c["before"], c["m"], c["after"]), F.lit(10)) < 3
+
+
+def _drawn(found: DataFrame, sample_docs: int) -> DataFrame:
+    """The rows of `found` (at: a random number below 1, own: candidates), or of more than `sample_docs` at most about so many.
+
+    Every kind has an equal part of the sample, and a kind in fewer documents all of them, so that the trees
+    are taught every kind however large the table is.
+    """
+
+    def has(kind: str) -> Column:
+        return F.exists("own", lambda c: c["kind"] == kind)
+
+    counts = found.agg(F.count("*").alias("rows"), *[F.count_if(has(kind)).alias(kind) for kind in KINDS]).first()
+    if counts["rows"] <= sample_docs:
+        return found
+    part = sample_docs / len(KINDS)
+    shares = [F.when(has(kind), F.lit(part / max(counts[kind], 1))).otherwise(F.lit(0.0)) for kind in KINDS]
+    return found.where(F.col("at") < F.greatest(*shares))
+
+
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Model:
-    """Boosted trees for candidates, taught on the candidates of about `sample_docs` documents.
+    """Boosted trees for candidates, taught on the candidates of about `sample_docs` documents that have any.
 
     Labels come from conditions on the spans and on the words before them; near misses of each candidate
     are taught with it, so that the trees learn what makes the difference. Three tenths of the candidates
-    are held out; a kind's threshold is the least score from which on its held-out candidates are right
-    with `precision`. With candidates of one label only there is no model.
+    are held out of that; a kind's threshold is the least score from which on the held-out candidates of all
+    documents are right with `precision`. With candidates of one label only there is no model.
     """
-    total = docs.count()
     whole = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    if total > sample_docs:
-        whole = whole.sample(fraction=sample_docs / total, seed=5)
-    found = whole.where(F.col("t").rlike(_ANY)).select(F.explode(candidates(F.col("t"))).alias("own"))
-    every = found.select((F.pmod(F.xxhash64("own.before", "own.m", "own.after"), F.lit(10)) < 3).alias("held"), F.explode(variants(F.col("own"))).alias("c"))
+    every = whole.where(F.col("t").rlike(_ANY)).select(F.rand(5).alias("at"), candidates(F.col("t")).alias("own"))
+    found = written(every.where(F.size("own") > 0), "pii-found")
+
+    def near(rows: DataFrame, held: bool) -> DataFrame:
+        """The candidates of `rows` that are held out, or the others, and their near misses, as c."""
+        own = rows.select(F.explode(F.filter("own", _held if held else lambda c: ~_held(c))).alias("own"))
+        return own.select(F.explode(variants(F.col("own"))).alias("c"))
+
     taught = written(
-        every.select(
-            F.col("c.kind").alias("kind"),
-            label(F.col("c")).cast("double").alias("label"),
-            F.array(*features(F.col("c"))).alias("f"),
-            "c",
-            "held",
-        ).repartition(4),
+        near(_drawn(found, sample_docs), held=False)
+        .select(label(F.col("c")).cast("double").alias("label"), F.array(*features(F.col("c"))).alias("f"))
+        .repartition(4),
         "pii-candidates",
     )
-    labels = {row["label"] for row in taught.where("not held").groupBy("label").count().collect()}
+    labels = {row["label"] for row in taught.groupBy("label").count().collect()}
     if labels != {0.0, 1.0}:
         return Model((), (), {})
     size = len(features(F.col("c")))
     columns = [F.col("f")[i].alias(f"f{i}") for i in range(size)]
     vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(size)], outputCol="features")
     booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, labelCol="label", featuresCol="features")
-    fitted = booster.fit(vectors.transform(taught.where("not held").select("label", *columns)).select("label", "features"))
+    fitted = booster.fit(vectors.transform(taught.select("label", *columns)).select("label", "features"))
     trees, weights = _trees(fitted.toDebugString)
     model = Model(trees, weights, {})
     # A row per kind and hundredth of the score at most.
     bins = (
-        taught.where("held").select("kind", "label", F.floor(model.score(F.col("c")) * 100).alias("bin"))
+        near(found, held=True)
+        .select(F.col("c.kind").alias("kind"), label(F.col("c")).cast("double").alias("label"), F.floor(model.score(F.col("c")) * 100).alias("bin"))
         .groupBy("kind", "bin").agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()
     )
     least = {}
