@@ -99,3 +99,21 @@ def test_sequences_hold_the_documents(spark, library):
         ids = whole[r.sequence_id][r.offset : r.offset + r.length]
         assert ids[-1] == 0
         assert library.decode(ids[:-1].tolist()) == f"text number {r.doc_id} " * (r.doc_id % 40)
+
+
+def test_the_query_and_the_pipeline_read_added_tokens_as_the_unmodified_library(spark, tmp_path):
+    import corpus_pipeline
+    from trovelight.llm import queries
+
+    unmodified = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext| >", "é<|endoftext|>" * 3000, "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    expected = {}
+    for doc_id, text in enumerate(texts):
+        ids = [*unmodified.encode(text or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        for start, end in zip(cuts, cuts[1:]):
+            expected[doc_id, start] = (end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes()))
+    for found in (queries.op1_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        assert {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in found.collect()} == expected

@@ -25,7 +25,9 @@ BINS_PER_TASK = 100_000
 BATCH_IDS = 1 << 20
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str] | None = None, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, carry: list[str] | None = None, text: str = "text", capacity: int = CAPACITY, added_tokens: bool = False
+) -> DataFrame:
     """The token ids of each row of `docs` followed by id 0, cut into pieces of at most `capacity` ids.
 
     A document that fits is one piece. A longer one is cut so that all pieces but the first are full.
@@ -35,6 +37,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str] | None = None
 
     Args:
         tokenizer: The path of a byte-level BPE in the JSON form of the tokenizers library, on every executor.
+        added_tokens: Whether the contents of its added tokens in a text are those tokens, not ordinary text.
     """
     prepared(docs.sparkSession)
     schema = T.StructType(
@@ -48,7 +51,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, carry: list[str] | None = None
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_of_json(tokenizer)
+        encode = encoder_of_json(tokenizer, added_tokens)
         for batch in batches:
             rows, pieces, starts, lengths, ids, held = [], [], [], [], [], 0
 
@@ -202,8 +205,10 @@ def sequences(pieces: DataFrame, packed: DataFrame, keys: list[str]) -> DataFram
     ).select("sequence_id", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(
+    docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, added_tokens: bool = False
+) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, fill."""
-    pieces = token_pieces(docs, tokenizer, [doc_id], text, capacity)
+    pieces = token_pieces(docs, tokenizer, [doc_id], text, capacity, added_tokens)
     narrow = pieces.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(narrow, capacity=capacity).select("row.*", "sequence_id", "offset", "fill")

@@ -16,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    packed = packing.packed_documents(documents, public_tokenizers.path("byte_bpe_50k.json"))
+    packed = packing.packed_documents(documents, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
