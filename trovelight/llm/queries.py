@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import bpe, chat, exact, language, licenses, near, packing, pii, quality, warc
+from trovelight.llm import bpe, chat, exact, language, licenses, near, ngram_join, packing, pii, quality, resampling, warc, whitening
 from trovelight.llm.common import new_path, written
 
 
@@ -136,6 +136,33 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.jaccard_components(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", "n_shingles", "component_id")
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fitted(vectors)
+    error = whitening.identity_error(vectors, model) if model is not None else 0.0
+    explained = F.array(*[F.lit(float(share)) for share in ([] if model is None else model.explained)]).cast("array<double>")
+    each = whitening.whitened(vectors, model, carry=["vec_id"]).select("row.vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n if model is not None else 0).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.drawn(table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"])
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -147,6 +174,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_bpe": op10_bpe,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 SQL = {
@@ -226,4 +256,92 @@ SQL = {
             doc_id = min(doc_id) over (partition by body) as kept, sha256(body) as text_sha256
         from normal
     """,
+    "op11_ngram_jaccard_join": r"""
+        with recursive split as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+            from documents
+        ),
+        shingles as (
+            select distinct doc_id, unnest(case when len(words) between 1 and 2 then [words]
+                else list_transform(range(1, len(words) - 1), lambda i: [words[i], words[i + 1], words[i + 2]]) end) as shingle
+            from split where words is not null
+        ),
+        numbered as (select doc_id, hash(shingle) as h, shingle from shingles),
+        sized as (select doc_id, count(*) as n from shingles group by doc_id),
+        sets as (
+            select doc_id, n, md5(string_agg(h::varchar, ',' order by h)) as content from numbered join sized using (doc_id) group by doc_id, n
+        ),
+        -- Equal sets are one node, so that copies are not paired with each other.
+        nodes as (select content, n, min(doc_id) as node from sets group by content, n),
+        common as (
+            select a.doc_id as a, b.doc_id as b, count(*) as n_common
+            from numbered a join numbered b on a.shingle = b.shingle and a.doc_id < b.doc_id
+            where a.doc_id in (select node from nodes) and b.doc_id in (select node from nodes)
+            group by 1, 2
+        ),
+        links as (
+            select a, b from common join nodes x on x.node = a join nodes y on y.node = b where 100 * n_common >= 90 * (x.n + y.n - n_common)
+        ),
+        edges as (select a as x, b as y from links union select b, a from links),
+        reach as (
+            select node, node as other from nodes
+            union
+            select node, y from reach join edges on other = x
+        ),
+        components as (select node, min(other) as component from reach group by node)
+        select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(component, d.doc_id) as component_id
+        from documents d left join sets s using (doc_id) left join nodes n on n.content = s.content and n.n = s.n
+            left join components c on c.node = n.node
+    """,
+    "op13_importance_resampling": r"""
+        with texts as (
+            select 'd' as side, doc_id, coalesce(text, '') as body from documents
+            union all select 't', item_id, coalesce(text, '') from benchmark
+        ),
+        split as (
+            select side, doc_id, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from texts
+        ),
+        runs as (
+            select side, doc_id, unnest(list_concat(words,
+                list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+                list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) as run
+            from split
+        ),
+        bytes as (
+            select b, list_reduce(list_prepend(b::bigint, range(8)),
+                lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as entry
+            from range(256) as r(b)
+        ),
+        entries as (select list(entry order by b) as entry from bytes),
+        hashed as (
+            select run, list_reduce(
+                list_prepend(4294967295::bigint, list_transform(range(0, length(hexed) // 2), lambda i: ('0x' || substr(hexed, (2 * i + 1)::bigint, 2))::bigint)),
+                lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1])) as state
+            from (select run, hex(encode(run)) as hexed from runs group by run), entries
+        ),
+        buckets as (select run, xor(state, 4294967295) % 10000 as bucket from hashed),
+        placed as (select side, doc_id, bucket from runs join buckets using (run)),
+        counted as (
+            select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 't') as t from placed group by bucket
+        ),
+        totals as (select count(*) filter (side = 'd') as s_all, count(*) filter (side = 't') as t_all from placed),
+        gains as (
+            select bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::double / ((s + 1) * (t_all + 10000))::double))::bigint as gain from counted, totals
+        ),
+        weights as (
+            select doc_id, count(*) as n_features, sum(gain)::bigint as weight from placed join gains using (bucket) where side = 'd' group by doc_id
+        ),
+        scored as (
+            select d.doc_id, len(d.words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+            from split d left join weights using (doc_id) where side = 'd'
+        ),
+        ranked as (
+            select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_words >= 20
+        )
+        select doc_id, n_features, weight, score, case when place <= 5 * n // 100 then place end as rank
+        from scored left join ranked using (doc_id)
+    """,
 }
