@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.operators import enrich, intake, metadata, passages, units
+from trovelight.operators.approximate import VectorLists, build_vector_lists
 from trovelight.plans.index import Index, build_index
 from trovelight.plans.lineage import new_folder, written
 from trovelight.plans.sizing import spread
@@ -16,11 +17,13 @@ IMAGE_BASE = 10_000_000
 
 # Where the index of a folder of tables was written, per application.
 _written: dict[tuple[str, str], str] = {}
+_listed: dict[tuple[str, str], str] = {}
 
 
 def forget_index() -> None:
     """Have the next search write its index anew."""
     _written.clear()
+    _listed.clear()
 
 
 class Views:
@@ -50,6 +53,16 @@ class Views:
             _written[key] = folder
         return Index.read(self.spark, _written[key])
 
+    def vector_lists(self) -> VectorLists:
+        """The approximate index of the index's vectors, written once per application."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        vectors = self.index().vectors
+        if key not in _listed:
+            folder = new_folder(self.spark, "vector-lists")
+            build_vector_lists(vectors, folder)
+            _listed[key] = folder
+        return VectorLists.read(self.spark, _listed[key], vectors)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trovelight.operators import keyword, nearest
+from trovelight.operators import approximate, keyword, nearest
 from trovelight.operators.units import assign_unit_ids, build_postings, build_units, embed_hashed_words
 
 UNITS = "unit_id long, collection string, asset_id long, kind string, asset_type string, body string"
@@ -241,19 +241,92 @@ def test_the_best_so_far_does_not_depend_on_the_batches():
     assert found[0] == found[1]
 
 
-def test_the_approximate_search_widens_until_lists_are_full(spark, space):
+def test_units_stay_where_they_are_past_the_broadcast_bound(spark, space):
+    matrix, asked = space
+    found = nearest.vector_search(queries_of(spark, asked, SPACES[0]), table_of(spark, matrix, SPACES), 5, max_broadcast_vectors=0, queries_per_cell=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and all("hashpartitioning(query_id" in line for line in exchanges)
+
+
+def test_far_blocks_are_left_out_of_the_product():
+    from trovelight.functions import vectors
+
+    random = np.random.default_rng(4)
+    near = np.array([1.0, 0, 0]) + 0.01 * random.standard_normal((50, 3))
+    far = np.array([-1.0, 0, 0]) + 0.01 * random.standard_normal((50, 3))
+    nearest_so_far = vectors.NearestSoFar(np.array([[1.0, 0, 0]]), 10, None)
+    units = np.column_stack([np.arange(50)] * 3)
+    nearest_so_far.add(units, near)
+    assert not (nearest_so_far._reach(far) >= nearest_so_far.bars).any()
+    assert (nearest_so_far._reach(near) >= nearest_so_far.bars).all()
+
+
+def sparse_of(spark, matrix, key):
+    rows = [(n, int(b), float(w)) for n, row in enumerate(matrix) for b, w in enumerate(row) if w]
+    return spark.createDataFrame(rows, f"{key} long, bucket int, weight float")
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_vectors": 2}])
+def test_sparse_vectors_as_dense_ones(spark, options):
+    random = np.random.default_rng(12)
+    matrix = (random.random((300, 40)) < 0.06) * random.integers(1, 5, (300, 40)).astype(np.float32)
+    matrix[matrix.sum(axis=1) == 0, 0] = 1
+    matrix[::7] = matrix[0]
+    asked = (random.random((5, 40)) < 0.1) * random.integers(-2, 5, (5, 40)).astype(np.float32)
+    asked[asked.any(axis=1) == 0, 1] = 1
+    scores = np.round(cosine(asked, matrix), 6)
+    expected = {n: np.lexsort((np.arange(300), -row))[:120].tolist() for n, row in enumerate(scores)}
+    space = [("shore", "m")]
+    units = table_of(spark, matrix, space).drop("embedding")
+    queries = queries_of(spark, asked, space[0]).drop("embedding")
+    found = nearest.vector_search_sparse(queries, sparse_of(spark, asked, "query_id"), units, sparse_of(spark, matrix, "unit_id"), 40, 120, rank_digits=6, **options)
+    # 120 of 300 reach into the units that share no place with a query.
+    assert (scores == 0).any() and lists(found) == expected
+
+
+def test_the_approximate_search_finds_nine_tenths_in_full_lists(spark, space, tmp_path):
     matrix, asked = space
     everywhere = [("shore", "m")]
     scores = np.round(cosine(asked, matrix), 6)
     exact = {n: np.lexsort((np.arange(len(matrix)), -row))[:60].tolist() for n, row in enumerate(scores)}
-    found = lists(nearest.vector_search_approx(queries_of(spark, asked, everywhere[0]), table_of(spark, matrix, everywhere), 12, 60, bands=6, bits=4, rank_digits=6))
+    index = approximate.build_vector_lists(table_of(spark, matrix, everywhere), str(tmp_path / "lists"), 60, units_per_cell=100)
+    assert index.codes.count() == len(matrix)
+    found = lists(approximate.vector_search_approx(queries_of(spark, asked, everywhere[0]), index, 60, rank_digits=6))
     assert {query: len(units) for query, units in found.items()} == dict.fromkeys(exact, 60)
     with_length = [q for q in exact if asked[q].any()]
-    assert np.mean([len(set(found[q]) & set(exact[q])) / 60 for q in with_length]) > 0.7
-    # Fewer units than asked for: all of them, in the exact order.
-    few = lists(nearest.vector_search_approx(queries_of(spark, asked[:2], everywhere[0]), table_of(spark, matrix[:30], everywhere), 12, 60, bands=2, bits=3, rank_digits=6))
+    assert np.mean([len(set(found[q]) & set(exact[q])) / 60 for q in with_length]) >= 0.9
+    # Fewer units than asked for: all of them, in the exact order; past the broadcast bound too.
+    index = approximate.build_vector_lists(table_of(spark, matrix[:30], everywhere), str(tmp_path / "few"))
     scores = np.round(cosine(asked[:2], matrix[:30]), 6)
-    assert few == {n: np.lexsort((np.arange(30), -row)).tolist() for n, row in enumerate(scores)}
+    for options in ({}, {"max_broadcast_rows": 0, "max_broadcast_vectors": 1}):
+        few = lists(approximate.vector_search_approx(queries_of(spark, asked[:2], everywhere[0]), index, 60, rank_digits=6, **options))
+        assert few == {n: np.lexsort((np.arange(30), -row)).tolist() for n, row in enumerate(scores)}
+
+
+def test_spaces_without_units_and_no_units_at_all(spark, space, tmp_path):
+    matrix, asked = space
+    index = approximate.build_vector_lists(table_of(spark, matrix[:40], SPACES), str(tmp_path / "lists"), 5)
+    assert index.models.count() == 3
+    assert approximate.vector_search_approx(queries_of(spark, asked, ("nowhere", "m")), index, 5).count() == 0
+    index = approximate.build_vector_lists(table_of(spark, matrix[:0], SPACES), str(tmp_path / "none"), 5)
+    assert approximate.vector_search_approx(queries_of(spark, asked, SPACES[0]), index, 5).count() == 0
+
+
+def test_a_query_scores_few_codes_of_a_large_space(spark, tmp_path):
+    # Forty clusters: what a query needs lies in few lists.
+    random = np.random.default_rng(6)
+    centres = random.standard_normal((40, 16))
+    matrix = np.concatenate([c + 0.2 * random.standard_normal((100, 16)) for c in centres]).astype(np.float32)
+    asked = (centres[:10] + 0.1 * random.standard_normal((10, 16))).astype(np.float32)
+    queries = queries_of(spark, asked, ("shore", "m"))
+    index = approximate.build_vector_lists(table_of(spark, matrix, [("shore", "m")]), str(tmp_path / "lists"), 50)
+    counted = spark.sparkContext.accumulator(0)
+    approximate._candidates(queries, index, 200, 50, 100, counted).count()
+    assert counted.value <= 0.2 * len(matrix) * len(asked)
+    found = lists(approximate.vector_search_approx(queries, index, 50))
+    scores = cosine(asked, matrix)
+    assert np.mean([len(set(found[q]) & set(np.argsort(-scores[q])[:50])) / 50 for q in range(10)]) >= 0.9
 
 
 def test_the_registered_approximate_search_finds_nine_tenths(spark):

@@ -79,6 +79,12 @@ def similarities(units: np.ndarray, queries: np.ndarray, digits: int | None) ->
     return found if digits is None else np.round(found, digits) + 0.0
 
 
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors at length 1; zero vectors stay, a right angle away from everything."""
+    lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
+
+
 class NearestSoFar:
     """The best `k` units of every query of one block, kept while units stream by.
 
@@ -93,15 +99,35 @@ class NearestSoFar:
         self.found = [None] * len(queries)
         # What a unit has to reach to be among the best of each query.
         self.bars = np.full(len(queries), -np.inf)
+        self.directions = _directions(queries)
+        # Rounding may lift a similarity.
+        self.slack = 1e-9 if digits is None else 10.0**-digits
 
     def add(self, units: np.ndarray, vectors: np.ndarray) -> None:
         # A slice of units at a time, so the product stays small whatever the number of queries.
         step = max(1, 4_000_000 // max(1, len(self.queries)))
         for start in range(0, len(units), step):
-            scores = similarities(vectors[start : start + step], self.queries, self.digits)
-            # Once lists are full, few queries have anything to gain from a slice.
-            for query in np.flatnonzero((scores >= self.bars).any(axis=0)):
-                self._merge(query, scores[:, query], units[start : start + step])
+            part = vectors[start : start + step]
+            asking = np.flatnonzero(self._reach(part) + self.slack >= self.bars)
+            if len(asking):
+                scores = similarities(part, self.queries[asking], self.digits)
+                self.add_scores(units[start : start + step], scores, asking)
+
+    def add_scores(self, units: np.ndarray, scores: np.ndarray, asking: np.ndarray) -> None:
+        """Units (rows) whose similarities to the queries numbered `asking` (columns) are known."""
+        # Once lists are full, few queries have anything to gain from a slice.
+        for column in np.flatnonzero((scores >= self.bars[asking]).any(axis=0)):
+            self._merge(asking[column], scores[:, column], units)
+
+    def _reach(self, vectors: np.ndarray) -> np.ndarray:
+        """The most similar any of these vectors can be to each query: the angle to their centre, less their spread."""
+        if np.isneginf(self.bars).all() or not len(vectors):
+            return np.full(len(self.queries), 1.0)
+        directions = _directions(vectors)
+        centre = _directions(directions.sum(axis=0, keepdims=True))[0]
+        spread = np.arccos(np.clip((directions @ centre).min(), -1, 1))
+        apart = np.arccos(np.clip(self.directions @ centre, -1, 1))
+        return np.cos(np.maximum(apart - spread, 0))
 
     def _merge(self, query: int, scores: np.ndarray, units: np.ndarray) -> None:
         if self.found[query] is not None:

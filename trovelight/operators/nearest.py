@@ -5,16 +5,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.vectors import NearestSoFar, matrix
 from trovelight.plans.lineage import written
-from trovelight.plans.sizing import lookup, row_count_up_to
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS
 
 SPACE = ["collection", "embedding_model"]
+# Bytes of query vectors that are sent to every task at once.
+MAX_BROADCAST_BYTES = 256 << 20
 FOUND = "query_id {query_id}, unit_id bigint, asset_id bigint, _code bigint, similarity double"
 
 
@@ -82,106 +82,63 @@ def _found_batch(query_ids, query_type, nearest: NearestSoFar):
         )
 
 
-def _with_queries_everywhere(units, queries, k, digits) -> DataFrame:
-    """Every task holds all queries and reads its units once; no unit is shuffled.
+def _passes(asked: DataFrame, most: int, max_bytes: int, extra: tuple[str, ...] = ("embedding",)):
+    """The queries in blocks that fit every task, as Arrow tables; nearly always one block.
 
-    A task hands on at most `k` units a query, whatever it has read.
+    A block has at most `most` queries and, going by the longest, about `max_bytes` bytes of doubles.
     """
-    spark = units.sparkSession
-    rows = queries.select("query_id", *SPACE, "embedding").toArrow().combine_chunks()
-    query_type = rows.schema.field("query_id").type
-    spaces = {}
-    for key, places in _places_by_space(rows).items():
-        here = rows.take(pa.array(places))
-        spaces[key] = (here.column("query_id").to_pylist(), matrix(_list_column(here, "embedding")))
-    shared = spark.sparkContext.broadcast((query_type, spaces))
-
-    def search(batches):
-        id_type, by_space = shared.value
-        nearest = {
-            key: NearestSoFar(vectors, k, digits) for key, (_, vectors) in by_space.items()
-        }
-        for batch in batches:
-            for key, places in _places_by_space(batch).items():
-                if key in nearest:
-                    part = batch.take(pa.array(places))
-                    nearest[key].add(_unit_rows(part), matrix(_list_column(part, "embedding")))
-        for key, found in nearest.items():
-            yield from _found_batch(by_space[key][0], id_type, found)
-
-    schema = FOUND.format(query_id=queries.schema["query_id"].dataType.simpleString())
+    columns = ["query_id", *SPACE, *extra]
+    longest = F.max(F.size(extra[0]))
+    count, places = asked.agg(F.count("*"), longest).first()
+    block = max(1, min(most, max_bytes // (8 * max(1, places or 1))))
+    blocks = -(-count // block)
+    if blocks <= 1:
+        yield asked.select(*columns).toArrow().combine_chunks()
+        return
+    asked = written(asked.select(*columns, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")), "query-blocks")
+    for number in range(blocks):
+        yield asked.where(F.col("_block") == number).select(*columns).toArrow().combine_chunks()
+
+
+def _of_spaces(units: DataFrame, spaces) -> DataFrame:
+    """The units of these (collection, model); as literals these reach the scan, so other partitions are not read."""
     models = sorted({model for _, model in spaces if model is not None})
     collections = sorted({name for name, _ in spaces if name is not None})
-    # As literals these reach the scan: partitions and row groups of other spaces are not read.
-    units = units.where(F.col("collection").isin(collections))
-    return units.where(F.col("embedding_model").isin(models)).mapInArrow(search, schema)
-
-
-def _cells(units, queries, keys, units_per_cell, queries_per_cell):
-    """Both sides cut into parts, so that every pair of a unit and a query of one space meets once.
-
-    The parts of a space follow from its size, so a space with a third of all units has many of
-    them and no task holds more than `units_per_cell` units (about) at once.
-    """
-
-    def parts(side, per_cell, name):
-        return side.groupBy(*keys).agg(
-            F.ceil(F.count("*") / per_cell).cast("int").alias(name)
-        )
-
-    sizes = parts(units, units_per_cell, "_unit_parts").join(
-        parts(queries, queries_per_cell, "_query_parts"), keys
-    )
-
-    def all_parts(count):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    def own_part(column, count):
-        return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
-
-    few = row_count_up_to(sizes, DEFAULTS.max_broadcast_rows) is not None
-    unit_side = lookup(units, sizes, keys, fits_broadcast=few)
-    query_side = lookup(queries, sizes, keys, fits_broadcast=few)
-    unit_side = unit_side.withColumn("_unit_part", own_part("unit_id", "_unit_parts")).withColumn(
-        "_query_part", all_parts("_query_parts")
-    )
-    query_side = query_side.withColumn(
-        "_query_part", own_part("query_id", "_query_parts")
-    ).withColumn("_unit_part", all_parts("_unit_parts"))
-    return unit_side.drop("_unit_parts", "_query_parts"), query_side.drop(
-        "_unit_parts", "_query_parts"
-    )
+    return units.where(F.col("collection").isin(collections)).where(F.col("embedding_model").isin(models))
 
 
-def _with_cells(units, queries, keys, k, digits, units_per_cell, queries_per_cell) -> DataFrame:
-    """Units and queries are shuffled into cells of bounded size; a cell hands on `k` units a query."""
-    query_field = queries.schema["query_id"]
-    unit_side, query_side = _cells(units, queries, keys, units_per_cell, queries_per_cell)
+def _in_place(units: DataFrame, passes, query_type, asking, adding) -> DataFrame:
+    """One pass over the units for each block of queries; a task holds the block and reads its units once.
 
-    def search(unit_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        id_type = query_rows.schema.field("query_id").type
-        batches = []
-        if unit_rows.num_rows and query_rows.num_rows:
-            found = NearestSoFar(matrix(_list_column(query_rows, "embedding")), k, digits)
-            found.add(_unit_rows(unit_rows.combine_chunks().to_batches()[0]), matrix(_list_column(unit_rows, "embedding")))
-            batches = list(_found_batch(query_rows.column("query_id").to_pylist(), id_type, found))
-        schema = pa.schema(
-            [
-                ("query_id", id_type),
-                ("unit_id", pa.int64()),
-                ("asset_id", pa.int64()),
-                ("_code", pa.int64()),
-                ("similarity", pa.float64()),
-            ]
-        )
-        return pa.Table.from_batches(batches, schema=schema)
+    No unit is shuffled, and a task hands on at most `k` units a query, whatever it has read.
 
-    cell = [*keys, "_unit_part", "_query_part"]
-    return (
-        unit_side.groupBy(*cell)
-        .cogroup(query_side.select(*cell, "query_id", "embedding").groupBy(*cell))
-        .applyInArrow(search, FOUND.format(query_id=query_field.dataType.simpleString()))
-    )
+    Args:
+        asking: From a space's queries, as an Arrow table, to what a task keeps of them.
+        adding: From that to (what has been found so far, a function that takes a batch of units).
+    """
+    spark = units.sparkSession
+    schema = FOUND.format(query_id=query_type.simpleString())
+    found = None
+    for rows in passes:
+        spaces = {}
+        for key, places in _places_by_space(rows).items():
+            here = rows.take(pa.array(places))
+            spaces[key] = (here.column("query_id").to_pylist(), asking(here))
+        shared = spark.sparkContext.broadcast((rows.schema.field("query_id").type, spaces))
+
+        def search(batches, shared=shared):
+            id_type, by_space = shared.value
+            nearest = {key: adding(kept) for key, (_, kept) in by_space.items()}
+            for batch in batches:
+                for key, places in _places_by_space(batch).items():
+                    if key in nearest:
+                        nearest[key][1](batch.take(pa.array(places)))
+            for key, (so_far, _) in nearest.items():
+                yield from _found_batch(by_space[key][0], id_type, so_far)
+
+        here = _of_spaces(units, spaces).mapInArrow(search, schema)
+        found = here if found is None else found.unionByName(here)
+    return found
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -201,7 +158,8 @@ def vector_search(
     """The `k` units nearest to every query by cosine, ties by unit id; exact, and without a threshold.
 
     Every query is compared with every unit of its collection and model, as matrix products inside
-    the tasks; pairs never become rows.
+    the tasks; pairs never become rows. A block of units that lies too far from a query to hold one of its
+    best so far is left out.
 
     Args:
         queries: (query_id, collection, embedding, embedding_model).
@@ -209,10 +167,10 @@ def vector_search(
             without a vector are never found.
         k: Units per query.
         rank_digits: Round similarities to this many digits before ranking; None leaves them.
-        max_broadcast_vectors: Up to this many queries are sent to every task and units are read in
-            place; with more, both are shuffled into cells.
-        units_per_cell: Units in one cell.
-        queries_per_cell: Queries in one cell.
+        max_broadcast_vectors: Up to this many queries are sent to every task, where the units are
+            read; with more, the units are read once for each block of them. Units never move.
+        units_per_cell: Units compared at once.
+        queries_per_cell: The least size of a block of queries.
 
     Returns:
         (query_id, unit_id, asset_id, kind, asset_type, similarity, rank), ranks from 1.
@@ -220,33 +178,96 @@ def vector_search(
     need(queries, "query_id", *SPACE, "embedding")
     need(units, "unit_id", "asset_id", "kind", "asset_type", *SPACE, "embedding")
     asked = queries.where(F.col("embedding").isNotNull())
-    if row_count_up_to(asked.select("query_id"), max_broadcast_vectors) is not None:
-        found = _with_queries_everywhere(_coded(units), asked, k, rank_digits)
-    else:
-        found = _with_cells(
-            _coded(units), asked, SPACE, k, rank_digits, units_per_cell, queries_per_cell
-        )
-    return _ranked(_decoded(found), k)
+    passes = _passes(asked, max(max_broadcast_vectors, queries_per_cell), MAX_BROADCAST_BYTES)
 
+    def adding(vectors):
+        so_far = NearestSoFar(vectors, k, rank_digits)
 
-def dense_vectors(places: DataFrame, key: str, dims: int) -> DataFrame:
-    """(key, embedding) from rows (key, bucket, weight) that leave out places that hold nothing.
+        def add(part):
+            rows, theirs = _unit_rows(part), matrix(_list_column(part, "embedding"))
+            for start in range(0, len(rows), units_per_cell):
+                so_far.add(rows[start : start + units_per_cell], theirs[start : start + units_per_cell])
 
-    A vector's places are at most `dims` rows, gathered in one.
-    """
-    need(places, key, "bucket", "weight")
-    held = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
-    every = F.sequence(F.lit(0), F.lit(dims - 1))
-    return (
-        places.groupBy(key)
-        .agg(held.alias("_held"))
-        .select(
-            key,
-            F.transform(
-                every, lambda place: F.coalesce(F.col("_held")[place], F.lit(0.0)).cast("float")
-            ).alias("embedding"),
-        )
+        return so_far, add
+
+    found = _in_place(
+        _coded(units), passes, queries.schema["query_id"].dataType, lambda rows: matrix(_list_column(rows, "embedding")), adding
     )
+    return _ranked(_decoded(found), k)
+
+
+class _SparseQueries:
+    """The queries of one space by the places that hold something."""
+
+    def __init__(self, buckets: pa.ListArray, weights: pa.ListArray):
+        sizes = np.diff(buckets.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        places = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.lengths = np.sqrt(np.bincount(owner, values * values, len(sizes)))
+        order = np.argsort(places, kind="stable")
+        self.places, first = np.unique(places[order], return_index=True)
+        self.owners = np.split(owner[order], first[1:])
+        self.values = np.split(values[order], first[1:])
+        # The most a unit can gain from a place, for any of the queries.
+        inverse = np.divide(1.0, self.lengths, out=np.zeros(len(sizes)), where=self.lengths > 0)
+        self.most = np.array([(np.abs(v) * inverse[o]).max(initial=0) for o, v in zip(self.owners, self.values, strict=True)])
+
+
+class _SparseNearest(NearestSoFar):
+    """`NearestSoFar` of vectors given by their places, without ever filling in the others."""
+
+    def __init__(self, asked: _SparseQueries, k: int, digits: int | None):
+        super().__init__(np.zeros((len(asked.lengths), 1)), k, digits)
+        self.asked = asked
+
+    def add_places(self, units: np.ndarray, buckets: pa.ListArray, weights: pa.ListArray) -> None:
+        sizes = np.diff(buckets.offsets.to_numpy())
+        rows = np.repeat(np.arange(len(units)), sizes)
+        places = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        lengths = np.sqrt(np.bincount(rows, values * values, len(units)))
+        known = np.searchsorted(self.asked.places, places)
+        known[known == len(self.asked.places)] = 0
+        held = self.asked.places[known] == places if len(self.asked.places) else np.zeros(len(places), bool)
+        rows, known, values = rows[held], known[held], values[held]
+        # Units that cannot reach the worst list are not scored.
+        most = np.bincount(rows, np.abs(values) * self.asked.most[known], len(units)) if len(rows) else np.zeros(len(units))
+        most = np.divide(most, lengths, out=np.zeros(len(units)), where=lengths > 0)
+        hopeful = np.flatnonzero(most + self.slack >= self.bars.min(initial=np.inf))
+        number = np.full(len(units), -1)
+        number[hopeful] = np.arange(len(hopeful))
+        kept = number[rows] >= 0
+        rows, known, values = number[rows[kept]], known[kept], values[kept]
+        order = np.argsort(known, kind="stable")
+        rows, known, values = rows[order], known[order], values[order]
+        ends = np.flatnonzero(np.diff(known, append=-1)) + 1
+        step = max(1, 4_000_000 // max(1, len(self.found)))
+        everyone = np.arange(len(self.found))
+        for start in range(0, len(hopeful), step):
+            block = hopeful[start : start + step]
+            scores = np.zeros((len(block), len(self.found)))
+            begin = 0
+            for end in ends:
+                here, weight = rows[begin:end] - start, values[begin:end]
+                inside = (here >= 0) & (here < len(block))
+                place = known[begin]
+                scores[np.ix_(here[inside], self.asked.owners[place])] += np.outer(weight[inside], self.asked.values[place])
+                begin = end
+            lengths_both = np.outer(lengths[block], self.asked.lengths)
+            scores = np.divide(scores, lengths_both, out=np.zeros_like(scores), where=lengths_both > 0)
+            if self.digits is not None:
+                scores = np.round(scores, self.digits) + 0.0
+            self.add_scores(units[block], scores, everyone)
+
+
+def _gathered(places: DataFrame, key: str) -> DataFrame:
+    """(key, buckets, weights): a vector's places, which are as many as hold something, in order."""
+    need(places, key, "bucket", "weight")
+    held = F.sort_array(F.collect_list(F.struct("bucket", "weight")))
+    return places.groupBy(key).agg(held.alias("_held")).select(
+        key, F.col("_held.bucket").alias("buckets"), F.col("_held.weight").alias("weights")
+    )
 
 
 def vector_search_sparse(
@@ -255,143 +276,46 @@ def vector_search_sparse(
     units: DataFrame,
     unit_places: DataFrame,
     dims: int,
-    **options,
+    k: int = DEFAULTS.units_per_path,
+    rank_digits: int | None = None,
+    max_broadcast_vectors: int = DEFAULTS.max_broadcast_vectors,
 ) -> DataFrame:
     """`vector_search` over vectors given by the places that hold something.
 
-    Joining both sides by place would make a row of every query and unit that share a common word,
-    and lose the units that share none. Vectors are put together instead, a shuffle of their places by
-    unit, and compared as blocks, so that the tail of units without similarity stays.
+    Joining both sides by place would make a row of every query and unit that share a common word, and
+    lose the units that share none. Here a row holds a vector's places and weights; a task multiplies
+    its units with the queries place by place, leaves out units whose places cannot gain them a place in any list, and
+    keeps the tail of units without similarity, by id. Other places are never filled in.
 
     Args:
         queries: (query_id, collection, embedding_model).
         query_places: (query_id, bucket, weight).
         units: (unit_id, asset_id, collection, kind, asset_type, embedding_model).
-        unit_places: (unit_id, bucket, weight).
+        unit_places: (unit_id, bucket, weight), one row a place.
         dims: The length of the vectors.
-        **options: As for `vector_search`.
     """
     need(queries, "query_id", *SPACE)
     need(units, "unit_id", *SPACE)
-    return vector_search(
-        queries.join(dense_vectors(query_places, "query_id", dims), "query_id"),
-        units.join(dense_vectors(unit_places, "unit_id", dims), "unit_id"),
-        **options,
-    )
-
-
-# --- approximate -------------------------------------------------------------------------------
-
-
-def signatures(rows: DataFrame, dims: int, bands: int, bits: int, seed: int = 42) -> DataFrame:
-    """`signature`: for every band the sides of `bits` random planes a vector lies on, as a number.
-
-    Vectors that point nearly the same way share a band's number often. Worth storing with the units.
-    """
-    need(rows, "embedding")
-    planes = np.random.default_rng(seed).standard_normal((dims, bands * bits))
-    weights = 1 << np.arange(bits)
-    kept = rows.schema.fields
-    schema = T.StructType([*kept, T.StructField("signature", T.ArrayType(T.IntegerType()))])
-
-    def sign(batches):
-        for batch in batches:
-            vectors = matrix(_list_column(batch, "embedding"))
-            sides = (vectors @ planes >= 0).reshape(len(vectors), bands, bits)
-            numbers = (sides * weights).sum(axis=2).astype(np.int32)
-            offsets = np.arange(0, (len(vectors) + 1) * bands, bands, dtype=np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(field.name) for field in kept] + [column],
-                names=[field.name for field in kept] + ["signature"],
-            )
-
-    return rows.where(F.col("embedding").isNotNull()).mapInArrow(sign, schema)
-
-
-def _least_away(
-    asked: DataFrame, signed: DataFrame, units: DataFrame, bits: int, recall: float, sample: int, **options
-) -> DataFrame:
-    """(collection, embedding_model, _least): how many planes away a space's queries have to look for `recall`.
-
-    About `sample` queries of every space are searched exactly; what they should find tells, through its
-    signatures, what each distance would have found. Two standard errors are left as a margin.
-    """
-    sizes = asked.groupBy(*SPACE).agg(F.ceil(F.count("*") / sample).alias("_every"))
-    chosen = asked.join(sizes, SPACE).where(F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("_every")) == 0)
-    chosen = written(chosen.drop("_every"), "query-sample")
-    exact = vector_search(chosen, units, **options).select("query_id", "unit_id")
-    theirs = signed.select(*SPACE, "unit_id", F.col("signature").alias("_theirs"))
-    pairs = exact.join(chosen.select("query_id", *SPACE, "signature"), "query_id").join(theirs, [*SPACE, "unit_id"])
-    apart = F.array_min(F.zip_with("signature", "_theirs", lambda a, b: F.bit_count(a.bitwiseXOR(b))))
-    shares = pairs.groupBy(*SPACE, "query_id").agg(
-        *[F.avg((apart <= away).cast("double")).alias(f"_{away}") for away in range(bits)]
-    )
-
-    def surely(share):
-        error = F.coalesce(F.stddev(share) / F.sqrt(F.count("*")), F.lit(0.0))
-        return F.avg(share) - 2 * error >= recall
-
-    least = F.coalesce(*[F.when(surely(f"_{away}"), F.lit(away)) for away in range(bits)], F.lit(bits))
-    return shares.groupBy(*SPACE).agg(least.alias("_least"))
-
-
-def vector_search_approx(
-    queries: DataFrame,
-    units: DataFrame,
-    dims: int,
-    k: int = DEFAULTS.units_per_path,
-    bands: int = 8,
-    bits: int = 8,
-    rank_digits: int | None = None,
-    units_per_cell: int = DEFAULTS.units_per_cell,
-    queries_per_cell: int = DEFAULTS.queries_per_cell,
-    recall: float = 0.9,
-    sample: int = 64,
-) -> DataFrame:
-    """`vector_search` that only compares a query with units that lie in the same cell of a band.
-
-    Similarities and order are exact; units that share no cell looked into are missed. The queries of a
-    space look into cells so many planes away as about `sample` of them, searched exactly, need for a mean
-    recall of `recall`. A query with fewer than `k` candidates looks into the cells one plane further, then
-    two, and so on, until it has `k` or has seen every cell, so no list comes out shorter than the exact one.
-    """
-    space = [*SPACE, "_band", "_signature"]
-    signed = written(signatures(_coded(units), dims, bands, bits), "signatures")
-    unit_side = signed.select(
-        *[name for name in signed.columns if name != "signature"],
-        F.posexplode("signature").alias("_band", "_signature"),
+    asked = queries.join(_gathered(query_places, "query_id"), "query_id")
+    rows = units.join(_gathered(unit_places, "unit_id"), "unit_id").select(
+        *SPACE,
+        F.col("unit_id").cast("bigint").alias("unit_id"),
+        F.col("asset_id").cast("bigint").alias("asset_id"),
+        unit_code(F.col("kind"), F.col("asset_type")).alias("_code"),
+        "buckets",
+        "weights",
     )
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", *SPACE, "embedding")
-    asked = written(signatures(asked, dims, bands, bits), "query-signatures")
-    least = written(
-        _least_away(asked, signed, units, bits, recall, sample, k=k, rank_digits=rank_digits), "least-away"
+    passes = _passes(asked, max(1, max_broadcast_vectors), MAX_BROADCAST_BYTES, ("buckets", "weights"))
+
+    def adding(kept):
+        so_far = _SparseNearest(kept, k, rank_digits)
+        return so_far, lambda part: so_far.add_places(_unit_rows(part), _list_column(part, "buckets"), _list_column(part, "weights"))
+
+    found = _in_place(
+        rows,
+        passes,
+        queries.schema["query_id"].dataType,
+        lambda table: _SparseQueries(_list_column(table, "buckets"), _list_column(table, "weights")),
+        adding,
     )
-    # Spaces without a sampled query or a unit look everywhere.
-    open_ = asked.join(least, SPACE, "left").withColumn("_least", F.coalesce("_least", F.lit(bits)))
-    open_ = written(open_, "query-signatures")
-    done = None
-    for away in range(bits + 1):
-        ready = open_.where(F.col("_least") <= away)
-        if away < bits and ready.isEmpty():
-            continue
-        masks = [m for m in range(1 << bits) if bin(m).count("1") <= away]
-        # The last round looks into every cell, for which one band is enough.
-        of = F.slice("signature", 1, 1) if away == bits else F.col("signature")
-        probes = ready.withColumn("signature", of).select(
-            "query_id", *SPACE, "embedding", F.posexplode("signature").alias("_band", "_own")
-        ).select(
-            "query_id", *SPACE, "embedding", "_band",
-            F.explode(F.array(*[F.lit(m) for m in masks])).alias("_mask"), "_own",
-        ).withColumn("_signature", F.col("_own").bitwiseXOR(F.col("_mask"))).drop("_mask", "_own")
-        found = _with_cells(unit_side, probes, space, k, rank_digits, units_per_cell, queries_per_cell)
-        near = written(_ranked(_decoded(found).dropDuplicates(["query_id", "unit_id"]), k), "near")
-        enough = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
-        short = written(open_.join(enough, "query_id", "left_anti"), "query-signatures")
-        last = away == bits or short.isEmpty()
-        settled = near if last else near.join(enough, "query_id", "left_semi")
-        done = settled if done is None else done.unionByName(settled)
-        if last:
-            return done
-        open_ = short
-    return done
+    return _ranked(_decoded(found), k)
