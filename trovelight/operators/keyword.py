@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trovelight.functions import text as tx
 from trovelight.functions.kinds import asset_type_of, kind_of, unit_code
 from trovelight.functions.stem import stem_lists
+from trovelight.operators.blockmax import best_by_blocks
 from trovelight.plans.lineage import cut_lineage
 from trovelight.plans.sizing import lookup, row_count_up_to
 from trovelight.schemas import need
@@ -18,6 +19,8 @@ SCORE_DIGITS = 9
 
 # Collections named in a filter on the postings; those of more are found by a join, which prunes folders as well.
 MOST_PARTS = 1000
+# Up to so many parsed queries are held by the driver while a search is planned.
+MOST_PLANNED = 10_000
 
 UNIT_COLUMNS = ["unit_id", "asset_id", "kind", "asset_type"]
 
@@ -387,6 +390,7 @@ def match_units(
     rows_per_part: int = DEFAULTS.rows_per_part,
     digits: int = SCORE_DIGITS,
     k: int | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Every unit every query matches: (query_id, unit columns, all_words, keyword_score), unranked.
 
@@ -401,10 +405,15 @@ def match_units(
         rows_per_part: Postings of one term that a task joins when they are shuffled.
         digits: Digits scores are rounded to, so that sums in any order are equal.
         k: Units a query asks for, where it is known; spares exclusions from listing all others.
+        blocks: The same postings from `build_blocks`. With these and `k`, queries whose tokens are single words only
+            get units that can be among their best `k`, and postings that cannot matter are not decoded.
     """
     need(postings, "collection", "term", *UNIT_COLUMNS, "tf", "positions")
-    # Read by every step below, and small: a row per query.
-    parsed = cut_lineage(parse_queries(queries, stem))
+    # Read by every step below, and small: a row per query. Few are planned with where the driver is.
+    parsed = parse_queries(queries, stem)
+    held = parsed.limit(MOST_PLANNED + 1).toArrow()
+    planned = held.num_rows <= MOST_PLANNED
+    parsed = queries.sparkSession.createDataFrame(held, parsed.schema) if planned else cut_lineage(parsed)
     # The size check, on the queries alone: how many words they have, which forms are needed, and
     # which parts of the postings hold their words.
     shards = _shards(postings)
@@ -422,7 +431,10 @@ def match_units(
     small = asked.n_words <= max_broadcast_rows
     # As literals these reach the scan, and folders of other collections and shards are not listed.
     named = parsed.select("collection").distinct()
-    few = [row.collection for row in named.limit(MOST_PARTS + 1).collect()]
+    if planned:
+        few = sorted({name for name in held.column("collection").to_pylist() if name is not None})
+    else:
+        few = [row.collection for row in named.limit(MOST_PARTS + 1).collect()]
     if len(few) <= MOST_PARTS:
         postings = postings.where(F.col("collection").isin(few))
     elif small:
@@ -434,7 +446,10 @@ def match_units(
     found = []
     if any_plain:
         plain = parsed.where(~F.col("structured"))
-        found.append(_plain_matches(postings, plain, small, rows_per_part, digits))
+        if blocks is not None and k is not None and small:
+            found.append(best_by_blocks(_distinct_terms(plain), blocks, k, digits))
+        else:
+            found.append(_plain_matches(postings, plain, small, rows_per_part, digits))
     if any_structured:
         structured = parsed.where("structured")
         found.append(_structured_matches(postings, structured, small, rows_per_part, digits, units, k))
@@ -450,13 +465,14 @@ def keyword_search(
     max_broadcast_rows: int = DEFAULTS.max_broadcast_rows,
     rows_per_part: int = DEFAULTS.rows_per_part,
     digits: int = SCORE_DIGITS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """The best `k` units of every query: those with all its words first, then by score, then by id.
 
     Returns:
         (query_id, unit columns, all_words, keyword_score, rank), ranks from 1 without gaps.
     """
-    matches = match_units(queries, postings, units, stem, max_broadcast_rows, rows_per_part, digits, k)
+    matches = match_units(queries, postings, units, stem, max_broadcast_rows, rows_per_part, digits, k, blocks)
     best_first = W.partitionBy("query_id").orderBy(
         F.col("all_words").desc(), F.col("keyword_score").desc(), "unit_id"
     )

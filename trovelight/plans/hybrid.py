@@ -47,6 +47,7 @@ def hybrid_search(
     settings: Settings = DEFAULTS,
     stem: bool = True,
     rank_digits: int | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """One page of assets for every query, in the order it chose.
 
@@ -64,6 +65,7 @@ def hybrid_search(
         settings: Sizes.
         stem: Whether words are stemmed.
         rank_digits: Digits similarities are rounded to before ranking.
+        blocks: The postings in blocks, where the index has them.
 
     Returns:
         (query_id, position, asset_id, filename, asset_type, score, match, relevance, snippet,
@@ -73,7 +75,7 @@ def hybrid_search(
     asked = queries.withColumn("q", normalise_query(F.col("q")))
     k = settings.units_per_path
     keyword_hits = keyword_search(
-        asked, postings, units, k, stem, settings.max_broadcast_rows, settings.rows_per_part
+        asked, postings, units, k, stem, settings.max_broadcast_rows, settings.rows_per_part, blocks=blocks
     )
     with_vector = asked.select("query_id", "collection").join(query_vectors, "query_id")
     vector_hits = vector_search(

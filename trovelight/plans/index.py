@@ -6,11 +6,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trovelight.operators.blockmax import build_blocks
 from trovelight.operators.keyword import shard_column, term_shard
 from trovelight.operators.units import build_postings, build_units
 from trovelight.schemas import need
 
-TABLES = ("assets", "units", "postings", "vectors")
+TABLES = ("assets", "units", "postings", "vectors", "blocks")
 VECTOR_COLUMNS = [
     "unit_id", "asset_id", "collection", "asset_type", "kind", "embedding", "embedding_model",
 ]
@@ -24,6 +25,8 @@ class Index:
     units: DataFrame
     postings: DataFrame
     vectors: DataFrame
+    # The postings without positions, as `build_blocks` makes them; a store may be without.
+    blocks: DataFrame | None = None
 
     @staticmethod
     def read(spark: SparkSession, folder: str) -> "Index":
@@ -55,7 +58,8 @@ def build_index(
 
     Every table is made from the one written before, so nothing is computed twice and a lost executor
     costs one table's tasks. Units are split by collection; postings by collection and by hash of the
-    term, sorted by term, so a query reads the parts its words are in; vectors by collection and model.
+    term, sorted by term, so a query reads the parts its words are in, and once more in blocks for the best units
+    only; vectors by collection and model.
 
     Args:
         assets: Described and cleaned up assets.
@@ -79,6 +83,9 @@ def build_index(
     postings = build_postings(units, stem).withColumn(shard, term_shard(F.col("term"), shards))
     write_partitioned(postings, f"{folder}/postings", "collection", shard, sort=("term", "unit_id"))
 
+    postings = spark.read.schema(postings.schema).parquet(f"{folder}/postings")
+    build_blocks(postings).write.mode("overwrite").partitionBy("collection").parquet(f"{folder}/blocks")
+
     vectors = embed(units.where(F.col("body").isNotNull())).select(*VECTOR_COLUMNS)
     if image_vectors is not None:
         images = units.where(F.col("kind") == "image").join(image_vectors, "asset_id")
