@@ -17,6 +17,7 @@ from trovelight import fixed_values as fixed
 from trovelight.functions import text as tx
 from trovelight.functions.vectors import cosine_similarity
 from trovelight.operators import (
+    approximate,
     catalog,
     enrich,
     evaluate,
@@ -32,11 +33,12 @@ from trovelight.operators import (
     units,
 )
 from trovelight.plans import hybrid
-from trovelight.plans.lineage import new_folder
+from trovelight.plans.lineage import new_folder, written
 from trovelight.plans.sizing import spread
 from trovelight.settings import Settings
 from trovelight.sources import blobs, files
 from trovelight.streaming import ingest
+from trovelight.streaming.store import Snapshot
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -776,6 +778,27 @@ def _(v):
     )
 
 
+@register(
+    "c9_embed_failing_calls",
+    q(
+        """SELECT unit_id, CASE WHEN NOT failed THEN length(body)::DOUBLE END AS n_chars, failed
+FROM (SELECT *, bool_or(length(body) % 7 = 0) OVER (PARTITION BY asset_id) AS failed FROM units WHERE body IS NOT NULL)""",
+        "units",
+    ),
+)
+def _(v):
+    """A call for every text, some of which fail: no text of their assets gets a vector."""
+
+    def embed(texts):
+        if any(len(text) % 7 == 0 for text in texts):
+            raise ValueError("not today")
+        return [[float(len(text))] for text in texts]
+
+    rows = v.units().where(F.col("body").isNotNull())
+    embedded = enrich.embed_batches(rows, "unit_id", "asset_id", "body", embed, batch=1)
+    return embedded.select("unit_id", F.col("embedding")[0].cast("double").alias("n_chars"), F.col("error").isNotNull().alias("failed"))
+
+
 @register(
     "c11_prepare_inputs",
     q(
@@ -1030,6 +1053,124 @@ def _(v):
     )
 
 
+_changed: dict[tuple[str, str], tuple[ingest.Ingest, dict[str, Snapshot]]] = {}
+
+
+def changed(v: Views) -> tuple[ingest.Ingest, dict[str, Snapshot]]:
+    """Documents taken in by two batches, half of the failed ones retried, a collection deleted and uploaded again,
+    all folders put together; with the snapshot after each step. Once per application.
+
+    Documents of one source cannot be described at first.
+    """
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key in _changed:
+        return _changed[key]
+    columns = ["collection", "filename", "arrival", "content"]
+    uploaded = written(v.files().select(*columns), "uploaded")
+    known = v.descriptions().select("filename", *enrich.METADATA)
+
+    def made(broken: bool) -> ingest.Ingest:
+        def describe(work):
+            bad = F.col("filename").startswith("src7-") & F.lit(broken)
+            named = work.withColumn("filename", F.when(bad, F.concat(F.lit("invalid-"), "filename")).otherwise(F.col("filename")))
+            return enrich.answered(*enrich.describe_lookup(named, known))
+
+        models = ingest.Models(describe, lambda rows: units.embed_hashed_words(rows, dims=DIMS))
+        return ingest.Ingest(root, models, Settings(blob_digits=1), stem=False, shards=4)
+
+    root = new_folder(v.spark, "changed")
+    first, later = made(True), made(False)
+    seen = {}
+    middle = uploaded.agg(F.floor(F.avg("arrival"))).first()[0] or 0
+    first.run_batch(uploaded.where(F.col("arrival") <= middle), 0)
+    first.run_batch(uploaded.where(F.col("arrival") > middle), 1)
+    failed = first.assets(v.spark).where("status = 'failed'")
+    later.retry(v.spark, failed.where(F.unix_millis("created_at") % 2 == 0).select("asset_id"))
+    seen["retried"] = later.snapshot(v.spark)
+    later.delete_collection(v.spark, "fr")
+    seen["deleted"] = later.snapshot(v.spark)
+    later.run_batch(uploaded.where("collection = 'fr'"), 2)
+    seen["again"] = later.snapshot(v.spark)
+    later.compact(v.spark, whole=True)
+    seen["compact"] = later.snapshot(v.spark)
+    _changed[key] = later, seen
+    return _changed[key]
+
+
+def stored_states(v: Views, step: str) -> DataFrame:
+    """What a snapshot holds of every asset, told apart by arrival."""
+    run, seen = changed(v)
+    index = run.index(v.spark, seen[step])
+    found = run.assets(v.spark, seen[step])
+    for rows, name in ((index.units, "n_units"), (index.vectors, "n_vectors"), (index.postings, "n_postings")):
+        found = found.join(rows.groupBy("asset_id").agg(F.count("*").alias(name)), "asset_id", "left")
+    return found.select(
+        F.unix_millis("created_at").alias("asset_id"),
+        "collection",
+        "status",
+        "attempts",
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in ("n_units", "n_vectors", "n_postings")],
+    )
+
+
+def stored_sql(bad: str, where: str) -> str:
+    """`stored_states` where `bad` says which assets failed."""
+    return q(
+        f"""SELECT a.asset_id, collection, CASE WHEN bad THEN 'failed' ELSE 'ready' END AS status, CASE WHEN bad THEN 3 ELSE 1 END AS attempts,
+  CASE WHEN bad THEN 0 ELSE n END AS n_units, CASE WHEN bad THEN 0 ELSE n END AS n_vectors, CASE WHEN bad THEN 0 ELSE coalesce(n_postings, 0) END AS n_postings
+FROM (SELECT *, starts_with(filename, 'src7-') AND ({bad}) AS bad FROM assets WHERE collection <> 'web' AND ({where})) a
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM units GROUP BY 1) u USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS n_postings FROM postings GROUP BY 1) p USING (asset_id)""",
+        "assets",
+        "units",
+        "postings",
+    )
+
+
+@register("d5_retry_stored", stored_sql("asset_id % 2 = 1", "true"))
+def _(v):
+    """Assets that failed three times, half of them retried by id from the stored blobs."""
+    return stored_states(v, "retried")
+
+
+@register("e4_delete_stored", stored_sql("asset_id % 2 = 1", "collection <> 'fr'"))
+def _(v):
+    """A collection deleted in the store: nothing of it is left to be read."""
+    return stored_states(v, "deleted")
+
+
+@register("d7_compact", stored_sql("asset_id % 2 = 1 AND collection <> 'fr'", "true"))
+def _(v):
+    """The deleted collection uploaded again, then all folders put together: every asset and unit once."""
+    return stored_states(v, "compact")
+
+
+@register(
+    "e4_search_after_deletion",
+    q(
+        """SELECT query_id, asset_id, kind, unit_index, all_words, keyword_score, rank FROM (
+  SELECT m.*, u.asset_id, u.kind, u.unit_index,
+    (row_number() OVER (PARTITION BY m.query_id ORDER BY m.all_words DESC, m.keyword_score DESC, m.unit_id))::INT AS rank
+  FROM keyword_matches m JOIN units u USING (unit_id) JOIN assets a ON a.asset_id = u.asset_id
+  WHERE a.collection <> 'web' AND (a.collection = 'fr' OR a.asset_id % 2 = 0 OR NOT starts_with(a.filename, 'src7-'))) WHERE rank <= 100""",
+        "keyword_matches",
+        "units",
+        "assets",
+    ),
+)
+def _(v):
+    """A search after a collection was deleted and uploaded again: its old units take none of the 100 places."""
+    run, seen = changed(v)
+    index = run.index(v.spark, seen["again"])
+    found = keyword.keyword_search(v.queries(), index.postings, stem=False)
+    came_from = index.assets.select("asset_id", F.unix_millis("created_at").alias("_origin"))
+    return (
+        found.join(index.units.select("unit_id", "unit_index"), "unit_id")
+        .join(came_from, "asset_id")
+        .select("query_id", F.col("_origin").alias("asset_id"), "kind", "unit_index", "all_words", "keyword_score", "rank")
+    )
+
+
 @register("a2_read_files_stream")
 def _(v):
     arriving = files.read_files_stream(v.spark, v.folder, "*.parquet", files_per_batch=5)
@@ -1415,6 +1556,18 @@ def _(v):
     ),
 )
 def _(v):
+    return keyword.keyword_search(v.queries(), v.index().postings, stem=False, blocks=v.index().blocks)
+
+
+@register(
+    "f10_keyword_search_by_sums",
+    q(
+        "SELECT query_id, unit_id, asset_id, kind, asset_type, all_words, keyword_score, rank FROM keyword_hits",
+        "keyword_hits",
+    ),
+)
+def _(v):
+    """Without blocks: every posting of every word is summed."""
     return keyword.keyword_search(v.queries(), v.index().postings, stem=False)
 
 
@@ -1514,9 +1667,23 @@ def _(v):
 
 @register("g5_vector_search_approx")
 def _(v):
-    return nearest.vector_search_approx(
-        v.query_vectors(), v.index().vectors, DIMS, bands=4, bits=4, rank_digits=6
-    )
+    return approximate.vector_search_approx(v.query_vectors(), v.vector_lists(), rank_digits=6)
+
+
+@register(
+    "g5_rerank",
+    q(
+        """SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, unit_id))::INT AS rank
+FROM similarity_pairs WHERE (unit_id + query_id) % 7 = 0) WHERE rank <= 100""",
+        "similarity_pairs",
+    ),
+)
+def _(v):
+    # Candidates by a rule that SQL can state: what re-ranking makes of any.
+    asked, vectors = v.query_vectors(), v.index().vectors
+    candidates = asked.join(vectors.select("collection", "embedding_model", "unit_id"), ["collection", "embedding_model"])
+    candidates = candidates.where((F.col("unit_id") + F.col("query_id")) % 7 == 0).select("query_id", "unit_id")
+    return approximate.rerank_exactly(asked, candidates, vectors, 100, rank_digits=6)
 
 
 # --- H: fusion and results ---------------------------------------------------------------------
@@ -1524,7 +1691,7 @@ def _(v):
 
 def hits(v: Views) -> tuple[DataFrame, DataFrame]:
     return (
-        keyword.keyword_search(v.queries(), v.index().postings, stem=False),
+        keyword.keyword_search(v.queries(), v.index().postings, stem=False, blocks=v.index().blocks),
         nearest.vector_search(v.query_vectors(), v.index().vectors, rank_digits=6),
     )
 
@@ -1665,6 +1832,7 @@ def search(v: Views, sentences: bool = True, relevance=results.word_share) -> Da
         relevance,
         stem=False,
         rank_digits=6,
+        blocks=v.index().blocks,
     )
 
 
@@ -1879,45 +2047,6 @@ def _(v):
 # --- J: evaluation -----------------------------------------------------------------------------
 
 
-# Items that one automaton looks for; more are looked for in several passes.
-ITEMS_PER_PASS = 50_000
-
-
-def items_in(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, query_id): the items whose whole text stands in a document, all found in one pass over it."""
-    import ahocorasick
-    import pyarrow as pa
-
-    passes = max(1, -(-items.count() // ITEMS_PER_PASS))
-    found = None
-    for number in range(passes):
-        part = items.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).where("text <> ''")
-        by_text: dict[str, list[int]] = {}
-        for row in part.collect():
-            by_text.setdefault(row.text, []).append(row.query_id)
-
-        def find(batches, by_text=by_text):
-            automaton = ahocorasick.Automaton()
-            for text, ids in by_text.items():
-                automaton.add_word(text, ids)
-            if by_text:
-                automaton.make_automaton()
-            for batch in batches:
-                pairs = set()
-                for doc, text in zip(*[batch.column(i).to_pylist() for i in (0, 1)], strict=True):
-                    if by_text and text:
-                        pairs.update((doc, one) for _, ids in automaton.iter(text) for one in ids)
-                rows = sorted(pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row[i] for row in rows], pa.int64()) for i in (0, 1)],
-                    names=["doc_id", "query_id"],
-                )
-
-        one = docs.select("doc_id", "text").mapInArrow(find, "doc_id bigint, query_id bigint")
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
 def expectations(v: Views) -> DataFrame:
     """Documents that hold a whole benchmark item should be found by it; one of another language
     should not be on top."""
@@ -1928,7 +2057,7 @@ def expectations(v: Views) -> DataFrame:
     assets = v.assets_text().select("asset_id", "collection", "sha256")
     expected = F.when(F.col("collection") == "en", F.lit("must_hit")).otherwise(F.lit("must_not_top"))
     return (
-        items_in(v.documents(), items)
+        evaluate.texts_holding(v.documents(), items)
         .join(docs, "doc_id")
         .join(assets, ["collection", "sha256"])
         .select("query_id", "asset_id", expected.alias("expected"))

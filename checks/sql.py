@@ -3,7 +3,7 @@
 import re
 
 from trovelight.fixed_values import STOP_WORDS
-from trovelight.functions.text import NOT_SPACE, SENTENCE_RULES, SPACE
+from trovelight.functions.text import NOT_SPACE, SPACE
 
 WS = SPACE
 STOPS = ", ".join(f"'{word}'" for word in STOP_WORDS)
@@ -517,22 +517,28 @@ WHERE final > (page - 1) * 20 AND final <= page * 20""",
 # --- sentences ---------------------------------------------------------------------------------
 
 
+# What cuts and keeps sentences, stated for SQL alone: fixed values. \x01 stands for a dot that ends nothing, \x02
+# for the end of a sentence.
+NEVER_ENDS = r"Mr|Mrs|Ms|Dr|Prof|St|Mt|Gen|Col|Capt|Lt|Sgt|Gov|Sen|Rep|Rev|Hon|Jr|Sr|No|Fig|vs|e\.g|i\.e"
+ENDS_BEFORE_CAPITALS = (
+    r"etc|Inc|Ltd|Co|Corp|Bros|dept|Dept|est|approx|min|max|Ave|Blvd|Rd|a\.m|p\.m|"
+    r"Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
+)
+
+
 def sentence_cuts(text: str) -> str:
-    """The text with a mark after every sentence, by the same list of patterns."""
-    cut = text
-    for pattern, replacement in SENTENCE_RULES:
-        rewritten = replacement
-        for number in range(1, 10):
-            rewritten = rewritten.replace(f"${number}", f"\\{number}")
-        escaped = pattern.replace("'", "''")
-        cut = f"regexp_replace({cut}, '{escaped}', '{rewritten}', 'g')"
-    return cut
+    """The text with a mark after every sentence: dots of list numbers, titles, short forms and initials are hidden first."""
+    numbers = rf"regexp_replace({text}, '(^|\n|\r)([ \t]*\d{{1,3}})\.([ \t])', '\1\2' || chr(1) || '\3', 'g')"
+    titles = rf"regexp_replace({numbers}, '\b({NEVER_ENDS})\.', '\1' || chr(1), 'g')"
+    shortened = rf"regexp_replace({titles}, '\b({ENDS_BEFORE_CAPITALS})\.({WS}+(?:\p{{Ll}}|[0-9]))', '\1' || chr(1) || '\2', 'g')"
+    initials = rf"regexp_replace({shortened}, '\b([A-Z])\. ', '\1' || chr(1) || ' ', 'g')"
+    closing = "(?:[\"')\\]”’])*".replace("'", "''")
+    ended = rf"regexp_replace({initials}, '((?:\.|!|\?)+{closing}{WS}+)', '\1' || chr(2), 'g')"
+    return rf"regexp_replace({ended}, '((?:\n|\r)+)', '\1' || chr(2), 'g')"
 
 
 def sentences(rows: str, keys: str, text: str) -> str:
     """(keys, start_at, end_at, sentence): offsets from the lengths of all pieces before."""
-    from trovelight.functions.text import CUT
-
     return rf"""SELECT {keys}, (before + length(piece) - length(regexp_replace(piece, '\A{WS}+', '')))::INT AS start_at,
        (before + length(regexp_replace(piece, '{WS}+\z', '')))::INT AS end_at,
        substr({text}, (before + length(piece) - length(regexp_replace(piece, '\A{WS}+', '')) + 1)::INT,
@@ -540,7 +546,7 @@ def sentences(rows: str, keys: str, text: str) -> str:
 FROM (SELECT {keys}, {text}, piece,
              coalesce(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM (SELECT {keys}, {text}, unnest(pieces) AS piece, unnest(range(len(pieces))) AS place
-            FROM (SELECT {keys}, {text}, string_split({sentence_cuts(text)}, '{CUT}') AS pieces FROM {rows})))
+            FROM (SELECT {keys}, {text}, string_split({sentence_cuts(text)}, chr(2)) AS pieces FROM {rows})))
 WHERE regexp_matches(piece, '[\p{{L}}\p{{N}}]')"""
 
 

@@ -55,6 +55,22 @@ def test_the_oldest_pending_are_claimed(spark):
     assert lifecycle.claim(table.where("asset_id = 1"), 2, now(spark)).where("claimed").count() == 0
 
 
+@pytest.mark.parametrize("moments", [1, 7, 10**9])
+def test_large_claims_are_the_oldest_too(spark, monkeypatch, moments):
+    monkeypatch.setattr(lifecycle, "FEW", 3)
+    monkeypatch.setattr(lifecycle, "RANGES", 4)
+    rows = [(n * 7919 % 500, "pending" if n % 5 else "ready", 0, None) for n in range(500)]
+    # Many rows of one moment, or each of its own.
+    table = assets(spark, *rows).withColumn("created_at", F.timestamp_seconds(F.pmod(F.col("asset_id") * 31, F.lit(moments))))
+    waiting = sorted((n * 31 % moments, n) for n, status, *_ in rows if status == "pending")
+    for n in (4, 57, 399, 400, 1000):
+        after = lifecycle.claim(table, n, now(spark))
+        assert after.count() == 500
+        assert sorted(r.asset_id for r in after.where("claimed").collect()) == sorted(asset for _, asset in waiting[:n])
+    plan = lifecycle.claim(table, 1000, now(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Join" not in plan
+
+
 def errors(spark, *rows):
     return spark.createDataFrame(
         rows, "asset_id long, started_at timestamp, error_class string, message string"

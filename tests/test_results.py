@@ -282,3 +282,30 @@ def test_the_query_matrix_counts_what_was_expected(spark):
     rows = {r.query_id: r for r in evaluate.query_matrix(places, expected).collect()}
     assert (rows[7].must_hit, rows[7].hits, rows[7].best_position, rows[7].recall) == (4, 2, 1, 0.5)
     assert [(rows[q].must_hit, rows[q].on_top, rows[q].recall) for q in (8, 9)] == [(0, 0, None), (0, 0, None)]
+
+
+def test_texts_that_hold_an_item(spark):
+    from trovelight.operators import evaluate
+
+    docs = {
+        1: "one two three four five six", 2: "xone two three four fivex", 3: "one two  three four five", 4: None, 5: "", 6: "a b",
+        7: "bab a ba", 8: "two three", 9: "one two three four\nfive", 10: "two three four two three four five",
+    }
+    items = {1: "one two three four five", 2: "two three", 3: "ab a b", 4: "a", 5: "", 6: None, 7: "wo thre", 8: "one two three four\nfive", 9: "o t", 10: " two ", 11: "not there at all ever"}
+    expected = sorted((d, i) for d, text in docs.items() for i, item in items.items() if text and item and item in text)
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(list(items.items()), "query_id long, text string")
+    for options in ({}, {"max_broadcast_rows": 0, "rows_per_part": 2}):
+        found = evaluate.texts_holding(table, asked, **options)
+        assert sorted((r.doc_id, r.query_id) for r in found.collect()) == expected
+
+
+def test_few_rows_that_nobody_asked_for_pass_the_filter(spark):
+    from trovelight.plans.bloom import likely
+
+    rows = spark.range(50_000).select(F.col("id").alias("unit_id"), F.lit("c").alias("collection"), F.concat(F.lit("body "), F.col("id")).alias("body"))
+    asked = spark.range(0, 50_000, 97).select(F.lit("c").alias("collection"), F.col("id").alias("unit_id"))
+    passed = likely(rows, ["collection", "unit_id"], asked, asked.count())
+    assert passed.columns == rows.columns
+    assert passed.join(asked, ["collection", "unit_id"]).count() == asked.count()
+    assert passed.count() <= 2 * asked.count()
