@@ -84,7 +84,8 @@ def test_only_listed_files_are_read(session, pages, tmp_path):
     with open(f"{path}/part-of-a-lost-attempt.warc", "wb") as file:
         file.write(b"WARC/1.1\r\nWARC-Ty")
     assert session.read.format("warc").load(path).count() == len(PAGES)
-    assert len(json.load(open(f"{path}/{warc.MANIFEST}"))) == 1
+    [manifest] = (tmp_path / "archive").glob("_manifest-*.json")
+    assert len(json.loads(manifest.read_text())["files"]) == 1
 
 
 def test_foreign_archives_and_partitions(tmp_path):
@@ -119,3 +120,82 @@ def test_empty_table(session, pages, tmp_path):
     path = f"{tmp_path}/archive"
     warc.as_records(pages.limit(0)).write.format("warc").mode("append").save(path)
     assert session.read.format("warc").load(path).count() == 0
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_appends_add_up_and_overwriting_replaces(session, tmp_path, compression):
+    path = f"{tmp_path}/archive"
+
+    def save(ids, mode):
+        rows = session.createDataFrame([(n, f"http://{n}", f"page {n}") for n in ids], "page_id long, url string, html string")
+        warc.as_records(rows).write.format("warc").mode(mode).option("compression", compression).save(path)
+
+    def held():
+        return sorted(r.record_id for r in session.read.format("warc").load(path).collect())
+
+    save([1, 2], "append")
+    save([3], "append")
+    assert held() == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    save([4, 5], "overwrite")
+    assert held() == ["urn:page:4", "urn:page:5"]
+    left = [f.name for f in (tmp_path / "archive").iterdir() if ".warc" in f.name or f.name.startswith("_manifest")]
+    assert sum(name.startswith("_manifest") for name in left) == 1 and len(left) <= 3
+    save([6], "append")
+    assert held() == ["urn:page:4", "urn:page:5", "urn:page:6"]
+
+
+def http_record(entity, payload_digest, kind="response", block_digest=None, head=b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"):
+    block = head + entity
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", "WARC-Date: 2020-02-02T00:00:00Z", f"WARC-Payload-Digest: {payload_digest}"]
+    lines += [f"WARC-Block-Digest: {block_digest}"] * (block_digest is not None)
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def test_http_messages_are_split_from_their_head(session, tmp_path):
+    entity = b"<p>" + b"x" * 5000 + b"\r\n\r\n</p>"
+    right = "sha1:" + sha(entity)
+    (tmp_path / "a.warc").write_bytes(http_record(entity, right) + http_record(b"", "sha1:" + sha(b"")))
+    # A request's payload digest says nothing of its block.
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(http_record(entity, right)) + gzip.compress(http_record(b"q", "sha1:none", "request")))
+    rows = session.read.format("warc").load(str(tmp_path)).orderBy("payload_length").collect()
+    responses = [r for r in rows if r.record_type == "response"]
+    assert [(r.payload_length, bytes(r.payload)) for r in responses] == [(0, b""), (len(entity), entity), (len(entity), entity)]
+    assert {r.date for r in rows} == {"2020-02-02T00:00:00Z"}
+    [request] = [r for r in rows if r.record_type == "request"]
+    assert bytes(request.payload).endswith(b"\r\n\r\nq")
+    lengths = session.read.format("warc").option("payloads", "false").load(str(tmp_path)).where("record_type = 'response'").select("payload_length")
+    assert sorted(r[0] for r in lengths.collect()) == [0, len(entity), len(entity)]
+
+
+@pytest.mark.parametrize("wrong", ["payload", "block"])
+def test_wrong_digests_of_http_messages_are_told(session, tmp_path, wrong):
+    digest = "sha1:" + sha(b"entity")
+    other = "sha1:" + sha(b"something else")
+    record = http_record(b"entity", other) if wrong == "payload" else http_record(b"entity", digest, block_digest=other)
+    (tmp_path / "a.warc").write_bytes(record)
+    reader = warc.Reader({"path": str(tmp_path)})
+    with pytest.raises(ValueError, match="another digest"):
+        list(reader.read(reader.partitions()[0]))
+    assert session.read.format("warc").option("verify", "false").load(str(tmp_path)).first().payload == b"entity"
+
+
+def test_unwanted_members_are_not_decompressed(session, tmp_path):
+    random = __import__("numpy").random.default_rng(1)
+    noise = [base64.b64encode(random.bytes(300_000)).decode() for _ in range(20)]
+    rows = session.createDataFrame([(n, f"http://{n}", text) for n, text in enumerate(noise)], "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/archive"
+    warc.as_records(rows).coalesce(1).write.format("warc").mode("append").option("compression", "gzip").save(path)
+
+    def decompressed(**filters):
+        reader = warc.Reader({"path": path})
+        list(reader.pushFilters([EqualTo((name,), value) for name, value in filters.items()]))
+        found = sum(batch.num_rows for part in reader.partitions() for batch in reader.read(part))
+        return found, reader.decompressed
+
+    every, one = decompressed(), decompressed(target_uri="http://7")
+    assert every[0] == 20 and one[0] == 1
+    assert every[1] > 20 * 400_000 and one[1] < every[1] / 10
+    # Any reader of gzip files reads them.
+    [file] = (tmp_path / "archive").glob("*.gz")
+    assert gzip.decompress(file.read_bytes()).count(b"WARC/1.1\r\n") == 20
