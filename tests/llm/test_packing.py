@@ -117,3 +117,15 @@ def test_the_query_and_the_pipeline_read_added_tokens_as_the_unmodified_library(
             expected[doc_id, start] = (end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes()))
     for found in (queries.op1_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
         assert {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in found.collect()} == expected
+
+
+def test_one_task_sees_all_that_is_left_in_the_end(spark):
+    # Every partition has one short item that fits none of its own bins.
+    lengths = [700 if n % 10 == 0 else 1300 + n % 40 for n in range(2000)]
+    items = spark.createDataFrame([(n, length) for n, length in enumerate(lengths)], "id int, length int").repartitionByRange(200, "id")
+    made = {}
+    for bins_per_task in (100_000, 100):
+        packed = packing.pack(items, bins_per_task=bins_per_task)
+        made[bins_per_task] = packed.select("sequence_id").distinct().count()
+        assert packed.count() == len(lengths)
+    assert made[100] <= made[100_000] + 2

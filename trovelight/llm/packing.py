@@ -19,8 +19,9 @@ from trovelight.llm.tokens import encoder_of_json
 CAPACITY = 2048
 # A bin with less room than this is nearly full and emitted.
 SLACK = 32
-# Underfull bins that one task of a merging round packs.
+# Underfull bins that one task of the first merging round packs, and how many times that a later one may.
 BINS_PER_TASK = 100_000
+MOST_BINS = 16
 # Ids in an output batch.
 BATCH_IDS = 1 << 20
 
@@ -124,8 +125,9 @@ def pack(
 
     Every partition packs its own items and holds only their lengths and other columns, which should be
     narrow. Bins with less than `slack` room are emitted; the others are packed as items of ceil(bins /
-    bins_per_task) tasks, again and again until one task has seen all that is left or a round saves
-    less than a hundredth of the bins. Items are 1 to `capacity` long; other lengths are an error. An empty table gives an
+    bins_per_task) tasks, then of half as many, and so on until one task has seen all that is left; every round deals
+    bins anew. A task holds at most MOST_BINS times `bins_per_task` bins; where more than one task needs to stay,
+    because bins are too full to go together, rounds end once one saves less than a hundredth of the bins. Items are 1 to `capacity` long; other lengths are an error. An empty table gives an
     empty one.
     """
     spark = prepared(items.sparkSession)
@@ -173,12 +175,14 @@ def pack(
     underfull = F.col("fill") <= capacity - slack
     live = placed.where(underfull & (F.col("place") == 0)).select("bin", F.col("bin").alias("into"), F.lit(0).cast("long").alias("shift"), "fill")
     moved, left = None, live.count()
+    tasks, turn = 2 * math.ceil(left / bins_per_task), 0
     while left > 1:
-        tasks = math.ceil(left / bins_per_task)
-        spread = live.repartition(tasks, "into") if tasks > 1 else live.repartition(1)
+        least = math.ceil(left / (MOST_BINS * bins_per_task))
+        before, tasks, turn = tasks, max(least, min(math.ceil(left / bins_per_task), tasks // 2)), turn + 1
+        spread = live.repartition(tasks, F.xxhash64("into", F.lit(turn))) if tasks > 1 else live.repartition(1)
         done = written(spread.mapInArrow(merge, merged), "merged")
         now = done.where("shift = 0").count()
-        finished = tasks == 1 or now > 0.99 * left
+        finished = tasks == 1 or (tasks == before and now > 0.99 * left)
         settled = done if finished else done.where(~underfull)
         moved = settled if moved is None else moved.unionByName(settled)
         if finished:
