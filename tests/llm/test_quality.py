@@ -59,7 +59,7 @@ def test_each_rule_names_itself(spark, rule):
 def test_order_is_by_rejections_per_cost(spark, documents):
     never = quality.Rule("never", lambda f: F.length(f.text) < 0)
     cheap = quality.Rule("cheap", lambda f: F.length(f.text) >= 0)
-    dear = quality.Rule("dear", lambda f: quality.repeated_words(f.words) >= 0)
+    dear = quality.Rule("dear", lambda f: quality.repeated_words(f.words) >= 0, lambda f: F.length(f.text) * 9)
     order = [rule.name for rule in quality.ordered(documents, "text", (never, dear, cheap))]
     assert order[0] == "cheap"
 
@@ -69,6 +69,16 @@ def test_the_order_changes_no_verdict(spark, documents):
     assert documents.select(*either).where("a != b").count() == 0
 
 
+def test_the_order_depends_on_rows_alone(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first = [rule.name for rule in quality.ordered(docs, "text", quality.RULES, 300)]
+    for parts in (1, 3, 7):
+        assert [rule.name for rule in quality.ordered(docs.repartition(parts), "text", quality.RULES, 300)] == first
+    found = [r.quality.rejected_by for r in quality.rated(documents, order=list(quality.RULES)).orderBy("doc_id").collect()]
+    again = [r.quality.rejected_by for r in quality.rated(documents.repartition(5), order=list(quality.RULES)).orderBy("doc_id").collect()]
+    assert found == again and len(set(found)) > 2
+
+
 def test_nothing_but_expressions(spark, documents):
     plan = quality.rated(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan

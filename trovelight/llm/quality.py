@@ -6,14 +6,13 @@ rule that fails.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovelight.llm.common import let, prepared, written
+from trovelight.llm.common import discard, let, prepared, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 # Rows the cost and the selectivity of rules are estimated on.
@@ -94,58 +93,58 @@ class Facts:
 
 @dataclass(frozen=True)
 class Rule:
-    """A name, and from the facts of a text whether the rule rejects it."""
+    """A name, from the facts of a text whether the rule rejects it, and about how many characters it has to look at for that."""
 
     name: str
     rejects: Callable[[Facts], Column]
+    work: Callable[[Facts], Column] = lambda f: F.length(f.text)
 
 
 def _share(part: Column, tenths: int, whole: Column) -> Column:
     return part * 10 > whole * tenths
 
 
+# Work in characters of one pass over a text; a window of words costs about as much as twenty.
 RULES = (
-    Rule("few_words", lambda f: f.n_words < 50),
-    Rule("repeated_words", lambda f: _share(f.repeated, 5, f.n_words)),
+    Rule("few_words", lambda f: f.n_words < 50, lambda f: F.lit(1)),
+    Rule("repeated_words", lambda f: _share(f.repeated, 5, f.n_words), lambda f: f.n_words * 20),
     Rule("symbols", lambda f: _share(symbols(f.text), 1, f.n_words)),
     Rule("exclamations", lambda f: _share(F.regexp_count(f.text, F.lit("!")), 3, f.n_words)),
-    Rule("capitals", lambda f: _share(F.regexp_count(f.text, F.lit(r"\p{Lu}")), 3, F.length(F.regexp_replace(f.text, r"\P{L}+", "")))),
-    Rule("repeated_lines", lambda f: let(lines(f.text), lambda found: _share(repeated_lines(found), 4, F.size(found)))),
+    Rule("capitals", lambda f: _share(F.regexp_count(f.text, F.lit(r"\p{Lu}")), 3, F.length(F.regexp_replace(f.text, r"\P{L}+", ""))), lambda f: F.length(f.text) * 3),
+    Rule("repeated_lines", lambda f: let(lines(f.text), lambda found: _share(repeated_lines(found), 4, F.size(found))), lambda f: F.length(f.text) * 2),
 )
 
 
 def ordered(docs: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """`rules` by rejections per cost, each among the documents that those before it let through.
 
-    Both are estimated on about `sample_rows` rows drawn from the whole table: a rule's cost is its time
-    over the sample beyond that of listing the words, which all share. The order decides what is computed, never what is
-    rejected.
+    Both are estimated on the texts of about `sample_rows` rows, drawn from the whole table by hash: a rule's cost is
+    its work over them. The same rows give the same order, however they are split and whenever it is asked for; equal
+    rules stay in the order given. The order decides what is computed, never what is rejected.
     """
     total = docs.count()
     drawn = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    if total > sample_rows:
-        drawn = drawn.sample(fraction=sample_rows / total, seed=11)
-    sample = written(drawn, "quality-sample")
-
-    def seconds(value: Column) -> float:
-        took = []
-        for _ in range(2):
-            started = time.perf_counter()
-            sample.agg(F.sum(value.cast("long"))).collect()
-            took.append(time.perf_counter() - started)
-        return min(took)
-
-    def alone(rule: Rule) -> Column:
-        return let(words(F.col("t")), lambda w: rule.rejects(Facts(F.col("t"), w)))
-
-    idle = seconds(let(words(F.col("t")), F.size))
-    cost = {rule.name: max(seconds(alone(rule)) - idle, 1e-4) for rule in rules}
+    drawn = drawn.where(F.pmod(F.xxhash64("t", F.lit(11)), F.lit(max(1, total // sample_rows))) == 0)
+    # A text counts with its copies, but is looked at once.
+    sample = written(drawn.groupBy("t").agg(F.count("*").alias("n")), "quality-sample")
+
+    def alone(made: Callable[[Facts], Column]) -> Column:
+        return let(words(F.col("t")), lambda w: made(Facts(F.col("t"), w)))
+
+    fired = [F.coalesce(alone(rule.rejects), F.lit(False)).alias(rule.name) for rule in rules]
+    work = [(F.col("n") * alone(rule.work)).cast("long").alias(f"work_{rule.name}") for rule in rules]
     # At most one row per combination of rules that reject together.
-    fired = [F.coalesce(alone(rule), F.lit(False)).alias(rule.name) for rule in rules]
-    groups = sample.select(*fired).groupBy(*[rule.name for rule in rules]).count().collect()
+    groups = (
+        sample.select("n", *fired, *work)
+        .groupBy(*[rule.name for rule in rules])
+        .agg(F.sum("n").alias("n"), *[F.sum(f"work_{rule.name}").alias(f"work_{rule.name}") for rule in rules])
+        .collect()
+    )
+    discard(sample)
+    cost = {rule.name: max(1, sum(g[f"work_{rule.name}"] for g in groups)) for rule in rules}
     left, order = list(rules), []
     while left:
-        best = max(left, key=lambda rule: sum(g["count"] for g in groups if g[rule.name]) / cost[rule.name])
+        best = max(left, key=lambda rule: sum(g["n"] for g in groups if g[rule.name]) / cost[rule.name])
         groups = [g for g in groups if not g[best.name]]
         left.remove(best)
         order.append(best)
@@ -187,15 +186,18 @@ def measured(text: Column, order: list[Rule]) -> Column:
     return let(words(whole), lambda w: let(repeated_words(w), lambda repeated: fields(w, repeated)))
 
 
-def rated(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def rated(
+    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, order: list[Rule] | None = None
+) -> DataFrame:
     """`docs` with struct column quality: the measures of every text, and rejected_by, which is null for
-    documents that pass every rule.
+    documents that pass every rule, else the first that rejects in the order used: `order` or, without it, `ordered`.
 
     Nothing is shuffled. Empty and null texts have too few words. Other columns, whatever their names,
     stay as they are; a column named quality is replaced.
     """
     prepared(docs.sparkSession)
-    return docs.withColumn("quality", measured(F.col(f"`{text}`"), ordered(docs, text, rules, sample_rows)))
+    order = ordered(docs, text, rules, sample_rows) if order is None else order
+    return docs.withColumn("quality", measured(F.col(f"`{text}`"), order))
 
 
 def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
