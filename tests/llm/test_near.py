@@ -83,7 +83,7 @@ def varied(random, count, base):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "rows_per_part": 2, "large": 10, "block": 4}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "rows_per_part": 2, "block": 4}])
 def test_classes(spark, options):
     random = np.random.default_rng(8)
     texts = []
@@ -134,14 +134,16 @@ def test_a_large_group_of_copies_is_one_node(spark):
     assert rows.where("kept").count() == 1334
 
 
-def test_a_pair_that_a_second_band_splits_off_is_compared(spark):
+def test_a_pair_that_meets_in_one_large_bucket_only_is_compared(spark):
     same = " ".join(f"w{i}" for i in range(100))
-    texts = {1: same, 2: same + " more", 3: "c " * 9, 4: "d " * 9, 5: "e " * 9}
+    texts = {1: same, 2: same + " more", **{n: f"c{n} " * 9 for n in range(3, 40)}}
     pair = np.arange(80, dtype="<u4")
+    # The pair shares the first band with all others, the second with each other, as equal signatures do.
     sigs = {n: pair if n < 3 else np.concatenate([pair[:4], 1000 * n + pair[4:]]).astype("<u4") for n in texts}
     nodes = spark.createDataFrame([(n, bytearray(sigs[n].tobytes())) for n in texts], "node long, sig binary")
     members = spark.createDataFrame([(7, 0, n) for n in texts], "key long, band int, node long")
     classes = spark.createDataFrame([], "node long, class long")
     rows = spark.createDataFrame(list(texts.items()), "node long, text string")
-    found = near._across(members, classes, nodes, rows, 1000, 1000, 3, 500)
-    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    for block in (500, 3):
+        found = near._across(members, classes, nodes, rows, 1000, 1000, block)
+        assert [tuple(r) for r in found.collect()] == [(1, 2)]

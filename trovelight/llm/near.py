@@ -28,8 +28,6 @@ ROWS = 4
 # Pairs of different classes in one bucket are compared in full if their signatures agree on this share
 # of the places; a pair of similarity 0.8 falls short by 5 standard deviations.
 PROMISING = 0.575
-# Buckets of more members that are not of one class are split by a second band.
-LARGE = 2_000
 # Members of a block; two blocks meet in a task.
 BLOCK = 500
 
@@ -170,7 +168,7 @@ def components(links: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFram
 
 
 def _decided(
-    docs: DataFrame, text: str, doc_id: str, broadcast_rows: int, rows_per_part: int, large: int, block: int
+    docs: DataFrame, text: str, doc_id: str, broadcast_rows: int, rows_per_part: int, block: int
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of `docs` with a row id, and by row id the class's smallest id, its size, and whether the row is kept; both written."""
     rows = written(sketched(docs, text, doc_id).withColumn("rid", F.monotonically_increasing_id()), "near-sketches")
@@ -201,7 +199,7 @@ def _decided(
     tested = written(members.where("node != leader").select(*pair).distinct(), "near-pairs")
     links = _verified(tested, texts, broadcast_rows, rows_per_part)
     classes = components(links, rows_per_part)
-    more = _across(members, classes, nodes, texts, broadcast_rows, rows_per_part, large, block)
+    more = _across(members, classes, nodes, texts, broadcast_rows, rows_per_part, block)
     if not more.isEmpty():
         classes = components(links.unionByName(more), rows_per_part)
 
@@ -230,7 +228,6 @@ def near_classes(
     doc_id: str = "doc_id",
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_part: int = ROWS_PER_PART,
-    large: int = LARGE,
     block: int = BLOCK,
 ) -> DataFrame:
     """Every row of `docs` as struct `row` with class_id, class_size and kept: classes of texts linked by a similarity of 0.8 or more.
@@ -242,11 +239,11 @@ def near_classes(
     a word equal each other. Null counts as empty. An empty table gives an empty result. Columns may have
     any names.
 
-    A pair is missed if it shares no band (1 of 38,000 at 0.8, fewer above). Beyond `large` members a bucket
-    of more than one class is split by every second band, where a pair at 0.8 is missed in 1 of 2,500.
+    A pair is missed if it shares no band (1 of 38,000 at 0.8, fewer above). Buckets of any size are compared
+    block against block.
     """
     prepared(docs.sparkSession)
-    rows, decided = _decided(docs, text, doc_id, broadcast_rows, rows_per_part, large, block)
+    rows, decided = _decided(docs, text, doc_id, broadcast_rows, rows_per_part, block)
     return rows.join(decided, "rid").select("row", "class_id", "class_size", "kept")
 
 
@@ -257,7 +254,6 @@ def _across(
     texts: DataFrame,
     broadcast_rows: int,
     rows_per_part: int,
-    large: int,
     block: int,
 ) -> DataFrame:
     """Links (a, b) between classes that have members in one bucket, written.
@@ -267,28 +263,17 @@ def _across(
     classes before; likelier pairs come first.
     """
     placed = members.select("key", "band", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    placed = written(placed.withColumn("second", F.lit(-1)), "near-placed")
-
-    def mixed_buckets(df: DataFrame, least: int) -> DataFrame:
-        """The members of buckets of several classes and at least so many members, with the bucket's main class and sizes."""
-        each = df.groupBy("key", "class").agg(F.count("*").alias("n"))
-        several = each.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("largest"), F.max_by("class", "n").alias("main"))
-        several = written(several.where(f"members > largest and members >= {least}"), "near-mixed")
-        return attach(df, several, ["key"], "members", ["node"], "inner", rows_per_part=rows_per_part)
-
-    # A pair alone in a bucket has been compared, as one of it leads; what a second band splits off has no leader.
-    every = written(mixed_buckets(placed, 3), "near-open")
-    open_ = every.where(F.col("members") <= large)
-    huge = every.where(F.col("members") > large)
-    if not huge.isEmpty():
-        again = huge.join(nodes.select("node", "sig"), "node").select("key", "band", "node", "class", F.posexplode(_bands(F.col("sig"))).alias("second", "other"))
-        again = again.where("second > band").select(F.xxhash64("key", "other").alias("key"), "band", "node", "class", "second")
-        open_ = open_.unionByName(written(mixed_buckets(again, 2), "near-open"))
+    placed = written(placed, "near-placed")
+    each = placed.groupBy("key", "class").agg(F.count("*").alias("n"))
+    several = each.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("largest"), F.max_by("class", "n").alias("main"))
+    # Buckets of several classes; a pair alone in one has been compared, as one of it leads.
+    several = written(several.where("members > largest and members > 2"), "near-mixed")
+    open_ = written(attach(placed, several, ["key"], "members", ["node"], "inner", rows_per_part=rows_per_part), "near-open")
 
     blocks = lambda n: F.greatest(F.ceil(n / block).cast("int"), F.lit(1))
     all_blocks, few_blocks = blocks(F.col("members")), blocks(F.col("members") - F.col("largest"))
     own = lambda count: F.pmod(F.xxhash64("node", F.lit(7)), count).cast("int")
-    each = ["key", "band", "second", "node", "class", (F.col("class") != F.col("main")).alias("minor")]
+    each = ["key", "band", "node", "class", (F.col("class") != F.col("main")).alias("minor")]
     left = open_.where("class != main").select(*each, F.lit(True).alias("left"), own(few_blocks).alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"))
     right = open_.select(*each, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), few_blocks - 1)).alias("i"), own(all_blocks).alias("j"))
     cells = left.unionByName(right)
@@ -303,7 +288,7 @@ def _across(
         minor = cell.column("minor").to_numpy(zero_copy_only=False)
         is_left = cell.column("left").to_numpy(zero_copy_only=False)
         sigs = np.frombuffer(b"".join(cell.column("sig").to_pylist()), "<u4").reshape(len(node), BANDS, ROWS)
-        band, second = cell.column("band")[0].as_py(), cell.column("second")[0].as_py()
+        band = cell.column("band")[0].as_py()
         right = np.flatnonzero(~is_left)
         # Numbers in arrays: a hot cell has half a million likely pairs.
         likely = [np.empty((3, 0), np.int32)]
@@ -314,10 +299,7 @@ def _across(
                 same = sigs[others] == sigs[one]
                 shared = same.all(axis=2)
                 agree = same.sum(axis=(1, 2))
-                first = shared.argmax(axis=1) == band
-                if second >= 0:
-                    first &= shared[:, :second].sum(axis=1) == 1
-                good = first & (agree >= PROMISING * BANDS * ROWS)
+                good = (shared.argmax(axis=1) == band) & (agree >= PROMISING * BANDS * ROWS)
                 likely.append(np.stack([agree[good], np.full(good.sum(), one), others[good]]).astype(np.int32))
         head = {int(c): int(c) for c in group}
 
@@ -340,7 +322,7 @@ def _across(
                 b.append(int(max(node[one], node[other])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = written(full.groupBy("key", "second", "i", "j").applyInArrow(linked, LINK), "near-across")
+    links = written(full.groupBy("key", "i", "j").applyInArrow(linked, LINK), "near-across")
     discard(known)
     return links
 
@@ -348,7 +330,7 @@ def _across(
 def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row of every class of near duplicates, with the columns of `docs`."""
     prepared(docs.sparkSession)
-    rows, decided = _decided(docs, text, doc_id, broadcast_rows, ROWS_PER_PART, LARGE, BLOCK)
+    rows, decided = _decided(docs, text, doc_id, broadcast_rows, ROWS_PER_PART, BLOCK)
     dropped = decided.where("not kept").select("rid")
     few = dropped.count() <= broadcast_rows
     return rows.join(F.broadcast(dropped) if few else dropped, "rid", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
