@@ -22,9 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trovelight.llm.common import BROADCAST_ROWS, ROWS_PER_PART, attach, discard, prepared, row_field, row_of, written
+from trovelight.llm.common import (
+    BROADCAST_ROWS,
+    ROWS_PER_PART,
+    attach,
+    discard,
+    prepared,
+    row_field,
+    row_of,
+    written,
+)
 from trovelight.llm.near import components
 from trovelight.llm.shingles import Shingles
+from trovelight.plans.bloom import PROBES, filter_of, in_filter, likely, probes
 
 WORDS = 3
 PERCENT = 90
@@ -35,11 +45,11 @@ PARTS = 64
 # Members of a block; two blocks meet in a task.
 BLOCK = 500
 # Rows of cells that one call of Python looks at.
-ROWS_PER_CALL = 2_000
+ROWS_PER_CALL = 1_000
+# Pairs whose parts are compared at once.
+PAIRS = 1 << 16
 # Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 4_096
-# A filter of shared shingles has 16 bits for each, up to this many bits.
-FILTER_BITS = 1 << 29
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 LINK = T.StructType([T.StructField(name, T.LongType()) for name in ("a", "b")])
@@ -62,7 +72,7 @@ def frequency_classes(docs: DataFrame, text: str, words: int) -> np.ndarray:
         maker = Shingles(words)
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            hashes = [maker.of((v.as_py() or b"").translate(_LOWER))[0] for v in batch.column(0).cast(pa.binary())]
+            hashes = [maker.every((v.as_py() or b"").translate(_LOWER)) for v in batch.column(0).cast(pa.binary())]
             total += np.bincount((np.concatenate(hashes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["slot", "n"])
@@ -96,7 +106,7 @@ def _sketched(docs: DataFrame, text: str, doc_id: str, carry: list[str] | None,
         for batch in batches:
             sizes, contents, shapes, prefixes, parts = [], [], [], [], []
             for value in batch.column(2).cast(pa.binary()):
-                found = maker.of((value.as_py() or b"").translate(_LOWER))[0]
+                found = np.unique(maker.every((value.as_py() or b"").translate(_LOWER)))
                 order = np.argsort(classes[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")
                 prefix = found[order[: prefix_length(len(found), percent)]] if len(found) else found
                 sizes.append(len(found))
@@ -122,9 +132,17 @@ def _sketched(docs: DataFrame, text: str, doc_id: str, carry: list[str] | None,
 
 
 def _parts(found: np.ndarray) -> np.ndarray:
-    """How many shingles lie in each part of the hash range; two bytes each where that is enough."""
+    """How many shingles lie in each part of the hash range, in one byte each, or four where a count needs more."""
     counts = np.bincount((found >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
-    return counts.astype("<u2" if len(found) < 1 << 16 else "<u4")
+    return counts.astype("<u1" if counts.max() < 256 else "<u4")
+
+
+def _counts(parts: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A row of counts for each value of `_parts`."""
+    rows = parts.to_pylist()
+    if all(len(row) == PARTS for row in rows):
+        return np.frombuffer(b"".join(rows), "<u1").reshape(len(rows), PARTS).astype(np.int32)
+    return np.stack([np.frombuffer(row, "<u1" if len(row) == PARTS else "<u4").astype(np.int32) for row in rows])
 
 
 def _may_link(a: Column, place_a: Column, b: Column, place_b: Column, percent: int) -> Column:
@@ -133,38 +151,21 @@ def _may_link(a: Column, place_a: Column, b: Column, place_b: Column, percent: i
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a - place_a, b - place_b) >= least)
 
 
-def _shared_filter(shared: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter of the shingles in `shared`, two bits each; bits are set side by side, the driver reads its words."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * count).bit_length()))
-    probes = F.explode(F.array(*[F.pmod(F.xxhash64("token", F.lit(i)), F.lit(bits)) for i in range(2)])).alias("bit")
-    words = (
-        shared.select(probes)
-        .groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("value"))
-    )
-    found = words.toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[found.column("word").to_numpy()] = found.column("value").to_numpy()
-    return table
-
-
 def _postings(heads: DataFrame, rows_per_part: int) -> DataFrame:
     """token, grp, n and place of every group and shingle of its prefix that another group shares, written."""
     listed = heads.select("grp", "n", F.posexplode("prefix").alias("place", "token"))
     shared = written(listed.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1"), "ngram-shared")
     count = shared.count()
     # Shingles of one group only, nearly all, go where they are read; the filter lets few of them pass.
-    table = heads.sparkSession.sparkContext.broadcast(_shared_filter(shared, count))
-    likely = heads.withColumn("probes", F.transform("prefix", lambda t: F.array(F.xxhash64(t, F.lit(0)), F.xxhash64(t, F.lit(1)))))
+    table = heads.sparkSession.sparkContext.broadcast(filter_of(shared, ["token"], count))
+    asked = heads.select("grp", "n", "prefix", F.transform("prefix", lambda token: probes(token)).alias("probes"))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = table.value
         for batch in batches:
             lists = batch.column(2)
             sizes = np.diff(lists.offsets.to_numpy())
             tokens = lists.flatten().to_numpy()
-            probes = batch.column(3).flatten().flatten().to_numpy().reshape(-1, 2) & np.int64(64 * len(words) - 1)
-            good = (((words[probes >> 6] >> (probes & 63)) & 1) == 1).all(axis=1)
+            good = in_filter(table.value, batch.column(3).flatten().flatten().to_numpy().reshape(-1, PROBES))
             places = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -176,7 +177,7 @@ def _postings(heads: DataFrame, rows_per_part: int) -> DataFrame:
                 names=["token", "grp", "n", "place"],
             )
 
-    found = likely.select("grp", "n", "prefix", "probes").mapInArrow(passing, "token long, grp long, n long, place long")
+    found = asked.mapInArrow(passing, "token long, grp long, n long, place long")
     postings = written(attach(found, shared, ["token"], "groups", ["grp"], "inner", rows_per_part=rows_per_part), "ngram-postings")
     discard(shared)
     return postings
@@ -204,42 +205,68 @@ def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(left), np.flatnonzero(~left)
 
 
-def _promising(cells: DataFrame, parts: DataFrame, percent: int, rows_per_part: int) -> DataFrame:
+def _promising(cells: DataFrame, prefixes: DataFrame | None, percent: int, rows_per_part: int) -> DataFrame:
     """The rows of cells that have, in their cell, a member of another class they may be similar to; written.
 
-    Cells have key, i, j, node, class, n, place and left. What a pair shares before its first common shingle is
-    nothing, so `place` bounds the rest; the parts of the hash range bound the overlap.
+    Cells have key, i, j, node, class, n, place, minor (outside the key's main class), left and parts. What a pair shares
+    before its first common shingle is nothing, so `place` bounds the rest; the parts of the hash range bound
+    the overlap.
+
+    Args:
+        prefixes: node and prefix; with these a pair counts only where its first common shingle has brought it
+            together, which leaves one cell for each pair.
     """
-    uses = cells.groupBy("node").agg(F.count("*").alias("uses"))
-    known = written(uses.join(parts, "node"), "ngram-parts")
-    full = _packed(written(attach(cells, known, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part).drop("uses"), "ngram-cells"))
-    schema = T.StructType([cells.schema[name] for name in ("key", "i", "j", "node", "class", "n", "left")])
+    first_only = prefixes is not None
+    full = _packed(cells)
+    if first_only:
+        uses = cells.groupBy("node").agg(F.count("*").alias("uses"))
+        known = written(uses.join(prefixes, "node"), "ngram-prefixes")
+        full = attach(full, known, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part).drop("uses")
+        full = full.withColumn("prefix", F.slice("prefix", 1, F.col("place").cast("int")))
+    schema = T.StructType([cells.schema[name] for name in ("key", "i", "j", "node", "class", "n", "place", "minor", "left", "parts")])
 
     def hopeful(table: pa.Table) -> pa.Table:
         out = []
         for cell in _each_cell(table):
-            n, place, group = (cell.column(name).to_numpy() for name in ("n", "place", "class"))
-            counts = np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * PARTS else "<u4").astype(np.int32) for p in cell.column("parts").to_pylist()])
+            node, n, place, group = (cell.column(name).to_numpy() for name in ("node", "n", "place", "class"))
+            minor = cell.column("minor").to_numpy(zero_copy_only=False)
             left, right = _sides(cell)
+            # Two members outside the main class meet twice.
+            good = (group[left][:, None] != group[right]) & (~minor[right] | (node[left][:, None] < node[right]))
+            least = needed(n[left][:, None], n[right], percent)
+            good &= np.minimum((n - place)[left][:, None], (n - place)[right]) >= least
+            good &= np.minimum(n[left][:, None], n[right]) >= least
+            ones, others = np.nonzero(good)
+            if not len(ones):
+                continue
+            counts = _counts(cell.column("parts"))
+            hopes = np.concatenate(
+                [
+                    np.minimum(counts[left[ones[at : at + PAIRS]]], counts[right[others[at : at + PAIRS]]]).sum(axis=1)
+                    for at in range(0, len(ones), PAIRS)
+                ]
+            ) >= least[ones, others]
+            ones, others = ones[hopes], others[hopes]
+            if first_only and len(ones):
+                earlier = [np.array(prefix, np.int64) for prefix in cell.column("prefix").to_pylist()]
+                here = overlaps([earlier[x] for x in left], [earlier[y] for y in right])[ones, others] == 0
+                ones, others = ones[here], others[here]
             keep = np.zeros(cell.num_rows, bool)
-            for one in left:
-                least = needed(n[one], n[right], percent)
-                good = (group[right] != group[one]) & (np.minimum(n[one] - place[one], n[right] - place[right]) >= least)
-                good &= np.minimum(n[one], n[right]) >= least
-                others = right[good]
-                others = others[np.minimum(counts[others], counts[one]).sum(axis=1) >= least[good]]
-                keep[others] = True
-                keep[one] |= len(others) > 0
-            out.append(cell.filter(pa.array(keep)).select(schema.names))
-        return pa.concat_tables(out)
+            keep[left[ones]] = keep[right[others]] = True
+            if len(ones):
+                out.append(cell.filter(pa.array(keep)).select(schema.names))
+        return pa.concat_tables(out) if out else table.slice(0, 0).select(schema.names)
 
     found = written(full.groupBy("call").applyInArrow(hopeful, schema), "ngram-promising")
-    discard(known)
+    if first_only:
+        discard(known)
     return found
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many elements each set on the left shares with each on the right, as products of 0/1 matrices."""
+    if len(left) == 1 and len(right) < 20:
+        return np.array([[len(np.intersect1d(left[0], other, assume_unique=True)) for other in right]])
     shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
     total = np.zeros((len(left), len(right)), np.int64)
     if not len(shared):
@@ -265,29 +292,28 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _verified(cells: DataFrame, texts: DataFrame, words: int, percent: int, broadcast_rows: int, rows_per_part: int) -> DataFrame:
     """Links (a, b) of cells' left and right members of different classes that are similar enough, of each cell only as many
-    as join them; written. Sets are made once for each node that occurs."""
-    uses = written(cells.groupBy("node").agg(F.count("*").alias("uses")), "ngram-uses")
-    few = uses.count() <= broadcast_rows
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("uses", T.LongType()), T.StructField("set", T.BinaryType())])
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Shingles(words)
-        for batch in batches:
-            sets = [maker.of((v.as_py() or b"").translate(_LOWER))[0].tobytes() for v in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=schema.names)
+    as join them; written.
 
-    asked = texts.join(F.broadcast(uses) if few else uses, "node").select("node", "uses", "text")
-    sets = written(asked.mapInArrow(shingled, schema), "ngram-sets")
-    full = attach(_packed(cells), sets, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part)
+    Texts travel rather than their shingles, which take more bytes and do not compress; few cells go to where
+    texts are read.
+    """
+    few = cells.count() <= broadcast_rows
+    if few:
+        full = texts.join(F.broadcast(_packed(cells)), "node")
+    else:
+        uses = written(cells.groupBy("node").agg(F.count("*").alias("uses")), "ngram-uses")
+        asked = written(likely(texts, ["node"], uses, uses.count()).join(uses, "node"), "ngram-texts")
+        full = attach(_packed(cells), asked, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part)
 
     def linked(table: pa.Table) -> pa.Table:
+        maker = Shingles(words)
         a, b = [], []
         for cell in _each_cell(table):
             node, group, n = (cell.column(name).to_numpy() for name in ("node", "class", "n"))
             left, right = _sides(cell)
             if not len(left) or not len(right):
                 continue
-            held = [np.frombuffer(s, np.uint64) for s in cell.column("set").to_pylist()]
+            held = [np.unique(maker.every((v.as_py() or b"").translate(_LOWER))) for v in cell.column("text").cast(pa.binary())]
             both = overlaps([held[x] for x in left], [held[y] for y in right])
             good = both >= needed(n[left][:, None], n[right][None, :], percent)
             good &= group[left][:, None] != group[right][None, :]
@@ -307,37 +333,67 @@ def _verified(cells: DataFrame, texts: DataFrame, words: int, percent: int, broa
                     b.append(int(node[right[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    narrow = full.select("call", "key", "i", "j", "node", "class", "n", "left", "set")
+    narrow = full.select("call", "key", "i", "j", "node", "class", "n", "left", "text")
     links = written(narrow.groupBy("call").applyInArrow(linked, LINK), "ngram-links")
-    discard(sets)
+    if not few:
+        discard(asked)
     return links
 
 
-def _leading(postings: DataFrame, members: DataFrame, percent: int, rows_per_part: int, block: int) -> DataFrame:
+def _leading(postings: DataFrame, members: DataFrame, parts: DataFrame, percent: int, rows_per_part: int, block: int) -> DataFrame:
     """Cells in which every member meets its group's head, and every group's head the leader of each shingle it may be similar by."""
     # One order for all shingles, so that a group of copies has few leaders.
     order = F.xxhash64("grp")
+    head = F.struct("grp", "n", "place")
     leaders = written(
-        postings.groupBy("token").agg(
-            F.min_by(F.struct("grp", "n", "place"), order).alias("leader"), F.count("*").alias("groups")
-        ),
+        postings.groupBy("token").agg(F.min_by(head, order).alias("leader"), F.max_by(head, order).alias("other"), F.count("*").alias("groups")),
         "ngram-leaders",
-    )
-    met = attach(postings.drop("groups"), leaders, ["token"], "groups", ["grp"], "inner", rows_per_part=rows_per_part)
+    )
+    # Nearly always two groups share a shingle, which need no look-up of who they are.
+    two = leaders.where("groups = 2").select("leader", "other.*")
+    more = leaders.where("groups > 2").drop("other")
+    met = attach(postings.where("groups > 2").drop("groups"), more, ["token"], "groups", ["grp"], "inner", rows_per_part=rows_per_part)
+    met = two.unionByName(met.select("leader", "grp", "n", "place"))
     met = met.where((F.col("grp") != F.col("leader.grp")) & _may_link(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"), percent))
     by_shingle = met.select(F.col("leader.grp").alias("key"), F.col("leader.n").alias("key_n"), F.col("grp").alias("node"), "n")
     by_group = members.where("node != grp").select(F.col("grp").alias("key"), F.col("n").alias("key_n"), "node", "n")
     pairs = written(by_shingle.unionByName(by_group).distinct(), "ngram-pairs")
-    sizes = written(pairs.groupBy("key").agg(F.max("key_n").alias("key_n"), F.count("*").alias("pairs")), "ngram-leads")
+    discard(leaders)
+
+    joined = pairs
+    for name in ("key", "node"):
+        uses = pairs.groupBy(name).agg(F.count("*").alias("uses"))
+        known = written(parts.withColumnRenamed("node", name).withColumnRenamed("parts", f"parts_{name}").join(uses, name), "ngram-parts")
+        joined = attach(joined, known, [name], "uses", ["node" if name == "key" else "key"], "inner", rows_per_part=rows_per_part).drop("uses")
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bound = np.minimum(_counts(batch.column("parts_key")), _counts(batch.column("parts_node"))).sum(axis=1)
+                good = bound >= needed(batch.column("key_n").to_numpy(), batch.column("n").to_numpy(), percent)
+                yield batch.select(["key", "key_n", "node", "n"]).filter(pa.array(good))
+
+    narrow = joined.select("key", "key_n", "node", "n", "parts_key", "parts_node")
+    hopes = written(narrow.mapInArrow(hopeful, pairs.select("key", "key_n", "node", "n").schema), "ngram-hopes")
+    sizes = written(hopes.groupBy("key").agg(F.max("key_n").alias("key_n"), F.count("*").alias("pairs")), "ngram-leads")
     count = F.ceil(F.col("pairs") / block).cast("int")
-    met_by = attach(pairs.drop("key_n"), sizes, ["key"], "pairs", ["node"], "inner", rows_per_part=rows_per_part)
-    right = met_by.select("key", F.lit(0).alias("i"), F.pmod(F.xxhash64("node", F.lit(7)), count).cast("int").alias("j"), "node", F.col("node").alias("class"), "n", F.lit(0).cast("long").alias("place"), F.lit(False).alias("left"))
+    met_by = attach(hopes.drop("key_n"), sizes, ["key"], "pairs", ["node"], "inner", rows_per_part=rows_per_part)
+    right = met_by.select("key", F.lit(0).alias("i"), F.pmod(F.xxhash64("node", F.lit(7)), count).cast("int").alias("j"), "node", F.col("node").alias("class"), "n", F.lit(False).alias("left"))
     # A leader's row for the blocks there are.
-    left = right.select("key", "j").distinct().join(sizes, "key").select("key", F.lit(0).alias("i"), "j", F.col("key").alias("node"), F.col("key").alias("class"), F.col("key_n").alias("n"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("left"))
+    left = right.select("key", "j").distinct().join(sizes, "key").select("key", F.lit(0).alias("i"), "j", F.col("key").alias("node"), F.col("key").alias("class"), F.col("key_n").alias("n"), F.lit(True).alias("left"))
     return written(left.unionByName(right), "ngram-leading")
 
 
-def _open(postings: DataFrame, members: DataFrame, classes: DataFrame, rows_per_part: int, block: int) -> DataFrame:
+def _of_three(postings: DataFrame, groups: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The postings of shingles that three or more sets share; the pair of any other has been compared."""
+    several = written(groups.where("members > 1").select("grp"), "ngram-several")
+    several = F.broadcast(several) if several.count() <= broadcast_rows else several
+    two = postings.where("groups = 2")
+    tokens = two.join(several, "grp", "left_semi").select("token").distinct()
+    return written(postings.where("groups > 2").unionByName(two.join(tokens, "token", "left_semi").select(postings.columns)), "ngram-of-three")
+
+
+def _open(postings: DataFrame, members: DataFrame, classes: DataFrame, parts: DataFrame, rows_per_part: int, block: int) -> DataFrame:
     """Cells in which members of a shingle's, or a group's, smaller classes meet all its members, for those of several classes."""
     placed = written(members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "ngram-placed")
     held = written(placed.groupBy("grp", "class").agg(F.count("*").alias("nodes")), "ngram-held")
@@ -360,11 +416,11 @@ def _open(postings: DataFrame, members: DataFrame, classes: DataFrame, rows_per_
     own = members.where("node = grp").select(F.xxhash64("grp", F.lit(2)).alias("key"), "grp", F.lit(0).cast("long").alias("place")).join(open_groups, "key")
     entries = written(listed.unionByName(own.select(listed.columns)), "ngram-entries")
     # Groups expand to their members here, for open keys only.
-    expanded = entries.join(placed.select("grp", "node", "class", "n"), "grp")
+    expanded = entries.join(placed.select("grp", "node", "class", "n").join(parts, "node"), "grp")
     blocks = lambda n: F.greatest(F.ceil(n / block).cast("int"), F.lit(1))
     all_blocks, few_blocks = blocks(F.col("members")), blocks(F.col("members") - F.col("largest"))
     dealt = lambda count: F.pmod(F.xxhash64("node", F.lit(7)), count).cast("int")
-    each = ["node", "class", "n", "place"]
+    each = ["node", "class", "n", "place", (F.col("class") != F.col("main")).alias("minor"), "parts"]
     left = expanded.where("class != main").select("key", dealt(few_blocks).alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), *each, F.lit(True).alias("left"))
     right = expanded.select("key", F.explode(F.sequence(F.lit(0), few_blocks - 1)).alias("i"), dealt(all_blocks).alias("j"), *each, F.lit(False).alias("left"))
     return written(left.unionByName(right), "ngram-open-cells")
@@ -406,12 +462,15 @@ def jaccard_components(
     heads = prefixes.join(F.broadcast(others), "grp", "left_anti") if few else prefixes.join(groups.select("grp"), "grp")
     postings = _postings(heads, rows_per_part)
 
-    def links_of(cells: DataFrame) -> DataFrame:
-        return _verified(_promising(cells, parts, percent, rows_per_part), texts, words, percent, broadcast_rows, rows_per_part)
-
-    links = links_of(_leading(postings, members, percent, rows_per_part, block))
+    options = (words, percent, broadcast_rows, rows_per_part)
+    links = _verified(_leading(postings, members, parts, percent, rows_per_part, block), texts, *options)
     classes = components(links, rows_per_part)
-    more = links_of(_open(postings, members, classes, rows_per_part, block))
+    postings = _of_three(postings, groups, broadcast_rows)
+    open_cells = _open(postings, members, classes, parts, rows_per_part, block)
+    hopes = _promising(open_cells, None, percent, rows_per_part)
+    discard(open_cells)
+    cells = _promising(hopes, rows.select(F.col("rid").alias("node"), "prefix"), percent, rows_per_part).drop("parts", "place", "minor")
+    more = _verified(cells, texts, *options)
     if not more.isEmpty():
         classes = components(links.unionByName(more), rows_per_part)
 

@@ -42,17 +42,20 @@ class Shingles:
         place = np.arange(len(at)) - np.repeat(starts, lengths)
         return mixed(np.add.reduceat((letters[at].astype(np.uint64) + np.uint64(1)) * self.powers[place], starts))
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shingles in order, and how often each occurs. A text of fewer words is one
-        shingle, a text of none has none."""
+    def every(self, text: bytes) -> np.ndarray:
+        """The shingles one after the other. A text of fewer words is one shingle, a text of none has none."""
         words = self.words(text)
         if not len(words):
-            return words, np.empty(0, np.int64)
+            return words
         size = min(self.size, len(words))
         total = np.zeros(len(words) - size + 1, np.uint64)
         for i in range(size):
             total = (total + words[i : i + len(total)]) * _STEP
-        return np.unique(mixed(total), return_counts=True)
+        return mixed(total)
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles in order, and how often each occurs."""
+        return np.unique(self.every(text), return_counts=True)
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
