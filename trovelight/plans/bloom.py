@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bits a key and probes: about one in two hundred others passes.
-BITS_PER_KEY = 16
-PROBES = 3
+# Bits a key and probes: about one in forty thousand others passes.
+BITS_PER_KEY = 32
+PROBES = 6
 # The largest filter (64 MB). With more keys than fit, more rows pass that need not; none is ever lost.
 MOST_BITS = 1 << 29
 
