@@ -17,6 +17,7 @@ IMAGE_BASE = 10_000_000
 
 # Where the index of a folder of tables was written, per application.
 _written: dict[tuple[str, str], str] = {}
+_read: dict[str, Index] = {}
 _listed: dict[tuple[str, str], str] = {}
 
 
@@ -51,7 +52,9 @@ class Views:
                 shards=4,
             )
             _written[key] = folder
-        return Index.read(self.spark, _written[key])
+        folder = _written[key]
+        _read[folder] = Index.read(self.spark, folder, _read.get(folder))
+        return _read[folder]
 
     def vector_lists(self) -> VectorLists:
         """The approximate index of the index's vectors, written once per application."""

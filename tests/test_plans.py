@@ -8,7 +8,7 @@ from tests.conftest import DATA
 from trovelight.operators import keyword, nearest
 from trovelight.operators.results import Scorer
 from trovelight.plans.hybrid import hybrid_search
-from trovelight.plans.sizing import lookup, row_count_up_to
+from trovelight.plans.sizing import fits_broadcast, lookup, row_count_up_to
 from trovelight.sources.blobs import get_blobs, put_blobs
 
 
@@ -35,6 +35,13 @@ def test_row_counts_stop_at_the_bound(spark):
     assert row_count_up_to(spark.range(11), 10) is None
 
 
+def test_a_broadcast_is_bounded_in_rows_and_bytes(spark):
+    rows = spark.range(10).select("id", F.repeat(F.lit("é"), 1000).alias("text"))
+    assert fits_broadcast(rows, 10) and not fits_broadcast(rows, 9)
+    assert fits_broadcast(rows, 10, 30_000) and not fits_broadcast(rows, 10, 20_000)
+    assert fits_broadcast(rows.limit(0), 0, 0)
+
+
 @pytest.fixture(scope="module")
 def views(spark):
     return Views(spark, DATA)

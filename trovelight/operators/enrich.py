@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from trovelight import fixed_values as fixed
 from trovelight.operators.passages import chunk_text, decode_text, summary_text
 from trovelight.plans.lineage import written
-from trovelight.plans.sizing import lookup, row_count_up_to
+from trovelight.plans.sizing import fits_broadcast, lookup
 from trovelight.schemas import need
 from trovelight.settings import DEFAULTS, Settings
 
@@ -64,7 +64,7 @@ def describe_lookup(
     Args:
         assets: (asset_id, filename, asset_type, …).
         descriptions: (filename, title, description, tags, visible_text, image_type), one per name.
-        max_broadcast_rows: A larger table is joined by shuffling.
+        max_broadcast_rows: A table of more rows, or of more bytes than the settings allow, is joined by shuffling.
 
     Returns:
         The described assets, those of unknown names in general words; and the failures, files with
@@ -84,7 +84,8 @@ def describe_lookup(
         F.when(is_image, F.lit("other")).alias("image_type"),
     )
     known = descriptions.select("filename", F.struct(*METADATA).alias("_known"))
-    few = row_count_up_to(descriptions.select("filename"), max_broadcast_rows) is not None
+    # Descriptions are texts, so their bytes count as well as their rows.
+    few = fits_broadcast(known, max_broadcast_rows)
     kept = [name for name in assets.columns if name not in (*METADATA, "vision_model")]
     described = (
         lookup(assets.where(~fails).select(*kept), known, ["filename"], "left", few)

@@ -29,8 +29,14 @@ class Index:
     blocks: DataFrame | None = None
 
     @staticmethod
-    def read(spark: SparkSession, folder: str) -> "Index":
-        return Index(*[spark.read.parquet(f"{folder}/{name}") for name in TABLES])
+    def read(spark: SparkSession, folder: str, like: "Index | None" = None) -> "Index":
+        """The index of a folder; one read before tells the schemas, which need not be looked up again."""
+
+        def table(name: str) -> DataFrame:
+            known = None if like is None else getattr(like, name)
+            return (spark.read if known is None else spark.read.schema(known.schema)).parquet(f"{folder}/{name}")
+
+        return Index(*[table(name) for name in TABLES])
 
 
 def write_partitioned(rows: DataFrame, path: str, *by: str, sort: tuple[str, ...] = ()) -> None:

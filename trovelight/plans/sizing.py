@@ -12,6 +12,13 @@ def row_count_up_to(df: DataFrame, bound: int) -> int | None:
     return found if found <= bound else None
 
 
+def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int = DEFAULTS.max_broadcast_bytes) -> bool:
+    """Whether a table is small enough to be sent to every machine, by its rows and by about the bytes of their text."""
+    bytes_of = F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])))
+    rows, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
+    return rows <= max_rows and total <= max_bytes
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores.
 

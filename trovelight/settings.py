@@ -24,6 +24,8 @@ class Settings:
 
     # Rows a side of a join may have to be broadcast; past it the shuffling form of the operator runs.
     max_broadcast_rows: int = 200_000
+    # And bytes, where rows hold texts of any length.
+    max_broadcast_bytes: int = 64 << 20
     # Query vectors that may be sent whole to every task (200 MB at 1,024 dimensions).
     max_broadcast_vectors: int = 25_000
     # Rows of one key that a single task joins where a join cannot broadcast.
