@@ -34,7 +34,7 @@ from trovelight.llm.common import (
 )
 from trovelight.llm.near import components
 from trovelight.llm.shingles import Shingles
-from trovelight.plans.bloom import PROBES, filter_of, in_filter, likely, probes
+from trovelight.plans.bloom import PROBES, filter_of, in_filter, likely, probed, probes
 
 WORDS = 3
 PERCENT = 90
@@ -46,6 +46,9 @@ PARTS = 64
 BLOCK = 500
 # Rows of cells that one call of Python looks at.
 ROWS_PER_CALL = 1_000
+# Postings that one call of Python looks at, and pairs of one shingle's postings that are tried there.
+POSTINGS_PER_CALL = 20_000
+MOST_TRIED = 1 << 22
 # Pairs whose parts are compared at once.
 PAIRS = 1 << 16
 # Columns of the 0/1 matrices that are multiplied at once.
@@ -85,14 +88,14 @@ def frequency_classes(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, text: str, doc_id: str, carry: list[str] | None, words: int, percent: int) -> DataFrame:
-    """Every row's carried columns as `row`, its id, text, n (its shingles), content (a digest of the set), prefix (its first
-    shingles), shape (a digest of prefix and size) and parts."""
+    """Every row's carried columns as `row`, its id, body (a digest of the text), n (its shingles), content (a digest of the set),
+    prefix (its first shingles), shape (a digest of prefix and size) and parts."""
     classes = frequency_classes(docs, text, words)
     schema = T.StructType(
         [
             row_field(docs, carry),
             T.StructField("id", docs.schema[doc_id].dataType),
-            T.StructField("text", T.StringType()),
+            T.StructField("body", T.BinaryType()),
             T.StructField("n", T.LongType()),
             T.StructField("content", T.BinaryType()),
             T.StructField("shape", T.BinaryType()),
@@ -105,7 +108,7 @@ def _sketched(docs: DataFrame, text: str, doc_id: str, carry: list[str] | None,
         maker = Shingles(words)
         for batch in batches:
             sizes, contents, shapes, prefixes, parts = [], [], [], [], []
-            for value in batch.column(2).cast(pa.binary()):
+            for value in batch.column(3).cast(pa.binary()):
                 found = np.unique(maker.every((value.as_py() or b"").translate(_LOWER)))
                 order = np.argsort(classes[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")
                 prefix = found[order[: prefix_length(len(found), percent)]] if len(found) else found
@@ -128,7 +131,34 @@ def _sketched(docs: DataFrame, text: str, doc_id: str, carry: list[str] | None,
                 names=schema.names,
             )
 
-    return docs.select(row_of(docs, carry), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(sketch, schema)
+    whole = F.col(f"`{text}`")
+    return docs.select(row_of(docs, carry), F.col(f"`{doc_id}`").alias("id"), _body(whole).alias("body"), whole.alias("text")).mapInArrow(sketch, schema)
+
+
+def _body(text: Column) -> Column:
+    """The digest by which a text is found again where texts are read."""
+    return F.unhex(F.md5(text))
+
+
+def _texts(docs: DataFrame, text: str, wanted: DataFrame, count: int) -> DataFrame:
+    """body and text of the `count` wanted bodies, read from `docs`; a task hands on one copy of a text."""
+    table = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, ["body"], count))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            at = []
+            bodies = batch.column(0)
+            for place in np.flatnonzero(in_filter(table.value, probed(batch))).tolist():
+                body = bodies[place].as_py()
+                if body is not None and body not in seen:
+                    seen.add(body)
+                    at.append(place)
+            yield batch.take(pa.array(at, pa.int64())).select(["body", "text"])
+
+    whole = F.col(f"`{text}`")
+    each = docs.select(_body(whole).alias("body"), whole.alias("text"), probes(_body(whole)).alias("probes"))
+    return each.mapInArrow(sift, "body binary, text string")
 
 
 def _parts(found: np.ndarray) -> np.ndarray:
@@ -290,31 +320,46 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verified(cells: DataFrame, texts: DataFrame, words: int, percent: int, broadcast_rows: int, rows_per_part: int) -> DataFrame:
+def _dealt(cells: DataFrame, rows_per_part: int) -> DataFrame:
+    """Cells dealt over calls of Python; those that share members tend to meet in one call, which gets a text once; written."""
+    nodes = written(cells.groupBy("node").agg(F.min("key").alias("home"), F.count("*").alias("uses")), "ngram-homes")
+    near = attach(cells.select("key", "i", "j", "node"), nodes, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part)
+    each = written(near.groupBy("key", "i", "j").agg(F.min("home").alias("home"), F.count("*").alias("rows")), "ngram-dealt-cells")
+    homes = each.groupBy("home").agg(F.sum("rows").alias("all"), F.count("*").alias("cells"))
+    # The cells of a home beyond one call go to several.
+    each = attach(each, written(homes, "ngram-homes"), ["home"], "cells", ["key", "i", "j"], "inner", rows_per_part=rows_per_part)
+    part = F.pmod(F.xxhash64("key", "i", "j", F.lit(13)), F.ceil(F.col("all") / ROWS_PER_CALL))
+    calls = F.lit(max(1, math.ceil(cells.count() / ROWS_PER_CALL)))
+    each = written(each.select("key", "i", "j", "rows", F.pmod(F.xxhash64("home", part, F.lit(11)), calls).alias("call")), "ngram-calls")
+    dealt = attach(cells, each, ["key", "i", "j"], "rows", ["node"], "inner", rows_per_part=rows_per_part)
+    return written(dealt.select("call", "key", "i", "j", "node", "class", "n", "left"), "ngram-dealt")
+
+
+def _verified(cells: DataFrame, bodies: DataFrame, docs: DataFrame, text: str, words: int, percent: int, rows_per_part: int) -> DataFrame:
     """Links (a, b) of cells' left and right members of different classes that are similar enough, of each cell only as many
     as join them; written.
 
-    Texts travel rather than their shingles, which take more bytes and do not compress; few cells go to where
-    texts are read.
+    Texts travel rather than their shingles, which take more bytes and do not compress, and once to each call.
+
+    Args:
+        bodies: node and body of every row.
     """
-    few = cells.count() <= broadcast_rows
-    if few:
-        full = texts.join(F.broadcast(_packed(cells)), "node")
-    else:
-        uses = written(cells.groupBy("node").agg(F.count("*").alias("uses")), "ngram-uses")
-        asked = written(likely(texts, ["node"], uses, uses.count()).join(uses, "node"), "ngram-texts")
-        full = attach(_packed(cells), asked, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part)
-
-    def linked(table: pa.Table) -> pa.Table:
+    dealt = _dealt(cells, rows_per_part)
+    asked = written(dealt.select("call", "node").distinct(), "ngram-asked")
+    wanted = written(likely(bodies, ["node"], asked, asked.count()).join(asked, "node"), "ngram-wanted")
+    sent = _texts(docs, text, wanted, wanted.count()).join(wanted, "body").select("call", "node", "text")
+
+    def linked(table: pa.Table, texts: pa.Table) -> pa.Table:
         maker = Shingles(words)
         a, b = [], []
+        sets = dict(zip(texts.column("node").to_pylist(), texts.column("text").cast(pa.binary()), strict=True))
+        sets = {node: np.unique(maker.every(value.as_py().translate(_LOWER))) for node, value in sets.items()}
         for cell in _each_cell(table):
             node, group, n = (cell.column(name).to_numpy() for name in ("node", "class", "n"))
             left, right = _sides(cell)
             if not len(left) or not len(right):
                 continue
-            held = [np.unique(maker.every((v.as_py() or b"").translate(_LOWER))) for v in cell.column("text").cast(pa.binary())]
-            both = overlaps([held[x] for x in left], [held[y] for y in right])
+            both = overlaps([sets[x] for x in node[left].tolist()], [sets[y] for y in node[right].tolist()])
             good = both >= needed(n[left][:, None], n[right][None, :], percent)
             good &= group[left][:, None] != group[right][None, :]
             head = {int(c): int(c) for c in group}
@@ -333,10 +378,9 @@ def _verified(cells: DataFrame, texts: DataFrame, words: int, percent: int, broa
                     b.append(int(node[right[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    narrow = full.select("call", "key", "i", "j", "node", "class", "n", "left", "text")
-    links = written(narrow.groupBy("call").applyInArrow(linked, LINK), "ngram-links")
-    if not few:
-        discard(asked)
+    links = written(dealt.groupBy("call").cogroup(sent.groupBy("call")).applyInArrow(linked, LINK), "ngram-links")
+    for table in (dealt, asked, wanted):
+        discard(table)
     return links
 
 
@@ -393,24 +437,76 @@ def _of_three(postings: DataFrame, groups: DataFrame, broadcast_rows: int) -> Da
     return written(postings.where("groups > 2").unionByName(two.join(tokens, "token", "left_semi").select(postings.columns)), "ngram-of-three")
 
 
-def _open(postings: DataFrame, members: DataFrame, classes: DataFrame, parts: DataFrame, rows_per_part: int, block: int) -> DataFrame:
+def _feasible(postings: DataFrame, percent: int, block: int) -> DataFrame:
+    """The postings whose shingle has one of another class that sizes and places let them be similar to; written.
+
+    Postings are token, grp, n, place, groups and class, null for a group of several classes. In one shingle's postings by
+    size, those that may be similar to a smaller one stand next to it. Shingles of many groups are cut into
+    ranges of sizes, a posting going to all that it may be similar in. Where there is too much to try, all are kept.
+    """
+    most = F.least(F.floor(F.lit(100 + percent) * (F.col("n") - F.col("place")) / percent) - F.col("n"), F.floor(F.lit(100) * F.col("n") / percent))
+    # The logarithm's rounding does not change the order of sizes.
+    band = lambda size: F.floor(F.log(size) / math.log(max(100 / percent, 1.01)))
+    bands = F.when(F.col("groups") > block, F.sequence(band(F.col("n")), band(F.greatest("n", most)))).otherwise(F.array(F.lit(0).cast("long")))
+    each = postings.withColumn("most", most).withColumn("band", F.explode(bands)).withColumn("key", F.xxhash64("token", "band"))
+    calls = max(1, math.ceil(postings.count() / POSTINGS_PER_CALL))
+    each = each.withColumn("call", F.pmod(F.xxhash64("key", F.lit(11)), F.lit(calls)))
+    schema = T.StructType([postings.schema[name] for name in ("token", "grp", "place", "groups")])
+
+    def partnered(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.lexsort((table.column("n").to_numpy(), table.column("key").to_numpy()))))
+        key, n, place, most = (table.column(name).to_numpy() for name in ("key", "n", "place", "most"))
+        # A group of several classes is of a class of its own.
+        group = table.column("class").is_null().to_numpy(zero_copy_only=False)
+        group = np.where(group, -1 - np.arange(len(n)), table.column("class").fill_null(0).to_numpy())
+        number = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        # Of a shingle's postings those from the next on to the last that is not too large.
+        width = n.max() + 1
+        after = np.arange(1, len(n) + 1)
+        many = np.maximum(np.searchsorted(number * width + n, number * width + np.minimum(most, n.max()), side="right") - after, 0)
+        keep = np.bincount(number, many)[number] > MOST_TRIED
+        many[keep] = 0
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(n):
+            # As many postings as make up some PAIRS pairs.
+            begin = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, begin + PAIRS, side="right")))
+            one = np.repeat(np.arange(at, to), many[at:to])
+            other = np.arange(len(one)) - np.repeat(ends[at:to] - many[at:to] - begin, many[at:to]) + after[one]
+            least = needed(n[one], n[other], percent)
+            good = (group[one] != group[other]) & (np.minimum((n - place)[one], (n - place)[other]) >= least)
+            keep[one[good]] = keep[other[good]] = True
+            at = to
+        return table.filter(pa.array(keep)).select(schema.names)
+
+    narrow = each.select("call", "key", "token", "grp", "n", "place", "groups", "class", "most")
+    found = written(narrow.groupBy("call").applyInArrow(partnered, schema), "ngram-feasible")
+    # Only a shingle that was cut can name a posting twice.
+    return found.where(F.col("groups") <= block).unionByName(found.where(F.col("groups") > block).dropDuplicates(["token", "grp"])).drop("groups")
+
+
+def _open(postings: DataFrame, members: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, rows_per_part: int, block: int) -> DataFrame:
     """Cells in which members of a shingle's, or a group's, smaller classes meet all its members, for those of several classes."""
     placed = written(members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "ngram-placed")
     held = written(placed.groupBy("grp", "class").agg(F.count("*").alias("nodes")), "ngram-held")
-    by_group = written(held.groupBy("grp").agg(F.count("*").alias("classes"), F.sum("nodes").alias("members")), "ngram-sizes")
-    uses = written(postings.groupBy("grp").agg(F.count("*").alias("uses")), "ngram-uses")
+    only = F.when(F.count("*") == 1, F.min("class")).alias("class")
+    by_group = written(held.groupBy("grp").agg(F.count("*").alias("classes"), only), "ngram-sizes")
+    uses = postings.groupBy("grp").agg(F.count("*").alias("uses"))
+    known = written(uses.join(by_group.select("grp", "class"), "grp"), "ngram-uses")
+    full = attach(postings, known, ["grp"], "uses", ["token"], "inner", rows_per_part=rows_per_part).drop("uses")
+    postings = _feasible(full, percent, block)
 
     def several(counted: DataFrame) -> DataFrame:
-        """Keys of more than one class and more than two members, with their main class."""
+        """Keys of more than one class, with their main class."""
         each = counted.groupBy("key", "class").agg(F.sum("nodes").alias("nodes"))
         whole = each.groupBy("key").agg(F.sum("nodes").alias("members"), F.max("nodes").alias("largest"), F.max_by("class", "nodes").alias("main"))
-        return whole.where("members > largest and members > 2")
+        return whole.where("members > largest")
 
     # A group's classes go to each of its postings: as many rows as classes, one where it is one class.
-    spread = attach(postings.select("token", "grp"), uses, ["grp"], "uses", ["token"], "inner", rows_per_part=rows_per_part)
     shingle_key = F.xxhash64("token", F.lit(1))
-    open_shingles = written(several(spread.join(held, "grp").select(shingle_key.alias("key"), "class", "nodes")), "ngram-open")
-    open_groups = written(several(held.join(by_group.where("classes > 1").select("grp"), "grp").select(F.xxhash64("grp", F.lit(2)).alias("key"), "class", "nodes")), "ngram-open")
+    open_shingles = written(several(postings.join(held, "grp").select(shingle_key.alias("key"), "class", "nodes")), "ngram-open")
+    open_groups = written(several(held.join(by_group.where("classes > 1").select("grp"), "grp").select(F.xxhash64("grp", F.lit(2)).alias("key"), "class", "nodes")).where("members > 2"), "ngram-open")
     sized = open_shingles.withColumn("groups", F.col("members"))
     listed = attach(postings.select(shingle_key.alias("key"), "grp", "place"), sized, ["key"], "groups", ["grp"], "inner", rows_per_part=rows_per_part).drop("groups")
     own = members.where("node = grp").select(F.xxhash64("grp", F.lit(2)).alias("key"), "grp", F.lit(0).cast("long").alias("place")).join(open_groups, "key")
@@ -443,7 +539,9 @@ def jaccard_components(
     shingle. Texts link when 100 * intersection >= percent * union; component_id is the smallest id a row
     reaches by links, null only if all it reaches are null. Null and wordless texts have an empty set and link
     with nothing, not with each other either. No link is lost: prefixes, filters and comparisons are exact up to
-    64-bit hashes of shingles and 128-bit digests of sets. Equal sets are one node from the start, whatever their number.
+    64-bit hashes of shingles and 128-bit digests of sets and texts. Equal sets are one node from the start, whatever their
+    number. `docs` is read four times, and texts are not written but read again where they are compared, so every read
+    must give the same rows.
     An empty table gives an empty result. Carried columns, by default all, may have any names.
     """
     prepared(docs.sparkSession)
@@ -453,7 +551,7 @@ def jaccard_components(
     )
     groups = written(nodes.groupBy("shape").agg(F.min("node").alias("grp"), F.count("*").alias("members")), "ngram-groups")
     members = written(attach(nodes.drop("content", "copies"), groups, ["shape"], "members", ["node"], "inner", rows_per_part=rows_per_part).select("node", "grp", "n"), "ngram-members")
-    texts, parts = rows.select(F.col("rid").alias("node"), "text"), rows.select(F.col("rid").alias("node"), "parts")
+    bodies, parts = rows.select(F.col("rid").alias("node"), "body"), rows.select(F.col("rid").alias("node"), "parts")
     # Prefixes of group heads; what is not one is told by its number where that is less.
     prefixes = rows.where("n > 0").select(F.col("rid").alias("grp"), "n", "prefix")
     others = rows.where("n > 0").select(F.col("rid").alias("grp")).join(groups.select("grp"), "grp", "left_anti")
@@ -462,15 +560,17 @@ def jaccard_components(
     heads = prefixes.join(F.broadcast(others), "grp", "left_anti") if few else prefixes.join(groups.select("grp"), "grp")
     postings = _postings(heads, rows_per_part)
 
-    options = (words, percent, broadcast_rows, rows_per_part)
-    links = _verified(_leading(postings, members, parts, percent, rows_per_part, block), texts, *options)
+    options = (bodies, docs, text, words, percent, rows_per_part)
+    links = _verified(_leading(postings, members, parts, percent, rows_per_part, block), *options)
     classes = components(links, rows_per_part)
-    postings = _of_three(postings, groups, broadcast_rows)
-    open_cells = _open(postings, members, classes, parts, rows_per_part, block)
+    shared = _of_three(postings, groups, broadcast_rows)
+    discard(postings)
+    open_cells = _open(shared, members, classes, parts, percent, rows_per_part, block)
+    discard(shared)
     hopes = _promising(open_cells, None, percent, rows_per_part)
     discard(open_cells)
     cells = _promising(hopes, rows.select(F.col("rid").alias("node"), "prefix"), percent, rows_per_part).drop("parts", "place", "minor")
-    more = _verified(cells, texts, *options)
+    more = _verified(cells, *options)
     if not more.isEmpty():
         classes = components(links.unionByName(more), rows_per_part)
 
