@@ -115,3 +115,38 @@ def test_overlaps_and_prefixes():
         least = ngram_join.needed(a, b, 90)
         assert all((100 * o >= 90 * (a + b - o)) == (o >= least) for o in range(min(a, b) + 1))
     assert [ngram_join.prefix_length(n, 90) for n in (1, 9, 10, 11, 100)] == [1, 1, 2, 2, 11]
+
+
+@pytest.mark.parametrize("block", [1, 500])
+def test_postings_without_a_partner_of_another_class_leave(spark, block):
+    random = np.random.default_rng(5)
+    rows = []
+    for token in range(40):
+        count = int(random.integers(2, 12))
+        for grp in range(count):
+            n = int(random.integers(50, 130))
+            place = int(random.integers(0, ngram_join.prefix_length(n, 90)))
+            rows.append((token, 100 * token + grp, n, place, count, None if random.integers(6) == 0 else int(random.integers(3))))
+    expected = set()
+    for a, b in itertools.combinations(rows, 2):
+        other = a[5] is None or b[5] is None or a[5] != b[5]
+        if a[0] == b[0] and other and min(a[2] - a[3], b[2] - b[3]) >= ngram_join.needed(a[2], b[2], 90):
+            expected |= {(a[0], a[1], a[3]), (b[0], b[1], b[3])}
+    postings = spark.createDataFrame(rows, "token long, grp long, n long, place long, groups long, class long")
+    kept = [tuple(r) for r in ngram_join._feasible(postings, 90, block).select("token", "grp", "place").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == expected and 0 < len(kept) < len(rows)
+
+
+def test_texts_are_not_written(spark, monkeypatch):
+    tables = {}
+    write = ngram_join.written
+
+    def noted(df, name):
+        tables[name] = df.columns
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    base = " ".join(f"w{n}" for n in range(100))
+    docs = spark.createDataFrame([(1, base), (2, base + " x"), (3, base), (4, "lone words here")], "doc_id long, text string")
+    assert found(docs, carry=["doc_id"]) == [(1, 98, 1), (2, 99, 1), (3, 98, 1), (4, 1, 4)]
+    assert "ngram-sketches" in tables and not any("text" in columns for columns in tables.values())

@@ -46,6 +46,8 @@ PARTS = 64
 BLOCK = 500
 # Rows of cells that one call of Python looks at.
 ROWS_PER_CALL = 1_000
+# Rounds in which cells that share members find a common call.
+ROUNDS = 3
 # Postings that one call of Python looks at, and pairs of one shingle's postings that are tried there.
 POSTINGS_PER_CALL = 20_000
 MOST_TRIED = 1 << 22
@@ -249,8 +251,8 @@ def _promising(cells: DataFrame, prefixes: DataFrame | None, percent: int, rows_
     first_only = prefixes is not None
     full = _packed(cells)
     if first_only:
-        uses = cells.groupBy("node").agg(F.count("*").alias("uses"))
-        known = written(uses.join(prefixes, "node"), "ngram-prefixes")
+        uses = written(cells.groupBy("node").agg(F.count("*").alias("uses")), "ngram-prefix-uses")
+        known = written(likely(prefixes, ["node"], uses, uses.count()).join(uses, "node"), "ngram-prefixes")
         full = attach(full, known, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part).drop("uses")
         full = full.withColumn("prefix", F.slice("prefix", 1, F.col("place").cast("int")))
     schema = T.StructType([cells.schema[name] for name in ("key", "i", "j", "node", "class", "n", "place", "minor", "left", "parts")])
@@ -322,9 +324,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _dealt(cells: DataFrame, rows_per_part: int) -> DataFrame:
     """Cells dealt over calls of Python; those that share members tend to meet in one call, which gets a text once; written."""
-    nodes = written(cells.groupBy("node").agg(F.min("key").alias("home"), F.count("*").alias("uses")), "ngram-homes")
-    near = attach(cells.select("key", "i", "j", "node"), nodes, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part)
-    each = written(near.groupBy("key", "i", "j").agg(F.min("home").alias("home"), F.count("*").alias("rows")), "ngram-dealt-cells")
+    places = cells.select("key", "i", "j", "node")
+    met = places.withColumn("home", F.col("key"))
+    for _ in range(ROUNDS):
+        nodes = written(met.groupBy("node").agg(F.min("home").alias("home"), F.count("*").alias("uses")), "ngram-homes")
+        near = attach(places, nodes, ["node"], "uses", ["key"], "inner", rows_per_part=rows_per_part)
+        each = written(near.groupBy("key", "i", "j").agg(F.min("home").alias("home"), F.count("*").alias("rows")), "ngram-dealt-cells")
+        met = attach(places, each, ["key", "i", "j"], "rows", ["node"], "inner", rows_per_part=rows_per_part)
     homes = each.groupBy("home").agg(F.sum("rows").alias("all"), F.count("*").alias("cells"))
     # The cells of a home beyond one call go to several.
     each = attach(each, written(homes, "ngram-homes"), ["home"], "cells", ["key", "i", "j"], "inner", rows_per_part=rows_per_part)
@@ -335,7 +341,9 @@ def _dealt(cells: DataFrame, rows_per_part: int) -> DataFrame:
     return written(dealt.select("call", "key", "i", "j", "node", "class", "n", "left"), "ngram-dealt")
 
 
-def _verified(cells: DataFrame, bodies: DataFrame, docs: DataFrame, text: str, words: int, percent: int, rows_per_part: int) -> DataFrame:
+def _verified(
+    cells: DataFrame, bodies: DataFrame, docs: DataFrame, text: str, words: int, percent: int, broadcast_rows: int, rows_per_part: int
+) -> DataFrame:
     """Links (a, b) of cells' left and right members of different classes that are similar enough, of each cell only as many
     as join them; written.
 
@@ -347,7 +355,10 @@ def _verified(cells: DataFrame, bodies: DataFrame, docs: DataFrame, text: str, w
     dealt = _dealt(cells, rows_per_part)
     asked = written(dealt.select("call", "node").distinct(), "ngram-asked")
     wanted = written(likely(bodies, ["node"], asked, asked.count()).join(asked, "node"), "ngram-wanted")
-    sent = _texts(docs, text, wanted, wanted.count()).join(wanted, "body").select("call", "node", "text")
+    count = wanted.count()
+    # Where few are wanted, texts move to their calls only.
+    told = F.broadcast(wanted) if count <= broadcast_rows else wanted
+    sent = _texts(docs, text, wanted, count).join(told, "body").select("call", "node", "text")
 
     def linked(table: pa.Table, texts: pa.Table) -> pa.Table:
         maker = Shingles(words)
@@ -406,8 +417,9 @@ def _leading(postings: DataFrame, members: DataFrame, parts: DataFrame, percent:
 
     joined = pairs
     for name in ("key", "node"):
-        uses = pairs.groupBy(name).agg(F.count("*").alias("uses"))
-        known = written(parts.withColumnRenamed("node", name).withColumnRenamed("parts", f"parts_{name}").join(uses, name), "ngram-parts")
+        uses = written(pairs.groupBy(name).agg(F.count("*").alias("uses")), "ngram-part-uses")
+        asked = likely(parts.withColumnRenamed("node", name), [name], uses, uses.count())
+        known = written(asked.withColumnRenamed("parts", f"parts_{name}").join(uses, name), "ngram-parts")
         joined = attach(joined, known, [name], "uses", ["node" if name == "key" else "key"], "inner", rows_per_part=rows_per_part).drop("uses")
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,7 +572,7 @@ def jaccard_components(
     heads = prefixes.join(F.broadcast(others), "grp", "left_anti") if few else prefixes.join(groups.select("grp"), "grp")
     postings = _postings(heads, rows_per_part)
 
-    options = (bodies, docs, text, words, percent, rows_per_part)
+    options = (bodies, docs, text, words, percent, broadcast_rows, rows_per_part)
     links = _verified(_leading(postings, members, parts, percent, rows_per_part, block), *options)
     classes = components(links, rows_per_part)
     shared = _of_three(postings, groups, broadcast_rows)
