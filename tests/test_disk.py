@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tests.test_streaming import ingest, uploads
 from trovelight.functions.packed import pack_ids, unpack_ids
 from trovelight.operators import blockmax, units
 from trovelight.plans import index as index_module
@@ -46,6 +47,18 @@ def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     assert not os.path.exists(path)
 
 
+def test_a_batch_leaves_the_tables_of_the_store_alone(spark, tmp_path):
+    folder = lineage.shared_folder(spark).removeprefix("file:")
+    run = ingest(spark, tmp_path / "root")
+    before = set(os.listdir(folder))
+    run.run_batch(uploads(spark, ("demo", "a.txt", b"kelp one"), ("demo", "invalid.txt", b"kelp two")), 0)
+    run.retry(spark, collection="demo")
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    # Nothing that holds contents, passages or vectors.
+    assert not left & {"blobs", "blob-rows", "contents", "claimed", "answers", "units", "vectors", "committed", "attempted", "waiting"}
+    assert run.index(spark).units.count() > 0
+
+
 def test_postings_of_a_shard_travel_together(spark):
     random = np.random.default_rng(3)
     rows = pa.table(
