@@ -1,5 +1,6 @@
 """Intake, blobs and metadata."""
 
+import hashlib
 import struct
 
 import pytest
@@ -244,3 +245,29 @@ def test_photo_details(spark):
         (None, None, None),
         ("2026-08-11 14:32", None, None),
     ]
+
+
+def test_large_files_are_hashed_without_being_one_value(spark, tmp_path, monkeypatch):
+    from checks.registered import QUERIES
+    from checks.views import Views
+
+    contents = {"a.parquet": b"x" * 8, "b c%20.parquet": bytes(range(256)) * 5, "d.parquet": b"y" * 9}
+    (tmp_path / "in").mkdir()
+    for name, content in contents.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    expected = sorted((name, len(content), hashlib.sha256(content).hexdigest()) for name, content in contents.items())
+    monkeypatch.setattr(files, "LARGE", 8)
+    monkeypatch.setattr(files, "PIECE", 7)
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(limit)
+    # As Java's largest array limits a real file.
+    spark.conf.set(limit, "8")
+    try:
+        for name in ("a1_read_folder", "a2_read_files_stream"):
+            assert sorted(map(tuple, QUERIES[name](Views(spark, str(tmp_path / "in"))).collect())) == expected
+        with pytest.raises(Exception, match="max length"):
+            files.read_files(spark, str(tmp_path / "in"), digest=True).select("content").collect()
+    finally:
+        spark.conf.set(limit, before)
+    whole = files.read_files(spark, str(tmp_path / "in"), digest=True).collect()
+    assert {r.filename: bytes(r.content) for r in whole} == contents
