@@ -309,3 +309,33 @@ def test_few_rows_that_nobody_asked_for_pass_the_filter(spark):
     assert passed.columns == rows.columns
     assert passed.join(asked, ["collection", "unit_id"]).count() == asked.count()
     assert passed.count() <= 2 * asked.count()
+
+
+# --- sentence models that fail -----------------------------------------------------------------
+
+
+def test_sentences_without_a_vector_are_an_error(spark):
+    vectors = spark.createDataFrame([(3, [0.0, 1.0])], "query_id int, embedding array<float>")
+    rows = shown(spark, [(1, "Kelp here. Reef there."), (3, "?!")])
+
+    def vector(column):
+        return lambda sentences: sentences.withColumn("embedding", column)
+
+    filled = F.array(F.lit(1.0), F.lit(1.0)).cast("array<float>")
+    some = F.when(F.col("start") == 0, filled)
+    for embed in (
+        vector(F.lit(None).cast("array<float>")),
+        vector(some),
+        lambda sentences: vector(filled)(sentences).where("start = 0"),
+        lambda sentences: vector(filled)(sentences).where("false"),
+    ):
+        with pytest.raises(Exception, match="the model gave sentences no vector"):
+            results.closest_sentence(rows, vectors, embed).collect()
+    for wrong in (F.array(F.lit(1.0)), F.array(F.lit(float("nan")), F.lit(1.0))):
+        with pytest.raises(Exception, match="cannot be compared"):
+            results.closest_sentence(rows, vectors, vector(wrong.cast("array<float>"))).collect()
+    # Results that come twice, and queries without a vector, are no failure.
+    twice = results.closest_sentence(rows.unionByName(rows), vectors.unionByName(vectors), vector(filled)).collect()
+    assert sorted((r.asset_id, r.sentence_start is None) for r in twice) == [(101, False)] * 2 + [(103, True)] * 2
+    none = results.closest_sentence(rows, vectors.where("false"), vector(filled)).collect()
+    assert {r.sentence_start for r in none} == {None}
