@@ -150,3 +150,22 @@ def test_no_query_pairs_everything(views):
     for name in ("h8_cap_and_page", "j1_query_matrix", "a8_collect_aliases", "d5_retry"):
         text = plan(QUERIES[name](views))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_a_sentence_model_that_fails_is_told(views, monkeypatch):
+    from checks import registered
+
+    def no_vectors(rows):
+        return rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+
+    index = views.index()
+    found = hybrid_search(
+        views.queries(), views.query_vectors().drop("collection"), index.postings, index.units, index.vectors,
+        index.assets, no_vectors, stem=False, rank_digits=6, blocks=index.blocks,
+    ).collect()
+    told = {(r.match == "semantic", "no vector" in (r.sentence_error or ""), r.sentence_start) for r in found}
+    assert told == {(True, True, None), (False, False, None)}
+    monkeypatch.setattr(registered, "embed_sentences", no_vectors)
+    for name in ("h12_closest_sentence", "h13_hybrid_search"):
+        with pytest.raises(Exception, match="the model gave sentences no vector"):
+            registered.QUERIES[name](views)
