@@ -47,13 +47,20 @@ def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     assert not os.path.exists(path)
 
 
-def test_a_batch_leaves_the_tables_of_the_store_alone(spark, tmp_path):
-    folder = lineage.shared_folder(spark).removeprefix("file:")
+def test_a_batch_leaves_the_tables_of_the_store_alone(spark, tmp_path, monkeypatch):
+    made = []
+    whole = lineage.new_folder
+
+    def new_folder(session, name):
+        made.append((name, whole(session, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(lineage, "new_folder", new_folder)
     run = ingest(spark, tmp_path / "root")
-    before = set(os.listdir(folder))
     run.run_batch(uploads(spark, ("demo", "a.txt", b"kelp one"), ("demo", "invalid.txt", b"kelp two")), 0)
     run.retry(spark, collection="demo")
-    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert {"blobs", "contents", "units", "committed"} <= {name for name, _ in made}
+    left = {name for name, path in made if os.path.exists(path.removeprefix("file:"))}
     # Nothing that holds contents, passages or vectors.
     assert not left & {"blobs", "blob-rows", "contents", "claimed", "answers", "units", "vectors", "committed", "attempted", "waiting"}
     assert run.index(spark).units.count() > 0
